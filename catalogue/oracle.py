@@ -49,16 +49,16 @@ _ZONE_AREAS = (
     f"abs(sum(edge_area)) AS a, sum(distance_m) AS l FROM ({_ZONE_MEASURES}) "
     "GROUP BY zone_id, part, ring) GROUP BY zone_id")
 
-# corners of each customer's quadrilateral
-_BOX_CORNERS = (
-    "SELECT c_custkey, i, longitude + dx * w AS x, latitude + dy * h AS y FROM (SELECT *, "
-    "CAST((c_custkey % 7 + 1) AS DOUBLE) * 0.01::DOUBLE AS w, "
-    "CAST((c_custkey % 5 + 1) AS DOUBLE) * 0.02::DOUBLE AS h "
-    f"FROM ({CUSTOMER_POINTS})), (VALUES (0, 0::DOUBLE, 0::DOUBLE), (1, 1, 0), (2, 2, 1), "
-    "(3, 0, 1)) AS s(i, dx, dy)")
+# corners and edges of each customer's quadrilateral
+_BOX_SIZES = (
+    "SELECT *, CAST((c_custkey % 7 + 1) AS DOUBLE) * 0.01::DOUBLE AS w, "
+    f"CAST((c_custkey % 5 + 1) AS DOUBLE) * 0.02::DOUBLE AS h FROM ({CUSTOMER_POINTS})")
 _BOX_EDGES = (
-    "SELECT c_custkey, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 "
-    f"FROM ({_BOX_CORNERS}) a JOIN ({_BOX_CORNERS}) b USING (c_custkey) WHERE b.i = (a.i + 1) % 4")
+    "SELECT c_custkey, i, longitude + dx1 * w AS x1, latitude + dy1 * h AS y1, "
+    f"longitude + dx2 * w AS x2, latitude + dy2 * h AS y2 FROM ({_BOX_SIZES}), "
+    "(VALUES (0, 0::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE), (1, 1, 0, 2, 1), (2, 2, 1, 0, 1), "
+    "(3, 0, 1, 0, 0)) AS s(i, dx1, dy1, dx2, dy2)")
+_BOX_CORNERS = f"SELECT c_custkey, i, x1 AS x, y1 AS y FROM ({_BOX_EDGES})"
 _BOX_MEASURES = inverse(
     f"SELECT *, x1 AS lon1, y1 AS lat1, x2 AS lon2, y2 AS lat2 FROM ({_BOX_EDGES})",
     "c_custkey", with_area=True)
@@ -99,7 +99,7 @@ _ZONE_CENTROIDS = _centroid(
     "zone_id", "zone", "CASE WHEN ring = 0 THEN 1 ELSE -1 END")
 _BOX_CENTROIDS = _centroid(
     f"SELECT *, 0 AS part, 0 AS ring, first_value(x1) OVER r AS ox, first_value(y1) OVER r AS oy "
-    f"FROM ({_BOX_EDGES}) WINDOW r AS (PARTITION BY c_custkey ORDER BY y1, x1)",
+    f"FROM ({_BOX_EDGES}) WINDOW r AS (PARTITION BY c_custkey ORDER BY i)",
     "c_custkey", "box", "1")
 
 
@@ -107,11 +107,11 @@ def _hull(points: str, key: str) -> str:
     """Strict hull corners of integer points: ends of edges with nothing to their right."""
     return (
         f"WITH p AS (SELECT DISTINCT {key} AS k, x, y FROM ({points})), e AS (SELECT a.k, "
-        "a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM p a JOIN p b ON a.k = b.k "
+        "a.x AS ax, a.y AS ay, b.x AS zx, b.y AS zy FROM p a JOIN p b ON a.k = b.k "
         "AND (a.x <> b.x OR a.y <> b.y)), hull AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 "
-        "FROM p c WHERE c.k = e.k AND ((bx - ax) * (c.y - ay) - (by - ay) * (c.x - ax) < 0 OR "
-        "((bx - ax) * (c.y - ay) - (by - ay) * (c.x - ax) = 0 AND ((c.x - ax) * (bx - ax) + "
-        "(c.y - ay) * (by - ay) < 0 OR (c.x - bx) * (ax - bx) + (c.y - by) * (ay - by) < 0)))))")
+        "FROM p c WHERE c.k = e.k AND ((zx - ax) * (c.y - ay) - (zy - ay) * (c.x - ax) < 0 OR "
+        "((zx - ax) * (c.y - ay) - (zy - ay) * (c.x - ax) = 0 AND ((c.x - ax) * (zx - ax) + "
+        "(c.y - ay) * (zy - ay) < 0 OR (c.x - zx) * (ax - zx) + (c.y - zy) * (ay - zy) < 0)))))")
 
 
 _CUSTOMER_GRID = (f"SELECT c_nationkey, CAST(round(longitude * 10000) AS BIGINT) AS x, "
@@ -140,9 +140,9 @@ _UNIT_CENTRES = (
     "('ft', 9000.0::DOUBLE * 0.3048::DOUBLE)) AS u(unit, d)")
 _UNIT_RING = _buffer(64, _UNIT_CENTRES, "centre_id, unit, radius_m, i")
 _UNIT_EDGES = (
-    "SELECT a.centre_id, a.unit, a.radius_m, a.far_lon AS lon1, a.far_lat AS lat1, "
-    "b.far_lon AS lon2, b.far_lat AS lat2 FROM ring a JOIN ring b ON a.centre_id = b.centre_id "
-    "AND a.unit = b.unit AND b.i = a.i + 1")
+    "SELECT * FROM (SELECT *, far_lon AS lon1, far_lat AS lat1, lead(far_lon) OVER r AS lon2, "
+    f"lead(far_lat) OVER r AS lat2 FROM ({_UNIT_RING}) WINDOW r AS (PARTITION BY centre_id, unit "
+    "ORDER BY i)) WHERE lon2 IS NOT NULL")
 
 _KEPT = f"SELECT event_id, event_type, user_id, value, latitude, longitude FROM ({EVENT_POINTS})"
 _MOVED = (f"SELECT event_id, latitude, CASE WHEN longitude < -82.75 THEN longitude + 263.0::DOUBLE "
@@ -265,7 +265,7 @@ ORACLE = {
                      "round(far_lon, 7) AS lon, round(far_lat, 7) AS lat "
                      f"FROM ({_buffer(16)})",
     "buffer_units":
-        f"WITH ring AS ({_UNIT_RING}) SELECT centre_id, unit, radius_m AS distance_m, "
+        "SELECT centre_id, unit, radius_m AS distance_m, "
         "round(abs(sum(edge_area)) / 1e6, 4) AS area_km2 FROM ("
         f"{inverse(_UNIT_EDGES, 'centre_id, unit, radius_m', with_area=True)}) "
         "GROUP BY centre_id, unit, radius_m",

@@ -12,6 +12,8 @@ Zones carry only the ``parts`` array of their polygons.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ _DEPTH = {  # nesting of a GeoJSON coordinates array above one position
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def vertex(lon: Column, lat: Column) -> Column:
     return F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
 
@@ -52,8 +59,6 @@ def parts_literal(polygons) -> Column:
     """Polygon parts from nested Python lists of ``(lon, lat)`` pairs."""
     text = [[[{"lon": float(x), "lat": float(y)} for x, y in ring] for ring in poly]
             for poly in polygons]
-    import json
-
     return F.from_json(F.lit(json.dumps(text)), PARTS_TYPE)
 
 
@@ -80,8 +85,6 @@ def geometry_from_geojson(text: Column) -> Column:
 
     NULL for anything else, including positions that are not two or more numbers.
     """
-    head = F.from_json(text, "type STRING, coordinates STRING")
-    kind, coords = head["type"], head["coordinates"]
     wrap = {
         "Point": lambda v: F.array(F.array(F.array(v))),
         "MultiPoint": lambda v: F.array(F.array(v)),
@@ -90,13 +93,17 @@ def geometry_from_geojson(text: Column) -> Column:
         "Polygon": lambda v: F.array(v),
         "MultiPolygon": lambda v: v,
     }
-    parts = F.lit(None).cast(PARTS_TYPE)
-    for name, depth in _DEPTH.items():
-        parts = F.when(kind == name, wrap[name](_positions(coords, depth))).otherwise(parts)
-    sound = parts.isNotNull() & F.forall(
-        flat_vertices(parts), lambda v: v["lon"].isNotNull() & v["lat"].isNotNull()
-    )
-    return F.when(sound, geometry(kind, parts))
+
+    def by_type(head):
+        kind, coords = head["type"], head["coordinates"]
+        parts = F.lit(None).cast(PARTS_TYPE)
+        for name, depth in _DEPTH.items():
+            parts = F.when(kind == name, wrap[name](_positions(coords, depth))).otherwise(parts)
+        return let(parts, lambda p: F.when(p.isNotNull() & F.forall(
+            flat_vertices(p), lambda v: v["lon"].isNotNull() & v["lat"].isNotNull()),
+            geometry(kind, p)))
+
+    return let(F.from_json(text, "type STRING, coordinates STRING"), by_type)
 
 
 def geometry_to_geojson(geom: Column) -> Column:
@@ -143,11 +150,6 @@ def bounds_of(parts: Column) -> Column:
     )
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _weighted(w: Column, x: Column, y: Column) -> Column:
     return F.struct(w.cast("double").alias("w"), x.cast("double").alias("x"),
                     y.cast("double").alias("y"))
