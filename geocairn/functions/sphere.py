@@ -49,8 +49,14 @@ def circle_span_columns(*, lat: Column, radius_m: Column) -> tuple[Column, Colum
     return F.greatest(lat - arc, F.lit(-90.0)), F.least(lat + arc, F.lit(90.0)), half
 
 
+def fold_longitude_sql(lon: str) -> str:
+    """SQL text for a longitude in [-180, 180]; values already inside are kept bit for bit."""
+    return (f"(CASE WHEN {lon} BETWEEN -180D AND 180D THEN {lon} "
+            f"ELSE pmod({lon} + 180D, 360D) - 180D END)")
+
+
 def fold_longitude(lon: Column) -> Column:
-    """Longitude in [-180, 180]; values already inside are returned bit for bit."""
+    """Column form of :func:`fold_longitude_sql`."""
     return F.when(lon.between(-180.0, 180.0), lon).otherwise(
         F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
     )

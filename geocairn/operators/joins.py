@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import ColumnNotFound, check_columns
 from ..functions.geometry import PARTS_TYPE
 from ..functions.measures import buffer_ring
-from ..functions.sphere import fold_longitude, haversine_m
+from ..functions.sphere import fold_longitude, fold_longitude_sql, haversine_m
 from ..plans import cells as grid
 from ..plans.session import BROADCAST_LIMIT_BYTES, join_side
 
@@ -41,13 +41,16 @@ def _cell_join(points: DataFrame, cover: grid.Cover, *, lat: str, lon: str, how:
     """
     raw_lon = F.col(lon)
     folded = fold_longitude(raw_lon) if fold else raw_lon
+    lat_sql, lon_sql = grid.quoted(lat), grid.quoted(lon)
+    if fold:
+        lon_sql = fold_longitude_sql(lon_sql)
     side = join_side(cover.df, cover.bytes_bound, limit)
     box_test = (F.col(lat).between(F.col(grid.BOX[0]), F.col(grid.BOX[2]))
                 & folded.between(F.col(grid.BOX[1]), F.col(grid.BOX[3])))
     match = box_test & exact
 
     def keys(levels):
-        return [grid.point_cell(lat=F.col(lat), lon=folded, level=n) for n in levels]
+        return [grid.point_cell(lat=lat_sql, lon=lon_sql, level=n) for n in levels]
 
     def keyed(df, level):
         return df.withColumn("_pcell", keys([level])[0])
@@ -102,8 +105,8 @@ def within_join(
     (polygons,) = check_columns(zones, [polygons])
     outer = how in ("inner", "left")
     names = _carried(points, zones, [zone_id, *(keep or [])]) if outer else []
-    cover = grid.polygon_cover(zones, parts=polygons, keep=names)
-    inside = grid.in_pieces(F.col("_pieces"), lat=F.col(lat), lon=F.col(lon))
+    cover = grid.polygon_cover(zones, parts=polygons, keep=names, limit=broadcast_limit)
+    inside = grid.inside_test(lat=grid.quoted(lat), lon=grid.quoted(lon))
     out = _cell_join(points, cover, lat=lat, lon=lon, how=how, exact=inside,
                      limit=broadcast_limit)
     return out.select(*points.columns, *names)

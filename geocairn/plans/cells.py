@@ -21,17 +21,24 @@ from pyspark.sql import types as T
 from ..functions import arrow
 from ..functions.geometry import bounds_of
 from ..functions.sphere import circle_span_columns, fold_longitude
-from .session import row_width
+from .session import BROADCAST_LIMIT_BYTES, row_width
 
 COARSEST_DEG = 64.0
 FINEST_LEVEL = 9
 _BITS = 22
+_HALF = 1 << (_BITS - 1)
 _LIMIT = 500.0  # degrees; coordinates beyond share the outermost cells
 
 CELL, LEVEL = "_cell", "_level"
 BOX = ("_min_lat", "_min_lon", "_max_lat", "_max_lon")
+
+# A cell's polygon test: INSIDE needs none, FEW has its edges in flat columns that
+# compile to straight code, MANY keeps them in arrays.
+INSIDE, FEW, MANY = 0, 1, 2
+FLAT_EDGES = 4
+_FLAT = [f"_{axis}_{i}" for i in range(FLAT_EDGES) for axis in ("x1", "y1", "x2", "y2")]
 _EDGE = "struct<x1: double, y1: double, x2: double, y2: double>"
-PIECES_TYPE = f"array<struct<odd: boolean, edges: array<{_EDGE}>>>"
+_PIECES = f"array<struct<odd: boolean, edges: array<{_EDGE}>>>"
 _ON_EDGE = 1 << 32
 
 
@@ -39,31 +46,24 @@ def cell_size(level: int) -> float:
     return COARSEST_DEG / 4.0**level
 
 
-def _size_column(level: Column) -> Column:
-    return F.lit(COARSEST_DEG) / F.pow(F.lit(4.0), level)
-
-
-def _index(value: Column, size: Column | float) -> Column:
-    bounded = F.greatest(F.least(value, F.lit(_LIMIT)), F.lit(-_LIMIT))
-    return F.floor(bounded / size).cast("bigint")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def pack(level: Column, cx: Column, cy: Column) -> Column:
-    """One BIGINT key per cell, so joins hash a single long."""
-    half = 1 << (_BITS - 1)
-    return F.shiftleft(level.cast("bigint"), 2 * _BITS) + F.shiftleft(cy + half, _BITS) + cx + half
+def _index(value: str, size: str) -> str:
+    return f"CAST(floor(greatest(least({value}, {_LIMIT}D), -{_LIMIT}D) / {size}) AS BIGINT)"
 
 
-def point_cell(*, lat: Column, lon: Column, level: int) -> Column:
-    size = cell_size(level)
-    return pack(F.lit(level), _index(lon, size), _index(lat, size))
+def _key(level: str, cx: str, cy: str) -> str:
+    """One BIGINT per cell, so joins hash a single long."""
+    return (f"shiftleft(CAST({level} AS BIGINT), {2 * _BITS}) + "
+            f"shiftleft({cy} + {_HALF}L, {_BITS}) + {cx} + {_HALF}L")
 
 
-def level_for(extent: Column, cells_across: int) -> Column:
-    """Finest level at which ``extent`` degrees span at most ``cells_across`` cells."""
-    ratio = F.lit(COARSEST_DEG * cells_across) / F.greatest(extent, F.lit(1e-12))
-    level = F.floor(F.log2(ratio) / 2.0)
-    return F.greatest(F.lit(0), F.least(F.lit(FINEST_LEVEL), level)).cast("int")
+def point_cell(*, lat: str, lon: str, level: int) -> Column:
+    """Cell key of a point; ``lat`` and ``lon`` are SQL expressions."""
+    size = f"{cell_size(level)!r}D"
+    return F.expr(_key(str(level), _index(lon, size), _index(lat, size)))
 
 
 @dataclass(frozen=True)
@@ -77,31 +77,36 @@ class Cover:
 
 
 def _with_ranges(df: DataFrame, cells_across: int) -> DataFrame:
-    min_lat, min_lon, max_lat, max_lon = (F.col(c) for c in BOX)
-    extent = F.greatest(max_lat - min_lat, max_lon - min_lon)
-    size = _size_column(F.col(LEVEL))
+    """Adds the finest level with at most ``cells_across`` cells per side, and cell ranges."""
+    extent = "greatest(_max_lat - _min_lat, _max_lon - _min_lon, 1e-12D)"
+    level = (f"CAST(greatest(0L, least({FINEST_LEVEL}L, "
+             f"floor(log2({COARSEST_DEG * cells_across}D / {extent}) / 2D))) AS INT)")
+    size = f"({COARSEST_DEG}D / pow(4D, CAST({LEVEL} AS DOUBLE)))"
     return (
-        df.withColumn(LEVEL, level_for(extent, cells_across))
-        .withColumn("_x0", _index(min_lon, size)).withColumn("_x1", _index(max_lon, size))
-        .withColumn("_y0", _index(min_lat, size)).withColumn("_y1", _index(max_lat, size))
+        df.withColumn(LEVEL, F.expr(level)).withColumn("_size", F.expr(size))
+        .withColumns({name: F.expr(_index(side, "_size")) for name, side in (
+            ("_x0", "_min_lon"), ("_x1", "_max_lon"), ("_y0", "_min_lat"), ("_y1", "_max_lat"))})
     )
 
 
-def _summary(ranged: DataFrame, row_bytes: Column):
-    """Levels in use, an upper bound of the cover's bytes, and the overall box.
+_CELLS = "((_x1 - _x0 + 1) * (_y1 - _y0 + 1))"
+
+
+def _summary(ranged: DataFrame, row_bytes: str):
+    """Levels in use, an upper bound of the cover's bytes, cells, and the overall box.
 
     One small aggregation over the regions (not the points): at most one row per level.
     """
-    cells = (F.col("_x1") - F.col("_x0") + 1) * (F.col("_y1") - F.col("_y0") + 1)
     rows = ranged.groupBy(LEVEL).agg(
-        F.sum(cells * row_bytes).alias("bytes"),
+        F.expr(f"sum({_CELLS} * ({row_bytes}))"), F.expr(f"sum({_CELLS})"),
         F.min(BOX[0]), F.min(BOX[1]), F.max(BOX[2]), F.max(BOX[3]),
     ).collect()
     if not rows:
-        return (), 0, None
-    box = (min(r[2] for r in rows), min(r[3] for r in rows),
-           max(r[4] for r in rows), max(r[5] for r in rows))
-    return tuple(sorted(r[LEVEL] for r in rows)), sum(int(r["bytes"]) for r in rows), box
+        return (), 0, 0, None
+    box = (min(r[3] for r in rows), min(r[4] for r in rows),
+           max(r[5] for r in rows), max(r[6] for r in rows))
+    return (tuple(sorted(r[0] for r in rows)), int(sum(r[1] for r in rows)),
+            int(sum(r[2] for r in rows)), box)
 
 
 # -- circles ---------------------------------------------------------------------------
@@ -114,21 +119,18 @@ def circle_cover(df: DataFrame, *, lat: str, lon: str, radius_m: Column, keep: l
     never overlap, so a point meets a circle at most once.
     """
     lo, hi, half = circle_span_columns(lat=F.col(lat), radius_m=F.col("_radius_m"))
-    west, east = F.col("_lon") - F.col("_half"), F.col("_lon") + F.col("_half")
-
-    def span(a, b):
-        return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
-
-    spans = (
-        F.when(F.col("_half") >= 180.0, F.array(span(F.lit(-180.0), F.lit(180.0))))
-        .when(west < -180.0, F.array(span(west + 360.0, F.lit(180.0)), span(F.lit(-180.0), east)))
-        .when(east > 180.0, F.array(span(west, F.lit(180.0)), span(F.lit(-180.0), east - 360.0)))
-        .otherwise(F.array(span(west, east)))
-    )
+    spans = F.expr(
+        "CASE WHEN _half >= 180 THEN array(struct(-180D AS a, 180D AS b)) "
+        "WHEN _lon - _half < -180 THEN array(struct(_lon - _half + 360D AS a, 180D AS b), "
+        "struct(-180D AS a, _lon + _half AS b)) "
+        "WHEN _lon + _half > 180 THEN array(struct(_lon - _half AS a, 180D AS b), "
+        "struct(-180D AS a, _lon + _half - 360D AS b)) "
+        "ELSE array(struct(_lon - _half AS a, _lon + _half AS b)) END")
     boxes = (
         df.withColumn("_radius_m", radius_m.cast("double"))
         .filter(F.col(lat).between(-90.0, 90.0) & (F.col("_radius_m") >= 0)
                 & F.abs(F.col(lon)).between(0.0, 1e6))
+        .withColumn("_bytes", row_width(df, keep) + 96)
         .withColumn("_lon", fold_longitude(F.col(lon)))
         .withColumn("_half", half)
         .withColumn(BOX[0], lo).withColumn(BOX[2], hi)
@@ -136,103 +138,124 @@ def circle_cover(df: DataFrame, *, lat: str, lon: str, radius_m: Column, keep: l
         .withColumn(BOX[1], F.col("_span.a")).withColumn(BOX[3], F.col("_span.b"))
     )
     names = [*keep, "_radius_m"]
-    ranged = _with_ranges(boxes, 4).select(*names, *BOX, LEVEL, "_x0", "_x1", "_y0", "_y1")
-    levels, size, box = _summary(ranged, row_width(df, keep) + 96)
+    ranged = _with_ranges(boxes, 4)
+    levels, size, _, box = _summary(ranged, "_bytes")
     cells = (
         ranged.withColumn("_cx", F.explode(F.sequence("_x0", "_x1")))
         .withColumn("_cy", F.explode(F.sequence("_y0", "_y1")))
-        .select(*names, *BOX, pack(F.col(LEVEL), F.col("_cx"), F.col("_cy")).alias(CELL))
+        .select(*names, *BOX, F.expr(_key(LEVEL, "_cx", "_cy")).alias(CELL))
     )
     return Cover(cells, levels, size, box)
 
 
 # -- polygons --------------------------------------------------------------------------
 
+_FINE, _COARSE = 32, 8  # most cells per side of a zone
+
 
-def polygon_cover(df: DataFrame, *, parts: str, keep: list[str]) -> Cover:
-    """Cells touched by each polygon, each with only the edges that matter there."""
-    box = bounds_of(F.col(parts))
-    ranged = _with_ranges(
-        df.select(*keep, F.col(parts).alias("_parts"), box.alias("_b"))
+def polygon_cover(df: DataFrame, *, parts: str, keep: list[str],
+                  limit: int = BROADCAST_LIMIT_BYTES) -> Cover:
+    """Cells touched by each polygon, each with only the edges that matter there.
+
+    Small tables of zones get fine cells, most of which lie wholly inside a zone and
+    need no edge test; large tables get about a sixteenth as many.
+    """
+    boxed = (
+        df.select(*keep, F.col(parts).alias("_parts"), bounds_of(F.col(parts)).alias("_b"),
+                  row_width(df, keep).alias("_wide"))
         .filter(F.col("_b.min_lat").isNotNull())
-        .select(*keep, "_parts", *[F.col(f"_b.{c[1:]}").alias(c) for c in BOX]),
-        8,
+        .select(*keep, "_parts", "_wide", *[F.col(f"_b.{c[1:]}").alias(c) for c in BOX])
     )
-    levels, size, overall = _summary(
-        ranged.withColumn("_edge_bytes", _edge_bytes()), row_width(df, keep) + 160
-        + F.col("_edge_bytes"))
+    for across in (_FINE, _COARSE):
+        ranged = _with_ranges(boxed, across)
+        levels, size, cells, overall = _summary(ranged, f"_wide + 320 + {_EDGE_BYTES}")
+        if size <= limit // 4:
+            break
     schema = T.StructType([df.schema[c] for c in keep])
-    for name in BOX:
+    for name in (*BOX, *_FLAT):
         schema = schema.add(name, "double")
-    schema = schema.add(CELL, "long").add("_pieces", T._parse_datatype_string(PIECES_TYPE))
+    schema = (schema.add(CELL, "long").add("_kind", "integer").add("_odd", "boolean")
+              .add("_pieces", T._parse_datatype_string(_PIECES)))
     inputs = ranged.select(*keep, *BOX, LEVEL, "_x0", "_x1", "_y0", "_y1", "_parts")
+    tasks = math.ceil(cells / 2000)
+    if tasks > 1:  # a zone file is often one split; cutting polygons is worth spreading
+        tasks = min(tasks, 4 * df.sparkSession.sparkContext.defaultParallelism)
+        inputs = inputs.repartition(tasks, *BOX)
     return Cover(inputs.mapInArrow(_cover_batches(len(keep)), schema), levels, size, overall)
 
 
-def _edge_bytes() -> Column:
+def _edge_bytes() -> str:
     """Bound on edge bytes per cell, averaged over a zone's cells.
 
     An edge is kept in the cells its own box meets, and brings at most two pieces of
     far-edge parity with it.
     """
-    size = _size_column(F.col(LEVEL))
-
-    def cells(a, b):
-        return ((F.abs(_index(b["lon"], size) - _index(a["lon"], size)) + 1)
-                * (F.abs(_index(b["lat"], size) - _index(a["lat"], size)) + 1))
-
-    def ring_cells(ring):
-        shifted = F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))),
-                           F.slice(ring, 1, 1))
-        return F.aggregate(F.arrays_zip(ring.alias("a"), shifted.alias("b")),
-                           F.lit(0).cast("bigint"),
-                           lambda n, e: n + cells(e["a"], e["b"]))
-
-    total = F.aggregate(F.flatten(F.col("_parts")), F.lit(0).cast("bigint"),
-                        lambda n, ring: n + ring_cells(ring))
-    count = (F.col("_x1") - F.col("_x0") + 1) * (F.col("_y1") - F.col("_y0") + 1)
-    return total * 3 * 56 / count + 48 * F.size(F.flatten(F.col("_parts")))
+    side = "(abs({a} - {b}) + 1)"
+    lon, lat = (side.format(a=_index(f"b.{c}", "_size"), b=_index(f"a.{c}", "_size"))
+                for c in ("lon", "lat"))
+    ring = ("aggregate(zip_with(r, concat(slice(r, 2, greatest(size(r), 1)), slice(r, 1, 1)), "
+            f"(a, b) -> {lon} * {lat}), 0L, (n, e) -> n + e)")
+    total = f"aggregate(flatten(_parts), 0L, (n, r) -> n + {ring})"
+    return f"({total} * 168 / {_CELLS} + 48 * size(flatten(_parts)))"
 
 
+_EDGE_BYTES = _edge_bytes()
 _FLUSH_CELLS = 20_000
 
 
 def _cover_batches(n_keep: int):
-    """Arrow batches of zones in, Arrow batches of (zone columns, cell, pieces) out."""
+    """Arrow batches of zones in; (zone columns, box, flat edges, cell, test) rows out."""
     edge = pa.struct([(n, pa.float64()) for n in ("x1", "y1", "x2", "y2")])
-    kind = pa.list_(pa.struct([("odd", pa.bool_()), ("edges", pa.list_(edge))]))
-    half = 1 << (_BITS - 1)
+    pieces_type = pa.list_(pa.struct([("odd", pa.bool_()), ("edges", pa.list_(edge))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns
-            names = batch.schema.names[:n_keep + 4] + [CELL, "_pieces"]
+            names = [*batch.schema.names[:n_keep + 4], *_FLAT, CELL, "_kind", "_odd", "_pieces"]
             level, *window = (columns[n_keep + 4 + i].to_numpy(zero_copy_only=False)
                               for i in range(5))
             rows, polys, rings, lon, lat = arrow.open_parts(columns[n_keep + 9])
 
-            def flush(source, keys, pieces):
+            def flush(source, keys, tests):
                 take = pa.array(source, pa.int32())
-                kept = [c.take(take) for c in columns[:n_keep + 4]]
+                kinds = [t[0] for t in tests]
+                flat = np.full((len(tests), 4 * FLAT_EDGES), np.nan)
+                many = []
+                for i, (kind, pieces) in enumerate(tests):
+                    if kind == FEW:
+                        cut = pieces[0][1].ravel()
+                        flat[i, :cut.size] = cut
+                    many.append([] if kind != MANY else [
+                        {"odd": odd, "edges": [dict(zip(("x1", "y1", "x2", "y2"), e))
+                                               for e in edges.tolist()]} for odd, edges in pieces])
                 return pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(keys, pa.int64()), pa.array(pieces, kind)], names)
+                    [*(c.take(take) for c in columns[:n_keep + 4]),
+                     *(pa.array(flat[:, j]) for j in range(flat.shape[1])),
+                     pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()),
+                     pa.array([t[0] == FEW and t[1][0][0] for t in tests], pa.bool_()),
+                     pa.array(many, pieces_type)], names)
 
-            source, keys, pieces = [], [], []
+            source, keys, tests = [], [], []
             for r in range(batch.num_rows):
+                size, span = cell_size(int(level[r])), tuple(int(w[r]) for w in window)
                 cells: dict[tuple[int, int], list] = {}
                 for p in range(rows[r], rows[r + 1]):
                     edges = _edges(lon, lat, rings[polys[p]:polys[p + 1] + 1])
-                    span = tuple(int(w[r]) for w in window)
-                    for cell, piece in _clip(edges, cell_size(int(level[r])), span):
+                    for cell, piece in _clip(edges, size, span):
                         cells.setdefault(cell, []).append(piece)
-                for (cx, cy), found in cells.items():
+                for (cx, cy), pieces in cells.items():
                     source.append(r)
-                    keys.append((int(level[r]) << 2 * _BITS) + ((cy + half) << _BITS) + cx + half)
-                    pieces.append(found)
+                    keys.append((int(level[r]) << 2 * _BITS) + ((cy + _HALF) << _BITS) + cx + _HALF)
+                    if any(len(edges) == 0 for _, edges in pieces):
+                        tests.append((INSIDE, pieces))
+                    elif len(pieces) == 1 and len(pieces[0][1]) <= FLAT_EDGES:
+                        tests.append((FEW, pieces))
+                    else:
+                        tests.append((MANY, pieces))
                 if len(keys) >= _FLUSH_CELLS:
-                    yield flush(source, keys, pieces)
-                    source, keys, pieces = [], [], []
-            yield flush(source, keys, pieces)
+                    yield flush(source, keys, tests)
+                    source, keys, tests = [], [], []
+            yield flush(source, keys, tests)
 
     return run
 
@@ -243,68 +266,89 @@ def _edges(lon, lat, bounds):
     stop = np.concatenate([np.append(np.arange(a + 1, b), a)[:b - a]
                            for a, b in zip(bounds[:-1], bounds[1:])] or [[]])
     start, stop = start.astype(np.int64), stop.astype(np.int64)
-    return lon[start], lat[start], lon[stop], lat[stop]
+    edges = np.column_stack([lon[start], lat[start], lon[stop], lat[stop]])
+    # a repeated vertex can still be hit, but only together with its neighbours
+    return edges[(edges[:, 0] != edges[:, 2]) | (edges[:, 1] != edges[:, 3])]
 
 
 def _clip(edges, size, window):
-    """Yield ``((cx, cy), piece)`` for each cell a polygon touches.
+    """Yield ``((cx, cy), (odd, edges))`` for each cell a polygon touches.
 
     Points of a cell are tested by counting the edges that a ray towards greater
-    longitude crosses. Edges left of the cell never count. Edges right of it count by
-    latitude only, so together they reduce to a starting parity and the latitudes
-    where it flips, kept as upright segments on the cell's right side.
+    longitude crosses. Edges passing left of the whole cell never count. Edges passing
+    right of it count by latitude only, so together they reduce to a starting parity
+    and the latitudes where it flips, kept as upright segments on the cell's right side.
     """
-    x1, y1, x2, y2 = edges
-    if x1.size == 0:
+    if len(edges) == 0:
         return
-    west, east = np.minimum(x1, x2), np.maximum(x1, x2)
-    south, north = np.minimum(y1, y2), np.maximum(y1, y2)
-    wx0, wx1, wy0, wy1 = window
-    cols = range(max(wx0, math.floor(west.min() / size)),
-                 min(wx1, math.floor(east.max() / size)) + 1)
-    for cy in range(max(wy0, math.floor(south.min() / size)),
-                    min(wy1, math.floor(north.max() / size)) + 1):
+    west, east = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
+    south, north = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    x0, x1, y0, y1 = window
+    cols = range(max(x0, math.floor(west.min() / size)),
+                 min(x1, math.floor(east.max() / size)) + 1)
+    for cy in range(max(y0, math.floor(south.min() / size)),
+                    min(y1, math.floor(north.max() / size)) + 1):
         low, high = cy * size, (cy + 1) * size
-        band = np.flatnonzero((north >= low) & (south < high))
-        bw, be = west[band], east[band]
-        by1, by2 = y1[band], y2[band]
+        band = edges[(north >= low) & (south < high)]
+        bw, be = np.minimum(band[:, 0], band[:, 2]), np.maximum(band[:, 0], band[:, 2])
         for cx in cols:
             left, right = cx * size, (cx + 1) * size
             far = bw >= right
-            near = band[~far & (be >= left)]
-            fy1, fy2 = by1[far], by2[far]
-            odd = bool(np.count_nonzero((fy1 > low) != (fy2 > low)) & 1)
-            ends = np.concatenate([fy1, fy2])
+            near = np.flatnonzero(~far & (be >= left))
+            if near.size:
+                passes = _side_of_cell(band[near], left, low, right, high)
+                far[near[passes > 0]] = True
+                near = near[passes == 0]
+            near, away = band[near], band[far]
+            odd = bool(np.count_nonzero((away[:, 1] > low) != (away[:, 3] > low)) & 1)
+            ends = away[:, [1, 3]].ravel()
             ends, times = np.unique(ends[(ends > low) & (ends < high)], return_counts=True)
             flips = ends[times % 2 == 1].tolist()
             if len(flips) % 2:
                 flips.append(high)
-            found = [{"x1": x1[i], "y1": y1[i], "x2": x2[i], "y2": y2[i]} for i in near]
-            found += [{"x1": right, "y1": a, "x2": right, "y2": b}
-                      for a, b in zip(flips[::2], flips[1::2])]
-            if found or odd:
-                yield (cx, cy), {"odd": odd, "edges": found}
-
+            if flips:
+                upright = [(right, a, right, b) for a, b in zip(flips[::2], flips[1::2])]
+                near = np.vstack([near, np.array(upright)])
+            if len(near) or odd:
+                yield (cx, cy), (odd, near)
 
-def edge_code(edges: Column, *, lat: Column, lon: Column) -> Column:
-    """Crossings of the ray towards greater longitude, plus a large value per edge hit."""
 
-    def add(acc, e):
-        side = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (lon - e["x1"]) * (e["y2"] - e["y1"])
-        on = ((side == 0.0)
-              & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-              & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
-        crosses = ((e["y1"] > lat) != (e["y2"] > lat)) & ((side > 0.0) == (e["y2"] > e["y1"]))
-        return acc + F.when(on, F.lit(_ON_EDGE)).when(crosses, F.lit(1)).otherwise(F.lit(0))
+def _side_of_cell(edges, left, low, right, high):
+    """1 for edges whose line passes right of the whole cell, -1 left of it, else 0.
 
-    return F.aggregate(edges, F.lit(0).cast("bigint"), add)
+    The margin leaves edges that come within rounding of the cell as touching it.
+    """
+    x, y = np.array([left, right, left, right]), np.array([low, low, high, high])
+    dx, dy = edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]
+    a, b = dx[:, None] * (y - edges[:, 1:2]), dy[:, None] * (x - edges[:, 0:1])
+    side, margin = a - b, 1e-12 * (np.abs(a) + np.abs(b)).max(axis=1)
+    one_way = np.where(side.min(axis=1) > margin, 1, np.where(side.max(axis=1) < -margin, -1, 0))
+    # an edge along a latitude is never crossed, whichever side it passes
+    return np.where(dy == 0, np.where(one_way != 0, -1, 0), one_way * np.sign(dy)).astype(int)
 
 
-def in_pieces(pieces: Column, *, lat: Column, lon: Column) -> Column:
-    """True when the point is strictly inside any of a cell's polygon pieces."""
+def inside_test(*, lat: str, lon: str) -> Column:
+    """True when the point is strictly inside, from a polygon cover's columns.
 
-    def inside(piece):
-        code = edge_code(piece["edges"], lat=lat, lon=lon)
-        return (code < _ON_EDGE) & ((code + piece["odd"].cast("bigint")) % 2 == 1)
+    ``lat`` and ``lon`` are SQL expressions. An edge is hit when the point lies on it;
+    unused flat edges are NaN and neither hit nor crossed.
+    """
 
-    return F.exists(pieces, inside)
+    def edge(x1, y1, x2, y2):
+        side = f"(({x2} - {x1}) * ({lat} - {y1}) - ({lon} - {x1}) * ({y2} - {y1}))"
+        hit = (f"({side} = 0D AND {lon} BETWEEN least({x1}, {x2}) AND greatest({x1}, {x2}) "
+               f"AND {lat} BETWEEN least({y1}, {y2}) AND greatest({y1}, {y2}))")
+        crossed = f"((({y1} > {lat}) != ({y2} > {lat})) AND (({side} > 0D) = ({y2} > {y1})))"
+        return hit, crossed
+
+    flat = [edge(*_FLAT[4 * i:4 * i + 4]) for i in range(FLAT_EDGES)]
+    few = (f"NOT ({' OR '.join(h for h, _ in flat)}) AND "
+           f"({' != '.join(['_odd', *(c for _, c in flat)])})")
+    hit, crossed = edge("e.x1", "e.y1", "e.x2", "e.y2")
+    code = (f"aggregate(p.edges, CAST(p.odd AS BIGINT), (n, e) -> n + CASE WHEN {hit} THEN "
+            f"{_ON_EDGE}L WHEN {crossed} THEN 1L ELSE 0L END)")
+    # the running count is odd inside, and no hit has been added
+    many = (f"exists(transform(_pieces, p -> {code}), "
+            f"n -> n < {_ON_EDGE}L AND n % 2 = 1)")
+    return F.expr(f"CASE WHEN _kind = {INSIDE} THEN true WHEN _kind = {FEW} THEN {few} "
+                  f"ELSE {many} END")
