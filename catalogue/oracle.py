@@ -169,7 +169,41 @@ _ZONE_VERTEX_SUMS = (f"SELECT n_nationkey AS zone_id, n_regionkey, s FROM nation
                      f"zone_id, sum(x1 + y1) AS s FROM ({ZONE_EDGES}) GROUP BY zone_id) "
                      "ON zone_id = n_nationkey")
 
+_LINES = (
+    "SELECT c_custkey AS k, CAST(i AS INTEGER) AS i, longitude + 0.01::DOUBLE * i AS x, latitude + "
+    "CAST((CAST(c_custkey AS BIGINT) * 7919 + i * i * 104729) % 99991 AS DOUBLE) / 1000000 AS y "
+    f"FROM ({CUSTOMER_POINTS}), range(40) AS r(i)")
+
+# split runs at their farthest vertex while it lies beyond the tolerance; run ends are kept
+_BY_DISTANCE = (
+    f"WITH RECURSIVE p AS MATERIALIZED ({_LINES}), run AS (SELECT DISTINCT k, 0 AS a, 39 AS b "
+    "FROM p UNION ALL SELECT k, unnest([a, m]) AS a, unnest([m, b]) AS b FROM (SELECT k, a, b, "
+    "arg_max(i, gap) AS m FROM (SELECT k, a, b, i, sqrt(pow(x - (ax + t * dx), 2) + "
+    "pow(y - (ay + t * dy), 2)) AS gap FROM (SELECT run.k, run.a, run.b, p.i, p.x, p.y, "
+    "s.x AS ax, s.y AS ay, e.x - s.x AS dx, e.y - s.y AS dy, least(1, greatest(0, "
+    "((p.x - s.x) * (e.x - s.x) + (p.y - s.y) * (e.y - s.y)) / (pow(e.x - s.x, 2) + "
+    "pow(e.y - s.y, 2)))) AS t FROM run JOIN p ON p.k = run.k AND p.i > run.a AND p.i < run.b "
+    "JOIN p s ON s.k = run.k AND s.i = run.a JOIN p e ON e.k = run.k AND e.i = run.b)) "
+    "GROUP BY k, a, b HAVING max(gap) > 0.02)) "
+    "SELECT k AS c_custkey, CAST(count(*) AS INTEGER) AS vertices, round(sum(x + y), 6) AS checksum "
+    "FROM p JOIN (SELECT k, a AS i FROM run UNION SELECT k, b FROM run) USING (k, i) GROUP BY k")
+
+# drop the vertex with the smallest triangle while that is at most the threshold
+_TRIANGLES = (
+    "[abs((xs[t + 1] - xs[t]) * (ys[t + 2] - ys[t]) - (xs[t + 2] - xs[t]) * (ys[t + 1] - ys[t])) "
+    "/ 2 FOR t IN range(1, len(xs) - 1)]")
+_BY_AREA = (
+    f"WITH RECURSIVE st AS (SELECT k, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys FROM "
+    f"({_LINES}) GROUP BY k UNION ALL SELECT k, xs[:m] || xs[m + 2:], ys[:m] || ys[m + 2:] FROM ("
+    "SELECT *, list_position(areas, list_min(areas)) AS m FROM (SELECT *, "
+    f"{_TRIANGLES} AS areas FROM st WHERE len(xs) > 2)) WHERE list_min(areas) <= 0.0003) "
+    "SELECT k AS c_custkey, CAST(len(xs) AS INTEGER) AS vertices, "
+    "round(list_sum(xs) + list_sum(ys), 6) AS checksum FROM st "
+    "QUALIFY len(xs) = min(len(xs)) OVER (PARTITION BY k)")
+
 ORACLE = {
+    "simplify_by_distance": _BY_DISTANCE,
+    "simplify_by_area": _BY_AREA,
     "bbox": f"SELECT event_id, latitude, longitude, event_type FROM ({EVENT_POINTS}) "
             "WHERE latitude BETWEEN 35 AND 36 AND longitude BETWEEN -84 AND -82.5",
     "bbox_across_180": f"SELECT event_id, longitude FROM ({_MOVED}) WHERE latitude BETWEEN 35 AND "

@@ -292,29 +292,30 @@ def buffer_units(spark, sf_dir):
     return out
 
 
-def _tracks(spark, sf_dir):
-    """One line per user, in time order."""
-    order = F.struct("ts", "event_id", F.struct(F.col("longitude").alias("lon"),
-                                                F.col("latitude").alias("lat")).alias("v"))
-    lines = event_points(spark, sf_dir).groupBy("user_id").agg(
-        F.array_sort(F.collect_list(order)).alias("o"))
-    return lines.select("user_id", geometry("LineString", F.array(F.array(
-        F.transform("o", lambda e: e["v"])))).alias("geometry"))
+def _customer_lines(spark, sf_dir):
+    """One jagged line of forty vertices per customer."""
+    k, lon, lat = F.col("c_custkey").cast("bigint"), F.col("longitude"), F.col("latitude")
+    line = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint")), lambda i: F.struct(
+        (lon + F.lit(0.01) * i).alias("lon"),
+        (lat + ((k * 7919 + i * i * 104729) % 99991).cast("double") / 1000000.0).alias("lat")))
+    return customer_points(spark, sf_dir).select(
+        "c_custkey", geometry("LineString", F.array(F.array(line))).alias("geometry"))
 
 
 def _line_report(df):
     line = F.col("geometry.parts")[0][0]
-    return df.select("user_id", F.size(line).alias("vertices"),
+    return df.select("c_custkey", F.size(line).alias("vertices"),
                      F.round(F.aggregate(line, F.lit(0.0), lambda a, v: a + v["lon"] + v["lat"]),
                              6).alias("checksum"))
 
 
 def simplify_by_distance(spark, sf_dir):
-    return _line_report(gc.simplify(_tracks(spark, sf_dir), tolerance=0.5, method="dp"))
+    return _line_report(gc.simplify(_customer_lines(spark, sf_dir), tolerance=0.02, method="dp"))
 
 
 def simplify_by_area(spark, sf_dir):
-    return _line_report(gc.simplify(_tracks(spark, sf_dir), tolerance=0.5, method="vw"))
+    return _line_report(gc.simplify(_customer_lines(spark, sf_dir), tolerance=0.0003,
+                                    method="vw"))
 
 
 def simplify_zones(spark, sf_dir):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import check_columns
 from ..functions.sphere import EARTH_RADIUS_M, fold_longitude
-from ..plans.session import BROADCAST_LIMIT_BYTES, materialize
+from ..plans.session import BROADCAST_LIMIT_BYTES, join_side, materialize
 from .joins import DISTANCE_KM, radius_join
 
 _TOP_DEG = 8.0  # divides 360, so columns wrap at the 180 degree meridian
@@ -111,12 +111,14 @@ def _coarse_bound(counts: list[tuple[int, int, int]], k: int) -> Column:
 
 
 def _thin(points: DataFrame, fine: DataFrame, *, lat: str, lon: str, tie: list[str], k: int,
-          crowd: int) -> DataFrame:
+          crowd: int, limit: int) -> DataFrame:
     """In crowded cells keep only the k smallest tie keys of each exact coordinate."""
     crowded = fine.filter(F.col("n") > crowd).select(
         F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
-    if crowded.isEmpty():
+    cells = crowded.count()
+    if not cells:
         return points
+    crowded = join_side(crowded, 64 * cells, limit)
     cx, cy = _grid(F.col(lat), F.col(lon), _TOP_DEG / 2**_DEPTH)
     keyed = points.filter(_usable(lat, lon)).withColumn("_kx", cx).withColumn("_ky", cy)
     same = (F.col("_kx") == F.col("_cx")) & (F.col("_ky") == F.col("_cy"))
@@ -171,7 +173,8 @@ def knn_join(
             queries.select(F.col(query_id).alias("_qid"), *extra), "_qid")
     crowd = max(1000, 64 * k) if crowd is None else crowd
     near = radius_join(
-        _thin(points, fine, lat=lat, lon=lon, tie=tie, k=k, crowd=crowd),
+        _thin(points, fine, lat=lat, lon=lon, tie=tie, k=k, crowd=crowd,
+              limit=broadcast_limit),
         circles, lat=lat, lon=lon, centre_lat="_qlat", centre_lon="_qlon",
         radius_m="_near_m", centre_id="_qid", keep=keep, broadcast_limit=broadcast_limit,
     )

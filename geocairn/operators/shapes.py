@@ -15,6 +15,8 @@ from ..functions.checks import METRES_PER_UNIT, check_columns
 from ..functions.geometry import (
     RING_TYPE, bounds_of, box_parts, centroid_of, geometry,
 )
+from ..plans.cells import quoted
+from ..plans.session import join_side
 
 # Partial hulls of one group are merged in this many pieces before the last step.
 MERGE_FANOUT = 64
@@ -116,28 +118,100 @@ def geodesic_distance(df: DataFrame, *, from_lat: str, from_lon: str, to_lat: st
     return df.withColumn("_g", pair).select(*df.columns, *measures.distance_fields(F.col("_g")))
 
 
+_MOST_SLICES = 4096
+_BLOCK = 64
+
+
+def _same_keys(keys: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+
+
+def _slices(points: DataFrame, keys: list[str], first: str, long_track: int):
+    """Points with ``_slice``, and whether any track has more than one.
+
+    A long track is cut at quantiles of ``first`` into stretches of about ``long_track``
+    rows, so a track holding much of the table becomes many window groups. The slice
+    depends on values only, never on task placement.
+    """
+    whole = points.withColumn("_slice", F.lit(0))
+    kind = points.schema[first].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return whole, False
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    long = points.groupBy(*named).agg(F.count("*").alias("_rows")).filter(
+        F.col("_rows") > long_track)
+    tracks, rows = long.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).collect()[0]
+    if not tracks:
+        return whole, False
+    small = 64 * tracks + 8 * (rows // long_track + tracks)
+    part = F.least(F.ceil(F.col("_rows") / long_track), F.lit(_MOST_SLICES)).cast("int")
+    quantiles = [i / _MOST_SLICES for i in range(1, _MOST_SLICES)]
+    cuts = (
+        points.join(join_side(long, small), _same_keys(keys))
+        .groupBy(*[f"_k{i}" for i in range(len(keys))], part.alias("_parts"))
+        .agg(F.percentile_approx(first, quantiles, 4 * _MOST_SLICES).alias("_q"))
+        .withColumn("_cuts", F.expr(
+            f"transform(sequence(1, _parts - 1), j -> _q[CAST(j * {_MOST_SLICES}L / _parts AS INT)"
+            " - 1])"))
+        .withColumn("_coarse", F.expr(
+            f"filter(_cuts, (c, i) -> i % {_BLOCK} = 0)"))
+        .drop("_q", "_parts")
+    )
+    # two short searches instead of one along all cuts
+    x = quoted(first)
+    block = f"size(filter(_coarse, c -> c <= {x}))"
+    within = (f"size(filter(slice(_cuts, (_block - 1) * {_BLOCK} + 1, {_BLOCK}), c -> c <= {x}))")
+    placed = (
+        points.join(join_side(cuts, small), _same_keys(keys), "left")
+        .withColumn("_block", F.expr(f"CASE WHEN _cuts IS NULL THEN 0 ELSE {block} END"))
+        .withColumn("_slice", F.expr(
+            f"CASE WHEN _block = 0 THEN 0 ELSE (_block - 1) * {_BLOCK} + {within} END"))
+    )
+    return placed.select(*points.columns, "_slice"), True
+
+
 def track_steps(points: DataFrame, *, lat: str, lon: str, track: str | list[str],
-                order: str | list[str]) -> DataFrame:
+                order: str | list[str], long_track: int = 5_000_000) -> DataFrame:
     """Adds the distance and bearing from the previous point of each track (NULL for the first).
 
-    The window sorts and spills on the JVM side; no track is gathered in memory.
+    Tracks over ``long_track`` rows are sorted in slices of their first ``order`` column
+    (a number, date or time), each slice continuing from the last point of the one before.
     """
     lat, lon = check_columns(points, [lat, lon])
     keys = check_columns(points, [track] if isinstance(track, str) else track)
     by = check_columns(points, [order] if isinstance(order, str) else order)
-    w = Window.partitionBy(*keys).orderBy(*by)
-    back = points.withColumn("_plat", F.lag(lat).over(w)).withColumn("_plon", F.lag(lon).over(w))
-    pair = measures.geodesic_inverse(lon1=F.col("_plon"), lat1=F.col("_plat"),
+    rows, cut = _slices(points, keys, by[0], long_track)
+    here = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    w = Window.partitionBy(*keys, "_slice").orderBy(*by)
+    back = rows.withColumn("_back", F.lag(here).over(w))
+    if cut:
+        # the last point of each slice carries over to the first row of the next
+        before = Window.partitionBy(*keys).orderBy("_slice")
+        carry = (
+            rows.groupBy(*keys, "_slice").agg(F.max_by(here, F.struct(*by)).alias("_last"))
+            .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                    F.col("_slice").alias("_s"), F.lag("_last").over(before).alias("_carry"))
+            .filter(F.col("_carry").isNotNull())
+        )
+        first = F.row_number().over(w) == 1
+        back = (
+            back.withColumn("_first", first)
+            .join(carry, [*_same_keys(keys), F.col("_slice") == F.col("_s"), F.col("_first")],
+                  "left")
+            .withColumn("_back", F.coalesce("_back", "_carry"))
+        )
+    pair = measures.geodesic_inverse(lon1=F.col("_back.lon"), lat1=F.col("_back.lat"),
                                      lon2=F.col(lon), lat2=F.col(lat))
     return back.withColumn("_g", pair).select(*points.columns,
                                               *measures.distance_fields(F.col("_g")))
 
 
 def track_lengths(points: DataFrame, *, lat: str, lon: str, track: str | list[str],
-                  order: str | list[str]) -> DataFrame:
+                  order: str | list[str], long_track: int = 5_000_000) -> DataFrame:
     """Geodesic length and number of points of each track."""
     keys = [track] if isinstance(track, str) else track
-    steps = track_steps(points, lat=lat, lon=lon, track=track, order=order)
+    steps = track_steps(points, lat=lat, lon=lon, track=track, order=order,
+                        long_track=long_track)
     return steps.groupBy(*check_columns(points, keys)).agg(
         F.count("*").alias("point_count"),
         F.coalesce(F.sum("distance_m"), F.lit(0.0)).alias("length_m"))

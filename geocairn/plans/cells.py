@@ -76,11 +76,12 @@ class Cover:
     box: tuple[float, float, float, float] | None
 
 
-def _with_ranges(df: DataFrame, cells_across: int) -> DataFrame:
+def _with_ranges(df: DataFrame, cells_across: Column) -> DataFrame:
     """Adds the finest level with at most ``cells_across`` cells per side, and cell ranges."""
     extent = "greatest(_max_lat - _min_lat, _max_lon - _min_lon, 1e-12D)"
     level = (f"CAST(greatest(0L, least({FINEST_LEVEL}L, "
-             f"floor(log2({COARSEST_DEG * cells_across}D / {extent}) / 2D))) AS INT)")
+             f"floor(log2({COARSEST_DEG}D * _across / {extent}) / 2D))) AS INT)")
+    df = df.withColumn("_across", cells_across)
     size = f"({COARSEST_DEG}D / pow(4D, CAST({LEVEL} AS DOUBLE)))"
     return (
         df.withColumn(LEVEL, F.expr(level)).withColumn("_size", F.expr(size))
@@ -89,24 +90,38 @@ def _with_ranges(df: DataFrame, cells_across: int) -> DataFrame:
     )
 
 
+# Most cells per side of a region: circles, and zones where few or many.
+_CIRCLE, _FINE, _COARSE = 4, 32, 8
 _CELLS = "((_x1 - _x0 + 1) * (_y1 - _y0 + 1))"
 
 
-def _summary(ranged: DataFrame, row_bytes: str):
-    """Levels in use, an upper bound of the cover's bytes, cells, and the overall box.
+@dataclass(frozen=True)
+class _Summary:
+    levels: tuple[int, ...] = ()
+    bytes_bound: int = 0
+    cells: int = 0
+    box: tuple[float, float, float, float] | None = None
+
 
-    One small aggregation over the regions (not the points): at most one row per level.
+def _summaries(ranged: DataFrame, row_bytes: str) -> dict[int, _Summary]:
+    """Per number of cells across: levels in use, bound on the cover's bytes, and overall box.
+
+    One aggregation over the regions (not the points), at most a row per level and choice.
     """
-    rows = ranged.groupBy(LEVEL).agg(
-        F.expr(f"sum({_CELLS} * ({row_bytes}))"), F.expr(f"sum({_CELLS})"),
-        F.min(BOX[0]), F.min(BOX[1]), F.max(BOX[2]), F.max(BOX[3]),
+    rows = ranged.groupBy("_across", LEVEL).agg(
+        F.expr(f"sum({_CELLS} * ({row_bytes}))").alias("bytes"),
+        F.expr(f"sum({_CELLS})").alias("cells"),
+        *[F.expr(f"{fn}({c})").alias(c) for fn, c in zip(("min", "min", "max", "max"), BOX)],
     ).collect()
-    if not rows:
-        return (), 0, 0, None
-    box = (min(r[3] for r in rows), min(r[4] for r in rows),
-           max(r[5] for r in rows), max(r[6] for r in rows))
-    return (tuple(sorted(r[0] for r in rows)), int(sum(r[1] for r in rows)),
-            int(sum(r[2] for r in rows)), box)
+    out = {}
+    for across in {r["_across"] for r in rows}:
+        mine = [r for r in rows if r["_across"] == across]
+        out[across] = _Summary(
+            tuple(sorted(r[LEVEL] for r in mine)), int(sum(r["bytes"] for r in mine)),
+            int(sum(r["cells"] for r in mine)),
+            (min(r[BOX[0]] for r in mine), min(r[BOX[1]] for r in mine),
+             max(r[BOX[2]] for r in mine), max(r[BOX[3]] for r in mine)))
+    return out
 
 
 # -- circles ---------------------------------------------------------------------------
@@ -138,20 +153,18 @@ def circle_cover(df: DataFrame, *, lat: str, lon: str, radius_m: Column, keep: l
         .withColumn(BOX[1], F.col("_span.a")).withColumn(BOX[3], F.col("_span.b"))
     )
     names = [*keep, "_radius_m"]
-    ranged = _with_ranges(boxes, 4)
-    levels, size, _, box = _summary(ranged, "_bytes")
+    ranged = _with_ranges(boxes, F.lit(_CIRCLE))
+    facts = _summaries(ranged, "_bytes").get(_CIRCLE, _Summary())
     cells = (
         ranged.withColumn("_cx", F.explode(F.sequence("_x0", "_x1")))
         .withColumn("_cy", F.explode(F.sequence("_y0", "_y1")))
         .select(*names, *BOX, F.expr(_key(LEVEL, "_cx", "_cy")).alias(CELL))
     )
-    return Cover(cells, levels, size, box)
+    return Cover(cells, facts.levels, facts.bytes_bound, facts.box)
 
 
 # -- polygons --------------------------------------------------------------------------
 
-_FINE, _COARSE = 32, 8  # most cells per side of a zone
-
 
 def polygon_cover(df: DataFrame, *, parts: str, keep: list[str],
                   limit: int = BROADCAST_LIMIT_BYTES) -> Cover:
@@ -166,22 +179,23 @@ def polygon_cover(df: DataFrame, *, parts: str, keep: list[str],
         .filter(F.col("_b.min_lat").isNotNull())
         .select(*keep, "_parts", "_wide", *[F.col(f"_b.{c[1:]}").alias(c) for c in BOX])
     )
-    for across in (_FINE, _COARSE):
-        ranged = _with_ranges(boxed, across)
-        levels, size, cells, overall = _summary(ranged, f"_wide + 320 + {_EDGE_BYTES}")
-        if size <= limit // 4:
-            break
+    choices = _with_ranges(boxed, F.explode(F.array(F.lit(_FINE), F.lit(_COARSE))))
+    facts = _summaries(choices, f"_wide + 320 + {_EDGE_BYTES}")
+    across = _FINE if _FINE in facts and facts[_FINE].bytes_bound <= limit // 4 else _COARSE
+    chosen = facts.get(across, _Summary())
+    ranged = _with_ranges(boxed, F.lit(across))
     schema = T.StructType([df.schema[c] for c in keep])
     for name in (*BOX, *_FLAT):
         schema = schema.add(name, "double")
     schema = (schema.add(CELL, "long").add("_kind", "integer").add("_odd", "boolean")
               .add("_pieces", T._parse_datatype_string(_PIECES)))
     inputs = ranged.select(*keep, *BOX, LEVEL, "_x0", "_x1", "_y0", "_y1", "_parts")
-    tasks = math.ceil(cells / 2000)
+    tasks = math.ceil(chosen.cells / 2000)
     if tasks > 1:  # a zone file is often one split; cutting polygons is worth spreading
         tasks = min(tasks, 4 * df.sparkSession.sparkContext.defaultParallelism)
         inputs = inputs.repartition(tasks, *BOX)
-    return Cover(inputs.mapInArrow(_cover_batches(len(keep)), schema), levels, size, overall)
+    cells = inputs.mapInArrow(_cover_batches(len(keep)), schema)
+    return Cover(cells, chosen.levels, chosen.bytes_bound, chosen.box)
 
 
 def _edge_bytes() -> str:

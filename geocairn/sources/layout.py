@@ -37,6 +37,6 @@ def write_layout(df: DataFrame, path: str, *, lat: str, lon: str, partitions: in
     keyed = df.withColumn("_z", z_order_key(lat=F.col(lat), lon=F.col(lon))).withColumn(
         "_task", F.spark_partition_id())
     cut = ["_z", lat, lon, "_task"]
-    ranged = keyed.repartitionByRange(partitions, *cut) if partitions else (
-        keyed.repartitionByRange(*cut))
+    # by default as many tasks as the input has splits, so that file sizes stay alike
+    ranged = keyed.repartitionByRange(partitions or max(1, df.rdd.getNumPartitions()), *cut)
     ranged.sortWithinPartitions("_z", lat, lon).drop("_z", "_task").write.mode(mode).parquet(path)

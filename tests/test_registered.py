@@ -22,8 +22,7 @@ def sql():
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"simplify_by_distance", "simplify_by_area"}
+    assert set(ORACLE) == set(QUERIES)
 
 
 def test_entry(spark):
@@ -33,10 +32,6 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     mine = QUERIES[name](spark, SF_DIR).toPandas()
-    assert len(mine.columns)
-    if name not in ORACLE:
-        assert len(mine) > 0
-        return
     other = sql.sql(ORACLE[name]).df()
     columns = sorted(mine.columns)
     assert columns == sorted(other.columns) and len(mine) == len(other)

@@ -106,6 +106,20 @@ def test_track_lengths(spark):
     assert (out["b"].point_count, out["b"].length_m) == (1, 0.0)
 
 
+def test_long_tracks_are_cut_without_changing_the_result(spark, events):
+    one = events.withColumn("k", F.when(F.col("event_id") % 3 == 0, "hot").otherwise(
+        F.when(F.col("event_id") % 50 == 1, F.lit(None)).otherwise(F.col("event_type"))))
+    args = {"lat": "latitude", "lon": "longitude", "track": "k"}
+    for order in (["ts", "event_id"], ["user_id", "ts", "event_id"]):
+        whole = gc.track_steps(one, order=order, **args)
+        cut = gc.track_steps(one, order=order, long_track=60, **args)
+        a, b = ({r.event_id: r.distance_m for r in d.collect()} for d in (whole, cut))
+        assert len(a) == events.count() and a == b
+    (a, b) = ({r.k: (r.point_count, round(r.length_m, 3)) for r in gc.track_lengths(
+        one, order=["ts", "event_id"], long_track=n, **args).collect()} for n in (10**9, 25))
+    assert a == b
+
+
 def test_simplify(spark):
     line = shape(spark, "LineString", [[[(0, 0), (0.5, 0.01), (1, 0)]]])
     out = gc.simplify(line, tolerance=0.1, method="dp").collect()[0].geometry
