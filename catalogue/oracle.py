@@ -171,7 +171,7 @@ _ZONE_VERTEX_SUMS = (f"SELECT n_nationkey AS zone_id, n_regionkey, s FROM nation
 
 _LINES = (
     "SELECT c_custkey AS k, CAST(i AS INTEGER) AS i, longitude + 0.01::DOUBLE * i AS x, latitude + "
-    "CAST((CAST(c_custkey AS BIGINT) * 7919 + i * i * 104729) % 99991 AS DOUBLE) / 1000000 AS y "
+    "CAST((CAST(c_custkey AS BIGINT) + 1) * (i + 3) * (i + 11) * (i + 17) % 99991 AS DOUBLE) / 1000000 AS y "
     f"FROM ({CUSTOMER_POINTS}), range(40) AS r(i)")
 
 # split runs at their farthest vertex while it lies beyond the tolerance; run ends are kept
@@ -273,8 +273,8 @@ ORACLE = {
         "latitude BETWEEN b.s AND n) SELECT event_id, centre_id FROM p JOIN s USING (centre_id) "
         f"GROUP BY event_id, centre_id HAVING {INSIDE}",
     "geodesic_distance":
-        "SELECT event_id, centre_id, round(distance_m, 3) AS distance_m, "
-        "round(distance_m / 1000, 6) AS distance_km, round(distance_m / 1609.344, 6) AS "
+        "SELECT event_id, centre_id, round(distance_m, 2) AS distance_m, "
+        "round(distance_m / 1000, 5) AS distance_km, round(distance_m / 1609.344, 5) AS "
         f"distance_mi, round(bearing_deg, 5) AS bearing_deg "
         f"FROM ({inverse(_PAIRS, 'event_id, centre_id')})",
     "track_lengths":

@@ -204,9 +204,9 @@ def geodesic_distance(spark, sf_dir):
         F.broadcast(centres), F.col("centre_id") == F.col("user_id") % 50)
     out = gc.geodesic_distance(pairs, from_lat="latitude", from_lon="longitude",
                                to_lat="centre_lat", to_lon="centre_lon")
-    return out.select("event_id", "centre_id", F.round("distance_m", 3).alias("distance_m"),
-                      F.round("distance_km", 6).alias("distance_km"),
-                      F.round("distance_mi", 6).alias("distance_mi"),
+    return out.select("event_id", "centre_id", F.round("distance_m", 2).alias("distance_m"),
+                      F.round("distance_km", 5).alias("distance_km"),
+                      F.round("distance_mi", 5).alias("distance_mi"),
                       F.round("bearing_deg", 5).alias("bearing_deg"))
 
 
@@ -297,7 +297,7 @@ def _customer_lines(spark, sf_dir):
     k, lon, lat = F.col("c_custkey").cast("bigint"), F.col("longitude"), F.col("latitude")
     line = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint")), lambda i: F.struct(
         (lon + F.lit(0.01) * i).alias("lon"),
-        (lat + ((k * 7919 + i * i * 104729) % 99991).cast("double") / 1000000.0).alias("lat")))
+        (lat + ((k + 1) * (i + 3) * (i + 11) * (i + 17) % 99991).cast("double") / 1000000.0).alias("lat")))
     return customer_points(spark, sf_dir).select(
         "c_custkey", geometry("LineString", F.array(F.array(line))).alias("geometry"))
 

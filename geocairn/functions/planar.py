@@ -64,24 +64,43 @@ def hull(x, y) -> list[tuple[float, float]]:
     return _ring_of(list(zip(x[order].tolist(), y[order].tolist())))
 
 
+_SHORT_RUN = 64
+
+
+def _farthest(x, y, xs, ys, i, j):
+    """Vertex between ``i`` and ``j`` farthest from that segment, and its distance."""
+    x0, y0 = xs[i], ys[i]
+    dx, dy = xs[j] - x0, ys[j] - y0
+    norm = dx * dx + dy * dy
+    if j - i > _SHORT_RUN:
+        px, py = x[i + 1:j] - x0, y[i + 1:j] - y0
+        t = np.clip((px * dx + py * dy) / norm, 0.0, 1.0) if norm else 0.0
+        gap = np.hypot(px - t * dx, py - t * dy)
+        far = int(np.argmax(gap))
+        return i + 1 + far, float(gap[far])
+    best, at = -1.0, i + 1  # plain arithmetic beats array calls on short runs
+    for m in range(i + 1, j):
+        px, py = xs[m] - x0, ys[m] - y0
+        t = min(1.0, max(0.0, (px * dx + py * dy) / norm)) if norm else 0.0
+        gap = (px - t * dx) ** 2 + (py - t * dy) ** 2
+        if gap > best:
+            best, at = gap, m
+    return at, best**0.5
+
+
 def douglas_peucker(x, y, tolerance: float, min_points: int):
     """Indices kept. A run is left whole if dropping it would leave under ``min_points``."""
     n = x.size
     keep = np.ones(n, bool)
     left = n
+    xs, ys = x.tolist(), y.tolist()
     stack = [(0, n - 1)]
     while stack:
         i, j = stack.pop()
         if j - i < 2:
             continue
-        px, py = x[i + 1:j], y[i + 1:j]
-        dx, dy = x[j] - x[i], y[j] - y[i]
-        norm = dx * dx + dy * dy
-        t = np.clip(((px - x[i]) * dx + (py - y[i]) * dy) / norm, 0, 1) if norm else 0.0
-        gap = np.hypot(px - (x[i] + t * dx), py - (y[i] + t * dy))
-        far = int(np.argmax(gap))
-        if gap[far] > tolerance:
-            split = i + 1 + far
+        split, gap = _farthest(x, y, xs, ys, i, j)
+        if gap > tolerance:
             stack += [(split, j), (i, split)]
         elif left - (j - i - 1) >= min_points:
             keep[i + 1:j] = False
