@@ -39,10 +39,14 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def clock(fn) -> float:
-    start = time.perf_counter()
-    fn()
-    return round(time.perf_counter() - start, 3)
+def clock(fn, runs: int = 2) -> float:
+    """Best wall time of building the plan and running it; the first run warms the JVM."""
+    times = []
+    for _ in range(runs):
+        start = time.perf_counter()
+        fn()
+        times.append(time.perf_counter() - start)
+    return round(min(times), 3)
 
 
 def clustered_points(spark, n: int):
@@ -83,7 +87,8 @@ def main() -> None:
         raw = gc.load_points(spark, f"{base}/raw", format="parquet")
         label = f"{POINTS // 1_000_000}m" if POINTS >= 1_000_000 else str(POINTS)
         times[f"layout_{label}"] = clock(lambda: gc.write_layout(
-            raw.df, f"{base}/layout", lat="latitude", lon="longitude", partitions=16))
+            raw.df, f"{base}/layout", lat="latitude", lon="longitude", partitions=16,
+            mode="overwrite"))
         data = gc.load_points(spark, f"{base}/layout", format="parquet")
         square = [[[(-83.6, 35.5), (-83.4, 35.5), (-83.4, 35.7), (-83.6, 35.7), (-83.6, 35.5)]]]
         one = {
@@ -99,7 +104,6 @@ def main() -> None:
             "hull_per_species": lambda: data.dissolve("species"),
         }
         for name, make in one.items():
-            run(make())
             times[f"{name}_{label}"] = clock(lambda: run(make()))
         zones = nation_zones(spark, SF_DIR)
         times[f"zonal_stats_{label}"] = clock(lambda: run(gc.zonal_stats(
@@ -108,7 +112,7 @@ def main() -> None:
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec",
                       "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).lstrip("sf"),
-                      "cpus": int(CPUS), "generated_points": POINTS}))
+                      "cpus": int(CPUS), "generated_points": POINTS, "timing": "best of 2 runs"}))
     spark.stop()
 
 

@@ -58,15 +58,17 @@ def _fine_counts(points: DataFrame, lat: str, lon: str) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def _all_depths(fine: DataFrame) -> DataFrame:
-    """Counts of every ancestor cell, keyed by one BIGINT."""
+def _all_depths(fine: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Counts of every ancestor cell, keyed by one BIGINT; only ``wanted`` keys if given."""
     up = F.lit(_DEPTH) - F.col("depth")
-    return (
+    cells = (
         fine.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(_DEPTH))))
         .select(_key(F.col("depth"), F.call_function("shiftright", "cx", up),
                      F.call_function("shiftright", "cy", up)).alias("key"), "n")
-        .groupBy("key").agg(F.sum("n").alias("n"))
     )
+    if wanted is not None:
+        cells = cells.join(F.broadcast(wanted), "key", "left_semi")
+    return cells.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _blocks(queries: DataFrame) -> DataFrame:
@@ -152,8 +154,12 @@ def knn_join(
         F.col(query_lon).cast("double").alias("_qlon"))
 
     fine = materialize(_fine_counts(points, lat, lon), "knn-cells")
+    blocks = _blocks(places)
+    # few queries: drop the cells none of them looks at before they are shuffled
+    few = places.count() * 4 * (_DEPTH + 1) * 48 <= broadcast_limit // 16
+    counts = _all_depths(fine, blocks.select("key").distinct() if few else None)
     enough = (
-        _blocks(places).join(_all_depths(fine), "key")
+        blocks.join(counts, "key")
         .groupBy("_qid", "depth").agg(F.sum("n").alias("n"), F.first("bound").alias("bound"))
         .filter(F.col("n") >= k)
         .groupBy("_qid").agg(F.min("bound").alias("_near_m"))
