@@ -200,8 +200,7 @@ def buffer_join(spark, sf_dir):
 def geodesic_distance(spark, sf_dir):
     """Every event to the centre its user id points at."""
     centres = supplier_centres(spark, sf_dir)
-    pairs = event_points(spark, sf_dir).join(
-        F.broadcast(centres), F.col("centre_id") == F.col("user_id") % 50)
+    pairs = event_points(spark, sf_dir).join(centres, F.col("centre_id") == F.col("user_id") % 50)
     out = gc.geodesic_distance(pairs, from_lat="latitude", from_lon="longitude",
                                to_lat="centre_lat", to_lon="centre_lon")
     return out.select("event_id", "centre_id", F.round("distance_m", 2).alias("distance_m"),

@@ -21,7 +21,7 @@ from .sources.geojson import (
 )
 from .sources.layout import write_layout
 from .sources.readers import load_csv, load_geojson, load_parquet, load_points
-from .sources.sinks import feature_lines, write_csv, write_geojson, write_json
+from .sources.sinks import feature_lines, write_csv, write_geojson, write_json, write_rows
 from .streaming.refresh import RefreshFailed, published, refresh
 from .streaming.stream import stream_points
 
@@ -32,5 +32,5 @@ __all__ = [
     "load_points", "points_from_geojson", "polygon_metrics", "polygons_from_geojson",
     "published", "radius_join", "read_features", "refresh", "run_query", "simplify",
     "stream_points", "total_bounds", "track_lengths", "track_steps", "within_join",
-    "write_csv", "write_geojson", "write_json", "write_layout", "zonal_stats",
+    "write_csv", "write_geojson", "write_json", "write_layout", "write_rows", "zonal_stats",
 ]

@@ -126,3 +126,15 @@ class PointDataset:
     def schema_df(self) -> DataFrame:
         return aggregates.schema_report(self.raw, source=self.source, lat=self.lat_col,
                                         lon=self.lon_col)
+
+    def write(self, path: str, *, format: str = "json", mode: str = "error") -> None:
+        """Write the rows as JSON lines, CSV or GeoJSON features."""
+        from .sources.sinks import write_rows
+
+        write_rows(self.df, path, format=format, lat=self.lat_col, lon=self.lon_col, mode=mode)
+
+    def refresh(self, view: str, path: str, **options) -> PointDataset:
+        """Check a new file and point ``view`` at it; on failure nothing changes."""
+        from .streaming.refresh import refresh
+
+        return refresh(self.raw.sparkSession, view, path, **options)

@@ -82,4 +82,15 @@ def write_geojson(df: DataFrame, path: str, *, lat: str | None = None, lon: str
     feature_lines(df, lat=lat, lon=lon, geometry=geometry).write.mode(mode).text(path)
 
 
-WRITERS = ("json", "csv", "geojson")
+
+def write_rows(df: DataFrame, path: str, *, format: str = "json", lat: str | None = None,
+               lon: str | None = None, mode: str = "error") -> None:
+    """Write rows as ``"json"``, ``"csv"`` or ``"geojson"``; any other name raises."""
+    if format == "json":
+        write_json(df, path, mode)
+    elif format == "csv":
+        write_csv(df, path, mode)
+    elif format == "geojson":
+        write_geojson(df, path, lat=lat, lon=lon, mode=mode)
+    else:
+        raise ValueError(f"unknown output format: {format!r}")

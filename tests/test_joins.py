@@ -252,3 +252,28 @@ def test_knn_with_fewer_points_than_k(spark, questions):
     df = spark.createDataFrame(rows, "id int, lat double, lon double")
     got = knn(df, questions[0], 5)
     assert set(got) == knn_brute(rows, questions[1], 5)
+
+
+def test_hot_cell_is_split_in_the_shuffled_plan(spark, zones):
+    rng = np.random.default_rng(19)
+    spread = [(i, float(y), float(x)) for i, (x, y) in enumerate(rng.uniform(-20, 20, (3000, 2)))]
+    copies = spark.range(40000).select((F.col("id") + 3000).cast("int").alias("id"),
+                                       F.lit(0.5).alias("lat"), F.lit(0.25).alias("lon"))
+    df = spark.createDataFrame(spread, "id int, lat double, lon double").repartition(6).unionByName(
+        copies.repartition(6))
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = gc.within_join(df, zones.filter("zone_id >= 10"), **LATLON, broadcast_limit=-1)
+        rows = out.collect()
+        assert "skew" in plan_of(out).lower()
+        hot = [r for r in rows if r.id >= 3000]
+        inside_zones = {z for z, parts in zone_rows() if z >= 10
+                        and any(inside(p, 0.25, 0.5) for p in parts)}
+        assert len(hot) == 40000 * len(inside_zones) and inside_zones
+    finally:
+        for k in settings:
+            spark.conf.unset(k)

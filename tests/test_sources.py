@@ -146,6 +146,14 @@ def test_geojson_sink(odd_rows, tmp_path):
         gc.feature_lines(odd_rows.select("id"))
 
 
+def test_write_dispatch(obs, tmp_path):
+    for kind in ("json", "csv", "geojson"):
+        obs.write(str(tmp_path / kind), format=kind)
+        assert len(lines(tmp_path / kind)) == (21 if kind == "csv" else 20)
+    with pytest.raises(ValueError, match="unknown output format"):
+        obs.write(str(tmp_path / "x"), format="xml")
+
+
 def test_geojson_geometry_sink(spark, obs):
     hull = json.loads(gc.feature_lines(obs.convex_hull(), geometry="geometry").collect()[0][0])
     assert hull["type"] == "Feature" and hull["geometry"]["type"] == "Polygon"
