@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.checks import check_bbox, check_columns, check_distance, check_point
 from ..functions.geometry import parts_literal
 from ..functions.sphere import circle_span, haversine_m
+from ..plans.cells import quoted
 from .joins import point_in_parts, within_join
 
 # Literal polygons up to this many edges become one compiled expression.
@@ -53,15 +54,14 @@ def radius_condition(*, lat: Column, lon: Column, centre_lat: float, centre_lon:
 
 def within_filter(df: DataFrame, polygons, *, lat: str, lon: str) -> DataFrame:
     """Rows strictly inside any of the literal polygons (lists of rings of (lon, lat))."""
-    polygons = [[list(ring) for ring in rings] for rings in polygons]
+    polygons = [[[(float(x), float(y)) for x, y in ring] for ring in rings] for rings in polygons]
     if not polygons or any(not rings or any(len(r) < 3 for r in rings) for rings in polygons):
         raise ValueError("expected polygons whose rings have at least three positions")
-    xs = [float(x) for rings in polygons for ring in rings for x, _ in ring]
-    ys = [float(y) for rings in polygons for ring in rings for _, y in ring]
+    xs, ys = zip(*[p for rings in polygons for ring in rings for p in ring])
     inside_box = F.col(lat).between(min(ys), max(ys)) & F.col(lon).between(min(xs), max(xs))
     df = df.filter(inside_box)
     if len(xs) <= UNROLL_EDGES:
-        return df.filter(point_in_parts(polygons, lat=F.col(lat), lon=F.col(lon)))
+        return df.filter(point_in_parts(polygons, lat=quoted(lat), lon=quoted(lon)))
     zone = df.sparkSession.range(1).select(parts_literal(polygons).alias("polygons"))
     return within_join(df, zone, lat=lat, lon=lon, how="left_semi")
 

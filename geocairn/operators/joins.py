@@ -192,26 +192,36 @@ def zonal_stats(
     return inside.groupBy(zone_id).agg(*exprs)
 
 
-def point_in_parts(polygons, *, lat: Column, lon: Column) -> Column:
-    """Strictly-inside test against literal polygons, unrolled into one expression."""
+def point_in_parts(polygons, *, lat: str, lon: str) -> Column:
+    """Strictly-inside test against literal polygons, unrolled into one expression.
+
+    ``lat`` and ``lon`` are SQL expressions.
+    """
+
+    def lit(value):
+        return f"{float(value)!r}D"
+
+    def between(what, a, b):
+        return f"{what} BETWEEN {lit(min(a, b))} AND {lit(max(a, b))}"
+
     tests = []
     for rings in polygons:
-        crossings, on_edge = F.lit(0), F.lit(False)
+        hits, crossings = [], []
         for ring in rings:
-            pts = [(float(x), float(y)) for x, y in ring]
-            for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1]):
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
                 if (x1, y1) == (x2, y2):
                     continue
-                side = (x2 - x1) * (lat - y1) - (lon - x1) * (y2 - y1)
-                on_edge = on_edge | ((side == 0.0) & lon.between(min(x1, x2), max(x1, x2))
-                                     & lat.between(min(y1, y2), max(y1, y2)))
+                side = (f"({lit(x2 - x1)} * ({lat} - {lit(y1)}) - "
+                        f"({lon} - {lit(x1)}) * {lit(y2 - y1)})")
+                hits.append(f"({side} = 0D AND {between(lon, x1, x2)} AND {between(lat, y1, y2)})")
                 if y1 != y2:
-                    crosses = (lat >= min(y1, y2)) & (lat < max(y1, y2)) & (
-                        side > 0.0 if y2 > y1 else side < 0.0)
-                    crossings = crossings + F.when(crosses, 1).otherwise(0)
-        xs = [float(x) for ring in rings for x, _ in ring]
-        ys = [float(y) for ring in rings for _, y in ring]
-        box = lat.between(min(ys), max(ys)) & lon.between(min(xs), max(xs))
-        tests.append(box & ~on_edge & (crossings % 2 == 1))
-    return reduce(lambda a, b: a | b, tests)
-
+                    crossings.append(
+                        f"({lat} >= {lit(min(y1, y2))} AND {lat} < {lit(max(y1, y2))} AND "
+                        f"{side} {'>' if y2 > y1 else '<'} 0D)")
+        if not crossings:
+            continue
+        xs, ys = zip(*[p for ring in rings for p in ring])
+        odd = " != ".join(["false", *crossings])
+        tests.append(f"({between(lat, min(ys), max(ys))} AND {between(lon, min(xs), max(xs))} "
+                     f"AND NOT ({' OR '.join(hits)}) AND ({odd}))")
+    return F.expr(" OR ".join(tests) or "false")

@@ -153,6 +153,9 @@ def knn_join(
         F.col(query_id).alias("_qid"), F.col(query_lat).cast("double").alias("_qlat"),
         F.col(query_lon).cast("double").alias("_qlon"))
 
+    # each query becomes many rows next, so spread the narrow rows before that
+    places = places.repartition("_qid")
+
     fine = materialize(_fine_counts(points, lat, lon), "knn-cells")
     blocks = _blocks(places)
     # few queries: drop the cells none of them looks at before they are shuffled
