@@ -148,78 +148,3 @@ def bounds_of(parts: Column) -> Column:
         F.array_min(lats).alias("min_lat"), F.array_min(lons).alias("min_lon"),
         F.array_max(lats).alias("max_lat"), F.array_max(lons).alias("max_lon"),
     )
-
-
-def _weighted(w: Column, x: Column, y: Column) -> Column:
-    return F.struct(w.cast("double").alias("w"), x.cast("double").alias("x"),
-                    y.cast("double").alias("y"))
-
-
-_ZERO = (0.0, 0.0, 0.0)
-
-
-def _merge(sums: Column) -> Column:
-    return F.aggregate(sums, _weighted(*map(F.lit, _ZERO)), lambda a, s: _weighted(
-        a["w"] + s["w"], a["x"] + s["x"], a["y"] + s["y"]))
-
-
-def _over_edges(path: Column, weigh) -> Column:
-    """Sum ``weigh(a, b)`` (weight and weighted position) over consecutive vertices."""
-    n = F.greatest(F.size(path) - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice(path, F.lit(1), n).alias("a"), F.slice(path, F.lit(2), n).alias("b"))
-    return _merge(F.transform(pairs, lambda e: weigh(e["a"], e["b"])))
-
-
-def _ring_sums(ring: Column) -> Column:
-    """Unsigned area and first moments, taken relative to the ring's first vertex."""
-
-    def about(origin):
-        def weigh(a, b):
-            ax, ay = a["lon"] - origin["lon"], a["lat"] - origin["lat"]
-            bx, by = b["lon"] - origin["lon"], b["lat"] - origin["lat"]
-            return let(ax * by - bx * ay, lambda cross: _weighted(
-                cross / 2.0, cross * (ax + bx) / 6.0, cross * (ay + by) / 6.0))
-
-        return let(_over_edges(ring, weigh), lambda s: let(
-            F.signum(s["w"]), lambda sign: _weighted(
-                sign * s["w"], sign * (s["x"] + s["w"] * origin["lon"]),
-                sign * (s["y"] + s["w"] * origin["lat"]))))
-
-    return let(F.get(ring, F.lit(0)), about)
-
-
-def _line_sums(path: Column) -> Column:
-    def weigh(a, b):
-        return let(F.hypot(b["lon"] - a["lon"], b["lat"] - a["lat"]), lambda d: _weighted(
-            d, d * (a["lon"] + b["lon"]) / 2.0, d * (a["lat"] + b["lat"]) / 2.0))
-
-    return _over_edges(path, weigh)
-
-
-def _polygon_sums(rings: Column) -> Column:
-    """Shell minus holes."""
-    sums = F.transform(rings, lambda ring, i: let(_ring_sums(ring), lambda s: F.when(
-        i == 0, s).otherwise(_weighted(-s["w"], -s["x"], -s["y"]))))
-    return _merge(sums)
-
-
-def _mean(sums: Column) -> Column:
-    return let(sums, lambda s: F.when(s["w"] > 0, F.struct(
-        (s["x"] / s["w"]).alias("lon"), (s["y"] / s["w"]).alias("lat"))))
-
-
-def centroid_of(geom: Column) -> Column:
-    """Planar centroid ``STRUCT<lon, lat>``: area, else length, else vertex mean.
-
-    Holes count negative; NULL for an empty geometry.
-    """
-    parts, kind = geom["parts"], geom["geom_type"]
-    area = _mean(_merge(F.transform(parts, _polygon_sums)))
-    length = _mean(_merge(F.transform(F.flatten(parts), _line_sums)))
-    count = _mean(_merge(F.transform(flat_vertices(parts), lambda v: _weighted(
-        F.lit(1.0), v["lon"], v["lat"]))))
-    return (
-        F.when(kind.isin("Polygon", "MultiPolygon"), F.coalesce(area, length, count))
-        .when(kind.isin("LineString", "MultiLineString"), F.coalesce(length, count))
-        .otherwise(count)
-    )

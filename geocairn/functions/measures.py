@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import arrow, geodesy, planar
 from .checks import METRES_PER_UNIT
-from .geometry import PARTS_TYPE, RING_TYPE, geometry
+from .geometry import PARTS_TYPE, RING_TYPE, VERTEX_TYPE, geometry
 
 # Fixed value: square metres per acre.
 M2_PER_ACRE = 4046.8564224
@@ -90,6 +90,64 @@ def area_fields(measures: Column) -> list[Column]:
     ]
 
 
+def _pick(weight, x, y):
+    """Weighted means where there is weight, NaN elsewhere."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        some = weight > 0
+        return np.where(some, x / weight, np.nan), np.where(some, y / weight, np.nan)
+
+
+def centroid(geom: Column) -> Column:
+    """Planar centroid ``STRUCT<lon, lat>``: area, else length, else vertex mean.
+
+    Holes count negative; NULL for an empty geometry.
+    """
+
+    @F.arrow_udf(VERTEX_TYPE)
+    def run(column: pa.Array, kinds: pa.Array) -> pa.Array:
+        rows, parts, paths, lon, lat = arrow.open_parts(column)
+        kind = np.array(kinds.to_pylist(), dtype=object)
+        areal = np.isin(kind, ["Polygon", "MultiPolygon"])
+        linear = areal | np.isin(kind, ["LineString", "MultiLineString"])
+        path_row = parts[rows]  # path offsets per row
+        vertex_row = paths[path_row]  # vertex offsets per row
+        areal_path = np.repeat(areal, np.diff(path_row))
+        sizes = np.diff(paths)
+        # next vertex in the path; rings close, the last vertex of a line pairs with itself
+        nxt = np.arange(1, lon.size + 1)
+        filled = sizes > 0
+        last = paths[1:][filled] - 1
+        nxt[last] = np.where(areal_path[filled], paths[:-1][filled], last)
+        start = np.repeat(paths[:-1], sizes)
+        ax, ay = lon - lon[start], lat - lat[start]
+        bx, by = lon[nxt] - lon[start], lat[nxt] - lat[start]
+
+        cross = ax * by - bx * ay
+        w = arrow.segment_sum(cross / 2.0, paths)
+        first = np.minimum(paths[:-1], max(lon.size - 1, 0))
+        ox, oy = (c[first] if c.size else np.zeros(w.size) for c in (lon, lat))
+        mx = arrow.segment_sum(cross * (ax + bx) / 6.0, paths) + w * ox
+        my = arrow.segment_sum(cross * (ay + by) / 6.0, paths) + w * oy
+        shell = np.zeros(w.size, bool)
+        shell[parts[:-1][np.diff(parts) > 0]] = True
+        role = np.where(shell, 1.0, -1.0) * np.sign(w)
+        by_area = _pick(*(arrow.segment_sum(role * v, path_row) for v in (w, mx, my)))
+
+        d = np.hypot(bx - ax, by - ay)
+        by_length = _pick(*(arrow.segment_sum(v, vertex_row) for v in (
+            d, d * (lon + lon[nxt]) / 2.0, d * (lat + lat[nxt]) / 2.0)))
+        by_count = _pick(*(arrow.segment_sum(v, vertex_row) for v in (np.ones(lon.size), lon, lat)))
+        x, y = by_count
+        for usable, (cx, cy) in ((linear, by_length), (areal, by_area)):
+            better = usable & ~np.isnan(cx)
+            x, y = np.where(better, cx, x), np.where(better, cy, y)
+        missing = _nulls(column) | (np.diff(vertex_row) == 0)
+        return pa.StructArray.from_arrays(
+            [pa.array(x), pa.array(y)], ["lon", "lat"], mask=pa.array(missing))
+
+    return run(geom["parts"], geom["geom_type"])
+
+
 def buffer_ring(*, lon: Column, lat: Column, distance_m: Column, segments: int,
                 continuous: bool = False) -> Column:
     """Closed counter-clockwise ring of geodesic destinations around each point.

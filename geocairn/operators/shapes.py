@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import measures, planar
 from ..functions.checks import METRES_PER_UNIT, check_columns
-from ..functions.geometry import (
-    RING_TYPE, bounds_of, box_parts, centroid_of, geometry,
-)
+from ..functions.geometry import RING_TYPE, bounds_of, box_parts, geometry
 from ..plans.cells import quoted
 from ..plans.session import join_side
 
@@ -33,7 +31,7 @@ def polygon_metrics(df: DataFrame, *, polygons: str = "polygons") -> DataFrame:
 def centroids(df: DataFrame, *, geom: str = "geometry") -> DataFrame:
     """Adds the planar ``centroid`` (lon, lat) of each geometry."""
     (geom,) = check_columns(df, [geom])
-    return df.withColumn("centroid", centroid_of(F.col(geom)))
+    return df.withColumn("centroid", measures.centroid(F.col(geom)))
 
 
 def bounds(df: DataFrame, *, geom: str = "geometry") -> DataFrame:
