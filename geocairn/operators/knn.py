@@ -3,9 +3,11 @@
 1. Count points per fine cell (one scan, summed before the shuffle) and keep the
    counts as a small table.
 2. For each query find the finest 2 x 2 block of cells around it that holds k points;
-   the farthest corner bounds its k-th distance. Queries far from all data use the
-   coarsest counts, at most about a thousand cells.
-3. One circle join with those bounds, then the k best rows per query.
+   the farthest corner bounds its k-th distance.
+3. Where such a circle could hold many points (queries far from all data, or beside a
+   crowded spot), descend the cells: keep only occupied cells that may hold one of the
+   k nearest, tighten the bound from their counts, and go to finer cells.
+4. One circle join with the bounds, then the k best rows per query.
 
 Cells holding far more than k points are thinned first: of the points sharing one
 coordinate only the k with the smallest tie key can be among anyone's k nearest.
@@ -14,6 +16,7 @@ coordinate only the k with the smallest tie key can be among anyone's k nearest.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +31,13 @@ _DEPTH = 16  # finest cells: 8 / 2**16 degrees, about 14 m
 _HALF_TURN_M = 3.1415926535897936 * EARTH_RADIUS_M + 1.0
 
 
-def _far_bound(lat: Column, reach_lat: Column, reach_lon: Column) -> Column:
-    """Upper bound in metres of the distance to anything within the given degrees."""
+def _far_bound(lat: Column, reach_lat: Column, reach_lon: Column, low: Column) -> Column:
+    """Upper bound in metres of the distance to anything within the given degrees.
+
+    ``low`` is the smallest absolute latitude there, where a degree of longitude is widest.
+    """
     dy, dx = F.radians(F.least(reach_lat, F.lit(180.0))), F.radians(F.least(reach_lon, F.lit(180.0)))
-    widest = F.cos(F.radians(F.greatest(F.abs(lat) - reach_lat, F.lit(0.0))))
+    widest = F.cos(F.radians(F.greatest(low, F.lit(0.0))))
     sin_y, sin_x = F.sin(dy / 2.0), F.sin(dx / 2.0)
     a = sin_y * sin_y + F.cos(F.radians(lat)) * widest * sin_x * sin_x
     arc = 2.0 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
@@ -88,28 +94,82 @@ def _blocks(queries: DataFrame) -> DataFrame:
 
     cells = [_key(F.col("depth"), F.pmod(cx + dx, columns), F.greatest(cy + dy, F.lit(-1)))
              for dx in (F.lit(0), other(fx)) for dy in (F.lit(0), other(fy))]
-    bound = _far_bound(F.col("_qlat"), reach(fy), reach(fx))
+    bound = _far_bound(F.col("_qlat"), reach(fy), reach(fx), F.abs("_qlat") - reach(fy))
     return spread.select("_qid", "depth", bound.alias("bound"),
                          F.explode(F.array(*cells)).alias("key"))
 
 
-def _coarse_bound(counts: list[tuple[int, int, int]], k: int) -> Column:
-    """Bound from the coarsest counts: nearest cells first until they hold k points."""
-    half = _TOP_DEG / 2.0
-    cells = F.from_json(F.lit(json.dumps([{"x": x, "y": y, "n": n} for x, y, n in counts])),
-                        "array<struct<x: double, y: double, n: bigint>>")
+def _cell_distances(cx: Column, cy: Column, size: float) -> tuple[Column, Column]:
+    """Bounds in metres of the distance from the query to anything in a cell."""
+    half, lat = size / 2.0, F.col("_qlat")
+    mid_lon, mid_lat = cx * size - 180.0 + half, cy * size - 90.0 + half
+    turn = F.abs(fold_longitude(fold_longitude(F.col("_qlon")) - mid_lon))
+    up, edge = F.abs(lat - mid_lat), half + 1e-9
+    far = _far_bound(lat, up + edge, turn + edge, F.abs(mid_lat) - edge)
+    dy = F.radians(F.greatest(up - edge, F.lit(0.0)))
+    dx = F.radians(F.greatest(turn - edge, F.lit(0.0)))
+    narrow = F.least(F.cos(F.radians(F.greatest(mid_lat - edge, F.lit(-90.0)))),
+                     F.cos(F.radians(F.least(mid_lat + edge, F.lit(90.0)))))
+    sin_y, sin_x = F.sin(dy / 2.0), F.sin(dx / 2.0)
+    a = sin_y * sin_y + F.cos(F.radians(lat)) * narrow * sin_x * sin_x
+    near = 2.0 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (1.0 - 1e-9) - 0.001
+    return near, far
+
+
+def _tightened(cells: DataFrame, k: int) -> DataFrame:
+    """Shrink each query's bound to the nearest cells that hold k points; drop cells beyond it.
+
+    Rows of a query are only occupied cells near its bound. ``_load`` counts their points.
+    """
+    mine = Window.partitionBy("_qid")
+    so_far = mine.orderBy("_far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        cells.filter(F.col("_near") <= F.col("_near_m"))
+        .withColumn("_sum", F.sum("n").over(so_far))
+        .withColumn("_reach", F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(mine))
+        .withColumn("_near_m", F.least("_near_m", "_reach"))
+        .filter(F.col("_near") <= F.col("_near_m"))
+        .withColumn("_load", F.sum("n").over(mine))
+        .select("_qid", "_qlat", "_qlon", "_near_m", "_load", "cx", "cy")
+    )
 
-    def far(c):
-        mid_lon, mid_lat = c["x"] * _TOP_DEG - 180.0 + half, c["y"] * _TOP_DEG - 90.0 + half
-        turn = F.abs(fold_longitude(fold_longitude(F.col("_qlon")) - mid_lon))
-        bound = _far_bound(F.col("_qlat"), F.abs(F.col("_qlat") - mid_lat) + half + 1e-9,
-                           turn + half + 1e-9)
-        return F.struct(bound.alias("r"), c["n"].alias("n"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("r"))
-    total = F.aggregate(F.array_sort(F.transform(cells, far)), start, lambda acc, c: F.when(
-        acc["n"] < k, F.struct((acc["n"] + c["n"]).alias("n"), c["r"].alias("r"))).otherwise(acc))
-    return F.when(total["n"] >= k, total["r"]).otherwise(F.lit(_HALF_TURN_M))
+def _descend(queries: DataFrame, fine: DataFrame, k: int, enough: int) -> DataFrame:
+    """(_qid, _near_m) with circles holding few points, or as tight as the finest cells allow."""
+    up = F.lit(_DEPTH)
+    coarse = (fine.groupBy(F.call_function("shiftright", "cx", up).alias("x"),
+                           F.call_function("shiftright", "cy", up).alias("y"))
+              .agg(F.sum("n").alias("n")).collect())  # at most 45 x 23 cells
+    top = F.from_json(F.lit(json.dumps([r.asDict() for r in coarse])),
+                      "array<struct<x: bigint, y: bigint, n: bigint>>")
+    counts = materialize(_all_depths(fine), "knn-counts")
+    near, far = _cell_distances(F.col("cx"), F.col("cy"), _TOP_DEG)
+    cells = (
+        queries.withColumn("_c", F.explode(top))
+        .select("_qid", "_qlat", "_qlon", F.coalesce("_near_m", F.lit(_HALF_TURN_M)).alias("_near_m"),
+                F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy"), F.col("_c.n").alias("n"))
+        .withColumn("_near", near).withColumn("_far", far)
+    )
+    finished, depth = [], 0
+    while True:
+        step = materialize(_tightened(cells, k), "knn-step")
+        last = depth == _DEPTH
+        done = step if last else step.filter(F.col("_load") <= enough)
+        finished.append(done.groupBy("_qid").agg(F.min("_near_m").alias("_near_m")))
+        open_cells = step.filter(F.col("_load") > enough)
+        if last or open_cells.isEmpty():
+            break
+        depth += 2
+        near, far = _cell_distances(F.col("cx"), F.col("cy"), _TOP_DEG / 2**depth)
+        cells = (
+            open_cells.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(15))))
+            .withColumn("cx", F.col("cx") * 4 + F.col("_i") % 4)
+            .withColumn("cy", F.col("cy") * 4 + F.floor(F.col("_i") / 4))
+            .withColumn("key", _key(F.lit(depth), F.col("cx"), F.col("cy")))
+            .join(counts, "key")
+            .withColumn("_near", near).withColumn("_far", far)
+        )
+    return reduce(DataFrame.unionByName, finished)
 
 
 def _thin(points: DataFrame, fine: DataFrame, *, lat: str, lon: str, tie: list[str], k: int,
@@ -136,12 +196,13 @@ def knn_join(
     points: DataFrame, queries: DataFrame, *, k: int, lat: str, lon: str, query_lat: str,
     query_lon: str, query_id: str = "query_id", tie: str | list[str],
     keep: list[str] | None = None, broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-    crowd: int | None = None,
+    crowd: int | None = None, busy: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest points of every query, with ``_distance_km`` and ``rank``.
 
     Exact. ``query_id`` must be unique; equal distances are ordered by ``tie``, which
-    should identify a point. Points and queries with a latitude outside [-90, 90]
+    should identify a point. ``crowd`` and ``busy`` are the counts from which cells are
+    thinned and circles tightened; they change the work, never the result. Points and queries with a latitude outside [-90, 90]
     take no part.
     """
     if k < 1:
@@ -161,24 +222,28 @@ def knn_join(
     # few queries: drop the cells none of them looks at before they are shuffled
     few = places.count() * 4 * (_DEPTH + 1) * 48 <= broadcast_limit // 16
     counts = _all_depths(fine, blocks.select("key").distinct() if few else None)
-    enough = (
+    levels = (
         blocks.join(counts, "key")
         .groupBy("_qid", "depth").agg(F.sum("n").alias("n"), F.first("bound").alias("bound"))
-        .filter(F.col("n") >= k)
-        .groupBy("_qid").agg(F.min("bound").alias("_near_m"))
+        .groupBy("_qid").agg(F.collect_list(F.struct("bound", "depth", "n")).alias("_all"))
+        .withColumn("_best", F.expr(f"array_min(filter(_all, x -> x.n >= {k}L))"))
+        # the circle of a block lies inside the block three depths up, short of the poles
+        .withColumn("_around", F.expr("get(filter(_all, x -> x.depth = _best.depth - 3), 0).n"))
+        .select("_qid", F.col("_best.bound").alias("_near_m"), "_around")
     )
-    bounded = materialize(places.join(enough, "_qid", "left"), "knn-bounds")
-    if not bounded.filter(F.col("_near_m").isNull()).isEmpty():
-        up = F.lit(_DEPTH)
-        coarse = (fine.groupBy(F.call_function("shiftright", "cx", up).alias("cx"),
-                               F.call_function("shiftright", "cy", up).alias("cy"))
-                  .agg(F.sum("n").alias("n")).collect())  # at most 45 x 23 cells
-        bounded = bounded.withColumn("_near_m", F.coalesce(
-            "_near_m", _coarse_bound([tuple(r) for r in coarse], k)))
-    circles = bounded
+    bounded = materialize(places.join(levels, "_qid", "left"), "knn-bounds")
+    busy = max(2000, 1024 * k) if busy is None else busy
+    easy = F.coalesce((F.col("_around") <= busy) & (F.abs("_qlat") < 60.0), F.lit(False))
+    hard = bounded.filter(~easy)
+    names = ["_qid", "_qlat", "_qlon", "_near_m"]
+    if not hard.isEmpty():
+        tight = _descend(hard.select(*names), fine, k, max(1, busy // 16))
+        bounded = bounded.filter(easy).select(*names).unionByName(
+            hard.select("_qid", "_qlat", "_qlon").join(tight, "_qid"))
+    circles = bounded.select(*names)
     if keep:
         extra = check_columns(queries, keep)
-        circles = bounded.join(
+        circles = circles.join(
             queries.select(F.col(query_id).alias("_qid"), *extra), "_qid")
     crowd = max(1000, 64 * k) if crowd is None else crowd
     near = radius_join(

@@ -214,8 +214,7 @@ def questions(spark):
     return spark.createDataFrame(rows, "query_id int, qlat double, qlon double"), rows
 
 
-@pytest.mark.parametrize("k", [1, 7])
-@pytest.mark.parametrize("limit", [1 << 26, -1])
+@pytest.mark.parametrize("k, limit", [(1, -1), (7, 1 << 26)])
 def test_knn_over_the_globe(globe, questions, k, limit):
     got = knn(globe[0], questions[0], k, broadcast_limit=limit)
     assert len(got) == k * len(questions[1])
@@ -247,6 +246,40 @@ def test_knn_with_a_third_of_all_rows_in_one_spot(spark):
     assert len(got) == len(set(got)) and set(got) == knn_brute(rows, asks, 6)
 
 
+@pytest.mark.parametrize("busy", [1, 100])
+def test_knn_beside_a_crowd(spark, busy):
+    """Queries next to, inside and far from a dense spot; the bounds must stay exact."""
+    rng = np.random.default_rng(20)
+    crowd = np.array([40.0, 5.0]) + rng.normal(0, 0.01, (1500, 2))
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(
+        np.vstack([crowd, rng.uniform(-60, 60, (300, 2)), [[89.9, 10.0], [0.0, 179.99]]]))]
+    df = spark.createDataFrame(rows, "id int, lat double, lon double").repartition(4)
+    asks = [(40.0, 5.0), (40.05, 5.05), (40.4, 5.0), (42.0, 8.0), (-80.0, -170.0), (0.0, -179.99),
+            (90.0, 0.0), (39.97, 4.97), (65.0, 5.0), (10.0, 190.0)]
+    asks += [(float(a), float(b)) for a, b in rng.uniform(-50, 50, (15, 2))]
+    asks = [(i, a, b) for i, (a, b) in enumerate(asks)]
+    queries = spark.createDataFrame(asks, "query_id int, qlat double, qlon double")
+    got = knn(df, queries, 5, busy=busy)
+    assert len(got) == len(set(got)) and set(got) == knn_brute(rows, asks, 5)
+
+
+def test_descent_keeps_circles_small(spark):
+    from geocairn.operators import knn as module
+
+    rng = np.random.default_rng(21)
+    spots = np.array([40.0, 5.0]) + rng.uniform(-0.02, 0.02, (20000, 2))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in spots], "lat double, lon double")
+    fine = module.materialize(module._fine_counts(df, "lat", "lon"), "test-cells")
+    asks = [(0, 40.03, 5.0), (1, 40.5, 5.5), (2, 10.0, -60.0), (3, 40.0, 5.0)]
+    queries = spark.createDataFrame(asks, "_qid int, _qlat double, _qlon double").withColumn(
+        "_near_m", F.lit(None).cast("double"))
+    bound = {r[0]: r[1] for r in module._descend(queries, fine, 3, 60).collect()}
+    for q, y, x in asks:
+        d = np.sort([metres(a, b, y, x) for a, b in spots])
+        assert d[2] <= bound[q]
+        assert np.searchsorted(d, bound[q]) <= 200  # of 20,000 crowded points
+
+
 def test_knn_with_fewer_points_than_k(spark, questions):
     rows = [(0, 10.0, 10.0), (1, -60.0, 170.0), (2, 10.0, 10.0)]
     df = spark.createDataFrame(rows, "id int, lat double, lon double")
