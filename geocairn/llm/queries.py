@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geocairn.llm import decision_list, mixing, simhash, url_cascade
+from pyspark.sql import functions as F
+
+from geocairn.llm import (
+    decision_list, licenses, line_templates, mixing, pii, piece_dropout, simhash, spotsigs, toxicity, url_cascade)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +18,39 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_dropout.with_pieces(docs).select("doc_id", "n_pieces", "lossless", "ids")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.spot_report(table(spark, sf_dir, "documents"))
+
+
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source / thousands / hundreds / id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), "doc_id")
+    return licenses.license_scan(docs.select(path.alias("path"), "text"))
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -27,7 +59,9 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_url_cascade, op9_pareto_mix, op10_decision_list)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_toxicity, op3_piece_dropout, op4_pii, op5_url_cascade, op6_spotsigs, op7_line_templates,
+    op8_licenses, op9_pareto_mix, op10_decision_list)}
 
 _HOST = r"translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
