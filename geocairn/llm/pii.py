@@ -213,7 +213,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT)
         ":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
     table = scanned.join(more, "row", "left").select("doc_id", own.alias("own"), F.coalesce(
         "more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("more"))
-    counts = [F.size(F.filter("own", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-              for k, name in enumerate(KINDS)]
+    count = lambda k: F.size(F.filter("own", lambda s: s["kind"] == k)).cast("bigint")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return table.select("doc_id", *counts, F.sha2(joined(F.col("own")), 256).alias("base_sha256"),
                         joined(F.concat("own", "more")).alias("spans"), F.size("more").cast("bigint").alias("n_found"))
