@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .geodesic_sql import direct, inverse
-from .spark_queries import COMB, POLYGON
+from .spark_queries import BOX, COMB, POLYGON
 from .tables import (
     CUSTOMER_POINTS, EVENT_POINTS, EVENT_ZONES, INSIDE, SUPPLIER_CENTRES, ZONE_EDGES,
     haversine_sql,
@@ -144,7 +144,24 @@ _UNIT_EDGES = (
     f"lead(far_lat) OVER r AS lat2 FROM ({_UNIT_RING}) WINDOW r AS (PARTITION BY centre_id, unit "
     "ORDER BY i)) WHERE lon2 IS NOT NULL")
 
-_KEPT = f"SELECT event_id, event_type, user_id, value, latitude, longitude FROM ({EVENT_POINTS})"
+_KEPT = f"SELECT * FROM ({EVENT_POINTS})"
+_BOX_GRID = (
+    "SELECT {key} AS k, CAST(round(longitude * 1024) AS BIGINT) AS x, CAST(round(latitude * 1024) "
+    f"AS BIGINT) AS y FROM ({EVENT_POINTS}) WHERE latitude BETWEEN {BOX[0]} AND {BOX[2]} "
+    f"AND longitude BETWEEN {BOX[1]} AND {BOX[3]}")
+
+
+def _hull_sizes(key: str) -> str:
+    """``k``, number of points, area and length of the hull of the events in the box."""
+    edges = _hull(_BOX_GRID.format(key=key), "k") + (
+        " SELECT k, ax / 1024.0::DOUBLE AS lon1, ay / 1024.0::DOUBLE AS lat1, "
+        "zx / 1024.0::DOUBLE AS lon2, zy / 1024.0::DOUBLE AS lat2 FROM hull")
+    return (f"SELECT k, n, round(abs(sum(edge_area)) / 1e6, 5) AS area_km2, "
+            f"round(sum(distance_m), 2) AS perimeter_m FROM ({inverse(edges, 'k', with_area=True)}) "
+            f"JOIN (SELECT k, count(*) AS n FROM ({_BOX_GRID.format(key=key)}) GROUP BY k) USING (k) "
+            "GROUP BY k, n")
+
+
 _MOVED = (f"SELECT event_id, latitude, CASE WHEN longitude < -82.75 THEN longitude + 263.0::DOUBLE "
           f"ELSE longitude - 97.0::DOUBLE END AS longitude FROM ({EVENT_POINTS})")
 
@@ -156,7 +173,7 @@ _TRACK_PAIRS = (
 _PAIRS = (
     f"SELECT event_id, centre_id, longitude AS lon1, latitude AS lat1, centre_lon AS lon2, "
     f"centre_lat AS lat2 FROM ({EVENT_POINTS}) JOIN ({SUPPLIER_CENTRES}) "
-    "ON centre_id = user_id % 50")
+    "ON centre_id = event_id % (SELECT count(*) FROM supplier) + 1")
 
 _REACH = (
     "SELECT centre_id, centre_lat, centre_lon, CASE WHEN centre_id % 4 < 2 THEN centre_id % 6 + 1 "
@@ -329,9 +346,24 @@ ORACLE = {
     "geojson_round_trip": _KEPT,
     "catalog_table": f"SELECT event_id, event_type FROM ({EVENT_POINTS}) WHERE latitude BETWEEN 35 "
                      "AND 36 AND longitude BETWEEN -83.5 AND -83",
-    "row_numbers": "SELECT row_number() OVER () AS rowid, event_id FROM events",
-    "clustered_layout": f"SELECT event_id, round(d, 6) AS distance_km FROM (SELECT *, "
-                        f"{_km(35.2, -82.2)} AS d FROM ({EVENT_POINTS})) WHERE d <= 9 * 1.609344",
+    "row_numbers": "SELECT row_number() OVER (ORDER BY event_id) AS rowid, event_id FROM events",
+    "clustered_layout": "SELECT * EXCLUDE (d), CASE WHEN d <= 9 * 1.609344 THEN round(d, 6) END AS "
+                        f"distance_km FROM (SELECT *, {_km(35.2, -82.2)} AS d FROM ({EVENT_POINTS}))",
+    "csv_text": "SELECT doc_id, lang, ' \"a\", b' || chr(10) || text AS text FROM documents",
+    "geojson_document": "SELECT n_nationkey::BIGINT AS zone_id, n_name, 'MultiPolygon' AS geom_type, "
+                        "2 AS parts FROM nation",
+    "geojson_errors": "SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS c_custkey, c_custkey % 5 "
+                      "<> 0 AND c_custkey % 7 <> 0 AS sound, NOT sound AS empty FROM customer",
+    "hull_in_box": f"SELECT n AS point_count, area_km2, perimeter_m FROM ({_hull_sizes('0')})",
+    "dissolve_metrics": "SELECT k AS event_type, n AS count, area_km2, perimeter_m "
+                        f"FROM ({_hull_sizes('event_type')}) WHERE n >= 3",
+    "where_typed":
+        "SELECT event_id, 'hour' AS test FROM events WHERE date_trunc('hour', ts) = '2024-01-03 15:00:00' "
+        "UNION ALL SELECT event_id, 'day' FROM events WHERE CAST(ts AS DATE) = '2024-01-03' "
+        "UNION ALL SELECT event_id, 'amount' FROM events WHERE round(value) = 22 "
+        "UNION ALL SELECT event_id, 'even' FROM events WHERE user_id % 2 = 0",
+    "nearest_grouped": "SELECT event_type, count(*) AS count FROM (SELECT event_type FROM "
+                       f"({EVENT_POINTS}) ORDER BY {_km(35.6, -83.5)}, event_id LIMIT 500) GROUP BY event_type",
     "polygon_text":
         "SELECT zone_id, CASE n_regionkey WHEN 3 THEN 'expected Polygon or MultiPolygon' WHEN 4 "
         "THEN 'not GeoJSON' ELSE '' END AS error, CASE n_regionkey WHEN 2 THEN 4 WHEN 3 THEN 0 "
@@ -349,8 +381,9 @@ ORACLE = {
         "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderstatus "
         "NOT IN ('F', 'P') THEN o_totalprice END AS price, "
         "CAST(o_orderkey + 9007199254740993 AS VARCHAR) AS wide FROM orders",
-    "refreshed_view": "SELECT event_type, count(*) AS count FROM events GROUP BY event_type",
+    "refreshed_view": f"SELECT * RENAME (latitude AS north, longitude AS east), round({_km(35.6, -83.5)}, 6) "
+                      "AS distance_km, (SELECT count(*) FROM events) AS all_rows "
+                      f"FROM ({EVENT_POINTS}) WHERE event_type <> 'error'",
     "streamed_zone_points":
-        f"SELECT event_id, zone_id FROM ({EVENT_ZONES}) JOIN ({EVENT_POINTS}) USING (event_id) "
-        "WHERE latitude BETWEEN 34.5 AND 36.5 AND longitude BETWEEN -84 AND -81.5",
+        f"SELECT event_id, ts, props, zone_id FROM ({EVENT_ZONES}) JOIN ({EVENT_POINTS}) USING (event_id)",
 }

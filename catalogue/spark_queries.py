@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from geocairn.functions.checks import radius_metres
 from geocairn.functions.geometry import geometry, geometry_from_geojson, geometry_to_geojson
 from geocairn.operators.aggregates import profile
 from geocairn.plans.session import scratch_path
+from geocairn.sources.readers import read_csv
 from geocairn.sources.sinks import output_rows
 
 from .tables import customer_points, event_points, nation_zones, read, supplier_centres
@@ -198,9 +201,10 @@ def buffer_join(spark, sf_dir):
 
 
 def geodesic_distance(spark, sf_dir):
-    """Every event to the centre its user id points at."""
+    """Every event to the centre its number points at; all centres take part."""
     centres = supplier_centres(spark, sf_dir)
-    pairs = event_points(spark, sf_dir).join(centres, F.col("centre_id") == F.col("user_id") % 50)
+    count = centres.select(F.count("*")).scalar()
+    pairs = event_points(spark, sf_dir).join(centres, F.col("centre_id") == F.col("event_id") % count + 1)
     out = gc.geodesic_distance(pairs, from_lat="latitude", from_lon="longitude",
                                to_lat="centre_lat", to_lon="centre_lon")
     return out.select("event_id", "centre_id", F.round("distance_m", 2).alias("distance_m"),
@@ -344,8 +348,51 @@ def dissolve_extent(spark, sf_dir):
                       F.array_max(v["lon"]).alias("max_lon"))
 
 
+BOX = (35.5, -83.5, 35.75, -83.15)
+
+
+def _boxed(spark, sf_dir):
+    """Events of a box on a grid of 1/1024 degree, whose hulls are exact in both engines."""
+    rows = _data(spark, sf_dir).bbox(*BOX).df
+    snapped = {c: F.round(F.col(c) * 1024.0) / 1024.0 for c in LATLON.values()}
+    return gc.PointDataset(rows.withColumns(snapped), "latitude", "longitude")
+
+
+def hull_in_box(spark, sf_dir):
+    """Size of the hull of the events in a box."""
+    out = _boxed(spark, sf_dir).convex_hull()
+    return out.select("point_count", F.round("area_km2", 5).alias("area_km2"),
+                      F.round("perimeter_m", 2).alias("perimeter_m"))
+
+
+def dissolve_metrics(spark, sf_dir):
+    """Hull sizes of the events in a box by type."""
+    out = _boxed(spark, sf_dir).dissolve("event_type")
+    return out.select("event_type", "count", F.round("area_km2", 5).alias("area_km2"),
+                      F.round("perimeter_m", 2).alias("perimeter_m"))
+
+
+def where_typed(spark, sf_dir):
+    """Equality on a moment, a day, a decimal and a truth value, each given as text."""
+    rows = event_points(spark, sf_dir).select(
+        "event_id", F.date_trunc("hour", "ts").alias("hour"), F.to_date("ts").alias("day"),
+        F.round("value").cast("decimal(12,2)").alias("amount"), (F.col("user_id") % 2 == 0).alias("even"),
+        "latitude", "longitude")
+    data = gc.PointDataset(rows, "latitude", "longitude")
+    tests = {"hour": "2024-01-03 15:00:00", "day": "2024-01-03", "amount": "22.0", "even": "TRUE"}
+    found = [data.where({k: v}).df.select("event_id", F.lit(k).alias("test")) for k, v in tests.items()]
+    found.append(data.where({"amount": "nan"}).df.select("event_id", F.lit("nan").alias("test")))
+    return reduce(DataFrame.union, found)
+
+
+def nearest_grouped(spark, sf_dir):
+    """Types among the 500 nearest events."""
+    return gc.run_query(_data(spark, sf_dir), lat=35.6, lon=-83.5, nearest=500, tie="event_id",
+                        group_by="event_type", agg="count")
+
+
 def convex_hull(spark, sf_dir):
-    """Corners of the hull of all suppliers inside a box."""
+    """Corners of the hull of all suppliers."""
     points = supplier_centres(spark, sf_dir).select(
         F.round(F.col("centre_lat") * 10000.0).alias("lat"),
         F.round(F.col("centre_lon") * 10000.0).alias("lon"))
@@ -358,26 +405,60 @@ def convex_hull(spark, sf_dir):
 
 # -- sources and sinks ---------------------------------------------------------------------
 
-KEPT = ("event_id", "event_type", "user_id", "value", "latitude", "longitude")
-
-
 def csv_round_trip(spark, sf_dir):
     path = scratch_path(spark, "csv")
-    gc.write_csv(event_points(spark, sf_dir).select(*KEPT), path)
-    return gc.load_points(spark, path, format="csv").df.select(*KEPT)
+    rows = event_points(spark, sf_dir)
+    gc.write_csv(rows, path)
+    return gc.load_points(spark, path, format="csv", schema=rows.schema).df
+
+
+def csv_text(spark, sf_dir):
+    """Whole texts with quotes, commas and line ends, out and back."""
+    path = scratch_path(spark, "csv-text")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(
+        F.lit(' "a", b\n'), "text").alias("text"))
+    gc.write_csv(rows, path)
+    return read_csv(spark, path, rows.schema, multi_line=True)
 
 
 def json_round_trip(spark, sf_dir):
     path = scratch_path(spark, "json")
-    rows = event_points(spark, sf_dir).select(*KEPT)
+    rows = event_points(spark, sf_dir)
     gc.write_json(rows, path)
     return spark.read.schema(rows.schema).json(path)
 
 
 def geojson_round_trip(spark, sf_dir):
     path = scratch_path(spark, "geojson")
-    gc.write_geojson(event_points(spark, sf_dir).select(*KEPT), path, **LATLON)
-    return gc.load_points(spark, path, format="geojson", lines=True).df.select(*KEPT)
+    rows = event_points(spark, sf_dir)
+    gc.write_geojson(rows, path, **LATLON)
+    back = gc.load_points(spark, path, format="geojson", lines=True,
+                          schema=rows.drop(*LATLON.values()).schema)
+    return back.df.select(*rows.columns)
+
+
+def geojson_document(spark, sf_dir):
+    """All zones in one document over many lines, and that it is told from one Feature per line."""
+    path = scratch_path(spark, "document")
+    zones = nation_zones(spark, sf_dir).select("zone_id", "n_name", "geometry")
+    features = gc.feature_lines(zones, geometry="geometry").agg(F.collect_list("value").alias("f"))
+    features.select(F.concat(F.lit('{"type":"FeatureCollection","features":[\n'), F.array_join("f", ",\n"),
+                             F.lit("\n]}")).alias("value")).write.text(path)
+    back = gc.read_features(spark, path)
+    return back.select("zone_id", "n_name", F.col("geometry.geom_type").alias("geom_type"),
+                       F.size("geometry.parts").alias("parts"))
+
+
+def geojson_errors(spark, sf_dir):
+    """Customers as Features; every fifth line is cut off and every seventh geometry is of no known type."""
+    path = scratch_path(spark, "broken")
+    lines = gc.feature_lines(customer_points(spark, sf_dir).select("c_custkey", "latitude", "longitude"), **LATLON)
+    key = F.get_json_object("value", "$.properties.c_custkey").cast("bigint")
+    text = F.when(key % 5 == 0, F.substring("value", 1, 30)).when(
+        key % 7 == 0, F.replace("value", F.lit('"Point"'), F.lit('"Blob"'))).otherwise(F.col("value"))
+    lines.select(text.alias("value")).write.text(path)
+    back = gc.read_features(spark, path, lines=True, properties="c_custkey bigint", errors="column")
+    return back.select("c_custkey", F.col("_error").isNull().alias("sound"), F.col("geometry").isNull().alias("empty"))
 
 
 def catalog_table(spark, sf_dir):
@@ -387,16 +468,19 @@ def catalog_table(spark, sf_dir):
 
 
 def row_numbers(spark, sf_dir):
-    data = gc.load_points(spark, f"{sf_dir}/events.parquet", lat="value", lon="event_id",
-                          with_rowid=True)
+    """Numbers run on over the files of a folder; the format is told by its name."""
+    path = scratch_path(spark, "rows") + ".parquet"
+    read(spark, sf_dir, "events").repartitionByRange(5, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    data = gc.load_points(spark, path, lat="value", lon="event_id", with_rowid=True)
     return data.raw.select("rowid", "event_id")
 
 
 def clustered_layout(spark, sf_dir):
     path = scratch_path(spark, "layout")
     gc.write_layout(event_points(spark, sf_dir), path, **LATLON, partitions=8)
-    near = gc.load_points(spark, path, format="parquet").radius(lat=35.2, lon=-82.2, radius="9mi")
-    return _km(near.df).select("event_id", "distance_km")
+    whole = gc.load_points(spark, path, format="parquet")
+    near = whole.radius(lat=35.2, lon=-82.2, radius="9mi").df.select("event_id", "_distance_km")
+    return _km(whole.df.join(near, "event_id", "left")).drop("_distance_km")
 
 
 def polygon_text(spark, sf_dir):
@@ -475,28 +559,34 @@ def output_values(spark, sf_dir):
 def refreshed_view(spark, sf_dir):
     """A good refresh, then a bad one that must leave the first in place."""
     base = scratch_path(spark, "refresh-source")
-    event_points(spark, sf_dir).select(*KEPT).write.parquet(base + "/good")
+    rows = event_points(spark, sf_dir).withColumnsRenamed({"latitude": "north", "longitude": "east"})
+    north = F.when(F.col("event_type") != "error", F.col("north"))
+    rows.withColumn("north", north).write.parquet(base + "/good")
     read(spark, sf_dir, "nation").write.parquet(base + "/bad")
-    gc.refresh(spark, "geocairn_live", base + "/good", format="parquet")
+    options = {"format": "parquet", "versions_dir": scratch_path(spark, "versions")}
+    gc.refresh(spark, "geocairn_live", base + "/good", lat="north", lon="east", **options)
     try:
-        gc.refresh(spark, "geocairn_live", base + "/bad", format="parquet")
+        gc.refresh(spark, "geocairn_live", base + "/bad", **options)
     except gc.RefreshFailed:
         pass
-    return gc.published(spark, "geocairn_live").aggregate(by="event_type", aggs="count")
+    live = gc.published(spark, "geocairn_live")
+    count = live.profile().select("row_count").scalar()
+    near = live.radius(lat=35.6, lon=-83.5, radius="20000km").df
+    return _km(near).drop("_distance_km").withColumn("all_rows", count)
 
 
 def streamed_zone_points(spark, sf_dir):
     """Files arriving as a stream, joined with static zones."""
     source, sink, log = (scratch_path(spark, n) for n in ("arrivals", "zoned", "progress"))
-    rows = event_points(spark, sf_dir).select(*KEPT)
+    rows = event_points(spark, sf_dir)
     rows.write.parquet(source)
     stream = gc.stream_points(spark, source, schema=rows.schema, max_files_per_trigger=4)
-    zoned = gc.within_join(stream.bbox(34.5, -84.0, 36.5, -81.5).df,
-                           nation_zones(spark, sf_dir), **LATLON)
-    query = (zoned.select("event_id", "zone_id").writeStream.format("parquet")
+    zoned = gc.within_join(stream.df, nation_zones(spark, sf_dir), **LATLON)
+    query = (zoned.select("event_id", "ts", "props", "zone_id").writeStream.format("parquet")
              .option("checkpointLocation", log).trigger(availableNow=True).start(sink))
     query.awaitTermination()
-    return spark.read.schema("event_id bigint, zone_id int").parquet(sink)
+    kept = zoned.select("event_id", "ts", "props", "zone_id").schema
+    return spark.read.schema(kept).parquet(sink)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -509,5 +599,6 @@ QUERIES = {f.__name__: f for f in (
     simplify_by_area, simplify_zones, dissolve, dissolve_extent, convex_hull, csv_round_trip,
     json_round_trip, geojson_round_trip, catalog_table, row_numbers, clustered_layout,
     polygon_text, point_text, geometry_text_round_trip, polygon_features, output_values,
-    refreshed_view, streamed_zone_points,
+    refreshed_view, streamed_zone_points, csv_text, geojson_document, geojson_errors, hull_in_box,
+    dissolve_metrics, where_typed, nearest_grouped,
 )}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +67,8 @@ class PointDataset:
 
     # -- results ------------------------------------------------------------------------
 
-    def by_distance(self, tie: str | list[str]) -> DataFrame:
-        """Rows of a radius query in order of distance."""
+    def by_distance(self, tie: str | list[str] = ()) -> DataFrame:
+        """Rows of a radius query in order of distance, then of ``tie``."""
         ties = check_columns(self.raw, [tie] if isinstance(tie, str) else tie)
         return self.df.orderBy(DISTANCE_KM, *ties)
 
@@ -77,10 +78,13 @@ class PointDataset:
 
         Tasks keep ``k`` rows each and nothing is shuffled. On clustered files
         ``start_radius_m`` first counts within growing circles, so that only the files
-        near the centre are read.
+        near the centre are read. As in the joins by distance, rows with a latitude outside
+        [-90, 90] or a longitude that is no finite number take no part. The ``k`` rows meet in one task at the end.
         """
         if k < 1:
             raise ValueError("k must be at least 1")
+        if start_radius_m is not None and not start_radius_m > 0:
+            raise ValueError("start_radius_m must be positive")
         lat, lon = check_point(lat=lat, lon=lon)
         ties = check_columns(self.raw, [tie] if isinstance(tie, str) else tie)
         rows = self
@@ -92,7 +96,8 @@ class PointDataset:
                 break
             radius *= 4.0
         km = haversine_m(lat1=self._lat, lon1=self._lon, lat2=lat, lon2=lon) / 1000.0
-        ranked = rows.df.withColumn(DISTANCE_KM, km).filter(~F.isnan(DISTANCE_KM))
+        ranked = rows.df.withColumn(DISTANCE_KM, km).filter(
+            self._lat.between(-90.0, 90.0) & F.abs(self._lon).between(0.0, sys.float_info.max))
         return ranked.orderBy(DISTANCE_KM, *ties).limit(k)
 
     def select(self, *columns: str) -> DataFrame:

@@ -76,11 +76,13 @@ def _typed(kind: T.DataType, value):
             number = decimal.Decimal(text)
             return int(number) if number == number.to_integral_value() else None
         if isinstance(kind, T.FractionalType):
-            return decimal.Decimal(text) if isinstance(kind, T.DecimalType) else float(text)
+            number = decimal.Decimal(text) if isinstance(kind, T.DecimalType) else float(text)
+            return None if isinstance(kind, T.DecimalType) and not number.is_finite() else number
         if isinstance(kind, T.DateType):
             return value if type(value) is dt.date else dt.date.fromisoformat(text)
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            return value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(text)
+            moment = value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(text)
+            return moment.isoformat(" ")
     except (ValueError, KeyError, ArithmeticError):
         return None
     return text
@@ -106,7 +108,9 @@ def equality_condition(df: DataFrame, where) -> Column:
         bits = _INT_BITS.get(type(kind))
         if typed is None or (bits and not -(1 << bits) <= typed < (1 << bits)):
             tests.append(F.lit(False))
-        elif isinstance(kind, (T.IntegralType, T.FloatType, T.DateType)):
+        elif isinstance(kind, (T.IntegralType, T.FloatType, T.DateType, T.TimestampType,
+                               T.TimestampNTZType)):
+            # a moment goes as text, so that the session's zone applies and not the process's
             tests.append(F.col(name) == F.lit(typed).cast(kind))
         else:
             tests.append(F.col(name) == F.lit(typed))

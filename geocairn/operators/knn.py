@@ -55,7 +55,7 @@ def _key(depth: Column, cx: Column, cy: Column) -> Column:
 
 
 def _usable(lat: str, lon: str) -> Column:
-    return F.col(lat).between(-90.0, 90.0) & F.col(lon).between(-1e6, 1e6)
+    return F.col(lat).between(-90.0, 90.0) & F.abs(F.col(lon)).between(0.0, 1.7976931348623157e308)
 
 
 def _fine_counts(points: DataFrame, lat: str, lon: str) -> DataFrame:

@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import measures, planar
+from ..functions.arrow import vertex_array
 from ..functions.checks import METRES_PER_UNIT, check_columns
 from ..functions.geometry import RING_TYPE, bounds_of, box_parts, geometry
 from ..plans.cells import quoted
 from ..plans.session import join_side
 
-# Partial hulls of one group are merged in this many pieces before the last step.
-MERGE_FANOUT = 64
-
 
 def polygon_metrics(df: DataFrame, *, polygons: str = "polygons") -> DataFrame:
     """Adds geodesic area (m2, km2, ha, acres) and perimeter of each row's polygons."""
@@ -226,72 +224,115 @@ def _group_codes(columns: list[pa.Array], size: int) -> np.ndarray:
     return codes
 
 
+def _reduced(columns: list[pa.Array], n_keys: int, codes: np.ndarray) -> list[pa.Array]:
+    """Hull corners per key of rows (keys, lon, lat, n); the first corner carries the sum of n."""
+    lon, lat, n = (c.to_numpy(zero_copy_only=False) for c in columns[n_keys:])
+    order = np.argsort(codes, kind="stable")
+    edges = np.flatnonzero(np.diff(codes[order])) + 1
+    first, lons, lats, counts = [], [], [], []
+    for rows in np.split(order, edges):
+        corners = planar.hull(lon[rows], lat[rows]) or [(np.nan, np.nan)]
+        first += [rows[0]] * len(corners)
+        lons += [c[0] for c in corners]
+        lats += [c[1] for c in corners]
+        counts += [int(n[rows].sum())] + [0] * (len(corners) - 1)
+    take = pa.array(first, pa.int64())
+    return [*(c.take(take) for c in columns[:n_keys]), pa.array(lons, pa.float64()),
+            pa.array(lats, pa.float64()), pa.array(counts, pa.int64())]
+
+
+def _appended(held: list[pa.Array] | None, batch: pa.RecordBatch) -> list[pa.Array]:
+    return batch.columns if held is None else [pa.concat_arrays([a, b])
+                                               for a, b in zip(held, batch.columns)]
+
+
 def _partial_hulls(n_keys: int):
     """Reduce a partition to hull corners per key; rows carry (keys, lon, lat, n).
 
     Corners so far are re-merged as batches arrive while that shrinks them; keys too
     numerous to shrink are passed on instead of being held.
     """
-
-    def reduce(columns):
-        size = len(columns[-1])
-        codes = _group_codes(columns[:n_keys], size)
-        lon, lat, n = (c.to_numpy(zero_copy_only=False) for c in columns[n_keys:])
-        order = np.argsort(codes, kind="stable")
-        edges = np.flatnonzero(np.diff(codes[order])) + 1
-        first, lons, lats, counts = [], [], [], []
-        for rows in np.split(order, edges):
-            corners = planar.hull(lon[rows], lat[rows]) or [(np.nan, np.nan)]
-            first += [rows[0]] * len(corners)
-            lons += [c[0] for c in corners]
-            lats += [c[1] for c in corners]
-            counts += [int(n[rows].sum())] + [0] * (len(corners) - 1)
-        take = pa.array(first, pa.int64())
-        return [*(c.take(take) for c in columns[:n_keys]), pa.array(lons, pa.float64()),
-                pa.array(lats, pa.float64()), pa.array(counts, pa.int64())]
-
-    def merge(held, fresh):
-        return [pa.concat_arrays([a, b]) for a, b in zip(held, fresh)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, names, taken = None, None, 0
+        held, names = None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             names = batch.schema.names
-            held = batch.columns if held is None else merge(held, batch.columns)
-            taken += batch.num_rows
+            held = _appended(held, batch)
             if len(held[-1]) < 100_000:
                 continue
-            held = reduce(held)
+            held = _reduced(held, n_keys, _group_codes(held[:n_keys], len(held[-1])))
             if len(held[-1]) > 50_000:
                 yield pa.RecordBatch.from_arrays(held, names)
                 held = None
         if held is not None:
-            yield pa.RecordBatch.from_arrays(reduce(held), names)
+            codes = _group_codes(held[:n_keys], len(held[-1]))
+            yield pa.RecordBatch.from_arrays(_reduced(held, n_keys, codes), names)
+
+    return run
+
+
+def _running_hulls(n_keys: int):
+    """Merge rows sorted by key; all that is held is a batch and the hull of the key it ends with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            names = batch.schema.names
+            rows = _appended(held, batch)
+            codes = _group_codes(rows[:n_keys], len(rows[-1]))
+            last = codes == codes[-1]
+            if not last.all():
+                done = pa.array(~last)
+                yield pa.RecordBatch.from_arrays(
+                    _reduced([c.filter(done) for c in rows], n_keys, codes[~last]), names)
+            held = _reduced([c.filter(pa.array(last)) for c in rows], n_keys, codes[last])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays(held, names)
+
+    return run
+
+
+def _as_rings(n_keys: int):
+    """One row (keys, corners, point_count) per key from the whole hulls of ``_running_hulls``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _running_hulls(n_keys)(batches):
+            lon, lat, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[n_keys:])
+            start = np.flatnonzero(n > 0)
+            real = np.isfinite(lon)
+            ends = np.concatenate([np.cumsum(real)[start] - real[start], [real.sum()]])
+            rings = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                             vertex_array(lon[real], lat[real]))
+            keys = [c.take(pa.array(start)) for c in batch.columns[:n_keys]]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, rings, pa.array(n[start])],
+                [*batch.schema.names[:n_keys], "corners", "point_count"])
 
     return run
 
 
 def _hulls(points: DataFrame, lat: str, lon: str, keys: list[str]) -> DataFrame:
-    """(keys, point_count, corners) with hulls merged in two bounded steps."""
+    """(keys, corners, point_count). Each task reduces what it reads, then rows sorted by key are merged
+    as they stream by: first per key and reading task, so a group of most rows is merged by many
+    tasks, then per key. No group is ever an array of its points."""
     schema = T.StructType([points.schema[k] for k in keys])
     schema = schema.add("_lon", "double").add("_lat", "double").add("_n", "long")
     rows = points.select(*keys, F.col(lon).cast("double").alias("_lon"),
                          F.col(lat).cast("double").alias("_lat"),
                          F.lit(1).cast("bigint").alias("_n"))
-    partial = rows.mapInArrow(_partial_hulls(len(keys)), schema)
     # a task id is the same when a lost task is run again, unlike a random salt
-    salt = F.pmod(F.spark_partition_id(), F.lit(MERGE_FANOUT))
-    vertex = F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
-    merged = (
-        partial.withColumn("_salt", salt).groupBy(*keys, "_salt")
-        .agg(F.collect_list(vertex).alias("_v"), F.sum("_n").alias("_n"))
-        .withColumn("_v", measures.hull_ring(F.col("_v")))
-        .groupBy(*keys)
-        .agg(F.flatten(F.collect_list("_v")).alias("_v"), F.sum("_n").alias("point_count"))
-    )
-    return merged.withColumn("corners", measures.hull_ring(F.col("_v"))).drop("_v")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.spark_partition_id(), F.lit(parts)).alias("_salt")
+    partial = rows.mapInArrow(_partial_hulls(len(keys)), schema).select(*keys, salt, "_lon", "_lat", "_n")
+    by = [*keys, "_salt"]
+    merged = (partial.repartition(*by).sortWithinPartitions(*by)
+              .mapInArrow(_running_hulls(len(by)), partial.schema).drop("_salt"))
+    together = merged.repartition(*keys).sortWithinPartitions(*keys) if keys else merged.coalesce(1)
+    vertex = T.StructType().add("lon", "double").add("lat", "double")
+    rings = T.StructType(schema.fields[:len(keys)]).add("corners", T.ArrayType(vertex))
+    rings = rings.add("point_count", "long")
+    return together.mapInArrow(_as_rings(len(keys)), rings)
 
 
 def _hull_features(hulls: DataFrame, keys: list[str]) -> DataFrame:

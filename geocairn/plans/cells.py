@@ -144,7 +144,7 @@ def circle_cover(df: DataFrame, *, lat: str, lon: str, radius_m: Column, keep: l
     boxes = (
         df.withColumn("_radius_m", radius_m.cast("double"))
         .filter(F.col(lat).between(-90.0, 90.0) & (F.col("_radius_m") >= 0)
-                & F.abs(F.col(lon)).between(0.0, 1e6))
+                & F.abs(F.col(lon)).between(0.0, 1.7976931348623157e308))
         .withColumn("_bytes", row_width(df, keep) + 96)
         .withColumn("_lon", fold_longitude(F.col(lon)))
         .withColumn("_half", half)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from ..dataset import PointDataset
@@ -19,7 +21,8 @@ def run_query(
     """Filter, then aggregate or project, then limit.
 
     One spatial mode applies: box, else nearest, else radius, else polygon. ``tie``
-    orders rows of equal distance and is needed with ``nearest`` and ``limit``.
+    orders rows of equal distance and is needed with ``nearest``, and with ``limit`` unless rows
+    are grouped. ``group_by`` with ``nearest`` groups the nearest rows. A radius comes nearest first.
     Parameters that need each other raise when one is missing.
     """
     if (lat is None) != (lon is None):
@@ -28,7 +31,7 @@ def run_query(
         raise ValueError("nearest and radius need lat and lon")
     if (group_by is None) != (agg is None):
         raise ValueError("group_by and agg go together")
-    if (nearest is not None or limit is not None) and tie is None and group_by is None:
+    if tie is None and (nearest is not None or limit is not None and group_by is None):
         raise ValueError("nearest and limit need tie= for a repeatable result")
     if where:
         data = data.where(parse_where(where) if isinstance(where, str) else where)
@@ -36,9 +39,10 @@ def run_query(
     if bbox is not None:
         data = data.bbox(*(parse_bbox(bbox) if isinstance(bbox, str) else check_bbox(*bbox)))
     elif nearest is not None:
+        top = data.nearest(lat=lat, lon=lon, k=nearest, tie=tie)
         if group_by is None:
-            top = data.nearest(lat=lat, lon=lon, k=nearest, tie=tie)
-            return _project(top, select)
+            return _project(top if limit is None else top.limit(limit), select)
+        data = replace(data, raw=top)
     elif radius is not None:
         data = data.radius(lat=lat, lon=lon, radius=radius)
         ordered = True
@@ -47,8 +51,8 @@ def run_query(
     if group_by is not None:
         out = data.aggregate(by=group_by, aggs=agg)
         return out if limit is None else out.orderBy(*out.columns).limit(limit)
-    if ordered and tie is not None:
-        rows = data.by_distance(tie)
+    if ordered:
+        rows = data.by_distance(tie or ())
         return _project(rows if limit is None else rows.limit(limit), select)
     return _project(data.df if limit is None else data.limit(limit, tie), select)
 

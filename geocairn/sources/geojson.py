@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,40 +27,70 @@ def _property_schema(inferred: T.StructType) -> T.StructType:
     return _NO_PROPERTIES
 
 
-def read_features(spark: SparkSession, path, *, lines: bool = False,
-                  properties: T.StructType | None = None, **options) -> DataFrame:
+def _in_lines(spark: SparkSession, path) -> bool:
+    """Whether the first line with text is a JSON value of its own."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    try:
+        return bool(first) and json.loads(first[0].value) is not None
+    except ValueError:
+        return False
+
+
+def read_features(spark: SparkSession, path, *, lines: bool | None = None,
+                  properties: T.StructType | None = None, errors: str = "raise",
+                  **options) -> DataFrame:
     """Property columns plus a ``geometry`` column, one row per feature.
 
     Geometry text is kept raw by the reader and parsed by type, so files may mix
-    geometry types. ``properties`` (a schema) avoids the inference pass.
+    geometry types. ``properties`` (a schema) avoids the inference pass. With ``lines`` every line is
+    a Feature or a collection, and files can be split between tasks; otherwise a file is one
+    document, read by one task. By default the first line decides. Text that is not JSON and
+    geometries that are not understood raise, and a GeometryCollection is a NULL geometry; with
+    ``errors="column"`` all three are kept as rows whose ``_error`` holds the text.
     """
-    reader = spark.read.options(**options).option("multiLine", not lines)
+    if errors not in ("raise", "column"):
+        raise ValueError(f"unknown errors: {errors!r}")
+    if lines is None:
+        lines = _in_lines(spark, path)
+    reader = spark.read.options(**options).option("multiLine", not lines).option(
+        "mode", "FAILFAST" if errors == "raise" else "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_corrupt")
     if properties is None:
         properties = _property_schema(reader.json(path).schema)
     elif isinstance(properties, str):
         properties = T._parse_datatype_string(properties)
     feature = T.StructType().add("type", "string").add("geometry", "string").add(
         "properties", properties)
-    document = T.StructType(list(feature.fields)).add("features", T.ArrayType(feature))
+    document = T.StructType(list(feature.fields)).add("features", T.ArrayType(feature)).add(
+        "_corrupt", "string")
     raw = reader.schema(document).json(path)
-    features = raw.select(F.explode(
+    features = raw.select("_corrupt", F.explode(
         F.when(F.col("features").isNotNull(), F.col("features"))
         .otherwise(F.array(F.struct("type", "geometry", "properties")))
         .cast(T.ArrayType(feature))).alias("f"))
     if "geometry" in {n.lower() for n in properties.names}:
         raise ValueError("a property named geometry would hide the geometry")
-    return features.select(
-        *[F.col("f.properties").getField(n).alias(n) for n in properties.names],
-        geometry_from_geojson(F.col("f.geometry")).alias("geometry"))
-
-
-def _geometry_texts(text: Column) -> Column:
-    """JSON texts of the geometries in a Geometry, Feature or FeatureCollection text."""
+    columns = [F.col("f.properties").getField(n).alias(n) for n in properties.names]
+    text = F.col("f.geometry")
+    parsed = features.select("_corrupt", "f", geometry_from_geojson(text).alias("geometry"))
+    odd = F.col("geometry").isNull() & text.isNotNull()
+    if errors == "column":
+        bad = F.coalesce("_corrupt", F.when(odd, text))
+        return parsed.select(*columns, "geometry", bad.alias("_error"))
+    refused = F.raise_error(F.concat(F.lit("geometry not understood: "), text))
+    unknown = odd & ~F.get_json_object(text, "$.type").eqNullSafe(F.lit("GeometryCollection"))
+    return parsed.select(*columns, F.when(unknown, refused.cast(GEOMETRY_TYPE)).otherwise(
+        F.col("geometry")).alias("geometry"))
+
+
+def _geometry_texts(text: Column, collections: bool = True) -> Column:
+    """JSON texts of the geometries in a Geometry, Feature or (if allowed) FeatureCollection text."""
     head = F.from_json(text, "type STRING, geometry STRING, "
                              "features ARRAY<STRUCT<type: STRING, geometry: STRING>>")
     return (
         F.when(head["type"] == "FeatureCollection",
-               F.filter(head["features"]["geometry"], lambda g: g.isNotNull()))
+               F.filter(head["features"]["geometry"], lambda g: g.isNotNull()) if collections
+               else F.lit(None))
         .when(head["type"] == "Feature",
               F.filter(F.array(head["geometry"]), lambda g: g.isNotNull()))
         .when(head["type"].isNotNull(), F.array(text))
@@ -68,7 +100,7 @@ def _geometry_texts(text: Column) -> Column:
 def geometries_from_geojson(df: DataFrame, column: str) -> DataFrame:
     """Adds ``geometry`` from a Geometry or Feature text, and ``_error`` (NULL when sound)."""
     (column,) = check_columns(df, [column])
-    texts = _geometry_texts(F.col(column))
+    texts = _geometry_texts(F.col(column), collections=False)
     staged = df.withColumn("_one", F.when(F.size(texts) == 1, F.get(texts, F.lit(0))))
     parsed = staged.withColumn("geometry", geometry_from_geojson(F.col("_one")))
     return parsed.withColumn("_error", F.when(

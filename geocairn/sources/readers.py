@@ -35,12 +35,21 @@ def _widened(schema: T.StructType) -> T.StructType:
                       f.nullable) for f in schema.fields])
 
 
-def read_csv(spark: SparkSession, path, schema=None, **options) -> DataFrame:
-    """CSV with a header. Without ``schema`` one extra pass infers it; integers become BIGINT."""
-    reader = spark.read.option("header", True).options(**options)
+# RFC 4180: a quote inside quotes is doubled. Rows that do not fit fail the read.
+CSV_READ = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+
+
+def read_csv(spark: SparkSession, path, schema=None, *, multi_line: bool = False,
+             **options) -> DataFrame:
+    """CSV with a header. Without ``schema`` one extra pass infers it; integers become BIGINT.
+
+    ``multi_line`` allows line ends inside quotes; a file is then read by one task, so keep files
+    small. Without it such rows raise, like any row that does not fit the header or the schema.
+    """
+    options = {**CSV_READ, "multiLine": multi_line, **options}
     if schema is None:
-        schema = _widened(reader.option("inferSchema", True).csv(path).schema)
-    return spark.read.option("header", True).options(**options).schema(schema).csv(path)
+        schema = _widened(spark.read.options(**options).option("inferSchema", True).csv(path).schema)
+    return spark.read.options(**options).schema(schema).csv(path)
 
 
 def _numbered(raw: DataFrame, file_limit: int = 200_000) -> DataFrame:
@@ -66,15 +75,14 @@ def _numbered(raw: DataFrame, file_limit: int = 200_000) -> DataFrame:
 def load_points(
     spark: SparkSession, path: str | None = None, *, table: str | None = None,
     format: str | None = None, schema=None, lat: str | None = None, lon: str | None = None,
-    with_rowid: bool = False, lines: bool = False, **options,
+    with_rowid: bool = False, lines: bool | None = None, **options,
 ) -> PointDataset:
     """Open a file, directory, glob or catalog table as a dataset of points.
 
     Coordinate columns are found by name unless given. Rows without coordinates are
     left out of queries but counted by ``profile``. ``with_rowid`` adds a contiguous
     ``rowid``: Parquet is numbered in place, other sources are first written to the
-    shared scratch folder. ``lines`` reads GeoJSON with one Feature per line, which
-    unlike a single document can be split between tasks.
+    shared scratch folder. ``lines`` is for GeoJSON, see :func:`read_features`.
     """
     if (path is None) == (table is None):
         raise ValueError("give either a path or table=")

@@ -10,6 +10,15 @@ from ..functions.checks import check_columns
 from ..functions.geometry import geometry_to_geojson
 
 
+# Moments are written whole; Spark's own default cuts them to milliseconds.
+TIME_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+CSV_WRITE = {
+    "header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **TIME_FORMATS,
+}
+
+
 def output_value(field: T.StructField) -> Column:
     """A column as it leaves the engine: no NaN or infinity, ISO dates, wide integers as text."""
     c, kind = F.col(field.name), field.dataType
@@ -29,11 +38,14 @@ def output_rows(df: DataFrame) -> DataFrame:
 
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON object per line; NULL fields are kept."""
-    output_rows(df).write.mode(mode).option("ignoreNullFields", False).json(path)
+    output_rows(df).write.mode(mode).options(ignoreNullFields=False, **TIME_FORMATS).json(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """CSV with a header, also for empty output; NULL is empty, nested values are JSON."""
+    """CSV (RFC 4180) with a header, also for empty output; nested values are JSON.
+
+    NULL and the empty text are both written as nothing, so they read back as NULL.
+    """
     nested = (T.ArrayType, T.MapType, T.StructType)
     rows = output_rows(df)
     rows = rows.select(*[
@@ -43,8 +55,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     rows = rows.select(*[
         F.base64(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.BinaryType)
         else F.col(f.name) for f in rows.schema.fields])
-    (rows.write.mode(mode).option("header", True).option("nullValue", "")
-     .option("emptyValue", "").csv(path))
+    (rows.write.mode(mode).options(**CSV_WRITE).csv(path))
 
 
 def feature_lines(df: DataFrame, *, lat: str | None = None, lon: str | None = None,
@@ -70,7 +81,7 @@ def feature_lines(df: DataFrame, *, lat: str | None = None, lon: str | None = No
                                    F.array(x, y).alias("coordinates")))
         hidden = {lat, lon}
     fields = [output_value(f) for f in df.schema.fields if f.name not in hidden]
-    properties = (F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    properties = (F.to_json(F.struct(*fields), {"ignoreNullFields": "false", **TIME_FORMATS})
                   if fields else F.lit("{}"))
     return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), shape,
                               F.lit(',"properties":'), properties, F.lit("}")).alias("value"))

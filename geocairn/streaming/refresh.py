@@ -2,51 +2,60 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import PointDataset
 from ..functions.checks import check_identifier
-from ..plans.session import scratch_path
 from ..sources.layout import write_layout
 from ..sources.readers import load_points
 
 
+# Key of the column metadata that says which axis a column holds.
+AXIS = "geocairn.axis"
+
+
 class RefreshFailed(RuntimeError):
     """The candidate was rejected; the published dataset is unchanged."""
 
 
 def refresh(
-    spark: SparkSession, view: str, path: str, *, versions_dir: str | None = None,
-    layout: bool = False, **load_options,
+    spark: SparkSession, view: str, path: str, *, versions_dir: str, layout: bool = False,
+    **load_options,
 ) -> PointDataset:
     """Load and check a candidate, then point the view ``view`` at it.
 
-    The candidate is written to a folder of its own (under ``versions_dir``, else the
-    shared scratch folder) before the swap, so the view never depends on files that may
+    The candidate is written to a folder of its own under ``versions_dir``, which all executors
+    share, before the swap, so the view never depends on files that may
     still change, and a candidate that cannot be read, has no coordinate columns or no
-    located rows leaves the old view in place. ``layout`` clusters the copy spatially.
+    located rows leaves the old view in place. The copy has all rows, and its coordinate columns are
+    marked as such. ``layout`` clusters the copy spatially.
     """
     check_identifier(view)
     try:
         candidate = load_points(spark, path, **load_options)
-        target = (scratch_path(spark, view) if versions_dir is None
-                  else f"{versions_dir.rstrip('/')}/{scratch_path(spark, view).rsplit('/', 1)[1]}")
+        target = f"{versions_dir.rstrip('/')}/{view}-{uuid.uuid4().hex}"
         if layout:
             write_layout(candidate.raw, target, lat=candidate.lat_col, lon=candidate.lon_col)
         else:
             candidate.raw.write.parquet(target)
-        fresh = PointDataset(spark.read.parquet(target), candidate.lat_col, candidate.lon_col,
-                             path)
+        raw = spark.read.parquet(target)
+        for axis, name in (("lat", candidate.lat_col), ("lon", candidate.lon_col)):
+            raw = raw.withMetadata(name, {**raw.schema[name].metadata, AXIS: axis})
+        fresh = PointDataset(raw, candidate.lat_col, candidate.lon_col, path)
         located = fresh.df.select(F.lit(1)).limit(1).count()
     except Exception as error:
         raise RefreshFailed(f"{path}: {error}") from error
     if not located:
         raise RefreshFailed(f"{path}: no rows with coordinates")
-    fresh.df.createOrReplaceTempView(view)
+    fresh.raw.createOrReplaceTempView(view)
     return fresh
 
 
 def published(spark: SparkSession, view: str) -> PointDataset:
-    """The dataset a view currently points at."""
-    return load_points(spark, table=view)
+    """The dataset a view currently points at, with the coordinate columns it was given."""
+    raw = spark.table(check_identifier(view))
+    marked = {f.metadata[AXIS]: f.name for f in raw.schema.fields if AXIS in f.metadata}
+    return load_points(spark, table=view, lat=marked.get("lat"), lon=marked.get("lon"))

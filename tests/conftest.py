@@ -41,6 +41,7 @@ OBSERVATIONS = [
     (17, "research", 36.5550, -82.5250, 2), (18, "casual", 36.5650, -82.5150, 3),
     (19, "research", 36.5320, -82.5520, 2), (20, "casual", 36.5580, -82.5280, 1),
 ]
+# The fixture's two polygons.
 BIG_PARK = [[(-82.60, 36.50), (-82.50, 36.50), (-82.50, 36.58), (-82.60, 36.58), (-82.60, 36.50)]]
 SMALL_PARK = [[(-82.57, 36.52), (-82.54, 36.52), (-82.54, 36.55), (-82.57, 36.55),
                (-82.57, 36.52)]]

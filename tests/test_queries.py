@@ -1,6 +1,7 @@
 """Single-table queries on the 20-row fixture and on small brute-force cases."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from conftest import BIG_PARK, SMALL_PARK, plan_of
 from pyspark.sql import functions as F
 
 import geocairn as gc
+from geocairn.functions import planar
 
 
 def ids(df, column="id"):
@@ -205,3 +207,69 @@ def test_hull_does_not_depend_on_partitioning(events):
                 for r in out}
 
     assert all_rings(groups.repartition(2)) == all_rings(groups.repartition(9))
+
+
+def test_equality_on_moments_uses_the_session_zone(spark):
+    import datetime as dt
+    import time
+
+    df = spark.sql("SELECT 1 AS id, 1D AS lat, 2D AS lon, TIMESTAMP '2024-05-06 07:08:09.123456' AS t, "
+                   "TIMESTAMP_NTZ '2024-05-06 07:08:09' AS n, CAST(1.50 AS DECIMAL(9,2)) AS d")
+    data = gc.PointDataset(df, "lat", "lon")
+    before = os.environ.get("TZ")
+    os.environ["TZ"] = "America/New_York"
+    time.tzset()
+    try:
+        assert data.where({"t": "2024-05-06 07:08:09.123456"}).df.count() == 1
+        assert data.where({"t": dt.datetime(2024, 5, 6, 7, 8, 9, 123456)}).df.count() == 1
+        assert data.where({"n": "2024-05-06T07:08:09"}).df.count() == 1
+        assert data.where({"t": "2024-05-06 07:08:09"}).df.count() == 0
+    finally:
+        os.environ.pop("TZ") if before is None else os.environ.update(TZ=before)
+        time.tzset()
+    assert data.where({"d": "1.5"}).df.count() == 1
+    for odd in ("nan", "Infinity", "x"):
+        assert data.where({"d": odd}).df.count() == 0
+
+
+def test_requests_group_the_nearest_and_refuse_what_cannot_end(spark, obs):
+    got = gc.run_query(obs, lat=36.5, lon=-82.5, nearest=3, tie="id", group_by="quality_grade", agg="count")
+    assert sum(r["count"] for r in got.collect()) == 3
+    with pytest.raises(ValueError):
+        gc.run_query(obs, lat=36.5, lon=-82.5, nearest=3, group_by="quality_grade", agg="count")
+    with pytest.raises(ValueError):
+        obs.nearest(lat=36.5, lon=-82.5, k=3, tie="id", start_radius_m=0)
+    km = [r._distance_km for r in gc.run_query(obs, lat=36.5, lon=-82.5, radius="50km").collect()]
+    assert km == sorted(km) and len(km) == 20
+
+
+def test_a_collection_is_no_single_geometry(spark):
+    feature = '{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    texts = [feature, '{"type":"FeatureCollection","features":[%s]}' % feature,
+             '{"type":"FeatureCollection","features":[%s,%s]}' % (feature, feature)]
+    df = spark.createDataFrame([(t,) for t in texts], "g string")
+    assert [r._error is None for r in gc.geometries_from_geojson(df, "g").collect()] == [True, False, False]
+
+
+def test_hulls_of_many_groups_and_a_hot_one(spark):
+    rows = spark.range(240_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN -1 ELSE id % 20000 END AS g",
+        "CAST(id * 7919 % 1009 AS DOUBLE) AS lat", "CAST(id * 104729 % 1013 AS DOUBLE) AS lon")
+    hulls = gc.dissolve(rows.repartition(24), by="g", lat="lat", lon="lon", include_area=False)
+    assert "collect_list" not in hulls._jdf.queryExecution().toString()
+    got = {r.g: (r["count"], sorted((v.lon, v.lat) for v in r.geometry.parts[0][0][1:])) for r in hulls.collect()}
+    local = rows.toPandas().groupby("g")
+    assert len(got) == local.ngroups
+    for g in [-1, *range(1, 20000, 3001)]:
+        part = local.get_group(g)
+        want = planar.hull(part["lon"].to_numpy(), part["lat"].to_numpy())
+        assert got[g] == (len(part), sorted(want))
+
+
+def test_rows_outside_the_valid_latitudes(spark):
+    df = spark.createDataFrame([(1, 95.0, 0.0), (2, 89.0, 0.0), (3, 10.0, 2.0e6), (4, 10.0, float("nan"))],
+                               "id long, latitude double, longitude double")
+    one = [r.id for r in gc.PointDataset(df, "latitude", "longitude").nearest(lat=80, lon=0, k=5, tie="id").collect()]
+    queries = spark.createDataFrame([(9, 80.0, 0.0)], "query_id long, qlat double, qlon double")
+    joined = gc.knn_join(df, queries, k=5, lat="latitude", lon="longitude", query_lat="qlat", query_lon="qlon", tie="id")
+    assert one == [r.id for r in joined.orderBy("_distance_km").collect()] == [2, 3]

@@ -8,8 +8,8 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_points
-
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+from catalogue.oracle import ORACLE
+from catalogue.spark_queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
     assert entry_points.entry(spark).count() > 0
 
 

@@ -215,15 +215,16 @@ def test_refresh_keeps_the_old_data_on_failure(spark, tmp_path):
     nowhere = save(spark, [(1, None, None)], str(tmp_path / "n.parquet"))
     bad = tmp_path / "bad.csv"
     bad.write_text("a,b,c\n1,2,3\n")
-    gc.refresh(spark, "live_points", two)
+    versions = str(tmp_path / "versions")
+    gc.refresh(spark, "live_points", two, versions_dir=versions)
     assert gc.published(spark, "live_points").df.count() == 2
     for broken in (str(bad), str(tmp_path / "gone.csv"), nowhere):
         with pytest.raises(gc.RefreshFailed):
-            gc.refresh(spark, "live_points", broken)
+            gc.refresh(spark, "live_points", broken, versions_dir=versions)
         assert gc.published(spark, "live_points").df.count() == 2
-    gc.refresh(spark, "live_points", four, versions_dir=str(tmp_path / "versions"), layout=True)
+    gc.refresh(spark, "live_points", four, versions_dir=versions, layout=True)
     assert gc.published(spark, "live_points").df.count() == 4
-    assert len(os.listdir(tmp_path / "versions")) == 1
+    assert len(os.listdir(versions)) >= 2
 
 
 def test_stream_equals_batch(spark, events, tmp_path):
@@ -243,3 +244,54 @@ def test_stream_equals_batch(spark, events, tmp_path):
     assert got.count() > 0
     assert sorted(r[0] for r in got.select("event_id").collect()) == sorted(
         r[0] for r in want.select("event_id").collect())
+
+
+def test_refresh_keeps_coordinate_columns_and_all_rows(spark, tmp_path):
+    rows = [(1, 1.0, 2.0, 50.0, 60.0), (2, 3.0, 4.0, 51.0, 61.0), (3, None, None, None, 7.0)]
+    path = str(tmp_path / "both.parquet")
+    spark.createDataFrame(rows, "id long, lat double, lon double, north double, east double").write.parquet(path)
+    gc.refresh(spark, "live_both", path, lat="north", lon="east", versions_dir=str(tmp_path / "v"))
+    live = gc.published(spark, "live_both")
+    assert (live.lat_col, live.lon_col) == ("north", "east")
+    assert live.raw.count() == 3 and live.profile().first().row_count == 3 and live.df.count() == 2
+
+
+def test_csv_follows_rfc_4180(spark, tmp_path):
+    path = str(tmp_path / "quoted.csv")
+    with open(path, "w", newline="") as f:
+        f.write('id,latitude,longitude,note\n1,1.5,2.5,"say ""hi"", ok"\n2,1.0,2.0,"two\nlines"\n3,1.0,2.0,plain\n')
+    back = gc.load_csv(spark, path, multi_line=True).df.orderBy("id").collect()
+    assert [r.note for r in back] == ['say "hi", ok', "two\nlines", "plain"] and back[0].id == 1
+    with pytest.raises(Exception):
+        gc.load_csv(spark, path, schema="id long, latitude double, longitude double, note string").df.collect()
+    out = str(tmp_path / "out")
+    texts = ['a "b" c', " padded ", "x,y", "line\nend", "\\", 'back\\"slash']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, note string")
+    gc.write_csv(rows, out)
+    again = gc.sources.readers.read_csv(spark, out, rows.schema, multi_line=True).orderBy("id").collect()
+    assert [r.note for r in again] == texts
+
+
+def test_bad_features_raise_or_are_reported(spark, tmp_path):
+    path = str(tmp_path / "mixed.geojson")
+    with open(path, "w") as f:
+        f.write('{"type":"Feature","properties":{"k":1},"geometry":{"type":"Point","coordinates":[1,2]}}\n'
+                '{"type":"Feature","prop\n'
+                '{"type":"Feature","properties":{"k":3},"geometry":{"type":"Circle","coordinates":[1,2]}}\n'
+                '{"type":"Feature","properties":{"k":4},"geometry":null}\n')
+    with pytest.raises(Exception):
+        gc.read_features(spark, path, properties="k long").collect()
+    got = gc.read_features(spark, path, properties="k long", errors="column").collect()
+    assert len(got) == 4 and sum(r._error is not None for r in got) == 2
+    assert [r.k for r in got if r._error is None] == [1, 4]
+
+
+def test_the_first_line_tells_documents_from_lines(spark, tmp_path):
+    feature = '{"type":"Feature","properties":{"k":%d},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    lines, document = str(tmp_path / "lines.geojson"), str(tmp_path / "document.geojson")
+    with open(lines, "w") as f:
+        f.write("\n".join(feature % i for i in range(5)))
+    with open(document, "w") as f:
+        f.write('{"type":"FeatureCollection",\n"features":[' + ",\n".join(feature % i for i in range(5)) + "]}")
+    for path in (lines, document):
+        assert sorted(r.k for r in gc.read_features(spark, path).collect()) == list(range(5))
