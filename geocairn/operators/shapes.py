@@ -14,8 +14,7 @@ from ..functions import measures, planar
 from ..functions.arrow import vertex_array
 from ..functions.checks import METRES_PER_UNIT, check_columns
 from ..functions.geometry import RING_TYPE, bounds_of, box_parts, geometry
-from ..plans.cells import quoted
-from ..plans.session import join_side
+from ..plans.session import join_side, materialize, row_width
 
 
 def polygon_metrics(df: DataFrame, *, polygons: str = "polygons") -> DataFrame:
@@ -114,55 +113,45 @@ def geodesic_distance(df: DataFrame, *, from_lat: str, from_lon: str, to_lat: st
     return df.withColumn("_g", pair).select(*df.columns, *measures.distance_fields(F.col("_g")))
 
 
-_MOST_SLICES = 4096
-_BLOCK = 64
+_BLOCK = 256
 
 
 def _same_keys(keys: list[str]) -> list[Column]:
     return [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
 
 
-def _slices(points: DataFrame, keys: list[str], first: str, long_track: int):
+def _slices(points: DataFrame, keys: list[str], by: list[str], long_track: int):
     """Points with ``_slice``, and whether any track has more than one.
 
-    A long track is cut at quantiles of ``first`` into stretches of about ``long_track``
-    rows, so a track holding much of the table becomes many window groups. The slice
-    depends on values only, never on task placement.
+    A long track is cut where the hash of a row's order columns is divisible by ``long_track``, so into
+    stretches of about that many rows, whatever the types of the columns and however often the first
+    one repeats. The slice depends on values only, never on task placement.
     """
     whole = points.withColumn("_slice", F.lit(0))
-    kind = points.schema[first].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return whole, False
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    own = [f"_k{i}" for i in range(len(keys))]
     long = points.groupBy(*named).agg(F.count("*").alias("_rows")).filter(
         F.col("_rows") > long_track)
-    tracks, rows = long.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).collect()[0]
+    tracks, width = long.agg(F.count("*"), F.sum(row_width(long, own))).first()
     if not tracks:
         return whole, False
-    small = 64 * tracks + 8 * (rows // long_track + tracks)
-    part = F.least(F.ceil(F.col("_rows") / long_track), F.lit(_MOST_SLICES)).cast("int")
-    quantiles = [i / _MOST_SLICES for i in range(1, _MOST_SLICES)]
+    place = F.struct(*[F.col(c) for c in by])
     cuts = (
-        points.join(join_side(long, small), _same_keys(keys))
-        .groupBy(*[f"_k{i}" for i in range(len(keys))], part.alias("_parts"))
-        .agg(F.percentile_approx(first, quantiles, 4 * _MOST_SLICES).alias("_q"))
-        .withColumn("_cuts", F.expr(
-            f"transform(sequence(1, _parts - 1), j -> _q[CAST(j * {_MOST_SLICES}L / _parts AS INT)"
-            " - 1])"))
-        .withColumn("_coarse", F.expr(
-            f"filter(_cuts, (c, i) -> i % {_BLOCK} = 0)"))
-        .drop("_q", "_parts")
-    )
+        points.filter(F.pmod(F.xxhash64(F.lit("cut"), *by), F.lit(long_track)) == 0)
+        .join(join_side(long, width), _same_keys(keys))
+        .groupBy(*own).agg(F.array_sort(F.collect_set(place)).alias("_cuts")))
+    cuts = materialize(cuts, "cuts")
+    size = cuts.agg(F.sum(row_width(cuts, cuts.columns))).first()[0] or 0
     # two short searches instead of one along all cuts
-    x = quoted(first)
-    block = f"size(filter(_coarse, c -> c <= {x}))"
-    within = (f"size(filter(slice(_cuts, (_block - 1) * {_BLOCK} + 1, {_BLOCK}), c -> c <= {x}))")
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % _BLOCK == 0))
+    block = F.size(F.filter("_coarse", lambda c: c <= place))
+    within = F.size(F.filter(F.slice("_cuts", (F.col("_block") - 1) * _BLOCK + 1, F.lit(_BLOCK)),
+                             lambda c: c <= place))
     placed = (
-        points.join(join_side(cuts, small), _same_keys(keys), "left")
-        .withColumn("_block", F.expr(f"CASE WHEN _cuts IS NULL THEN 0 ELSE {block} END"))
-        .withColumn("_slice", F.expr(
-            f"CASE WHEN _block = 0 THEN 0 ELSE (_block - 1) * {_BLOCK} + {within} END"))
-    )
+        points.join(join_side(cuts, 2 * size), _same_keys(keys), "left")
+        .withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(block))
+        .withColumn("_slice", F.when(F.col("_block") == 0, 0).otherwise(
+            (F.col("_block") - 1) * _BLOCK + within)))
     return placed.select(*points.columns, "_slice"), True
 
 
@@ -170,13 +159,13 @@ def track_steps(points: DataFrame, *, lat: str, lon: str, track: str | list[str]
                 order: str | list[str], long_track: int = 5_000_000) -> DataFrame:
     """Adds the distance and bearing from the previous point of each track (NULL for the first).
 
-    Tracks over ``long_track`` rows are sorted in slices of their first ``order`` column
-    (a number, date or time), each slice continuing from the last point of the one before.
+    Tracks over ``long_track`` rows are sorted in slices of their ``order`` columns, each slice
+    continuing from the last point of the one before.
     """
     lat, lon = check_columns(points, [lat, lon])
     keys = check_columns(points, [track] if isinstance(track, str) else track)
     by = check_columns(points, [order] if isinstance(order, str) else order)
-    rows, cut = _slices(points, keys, by[0], long_track)
+    rows, cut = _slices(points, keys, by, long_track)
     here = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
     w = Window.partitionBy(*keys, "_slice").orderBy(*by)
     back = rows.withColumn("_back", F.lag(here).over(w))

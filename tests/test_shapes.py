@@ -153,3 +153,20 @@ def test_total_bounds(obs):
     row = obs.bounds().collect()[0]
     assert (row.min_lat, row.max_lon) == (36.51, -82.51)
     assert math.isclose(row.height_km, 0.06 * 110.97, rel_tol=1e-3)
+
+
+def test_long_tracks_are_cut_at_any_order_columns(spark):
+    """One value in the first order column, and text as the order."""
+    from geocairn.operators.shapes import _slices
+
+    rows = spark.range(30_000).selectExpr(
+        "id % 2 AS t", "DATE '2024-05-01' AS day", "id AS seq", "lpad(CAST(id AS STRING), 9, '0') AS name",
+        "CAST(id % 97 AS DOUBLE) AS lat", "CAST(id % 89 AS DOUBLE) AS lon")
+    for order in (["day", "seq"], ["name"]):
+        cut, many = _slices(rows, ["t"], order, 500)
+        sizes = [r["count"] for r in cut.groupBy("t", "_slice").count().collect()]
+        assert many and sum(sizes) == 30_000 and max(sizes) < 6_000 and len(sizes) > 30
+        options = {"lat": "lat", "lon": "lon", "track": "t", "order": order}
+        short = gc.track_steps(rows, **options, long_track=500).select("seq", "distance_m")
+        whole = gc.track_steps(rows, **options).select("seq", "distance_m")
+        assert short.exceptAll(whole).count() == 0 and whole.exceptAll(short).count() == 0
