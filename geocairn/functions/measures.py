@@ -191,17 +191,12 @@ def simplify_geometry(geom: Column, *, tolerance: float, method: str) -> Column:
         rows, parts, paths, lon, lat = arrow.open_parts(column)
         is_line = np.array([k == "LineString" for k in kinds.to_pylist()], bool)
         line_of_path = np.repeat(is_line, np.diff(parts[rows]))
-        kept, sizes = [], []
-        for i, (lo, hi) in enumerate(zip(paths[:-1], paths[1:])):
-            x, y = lon[lo:hi], lat[lo:hi]
-            if method == "vw":
-                index = planar.visvalingam(x, y, tolerance)
-            else:
-                index = planar.douglas_peucker(x, y, tolerance, 2 if line_of_path[i] else 4)
-            kept.append(lo + index)
-            sizes.append(index.size)
-        index = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-        fresh = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        if method == "vw":
+            keep = planar.visvalingam_all(lon, lat, paths, tolerance)
+        else:
+            keep = planar.douglas_peucker_all(lon, lat, paths, tolerance, np.where(line_of_path, 2, 4))
+        index = np.flatnonzero(keep)
+        fresh = np.searchsorted(index, paths)
         return arrow.close_parts(rows, parts, fresh, lon[index], lat[index], _nulls(column))
 
     kind = geom["geom_type"]

@@ -64,48 +64,84 @@ def hull(x, y) -> list[tuple[float, float]]:
     return _ring_of(list(zip(x[order].tolist(), y[order].tolist())))
 
 
-_SHORT_RUN = 64
-
-
-def _farthest(x, y, xs, ys, i, j):
-    """Vertex between ``i`` and ``j`` farthest from that segment, and its distance."""
-    x0, y0 = xs[i], ys[i]
-    dx, dy = xs[j] - x0, ys[j] - y0
+def _spread(starts, sizes):
+    """All indices of the runs ``starts[i] ... starts[i] + sizes[i] - 1``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if ends.size else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _farthest(x, y, i, j):
+    """For each run the vertex between ``i`` and ``j`` farthest from that segment, and its distance."""
+    inner = j - i - 1
+    at = _spread(i + 1, inner)
+    run = np.repeat(np.arange(i.size), inner)
+    dx, dy = (x[j] - x[i])[run], (y[j] - y[i])[run]
+    px, py = x[at] - x[i][run], y[at] - y[i][run]
     norm = dx * dx + dy * dy
-    if j - i > _SHORT_RUN:
-        px, py = x[i + 1:j] - x0, y[i + 1:j] - y0
-        t = np.clip((px * dx + py * dy) / norm, 0.0, 1.0) if norm else 0.0
-        gap = np.hypot(px - t * dx, py - t * dy)
-        far = int(np.argmax(gap))
-        return i + 1 + far, float(gap[far])
-    best, at = -1.0, i + 1  # plain arithmetic beats array calls on short runs
-    for m in range(i + 1, j):
-        px, py = xs[m] - x0, ys[m] - y0
-        t = min(1.0, max(0.0, (px * dx + py * dy) / norm)) if norm else 0.0
-        gap = (px - t * dx) ** 2 + (py - t * dy) ** 2
-        if gap > best:
-            best, at = gap, m
-    return at, best**0.5
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(norm > 0, np.clip((px * dx + py * dy) / norm, 0.0, 1.0), 0.0)
+    gap = (px - t * dx) ** 2 + (py - t * dy) ** 2
+    most = np.maximum.reduceat(gap, np.cumsum(inner) - inner)
+    hits = np.flatnonzero(gap == most[run])
+    _, first = np.unique(run[hits], return_index=True)
+    return at[hits[first]], np.sqrt(most)
+
+
+def douglas_peucker_all(x, y, offsets, tolerance: float, min_points):
+    """Which vertices of the paths ``offsets[p] ... offsets[p + 1]`` are kept.
+
+    All runs of all paths are split in rounds. A run is left whole if dropping it, after those before
+    it on the path, would leave the path under its ``min_points``.
+    """
+    keep = np.ones(x.size, bool)
+    size = np.diff(offsets)
+    path = np.flatnonzero(size > 2)
+    i, j = offsets[path], offsets[path + 1] - 1
+    flat = []
+    while i.size:
+        split, gap = _farthest(x, y, i, j)
+        far = gap > tolerance
+        flat.append((path[~far], i[~far], j[~far]))
+        path, i, split, j = path[far], i[far], split[far], j[far]
+        path, i, j = np.concatenate([path, path]), np.concatenate([i, split]), np.concatenate([split, j])
+        longer = j - i > 1
+        path, i, j = path[longer], i[longer], j[longer]
+    if not flat:
+        return keep
+    path, i, j = (np.concatenate(c) for c in zip(*flat))
+    order = np.argsort(i)
+    path, i, j = path[order], i[order], j[order]
+    inner = j - i - 1
+    short = size - np.bincount(path, inner, size.size).astype(np.int64) < min_points
+    spare = np.where(short, size - min_points, 0)
+    drop = ~short[path]
+    for k in np.flatnonzero(short[path]):
+        if inner[k] <= spare[path[k]]:
+            spare[path[k]] -= inner[k]
+            drop[k] = True
+    keep[_spread(i[drop] + 1, inner[drop])] = False
+    return keep
 
 
 def douglas_peucker(x, y, tolerance: float, min_points: int):
-    """Indices kept. A run is left whole if dropping it would leave under ``min_points``."""
-    n = x.size
-    keep = np.ones(n, bool)
-    left = n
-    xs, ys = x.tolist(), y.tolist()
-    stack = [(0, n - 1)]
-    while stack:
-        i, j = stack.pop()
-        if j - i < 2:
-            continue
-        split, gap = _farthest(x, y, xs, ys, i, j)
-        if gap > tolerance:
-            stack += [(split, j), (i, split)]
-        elif left - (j - i - 1) >= min_points:
-            keep[i + 1:j] = False
-            left -= j - i - 1
-    return np.flatnonzero(keep)
+    """Indices kept of one path."""
+    return np.flatnonzero(douglas_peucker_all(x, y, np.array([0, x.size]), tolerance, np.array([min_points])))
+
+
+def visvalingam_all(x, y, offsets, threshold: float):
+    """Which vertices of all paths are kept; only paths with a triangle small enough are walked."""
+    keep = np.ones(x.size, bool)
+    area = np.full(x.size, np.inf)
+    area[1:-1] = np.abs((x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (x[2:] - x[:-2]) * (y[1:-1] - y[:-2])) / 2.0
+    path = np.repeat(np.arange(offsets.size - 1), np.diff(offsets))
+    inner = np.ones(x.size, bool)
+    ends = np.concatenate([offsets[:-1], offsets[1:] - 1])
+    inner[ends[(ends >= 0) & (ends < x.size)]] = False
+    for p in np.unique(path[inner & (area <= threshold)]):
+        lo, hi = offsets[p], offsets[p + 1]
+        keep[lo:hi] = False
+        keep[lo + visvalingam(x[lo:hi], y[lo:hi], threshold)] = True
+    return keep
 
 
 def visvalingam(x, y, threshold: float):

@@ -142,3 +142,39 @@ def test_simplify_against_brute_force():
         x, y = np.cumsum(rng.normal(size=(2, 60)), axis=1)
         assert planar.visvalingam(x, y, 0.8).tolist() == brute_visvalingam(x, y, 0.8)
         assert planar.douglas_peucker(x, y, 1.0, 2).tolist() == brute_dp(x, y, 1.0)
+
+
+def one_by_one(x, y, tolerance, min_points):
+    """Runs split depth first, left to right, with plain arithmetic."""
+    left, kept, stack = x.size, set(range(x.size)), [(0, x.size - 1)]
+    while stack:
+        i, j = stack.pop()
+        if j - i < 2:
+            continue
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        norm = dx * dx + dy * dy
+        gaps = []
+        for m in range(i + 1, j):
+            t = min(1.0, max(0.0, ((x[m] - x[i]) * dx + (y[m] - y[i]) * dy) / norm)) if norm else 0.0
+            gaps.append(((x[m] - x[i] - t * dx) ** 2 + (y[m] - y[i] - t * dy) ** 2) ** 0.5)
+        if max(gaps) > tolerance:
+            split = i + 1 + gaps.index(max(gaps))
+            stack += [(split, j), (i, split)]
+        elif left - (j - i - 1) >= min_points:
+            kept -= set(range(i + 1, j))
+            left -= j - i - 1
+    return sorted(kept)
+
+
+def test_all_paths_at_once_as_one_by_one():
+    rng = np.random.default_rng(4)
+    sizes = np.concatenate([[0, 1, 2, 3, 300], rng.integers(0, 40, 200), [0]])
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    x, y = (np.round(rng.normal(size=offsets[-1]).cumsum(), 2) for _ in "xy")
+    least = rng.integers(2, 7, sizes.size)
+    for tolerance in (0.0, 0.5, 2.0, 50.0):
+        keep = planar.douglas_peucker_all(x, y, offsets, tolerance, least)
+        small = planar.visvalingam_all(x, y, offsets, tolerance)
+        for p, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+            assert np.flatnonzero(keep[a:b]).tolist() == one_by_one(x[a:b], y[a:b], tolerance, least[p])
+            assert np.flatnonzero(small[a:b]).tolist() == planar.visvalingam(x[a:b], y[a:b], tolerance).tolist()
