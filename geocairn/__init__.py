@@ -16,6 +16,7 @@ from .operators.shapes import (
     simplify, total_bounds, track_lengths, track_steps,
 )
 from .plans.request import run_query
+from .plans.session import drop_scratch, scratch_mark
 from .sources.geojson import (
     geometries_from_geojson, points_from_geojson, polygons_from_geojson, read_features,
 )
@@ -27,10 +28,11 @@ from .streaming.stream import stream_points
 
 __all__ = [
     "ColumnNotFound", "PointDataset", "RefreshFailed", "bounds", "buffer_join", "buffer_points",
-    "centroids", "convex_hull", "dissolve", "feature_lines", "geodesic_distance",
+    "centroids", "convex_hull", "dissolve", "drop_scratch", "feature_lines", "geodesic_distance",
     "geometries_from_geojson", "knn_join", "load_csv", "load_geojson", "load_parquet",
     "load_points", "points_from_geojson", "polygon_metrics", "polygons_from_geojson",
-    "published", "radius_join", "read_features", "refresh", "run_query", "simplify",
+    "published", "radius_join", "read_features", "refresh", "run_query", "scratch_mark",
+    "simplify",
     "stream_points", "total_bounds", "track_lengths", "track_steps", "within_join",
     "write_csv", "write_geojson", "write_json", "write_layout", "write_rows", "zonal_stats",
 ]

@@ -25,8 +25,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; :func:`drop_scratch` deletes what is there."""
+    _MADE.append(f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables this process has written, of all calls or those after
+    ``since = scratch_mark()``. Call it when the results that read them have been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in _MADE[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del _MADE[since:]
+
+
+def scratch_mark() -> int:
+    return len(_MADE)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
