@@ -2,9 +2,9 @@
 
 Every join is an equi-join on one BIGINT cell key followed by an exact test. The
 region side is broadcast when its computed size bound is small; otherwise both sides
-shuffle on the cell and adaptive execution splits the cells that are hot. Points are
-read once, with the overall box of the regions pushed to the scan for inner and semi
-joins.
+shuffle on the cell and adaptive execution splits the cells that are hot. Building a join runs
+small jobs over the regions, which give that bound and the overall box pushed to the scan of the
+points for inner and semi joins.
 """
 
 from __future__ import annotations
@@ -148,7 +148,8 @@ def buffer_join(
 ) -> DataFrame:
     """Points strictly inside the geodesic buffer polygon of each centre.
 
-    Buffers over the 180 degree meridian are tested on both sides of it.
+    Buffers over the 180 degree meridian are tested on both sides of it. A buffer around a pole is
+    closed by the pole's cap (buffers around both poles are not supported).
     """
     if isinstance(distance_m, str):
         distance_m = F.col(check_columns(centres, [distance_m])[0])
@@ -163,10 +164,27 @@ def buffer_join(
         return F.array(F.transform(ring, lambda v: F.struct(
             (v["lon"] + by).alias("lon"), v["lat"].alias("lat"))))
 
+    # around a pole the ring goes once round the earth: its vertices by longitude, then the cap
+    count = F.size(ring) - 1
+    around = F.exists(F.zip_with(F.slice(ring, 1, count), F.slice(ring, 2, count),
+                                 lambda a, b: F.abs(a["lon"] - b["lon"]) > 180.0), lambda x: x)
+    turn = F.array_sort(F.transform(F.slice(ring, 1, count), lambda v: F.struct(
+        fold_longitude(v["lon"]).alias("lon"), v["lat"].alias("lat"))))
+    west, east = F.element_at(turn, -1), F.element_at(turn, 1)
+    pole = F.when(F.col(centre_lat) > 0, 90.0 + 1e-9).otherwise(-90.0 - 1e-9)
+
+    def vertex(x, y):
+        return F.array(F.struct(x.alias("lon"), y.alias("lat")))
+
+    cap = F.concat(vertex(west["lon"] - 360.0, west["lat"]), turn, vertex(east["lon"] + 360.0, east["lat"]),
+                   vertex(east["lon"] + 360.0, pole), vertex(west["lon"] - 360.0, pole),
+                   vertex(west["lon"] - 360.0, west["lat"]))
+
     zones = centres.withColumn(
         "_ring", buffer_ring(lon=F.col(centre_lon), lat=F.col(centre_lat), distance_m=distance_m,
                              segments=segments, continuous=True),
-    ).withColumn("_polygons", F.when(F.array_max(lons) > 180.0,
+    ).withColumn("_polygons", F.when(around, F.array(F.array(cap)))
+                 .when(F.array_max(lons) > 180.0,
                                      F.array(F.array(ring), shifted(-360.0)))
                  .when(F.array_min(lons) < -180.0, F.array(F.array(ring), shifted(360.0)))
                  .otherwise(F.array(F.array(ring))).cast(PARTS_TYPE))

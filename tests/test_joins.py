@@ -310,3 +310,22 @@ def test_hot_cell_is_split_in_the_shuffled_plan(spark, zones):
     finally:
         for k in settings:
             spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_buffers_around_a_pole(spark, limit):
+    rng = np.random.default_rng(12)
+    rows = [(int(i), float(y), float(x)) for i, (y, x) in enumerate(zip(
+        rng.uniform(88.0, 90.0, 3000) * rng.choice([-1, 1], 3000), rng.uniform(-180, 180, 3000)))]
+    rows += [(5000, 90.0, 12.0), (5001, -90.0, 0.0)]
+    points = spark.createDataFrame(rows, "id long, lat double, lon double")
+    centres = spark.createDataFrame([(1, 89.9, 0.0, 50e3), (2, 89.5, 170.0, 90e3), (3, -89.7, -100.0, 80e3), (4, 88.9, 20.0, 40e3)],
+                                    "centre_id long, clat double, clon double, reach double")
+    names = {"lat": "lat", "lon": "lon", "centre_lat": "clat", "centre_lon": "clon"}
+    got = {(r.id, r.centre_id) for r in gc.buffer_join(points, centres, **names, distance_m="reach", segments=128,
+                                                       broadcast_limit=limit).select("id", "centre_id").collect()}
+    # the polygon of geodesic vertices in the plane lies near the circle
+    sure, out = ({(r.id, r.centre_id) for r in gc.radius_join(points, centres, **names, radius_m=F.col("reach") * part)
+                  .select("id", "centre_id").collect()} for part in (0.97, 1.03))
+    assert sure <= got <= out and {c for _, c in got} == {1, 2, 3, 4}
+    assert {(5000, 1), (5000, 2), (5001, 3)} <= got
