@@ -64,16 +64,16 @@ def _fine_counts(points: DataFrame, lat: str, lon: str) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def _all_depths(fine: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Counts of every ancestor cell, keyed by one BIGINT; only ``wanted`` keys if given."""
+def _all_depths(fine: DataFrame, depths: range, wanted: DataFrame | None = None) -> DataFrame:
+    """Counts of the ancestor cells at ``depths``, keyed by one BIGINT; only ``wanted`` keys if given."""
     up = F.lit(_DEPTH) - F.col("depth")
     cells = (
-        fine.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(_DEPTH))))
+        fine.withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
         .select(_key(F.col("depth"), F.call_function("shiftright", "cx", up),
                      F.call_function("shiftright", "cy", up)).alias("key"), "n")
     )
     if wanted is not None:
-        cells = cells.join(F.broadcast(wanted), "key", "left_semi")
+        cells = cells.join(wanted, "key", "left_semi")
     return cells.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -142,7 +142,7 @@ def _descend(queries: DataFrame, fine: DataFrame, k: int, enough: int) -> DataFr
               .agg(F.sum("n").alias("n")).collect())  # at most 45 x 23 cells
     top = F.from_json(F.lit(json.dumps([r.asDict() for r in coarse])),
                       "array<struct<x: bigint, y: bigint, n: bigint>>")
-    counts = materialize(_all_depths(fine), "knn-counts")
+    counts = materialize(_all_depths(fine, range(2, _DEPTH + 1, 2)), "knn-counts")
     near, far = _cell_distances(F.col("cx"), F.col("cy"), _TOP_DEG)
     cells = (
         queries.withColumn("_c", F.explode(top))
@@ -219,9 +219,9 @@ def knn_join(
 
     fine = materialize(_fine_counts(points, lat, lon), "knn-cells")
     blocks = _blocks(places)
-    # few queries: drop the cells none of them looks at before they are shuffled
-    few = places.count() * 4 * (_DEPTH + 1) * 48 <= broadcast_limit // 16
-    counts = _all_depths(fine, blocks.select("key").distinct() if few else None)
+    # drop the cells no query looks at; before they are shuffled if the list of the others is small
+    seen = join_side(blocks.select("key").distinct(), places.count() * 4 * (_DEPTH + 1) * 48, broadcast_limit)
+    counts = _all_depths(fine, range(_DEPTH + 1), seen)
     levels = (
         blocks.join(counts, "key")
         .groupBy("_qid", "depth").agg(F.sum("n").alias("n"), F.first("bound").alias("bound"))
