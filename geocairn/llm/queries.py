@@ -63,8 +63,55 @@ QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_toxicity, op3_piece_dropout, op4_pii, op5_url_cascade, op6_spotsigs, op7_line_templates,
     op8_licenses, op9_pareto_mix, op10_decision_list)}
 
+_PARETO = """
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+               (('0x' || substr(md5(concat_ws(':', 'mix', coalesce(CAST(doc_id AS VARCHAR), '-'), md5(coalesce(text, '')))), 1, 13))::BIGINT
+                + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+        FROM documents),
+    totals AS (
+        SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+               (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1 AS weight
+        FROM sized GROUP BY source),
+    shares AS (
+        SELECT *, (sum(source_size) OVER ()
+                   - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                  / (sum(weight) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST
+                                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS share
+        FROM totals),
+    targets AS (
+        SELECT source, docs, source_size, CASE WHEN most <= share * weight THEN most::DOUBLE ELSE weight * (
+            SELECT arg_min(share, most::DOUBLE / weight) FROM shares WHERE most > share * weight) END AS target
+        FROM shares),
+    copied AS (
+        SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies,
+               least(floor(copies + 1e-12), 3)::BIGINT AS whole,
+               CASE WHEN copies - whole > 1e-9 THEN copies - whole ELSE 0 END AS fraction,
+               source_size::DOUBLE / docs AS mean_size, least(fraction, 1 - fraction) / 2 AS lean
+        FROM targets),
+    joined AS (
+        SELECT d.doc_id, d.size, d.u, s.*, d.size / (d.size + s.mean_size) AS pull
+        FROM sized d JOIN copied s ON d.source IS NOT DISTINCT FROM s.source),
+    pulls AS (
+        SELECT *, sum(round(pull * size * 1024)::BIGINT) FILTER (size > 0) OVER (PARTITION BY source)::DOUBLE / 1024
+                  / sum(size) OVER (PARTITION BY source)::DOUBLE AS mean_pull
+        FROM joined),
+    odds AS (
+        SELECT *, fraction + lean * (pull - mean_pull) AS p, (u / (1 - u)) / (p / (1 - p)) AS ratio,
+               ratio / (1 + ratio) AS v
+        FROM pulls),
+    ranked AS (
+        SELECT *, sum(CASE WHEN fraction > 0 AND size > 0 THEN size ELSE 0 END) OVER (
+            PARTITION BY source ORDER BY CASE WHEN fraction > 0 AND size > 0 THEN v ELSE 2 END, doc_id) AS running
+        FROM odds)
+    SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN fraction > 0 AND size > 0 AND v < 1
+        AND running - size / 2 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM ranked"""
+
 _HOST = r"translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
+    "op9_pareto_mix": _PARETO,
     "op5_url_cascade": rf"""
         WITH rests AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
