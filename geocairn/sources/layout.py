@@ -29,7 +29,8 @@ def write_layout(df: DataFrame, path: str, *, lat: str, lon: str, partitions: in
     """Write rows clustered along a Z curve; later box and radius filters prune by statistics.
 
     Ranges are cut on (curve, position, source task), so neither a crowded cell nor many
-    copies of one position end up in a single output task.
+    copies of one position end up in a single output task. ``partitions`` is the number of
+    files; by default ``spark.sql.shuffle.partitions``.
     """
     lat, lon = check_columns(df, [lat, lon])
     if {"_z", "_task"} & set(df.columns):
@@ -37,6 +38,6 @@ def write_layout(df: DataFrame, path: str, *, lat: str, lon: str, partitions: in
     keyed = df.withColumn("_z", z_order_key(lat=F.col(lat), lon=F.col(lon))).withColumn(
         "_task", F.spark_partition_id())
     cut = ["_z", lat, lon, "_task"]
-    # by default as many tasks as the input has splits, so that file sizes stay alike
-    ranged = keyed.repartitionByRange(partitions or max(1, df.rdd.getNumPartitions()), *cut)
+    files = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.repartitionByRange(files, *cut)
     ranged.sortWithinPartitions("_z", lat, lon).drop("_z", "_task").write.mode(mode).parquet(path)

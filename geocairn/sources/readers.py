@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..dataset import PointDataset
 from ..functions.checks import check_identifier, detect_coordinates
-from ..plans.session import materialize
+from ..plans.session import join_side, materialize
 from .geojson import read_features
 
 # File extensions and the format each one means.
@@ -52,7 +52,7 @@ def read_csv(spark: SparkSession, path, schema=None, *, multi_line: bool = False
     return spark.read.options(**options).schema(schema).csv(path)
 
 
-def _numbered(raw: DataFrame, file_limit: int = 200_000) -> DataFrame:
+def _numbered(raw: DataFrame) -> DataFrame:
     """1-based contiguous row numbers for a Parquet scan, in file order.
 
     A row's place in its file comes with the scan, so the number does not depend on
@@ -65,10 +65,9 @@ def _numbered(raw: DataFrame, file_limit: int = 200_000) -> DataFrame:
     counts = raw.select(file.alias("_file")).groupBy("_file").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    if len(raw.inputFiles()) <= file_limit:
-        starts = F.broadcast(starts)
+    size = sum(len(f.encode()) + 64 for f in raw.inputFiles())
     placed = raw.select(file.alias("_file"), row.alias("_row"), "*")
-    return placed.join(starts, "_file").select(
+    return placed.join(join_side(starts, size), "_file").select(
         (F.col("_start") + F.col("_row") + 1).alias("rowid"), *raw.columns)
 
 
