@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows computed at a time, so that what a task makes of long texts stays small.
+ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,9 +41,7 @@ def with_columns(df: DataFrame, fields: list[tuple[str, T.DataType]],
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             view = {c: batch.column(f"__llm_in_{c}" if c in hidden else c) for c in reads}
             made = compute(view)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, kept + names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import struct
 from array import array
@@ -21,8 +22,8 @@ DROPOUT = 0.1
 SEED = 7
 #: Independent draws that the places of a text are dealt to; a word met again under one draw is cached.
 DRAWS = 4
-_CACHE = 400_000
-_NEVER = float("inf")
+_CACHE = 200_000
+_ALL = (1 << 64) - 1
 SPACE = "\u2581"
 
 
@@ -50,11 +51,8 @@ class Pieces:
                 self.cost[piece] = -model.get_score(i)
 
         self.longest = max(map(len, self.id_of))
-        self._caches: dict = {}
-
-    def caches(self, dropout: float, seed: int) -> list[dict]:
-        """Segmentations met in this worker, by draw."""
-        return self._caches.setdefault((dropout, seed), [{} for _ in range(DRAWS)])
+        self._caches: dict = {}  # segmentations met in this worker, by draw
+        self._fill_tables()
 
     def segment(self, chunk: str, draw: int, dropout: float = DROPOUT, seed: int = SEED) -> list[int]:
         """Ids of a chunk of normalised text.
@@ -63,9 +61,8 @@ class Pieces:
         candidate taken from it is skipped if the hash of (seed, draw, place, piece) falls below the
         dropout; it may come back as part of a later pair. Dropout 0 gives the model's own segmentation.
         """
-        pieces = self._short(chunk, draw, dropout, seed) if len(chunk) <= 48 else self._long(chunk, draw, dropout, seed)
         out: list[int] = []
-        for piece in pieces:
+        for piece in self._long(chunk, draw, dropout, seed):
             at = self.id_of.get(piece)
             if at is None:
                 out += self._bytes(piece)
@@ -73,28 +70,96 @@ class Pieces:
                 out.append(at)
         return out
 
-    def _short(self, chunk: str, draw: int, dropout: float, seed: int) -> list[str]:
-        """With the agenda as a list by place, which is quickest for a word."""
-        cost, limit = self.cost, int(dropout * (1 << 64))
-        pieces, places = list(chunk), list(range(len(chunk)))
-        agenda = [cost.get(chunk[i:i + 2], _NEVER) for i in range(len(chunk) - 1)]
-        while agenda and (best := min(agenda)) < _NEVER:
-            i = agenda.index(best)
-            joined = pieces[i] + pieces[i + 1]
-            if limit and xxhash.xxh64_intdigest(f"{draw}:{places[i]}:{joined}", seed) < limit:
-                agenda[i] = _NEVER
+    def segment_many(self, chunks: list[str], draw: int, dropout: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
+        """The same for many chunks: a step takes the first candidate of every chunk at once."""
+        out: list = [None] * len(chunks)
+        by_width: dict[int, list[int]] = {}
+        for i, chunk in enumerate(chunks):
+            by_width.setdefault(-(-len(chunk) // 8), []).append(i)
+        for width, rows in by_width.items():
+            if width > 4:
+                for i in rows:
+                    out[i] = self.segment(chunks[i], draw, dropout, seed)
                 continue
-            pieces[i] = joined
-            del pieces[i + 1], places[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = cost.get(joined + pieces[i + 1], _NEVER)
-            if i:
-                agenda[i - 1] = cost.get(pieces[i - 1] + joined, _NEVER)
-        return pieces
+            for at in range(0, len(rows), 50_000):
+                part = rows[at:at + 50_000]
+                for i, ids in zip(part, self._together([chunks[i] for i in part], 8 * width, draw, dropout, seed)):
+                    out[i] = ids
+        return out
+
+    def _together(self, chunks: list[str], width: int, draw: int, dropout: float, seed: int) -> list[list[int]]:
+        n = len(chunks)
+        codes = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le"), np.uint32).reshape(n, width)
+        size = np.fromiter(map(len, chunks), np.int64, n)
+        place = np.arange(width)
+        inside = place[None, :] < size[:, None]
+        ids = np.where(inside, self.by_code[codes], -1)
+        odd = ((ids < 0) & inside).any(axis=1)  # characters without a piece go another way
+        ids[odd] = -1
+        after = np.broadcast_to(place + 1, (n, width)).copy()
+        before = np.broadcast_to(place - 1, (n, width)).copy()
+        alive = inside.copy()
+        cost = np.full((n, width), np.inf)
+        cost[:, :-1] = self._pair_cost(ids[:, :-1], ids[:, 1:])
+        rows = np.arange(n)
+        while rows.size:
+            j = cost[rows].argmin(axis=1)
+            found = cost[rows, j] < np.inf
+            rows, j = rows[found], j[found]
+            if not rows.size:
+                break
+            k = after[rows, j]
+            merged = self._pair_piece(ids[rows, j], ids[rows, k])
+            skip = _chance(seed, draw, j, merged) < int(dropout * (1 << 53))
+            cost[rows[skip], j[skip]] = np.inf
+            r, j, k, merged = rows[~skip], j[~skip], k[~skip], merged[~skip]
+            ids[r, j] = merged
+            alive[r, k] = False
+            cost[r, k] = np.inf
+            far = after[r, k]
+            after[r, j] = far
+            near = before[r, j]
+            right, left = far < size[r], near >= 0
+            before[r[right], far[right]] = j[right]
+            cost[r, j] = np.inf
+            cost[r[right], j[right]] = self._pair_cost(merged[right], ids[r[right], far[right]])
+            cost[r[left], near[left]] = self._pair_cost(ids[r[left], near[left]], merged[left])
+        ends = np.cumsum(alive.sum(axis=1)).tolist()
+        flat = ids[alive].tolist()
+        return [self.segment(chunks[i], draw, dropout, seed) if odd[i] else flat[a:b]
+                for i, (a, b) in enumerate(zip([0, *ends], ends))]
+
+    def _pair_at(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pair table, whether it is the pair's own)."""
+        key = (a.astype(np.int64) << 32) | (b.astype(np.int64) & 0xFFFFFFFF)
+        at = np.minimum(np.searchsorted(self.pairs, key), self.pairs.size - 1)
+        return at, (self.pairs[at] == key) & (a >= 0) & (b >= 0)
+
+    def _pair_cost(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at, own = self._pair_at(a, b)
+        return np.where(own, self.pair_cost[at], np.inf)
+
+    def _pair_piece(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.pair_piece[self._pair_at(a, b)[0]]
+
+    def _fill_tables(self) -> None:
+        """Ids by character, and every pair of pieces that makes a piece."""
+        self.by_code = np.full(0x110000, -1, np.int32)
+        pairs = []
+        for piece, i in self.id_of.items():
+            if len(piece) == 1:
+                self.by_code[ord(piece)] = i
+            for cut in range(1, len(piece)):
+                a, b = self.id_of.get(piece[:cut]), self.id_of.get(piece[cut:])
+                if a is not None and b is not None:
+                    pairs.append((a << 32 | b, self.cost[piece], i))
+        pairs.sort()
+        self.pairs, self.pair_cost, self.pair_piece = (
+            np.array(c, kind) for c, kind in zip(zip(*pairs), (np.int64, float, np.int32)))
 
     def _long(self, chunk: str, draw: int, dropout: float, seed: int) -> list[str]:
         """With the agenda as a heap, for chunks of any length."""
-        n, cost, limit = len(chunk), self.cost, int(dropout * (1 << 64))
+        n, cost, limit = len(chunk), self.cost, int(dropout * (1 << 53))
         after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
         agenda: list[tuple[float, int, int, int]] = []
@@ -109,7 +174,7 @@ class Pieces:
             _, a, b, end = heapq.heappop(agenda)
             if not (alive[a] and alive[b]) or after[a] != b or ends[b] != end:
                 continue
-            if limit and xxhash.xxh64_intdigest(f"{draw}:{a}:{chunk[a:end]}", seed) < limit:
+            if limit and int(_chance(seed, draw, np.int64(a), np.int64(self.id_of[chunk[a:end]]))) < limit:
                 continue
             alive[b], ends[a], after[a] = False, end, after[b]
             if after[a] < n:
@@ -126,33 +191,51 @@ class Pieces:
     def _bytes(self, text: str) -> list[int]:
         return [self.byte_id[x] for x in text.encode()]
 
-    def encode(self, text: str, key: int, caches: list[dict], dropout: float = DROPOUT, seed: int = SEED) -> list[int]:
-        """Ids of a text. ``key`` and the place of a chunk select the draw; no piece crosses a chunk."""
-        if not text:
-            return []
-        out: list[int] = []
-        start = xxhash.xxh64_intdigest(struct.pack("<qq", seed, key)) & 0xFFFFFFFF
-        for place, chunk in enumerate(_CHUNK.findall(" " + text)):
-            draw = (start + place * 2654435761 >> 16) % DRAWS
-            cache = caches[draw]
-            ids = cache.get(chunk)
-            if ids is None:
-                # the mark itself is never a space, so it stays apart as bytes
-                ids = (self._bytes(chunk) if chunk[0] == SPACE
-                       else self.segment(chunk.replace(" ", SPACE), draw, dropout, seed))
-                if len(chunk) <= 32:
-                    if len(cache) >= _CACHE // DRAWS:
-                        cache.clear()
-                    cache[chunk] = ids
-            out += ids
+    def encode_many(self, texts_: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
+        """Ids of texts. ``key`` and the place of a chunk select the draw; no piece crosses a chunk."""
+        caches = self._caches.setdefault((dropout, seed), [{} for _ in range(DRAWS)])
+        if max(map(len, caches)) > _CACHE // DRAWS:
+            for cache in caches:
+                cache.clear()
+        chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts_]
+        starts = [xxhash.xxh64_intdigest(struct.pack("<qq", seed, k)) % DRAWS for k in keys]
+        for draw, cache in enumerate(caches):
+            new = set()
+            for own, start in zip(chunks, starts):
+                new.update(own[(draw - start) % DRAWS::DRAWS])
+            new = [c for c in new if c not in cache]
+            # the mark itself is never a space, so it stays apart as bytes
+            cache.update((c, self._bytes(c)) for c in new if c[0] == SPACE)
+            new = [c for c in new if c[0] != SPACE]
+            cache.update(zip(new, self.segment_many([c.replace(" ", SPACE) for c in new], draw, dropout, seed)))
+        out = []
+        for own, start in zip(chunks, starts):
+            ids: list[int] = []
+            turns = [caches[(start + i) % DRAWS] for i in range(DRAWS)]
+            for cache, chunk in zip(itertools.cycle(turns), own):
+                ids += cache[chunk]
+            out.append(ids)
         return out
 
+    def encode(self, text: str, key: int = 0, dropout: float = DROPOUT, seed: int = SEED) -> list[int]:
+        return self.encode_many([text], [key], dropout, seed)[0]
+
     def decode(self, ids: list[int]) -> str:
         """The text of a whole sequence of ids; control ids give nothing."""
         known = self.texts
         return b"".join([known[i] or b"" for i in ids])[1:].decode("utf-8", "replace")
 
 
+def _chance(seed: int, draw: int, place, piece):
+    """53 hash bits of the candidate, the same for arrays and single numbers."""
+    with np.errstate(over="ignore"):
+        x = np.uint64(seed * 0x9E3779B97F4A7C15 + draw * 0xD1B54A32D192ED03 & _ALL)
+        x = x ^ (np.asarray(place).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(piece).astype(np.uint64))
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        return (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+
+
 _CHUNK = re.compile(f"{SPACE}+| *[^ {SPACE}]+| +")
 
 
@@ -168,10 +251,10 @@ def with_pieces(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPO
 
     def compute(batch):
         pieces = model.value
-        caches = pieces.caches(dropout, seed)
         flat, sizes, same = array("i"), [], []
-        for value, own in zip(texts(batch[text]), batch[key].to_pylist()):
-            ids = pieces.encode(value, -1 if own is None else int(own), caches, dropout, seed)
+        values = texts(batch[text])
+        keys = [-1 if k is None else int(k) for k in batch[key].to_pylist()]
+        for value, ids in zip(values, pieces.encode_many(values, keys, dropout, seed)):
             flat.extend(ids)
             sizes.append(len(ids))
             same.append(pieces.decode(ids) == value)
