@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geocairn.llm.common import LOWER, UPPER, WORD
+from geocairn.plans.session import join_side
 
 # Common words of four languages.
 ANCHORS = (
@@ -23,7 +24,7 @@ REACH = 4
 #: Content words without an anchor among them after which each further word starts a chain itself.
 RUN = 8
 _COARSE = 64
-_ROWS = 20_000
+_ROWS = 1_000
 
 
 def _anchored(anchors) -> str:
@@ -92,24 +93,24 @@ def digest(spots_: Column) -> Column:
     return F.sha2(F.array_join(spots_.cast("array<string>"), ","), 256)
 
 
-def _with_bucket(docs: DataFrame) -> DataFrame:
-    """``docs`` with buckets that follow descending doc_id, NULL last, of about ``_ROWS`` rows.
+def _with_bucket(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with buckets that follow descending doc_id, NULL last, of about ``_ROWS`` rows; and how many.
 
     64 quantiles give coarse buckets; each is cut into equal ranges, as many as its share of the rows needs.
     """
     parts = [i / _COARSE for i in range(_COARSE + 1)]
     n, bounds = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", parts, 10_000)).first()
     if not n:
-        return docs.withColumn("bucket", F.lit(0).cast("bigint"))
+        return docs.withColumn("bucket", F.lit(0).cast("bigint")), 1
     bounds = sorted(set(bounds), reverse=True)
-    fine = max(1, math.ceil(n / _COARSE / _ROWS * 2))
+    fine = max(1, math.ceil(n / _COARSE / _ROWS))
     edges = F.array(*(F.lit(b).cast("bigint") for b in bounds))
     above = F.size(F.filter(edges, lambda b: b > F.col("doc_id")))
     high = F.when(above > 0, F.get(edges, above - 1)).otherwise(F.col("doc_id"))
     low = F.coalesce(F.get(edges, above), F.col("doc_id"))
     inner = F.when(high > low, F.least(F.floor((high - F.col("doc_id")) / (high - low) * fine), F.lit(fine - 1))).otherwise(0)
     bucket = F.when(F.col("doc_id").isNull(), (len(bounds) + 1) * fine).otherwise(above * fine + inner)
-    return docs.withColumn("bucket", bucket.cast("bigint"))
+    return docs.withColumn("bucket", bucket.cast("bigint")), (len(bounds) + 1) * fine + 1
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -119,12 +120,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     windowed per bucket of ids. The first rows of each bucket are also put at the end of the bucket
     before, so no window spans the table.
     """
-    rows = _with_bucket(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows, buckets = _with_bucket(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     whole = Window.orderBy("bucket")  # one row per bucket
     previous = F.coalesce(F.lag("bucket").over(whole), F.max("bucket").over(Window.partitionBy()))
     tops = tops.withColumn("previous", previous).withColumnRenamed("bucket", "of")
-    guests = rows.join(tops, (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top"))).select(
+    # a row of three numbers per bucket: broadcast while that is small
+    guests = rows.join(join_side(tops, 64 * buckets), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top"))).select(
         "doc_id", "text", F.col("previous").alias("bucket"), F.lit(True).alias("guest"))
     both = rows.select("doc_id", "text", "bucket", F.lit(False).alias("guest")).union(guests)
     both = both.withColumn("hash", F.xxhash64("text"))
