@@ -1,0 +1,58 @@
+import random
+
+from samples import no_docs, sample_docs, sample_rows
+
+import corpus_pipeline as cp
+from geocairn.llm import near_copies as nc
+
+
+def brute_sets(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_kept(rows):
+    """One of each group of chains of texts with Jaccard 0.8 of five-word shingles."""
+    sets = [brute_sets(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[j] if g == group[i] else g for g in group]
+    return len(set(group))
+
+
+def edited():
+    """Texts of own words with one to four words changed, so that likeness lies around 0.8."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 110]))]
+        for copy in range(5):
+            own = list(words)
+            for _ in range(copy):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(own), "en", "s", None))
+    return rows
+
+
+def test_stage_drops_near_copies_with_a_few_edited_words(spark, monkeypatch):
+    rows = edited()
+    want = brute_kept(rows)
+    assert want < 100
+    docs = sample_docs(spark, rows)
+    kept = cp.one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == want
+    monkeypatch.setattr(nc, "TILE", 7)
+    monkeypatch.setattr(nc, "SET_TILE", 150)
+    assert nc.keep_one_of_near_copies(docs).count() == want
+
+
+def test_awkward_documents(spark):
+    rows = sample_rows()
+    got = nc.keep_one_of_near_copies(sample_docs(spark)).collect()
+    assert len(got) == brute_kept(rows)
+    ids = [r.doc_id for r in got]
+    assert 108 not in ids and 106 not in ids and 7 in ids and 105 in ids
+    assert nc.keep_one_of_near_copies(no_docs(spark)).collect() == []
