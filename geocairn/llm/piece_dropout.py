@@ -20,8 +20,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
 SEED = 7
-#: Independent draws that the places of a text are dealt to; a word met again under one draw is cached.
-DRAWS = 4
+#: Words whose segmentation without dropout is cached.
 _CACHE = 200_000
 _ALL = (1 << 64) - 1
 SPACE = "\u2581"
@@ -51,7 +50,7 @@ class Pieces:
                 self.cost[piece] = -model.get_score(i)
 
         self.longest = max(map(len, self.id_of))
-        self._caches: dict = {}  # segmentations met in this worker, by draw
+        self._cache: dict = {}  # segmentations without dropout, and their candidates, of words met in this worker
         self._fill_tables()
 
     def segment(self, chunk: str, draw: int, dropout: float = DROPOUT, seed: int = SEED) -> list[int]:
@@ -70,24 +69,27 @@ class Pieces:
                 out.append(at)
         return out
 
-    def segment_many(self, chunks: list[str], draw: int, dropout: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
-        """The same for many chunks: a step takes the first candidate of every chunk at once."""
+    def segment_many(self, chunks: list[str], draw, dropout: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
+        """The same for many chunks, with one draw or one for each: a step takes the first candidate of every chunk at once."""
         out: list = [None] * len(chunks)
+        draws = _draws(draw, len(chunks))
         by_width: dict[int, list[int]] = {}
         for i, chunk in enumerate(chunks):
             by_width.setdefault(-(-len(chunk) // 8), []).append(i)
         for width, rows in by_width.items():
             if width > 4:
                 for i in rows:
-                    out[i] = self.segment(chunks[i], draw, dropout, seed)
+                    out[i] = self.segment(chunks[i], int(draws[i]), dropout, seed)
                 continue
             for at in range(0, len(rows), 50_000):
                 part = rows[at:at + 50_000]
-                for i, ids in zip(part, self._together([chunks[i] for i in part], 8 * width, draw, dropout, seed)):
+                for i, ids in zip(part, self._together([chunks[i] for i in part], 8 * width, draws[part], dropout, seed)):
                     out[i] = ids
         return out
 
-    def _together(self, chunks: list[str], width: int, draw: int, dropout: float, seed: int) -> list[list[int]]:
+    def _together(self, chunks: list[str], width: int, draws: np.ndarray, dropout: float, seed: int,
+                  log: list | None = None) -> list[list[int]]:
+        """``log`` receives (row, place, piece) of the candidates taken, step by step; rows of odd characters have none."""
         n = len(chunks)
         codes = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le"), np.uint32).reshape(n, width)
         size = np.fromiter(map(len, chunks), np.int64, n)
@@ -110,7 +112,9 @@ class Pieces:
                 break
             k = after[rows, j]
             merged = self._pair_piece(ids[rows, j], ids[rows, k])
-            skip = _chance(seed, draw, j, merged) < int(dropout * (1 << 53))
+            skip = _chance(seed, draws[rows], j, merged) < int(dropout * (1 << 53))
+            if log is not None:
+                log.append((rows, j, merged))
             cost[rows[skip], j[skip]] = np.inf
             r, j, k, merged = rows[~skip], j[~skip], k[~skip], merged[~skip]
             ids[r, j] = merged
@@ -126,7 +130,7 @@ class Pieces:
             cost[r[left], near[left]] = self._pair_cost(ids[r[left], near[left]], merged[left])
         ends = np.cumsum(alive.sum(axis=1)).tolist()
         flat = ids[alive].tolist()
-        return [self.segment(chunks[i], draw, dropout, seed) if odd[i] else flat[a:b]
+        return [self.segment(chunks[i], int(draws[i]), dropout, seed) if odd[i] else flat[a:b]
                 for i, (a, b) in enumerate(zip([0, *ends], ends))]
 
     def _pair_at(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,30 +195,62 @@ class Pieces:
     def _bytes(self, text: str) -> list[int]:
         return [self.byte_id[x] for x in text.encode()]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Caches (ids, places, pieces) of chunks without dropout: what they become if no candidate is skipped.
+
+        None stands for chunks that are segmented anew each time.
+        """
+        by_width: dict[int, list[str]] = {}
+        for chunk in chunks:
+            if chunk[0] == SPACE:  # the mark itself is never a space, so it stays apart as bytes
+                self._cache[chunk] = self._bytes(chunk), _NONE, _NONE
+            elif len(chunk) > 32 or any(self.by_code[ord(c)] < 0 for c in chunk.replace(" ", SPACE)):
+                self._cache[chunk] = None
+            else:
+                by_width.setdefault(-(-len(chunk) // 8), []).append(chunk)
+        for width, own in by_width.items():
+            for at in range(0, len(own), 50_000):
+                part, log = own[at:at + 50_000], []
+                ids = self._together([c.replace(" ", SPACE) for c in part], 8 * width, _draws(0, len(part)), 0.0, 0, log)
+                rows, places, pieces = (np.concatenate(x) for x in zip(*log)) if log else (_NONE,) * 3
+                order = np.argsort(rows, kind="stable")
+                cuts = np.searchsorted(rows[order], np.arange(1, len(part)))
+                self._cache.update(zip(part, zip(ids, np.split(places[order], cuts), np.split(pieces[order], cuts))))
+
     def encode_many(self, texts_: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
-        """Ids of texts. ``key`` and the place of a chunk select the draw; no piece crosses a chunk."""
-        caches = self._caches.setdefault((dropout, seed), [{} for _ in range(DRAWS)])
-        if max(map(len, caches)) > _CACHE // DRAWS:
-            for cache in caches:
-                cache.clear()
-        chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts_]
-        starts = [xxhash.xxh64_intdigest(struct.pack("<qq", seed, k)) % DRAWS for k in keys]
-        for draw, cache in enumerate(caches):
-            new = set()
-            for own, start in zip(chunks, starts):
-                new.update(own[(draw - start) % DRAWS::DRAWS])
-            new = [c for c in new if c not in cache]
-            # the mark itself is never a space, so it stays apart as bytes
-            cache.update((c, self._bytes(c)) for c in new if c[0] == SPACE)
-            new = [c for c in new if c[0] != SPACE]
-            cache.update(zip(new, self.segment_many([c.replace(" ", SPACE) for c in new], draw, dropout, seed)))
+        """Ids of texts. The key and the place of a chunk give its draw; no piece crosses a chunk.
+
+        A chunk none of whose candidates is skipped has the cached ids; the others are segmented under their draw.
+        """
+        if len(self._cache) > _CACHE:
+            self._cache.clear()
+        own = [_CHUNK.findall(" " + t) if t else [] for t in texts_]
+        chunks = list(itertools.chain.from_iterable(own))
+        if not chunks:
+            return [[] for _ in own]
+        self._learn([c for c in set(chunks) if c not in self._cache])
+        base = np.array([xxhash.xxh64_intdigest(struct.pack("<qq", seed, k)) for k in keys], np.uint64)
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        ends = np.cumsum(sizes)
+        draws = _draw_at(np.repeat(base, sizes), np.arange(ends[-1]) - np.repeat(ends - sizes, sizes))
         out = []
-        for own, start in zip(chunks, starts):
-            ids: list[int] = []
-            turns = [caches[(start + i) % DRAWS] for i in range(DRAWS)]
-            for cache, chunk in zip(itertools.cycle(turns), own):
-                ids += cache[chunk]
-            out.append(ids)
+        for at in range(0, len(chunks), 100_000):
+            out += self._drawn(chunks[at:at + 100_000], draws[at:at + 100_000], dropout, seed)
+        return [list(itertools.chain.from_iterable(out[b - n:b])) for b, n in zip(ends.tolist(), sizes.tolist())]
+
+    def _drawn(self, chunks: list[str], draws: np.ndarray, dropout: float, seed: int) -> list[list[int]]:
+        known = [self._cache[c] for c in chunks]
+        out = [k[0] if k else None for k in known]
+        changed = np.fromiter((k is None for k in known), bool, len(known))
+        if dropout:
+            count = np.fromiter((k[1].size if k else 0 for k in known), np.int64, len(known))
+            rows = np.repeat(np.arange(len(known)), count)
+            places, pieces = (np.concatenate([k[i] for k in known if k] or [_NONE]) for i in (1, 2))
+            changed[rows[_chance(seed, draws[rows], places, pieces) < int(dropout * (1 << 53))]] = True
+        anew = np.nonzero(changed)[0]
+        made = self.segment_many([chunks[i].replace(" ", SPACE) for i in anew], draws[anew], dropout, seed)
+        for i, ids in zip(anew.tolist(), made):
+            out[i] = ids
         return out
 
     def encode(self, text: str, key: int = 0, dropout: float = DROPOUT, seed: int = SEED) -> list[int]:
@@ -226,14 +262,33 @@ class Pieces:
         return b"".join([known[i] or b"" for i in ids])[1:].decode("utf-8", "replace")
 
 
-def _chance(seed: int, draw: int, place, piece):
+_NONE = np.zeros(0, np.int64)
+
+
+def _draws(draw, n: int) -> np.ndarray:
+    """One draw for each of ``n`` chunks."""
+    return np.full(n, draw & _ALL, np.uint64) if isinstance(draw, int) else np.asarray(draw, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
+
+
+def _draw_at(base: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """64 bits for each (hash of a document's key, place of a chunk)."""
+    with np.errstate(over="ignore"):
+        return _mixed(base + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _chance(seed: int, draw, place, piece):
     """53 hash bits of the candidate, the same for arrays and single numbers."""
     with np.errstate(over="ignore"):
-        x = np.uint64(seed * 0x9E3779B97F4A7C15 + draw * 0xD1B54A32D192ED03 & _ALL)
+        draw = np.uint64(draw & _ALL) if isinstance(draw, int) else draw
+        x = np.uint64(seed * 0x9E3779B97F4A7C15 & _ALL) + draw * np.uint64(0xD1B54A32D192ED03)
         x = x ^ (np.asarray(place).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(piece).astype(np.uint64))
-        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
-        return (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+        return _mixed(x) >> np.uint64(11)
 
 
 _CHUNK = re.compile(f"{SPACE}+| *[^ {SPACE}]+| +")
@@ -244,7 +299,7 @@ def with_pieces(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPO
     """``docs`` with ids (array of int), n_pieces and lossless (decoding gives the text again).
 
     The segmentation of a row depends on the seed, its ``key``, the text and nothing else, so reruns and repeated
-    rows agree; other keys get other segmentations. NULL and empty texts have no pieces and are
+    rows agree; each chunk of each other key is drawn anew. NULL and empty texts have no pieces and are
     lossless as an empty text; a NULL key counts as -1. Columns named like the new ones are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))  # a fixed 32,000 pieces

@@ -53,6 +53,25 @@ def test_dropout_varies_and_decodes_losslessly(pieces):
     assert len(dropped) == len("▁internationalisation")
 
 
+def test_every_key_and_place_has_its_own_draw(pieces):
+    text = "Internationalisation of unbelievable words " * 40
+    copies = [tuple(ids) for ids in pieces.encode_many([text] * 200, list(range(200)))]
+    assert len(set(copies)) == 200 and all(pieces.decode(list(ids)) == text for ids in copies[:20])
+    words = [tuple(pieces.encode(" unbelievable", k, 0.3, 7)) for k in range(400)]
+    assert len(set(words)) > 8
+    one = pieces.encode_many(["x", text, "", "caf\u00e9 \u65e5\u672c " * 5], [5, 6, 7, 8])
+    assert one[1] == pieces.encode(text, 6) and one[3] == pieces.encode("caf\u00e9 \u65e5\u672c " * 5, 8)
+
+
+def test_drawn_chunks_are_those_of_their_own_draw(pieces):
+    import numpy as np
+    chunks = [" internationalisation", " words", " lamp", "\u2581", " \u65e5\u672c", "x" * 50] * 50
+    draws = pd._draw_at(np.full(300, 9, np.uint64), np.arange(300))
+    pieces._learn([c for c in set(chunks) if c not in pieces._cache])
+    want = [pieces._bytes(c) if c[0] == pd.SPACE else pieces.segment(c.replace(" ", pd.SPACE), int(d), 0.2, 7) for c, d in zip(chunks, draws)]
+    assert pieces._drawn(chunks, draws, 0.2, 7) == want
+
+
 def test_column_operators(spark):
     docs = sample_docs(spark)
     got = pd.with_pieces(docs)
