@@ -18,7 +18,7 @@ from geocairn.plans.session import materialize
 MIN_DOCS = 3
 #: Of 5 tokens 4 must agree, place by place, with the first line of a template.
 AGREE = 5
-#: Most distinct lines of a leaf that are held at once.
+#: Lines of a leaf that were once held at a time; no longer read, as a leaf is held whole.
 LEAF_LINES = 20_000
 _DIGIT = re.compile(rb"[0-9]")
 _WILD = b"<*>"
@@ -97,31 +97,28 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Leaf:
-    """The templates under one leaf: lines are put under the first line they agree with."""
+    """The templates under one leaf: lines are put under the earliest template whose first line they agree with."""
 
     def __init__(self):
-        self.first: list[list[bytes]] = []
+        self.first: list[bytes] = []
         self.members: list[list[tuple]] = []
-        self.by_segment: dict = {}
-        self.size = 0
+        self.by_segment: dict[int, list[int]] = {}
 
     def add(self, node: tuple, line: bytes) -> None:
         """``node``: h, g, rows, smallest and largest id."""
-        self.size += 1
         tokens = line.split(b" ")
         n = len(tokens)
-        differ = n // AGREE
+        differ, known = n // AGREE, depth(n)  # the leading tokens are those of the leaf
         # a line with at most so many other tokens has one of these segments in common
-        cuts = [n * i // (differ + 1) for i in range(differ + 2)]
-        segments = [(i, *tokens[cuts[i]:cuts[i + 1]]) for i in range(differ + 1)]
-        for s in segments:
-            for at in self.by_segment.get(s, ()):
-                if sum(a != b for a, b in zip(tokens, self.first[at])) <= differ:
-                    self.members[at].append(node)
-                    return
+        cuts = [known + (n - known) * i // (differ + 1) for i in range(differ + 2)]
+        segments = [xxhash.xxh64_intdigest(b" ".join(tokens[cuts[i]:cuts[i + 1]]), i) for i in range(differ + 1)]
+        for at in sorted({at for s in segments for at in self.by_segment.get(s, ())}):
+            if sum(a != b for a, b in zip(tokens, self.first[at].split(b" "))) <= differ:
+                self.members[at].append(node)
+                return
         for s in segments:
             self.by_segment.setdefault(s, []).append(len(self.first))
-        self.first.append(tokens)
+        self.first.append(line)
         self.members.append([node])
 
     def recurring(self, least: int) -> Iterator[tuple]:
@@ -178,7 +175,7 @@ def _grow(least: int):
                     node[4] = max((x for x in (node[4], high) if x is not None), default=None)
                     continue
                 close_node()
-                if at != leaf_ or held and held.size >= LEAF_LINES:
+                if at != leaf_:
                     close_leaf()
                 at, node, line = leaf_, [h, g, n, low, high], text
             if len(out) > 10_000:
@@ -195,8 +192,8 @@ def recurring_lines(docs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
 
     A line is parsed into tokens; those with digits are variable. Its leaf is given by its number of
     tokens and its leading tokens. Under a leaf, lines that agree with a template's first line in four of five
-    places belong to it and the other places are variable. Lines are sorted by their parsed
-    text, so a leaf beyond ``LEAF_LINES`` is cut into runs that share further leading tokens. Rows
+    places belong to it and the other places are variable. A leaf is held whole by one task, whatever
+    its size, so what recurs does not depend on the other lines of the leaf. Rows
     are summed per batch first: a line that a third of all documents have is one row a batch.
     """
     nodes = docs.select("doc_id", "text").mapInArrow(_nodes, _NODE)

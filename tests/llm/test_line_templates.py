@@ -87,6 +87,16 @@ def test_full_leaves_are_cut_into_runs(spark, monkeypatch):
     assert len(out) == 30 and all(first <= h for h, _, _, first in out)
 
 
+def test_lines_of_one_template_meet_in_a_full_leaf(spark, monkeypatch):
+    monkeypatch.setattr(lt, "LEAF_LINES", 5)
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    family = [f"one two three {name(60 * i)} g h i j k l" for i in range(6)]
+    others = [f"one two three {name(i)} " + " ".join(f"{c}{name(i)}" for c in "ghijkl") for i in range(360)]
+    got = cut(spark, [f"{x}\n" + "\n".join(others[60 * i:60 * i + 60]) for i, x in enumerate(family)])
+    assert [family[i] in got[i].split("\n") for i in range(6)] == [True] + [False] * 5
+    assert sum(t.count("one two three") for t in got.values()) == 361
+
+
 def test_awkward_documents(spark):
     docs = sample_docs(spark)
     got = lt.drop_recurring_lines(docs)
