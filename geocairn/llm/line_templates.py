@@ -16,6 +16,8 @@ from geocairn.plans.session import materialize
 
 #: A template recurs if so many documents have a line of it.
 MIN_DOCS = 3
+#: Of lines of over so many tokens two documents suffice.
+LONG, LONG_DOCS = 50, 2
 #: Of 5 tokens 4 must agree, place by place, with the first line of a template.
 AGREE = 5
 #: Lines of a leaf that were once held at a time; no longer read, as a leaf is held whole.
@@ -123,8 +125,8 @@ class _Leaf:
 
     def recurring(self, least: int) -> Iterator[tuple]:
         """(h, g, template, smallest id) of each line of a template that so many rows have."""
-        for nodes in self.members:
-            yield from _recurring(nodes, least)
+        for first, nodes in zip(self.first, self.members):
+            yield from _recurring(nodes, min(least, LONG_DOCS) if first.count(b" ") >= LONG else least)
 
 
 def _recurring(nodes: list[tuple], least: int) -> Iterator[tuple]:
@@ -218,7 +220,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_recurring_lines(docs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines cut out of ``text``, and the numbers of lines and of lines dropped.
 
-    A template that lines of at least ``least`` rows have is recurring. Its first line stays in the
+    A template that lines of at least ``least`` rows have is recurring; for lines of over ``LONG`` tokens
+    ``LONG_DOCS`` rows suffice. Its first line stays in the
     document with the smallest id (in all rows that repeat that id; where all ids are NULL, in all); every
     other line of it goes. Lines without a word stay. NULL stays NULL, with no lines. All rows and
     columns stay; columns named like the new ones are replaced.

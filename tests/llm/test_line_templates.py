@@ -97,6 +97,13 @@ def test_lines_of_one_template_meet_in_a_full_leaf(spark, monkeypatch):
     assert sum(t.count("one two three") for t in got.values()) == 361
 
 
+def test_long_passages_go_when_two_documents_have_them(spark):
+    words = [f"word{'abcdefgh'[i % 8]}{'xyz'[i % 3]}{'pqrst'[i // 12]}" for i in range(51)]
+    long, short = " ".join(words), " ".join(words[:50])
+    got = cut(spark, ["own\n" + long, "other\n" + long + "\n" + short + "\nend", "third\n" + short])
+    assert got == {0: "own\n" + long, 1: "other\n" + short + "\nend", 2: "third\n" + short}
+
+
 def test_awkward_documents(spark):
     docs = sample_docs(spark)
     got = lt.drop_recurring_lines(docs)
