@@ -7,21 +7,22 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geocairn.llm.common import texts
+from geocairn.llm.common import ROWS, texts
 from geocairn.plans.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: Distinct known values that a pattern must surround to be a candidate.
+#: Distinct values, known or accepted so far, that a pattern must surround to be a candidate.
 MIN_SEEDS = 3
-#: Most patterns of the model, those with the most known values first.
-MOST_PATTERNS = 10_000
+#: Bits of the map by which tasks pass over most pairs of words that are no pattern.
+_MAP_BITS = 22
 #: Score from which a value counts as found.
 ACCEPT = 0.8
 _TOP = 0.99
@@ -144,20 +145,45 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(_SPAN_ARROW))], ["doc_id", "found"])
 
 
-def _occurrences(patterns: list[str]):
-    """How often each pattern surrounds any word, summed per batch."""
-    wanted = [p.split(" ", 2) for p in patterns]
-    before = {(a, b) for form, a, b in wanted if form == "before"}
-    around = {(a, b) for form, a, b in wanted if form == "around"}
+def _bit(pattern: str) -> int:
+    return xxhash.xxh64_intdigest(pattern.encode("utf-8", "surrogatepass"), 3) >> (64 - _MAP_BITS)
 
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = [_bit(p) for p in batch.column("pattern").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([b >> 5 for b in bits], pa.int32()),
+                                          pa.array([1 << (b & 31) for b in bits], pa.int64())], ["word", "bits"])
+
+
+def _bit_map(patterns: DataFrame):
+    """A map of fixed size that has the bit of every pattern; others pass by chance only, so nothing is lost."""
+    words = patterns.select("pattern").mapInArrow(_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(1 << (_MAP_BITS - 5), np.uint32)
+    for r in words.collect():  # at most 131,072 numbers
+        out[r.word] = r.bits
+    return out
+
+
+def _occurrences(bit_map):
+    """How often each pattern surrounds any word, summed per batch, for patterns in the map."""
     def run(batches):
-        for batch in batches:
-            sums: Counter = Counter()
-            for text in texts(batch.column("text")):
-                words = ["^", *_WORD.findall(text.lower()), "^"]
-                sums.update(f"before {a} {b}" for a, b in zip(words, words[1:-2]) if (a, b) in before)
-                sums.update(f"around {a} {b}" for a, b in zip(words, words[2:]) if (a, b) in around)
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())], ["pattern", "n"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                before: Counter = Counter()
+                around: Counter = Counter()
+                for text in texts(whole.column("text").slice(at, ROWS)):
+                    words = ["^", *_WORD.findall(text.lower()), "^"]
+                    before.update(zip(words, words[1:-2]))
+                    around.update(zip(words, words[2:]))
+                sums: dict[str, int] = {}
+                for form, pairs in (("before", before), ("around", around)):
+                    for (a, b), n in pairs.items():
+                        pattern = f"{form} {a} {b}"
+                        bit = _bit(pattern)
+                        if int(bit_map.value[bit >> 5]) >> (bit & 31) & 1:
+                            sums[pattern] = n
+                yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())], ["pattern", "n"])
 
     return run
 
@@ -168,26 +194,30 @@ def score_values(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> Dat
     ``found`` has one row per span (kind, value, seed, pattern). A pattern's confidence is the
     score of the values that it surrounds, per occurrence of the pattern around any word of all
     texts; a value's score is one minus the product of its patterns' doubts. Known values have
-    score one throughout. Both sides are aggregated and joined by Spark in each round.
+    score one throughout. In each round the candidates are the patterns around ``MIN_SEEDS`` values
+    accepted so far, without a limit. Both sides are aggregated and joined by Spark in each round.
     """
     edges = materialize(found.groupBy("kind", "pattern", "value").agg(
         F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    seeds = edges.where("seed").groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    model = [(r.kind, r.pattern) for r in seeds.orderBy(F.desc("seeds"), "kind", "pattern").limit(MOST_PATTERNS).collect()]
-    spark = docs.sparkSession
-    if not model:
-        return spark.createDataFrame([], "kind int, value long, score double")
-    counts = docs.select("text").mapInArrow(_occurrences(sorted({p for _, p in model})), "pattern string, n long")
+    # whatever is accepted, a pattern of fewer values is no candidate in any round
+    possible = edges.groupBy("kind", "pattern").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS)
+    possible = materialize(possible.select("kind", "pattern"), "patterns")
+    bit_map = docs.sparkSession.sparkContext.broadcast(_bit_map(possible))
+    counts = docs.select("text").mapInArrow(_occurrences(bit_map), "pattern string, n long")
     totals = counts.groupBy("pattern").agg(F.sum("n").alias("total"))
-    chosen = spark.createDataFrame(model, "kind int, pattern string").join(totals, "pattern", "left")
+    chosen = possible.join(totals, "pattern", "left")
     edges = materialize(edges.join(chosen.withColumn("total", F.coalesce("total", F.lit(0))), ["kind", "pattern"]), "graph")
     scores = edges.select("kind", "value", F.col("seed").cast("double").alias("score")).groupBy("kind", "value").agg(F.max("score").alias("score"))
+    if not rounds:
+        return scores.where("score < 1")
     for _ in range(rounds):
-        known = edges.join(scores, ["kind", "value"])
+        known = edges.join(scores.select("kind", "value", "score"), ["kind", "value"])
         sure = known.groupBy("kind", "pattern").agg(
+            F.count_if(F.col("score") >= ACCEPT).alias("accepted"),
             (F.sum(F.col("n") * F.col("score")) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence"))
-        doubt = F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(_TOP)))))
-        scores = materialize(edges.join(sure, ["kind", "pattern"]).groupBy("kind", "value").agg(
+        sure = sure.where(F.col("accepted") >= MIN_SEEDS).select("kind", "pattern", "confidence")
+        doubt = F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(_TOP)))))
+        scores = materialize(edges.join(sure, ["kind", "pattern"], "left").groupBy("kind", "value").agg(
             F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score"), F.max("seed").alias("seed")), "scores")
     return scores.where("NOT seed").select("kind", "value", "score")
 

@@ -75,3 +75,23 @@ def test_learned_patterns_find_unseen_identifiers(spark):
 
 def test_no_rows(spark):
     assert pii.personal_data(no_docs(spark)).collect() == []
+
+
+def test_values_accepted_in_a_round_make_new_patterns(spark):
+    """Pattern 1 has three known values and finds five; pattern 2 has none but those; nothing is limited."""
+    edges = [(0, v, v < 103, "before mail to") for v in range(100, 108)]
+    edges += [(0, v, False, "before write at") for v in (103, 104, 105, 106, 107, 110)]
+    found = spark.createDataFrame(edges, "kind int, value long, seed boolean, pattern string")
+    docs = spark.createDataFrame([(" ".join(["mail to x"] * 8),), (" ".join(["write at x"] * 6),)], "text string")
+    got = {r.value: r.score for r in pii.score_values(found, docs, rounds=8).collect()}
+    assert 110 in got and got[110] > 0.5
+
+
+def test_rare_reliable_patterns_stay_beside_many_others(spark):
+    n = 10_005
+    found = spark.range(n).selectExpr("0 AS kind", "concat('before p', id, ' q') AS pattern", "id",
+                                      "explode(sequence(0, if(id = 0, 3, 4))) AS v").selectExpr(
+        "kind", "if(v = 0, -1 - id, v) AS value", "v > 0 AS seed", "pattern")
+    docs = spark.range(n).selectExpr("repeat(concat('p', id, ' q x '), 5) AS text")
+    got = pii.score_values(found, docs, rounds=1)
+    assert got.count() == n and got.where("value = -1 AND score > 0.5").count() == 1
