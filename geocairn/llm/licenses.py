@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geocairn.plans.session import materialize
 
-# Headers and openings of licence texts.
+# Headers and openings of licence texts; whole texts lie in TEXT_FOLDER.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
@@ -23,6 +24,10 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("proprietary", "All rights reserved."),
 )
+#: Whole licence texts, by name; a file may match these as a whole.
+TEXT_FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+#: Most adjacent lines that a wrapped header is looked for in.
+HEADER_LINES = 6
 #: Cosine from which a line is a header, and a whole text a licence file.
 HEADER = 0.75
 FILE = 0.5
@@ -55,40 +60,70 @@ def weights(templates, frequency: dict[str, int], n_docs: int):
     return idf, vectors, [t for t in vocabulary if t not in common]
 
 
-def own_licenses(files: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """(row, path, license, score, via): the best template of each row of ``files`` (path, text).
+def whole_texts(folder: str = TEXT_FOLDER) -> tuple[tuple[str, str], ...]:
+    """(name, text) of the licence texts beside this module, read on the driver."""
+    out = []
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            out.append((name.removesuffix(".txt"), f.read()))
+    return tuple(out)
 
-    Every line, and the whole text, is a unit; terms are runs of a-z and 0-9 in lower case. Document
-    frequencies of the templates' terms are counted over all texts; any other term weighs as one that no
-    text has. Units without a term that a match needs (shown by Cauchy-Schwarz, so nothing is
-    lost) are passed over. ``license`` is NULL where no line reaches HEADER and the text not FILE.
-    """
+
+def _model(files: DataFrame, templates):
+    """(idf, vectors, pattern) of templates, with document frequencies over all texts."""
     vocabulary = sorted({t for _, text in templates for t in terms(text)})
     found = F.array_intersect(_terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))
     counts = {r.term: r["count"] for r in files.select(F.explode(found).alias("term")).groupBy("term").count().collect()}
     idf, vectors, needed = weights(templates, counts, files.count())
-    pattern = rf"(?i)(?<![a-z0-9])(?:{'|'.join(needed)})(?![a-z0-9])"
-    text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(pattern))
-    units = F.when(text.rlike(pattern), F.concat(
-        F.transform(lines, lambda x: F.struct(F.lit("header").alias("via"), x.alias("unit"))),
-        F.array(F.struct(F.lit("file").alias("via"), text.alias("unit")))))
-    rows = materialize(files.select("path", units.alias("units")).withColumn("row", F.monotonically_increasing_id()), "units")
-    spark = files.sparkSession
+    return idf, vectors, rf"(?i)(?<![a-z0-9])(?:{'|'.join(needed)})(?![a-z0-9])"
+
+
+def _good(units: DataFrame, idf: dict, vectors: list, other: float, at: int) -> DataFrame:
+    """(row, place, via, template, score) of ``units`` (row, place, via, unit) that reach their threshold; templates
+    are numbered from ``at``."""
+    spark = units.sparkSession
     entries = spark.createDataFrame(
-        [(t, i, w / norm * idf[t]) for i, (_, _, vector, norm) in enumerate(vectors) for t, w in vector.items()],
+        [(t, i + at, w / norm * idf[t]) for i, (_, _, vector, norm) in enumerate(vectors) for t, w in vector.items()],
         "term string, template int, weight double")
-    other = math.log(1 + max(1, files.count())) + 1
     known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    tokens = (rows.select("row", F.posexplode("units").alias("place", "u")).select(
-        "row", "place", "u.via", F.explode(_terms(F.col("u.unit"))).alias("term")).groupBy("row", "place", "via", "term").count())
+    tokens = units.select("row", "place", "via", F.explode(_terms(F.col("unit"))).alias("term")).groupBy(
+        "row", "place", "via", "term").count()
     # both right sides hold the terms of the templates only
     tokens = tokens.join(F.broadcast(known), "term", "left")
     norms = tokens.groupBy("row", "place").agg(F.sqrt(F.sum(F.pow(F.col("count") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"))
     dots = tokens.join(F.broadcast(entries), "term").groupBy("row", "place", "via", "template").agg(
         F.sum(F.col("count") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, ["row", "place"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    good = scores.where(F.col("score") >= F.when(F.col("via") == "header", HEADER).otherwise(FILE))
+    return scores.where(F.col("score") >= F.when(F.col("via") == "header", HEADER).otherwise(FILE))
+
+
+def own_licenses(files: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(row, path, license, score, via): the best template of each row of ``files`` (path, text).
+
+    Every run of up to ``HEADER_LINES`` adjacent lines, and the whole text, is a unit; the whole text is compared with the
+    licence texts of ``whole_texts`` as well, with a vocabulary of their own. Terms are runs of a-z and 0-9 in lower case. Document
+    frequencies of the templates' terms are counted over all texts; any other term weighs as one that no
+    text has. Units without a term that a match needs (shown by Cauchy-Schwarz, so nothing is
+    lost) are passed over. ``license`` is NULL where no run of lines reaches HEADER and the text not FILE.
+    """
+    idf, vectors, pattern = _model(files, templates)
+    text_idf, text_vectors, text_pattern = _model(files, whole_texts())
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n", -1)
+    unit = lambda via, x: F.struct(F.lit(via).alias("via"), x.alias("unit"))
+    blocks = F.filter(F.flatten(F.transform(lines, lambda x, i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(HEADER_LINES), F.size(lines) - i)),
+        lambda n: F.array_join(F.slice(lines, i + 1, n), "\n")))), lambda x: x.rlike(pattern))
+    none = F.array().cast("array<struct<via:string,unit:string>>")
+    units = F.concat(
+        F.when(text.rlike(pattern), F.concat(F.transform(blocks, lambda x: unit("header", x)), F.array(unit("file", text)))).otherwise(none),
+        F.when(text.rlike(text_pattern), F.array(unit("text", text))).otherwise(none))
+    rows = materialize(files.select("path", units.alias("units")).withColumn("row", F.monotonically_increasing_id()), "units")
+    other = math.log(1 + max(1, files.count())) + 1
+    placed = rows.select("row", F.posexplode("units").alias("place", "u")).select("row", "place", "u.via", "u.unit")
+    good = _good(placed.where("via <> 'text'"), idf, vectors, other, 0).unionByName(
+        _good(placed.where("via = 'text'").withColumn("via", F.lit("file")), text_idf, text_vectors, other, len(vectors)))
+    vectors = [*vectors, *text_vectors]
     # a licence file counts before a header in it, then the closest template, then the first
     best = good.groupBy("row").agg(F.max(F.struct((F.col("via") == "file").alias("whole"), "score", (-F.col("template")).alias("t"), "via")).alias("m"))
     names = F.array(*(F.lit(name) for name, *_ in vectors))

@@ -67,6 +67,21 @@ def test_terms_that_may_be_passed_over_cannot_match():
         assert math.sqrt(sum(w * w for t, w in vector.items() if t not in needed)) < li.FILE * norm
 
 
+def test_whole_texts_are_licence_files_and_wrapped_headers_are_found(spark):
+    mit, apache = dict(li.whole_texts())["MIT"], dict(li.whole_texts())["Apache-2.0"]
+    bsd = ("# Redistribution and use in source and binary forms, with or without\n"
+           "# modification, are permitted provided that the following conditions are met:")
+    code = "\n".join(f"value{i} = compute{i}(argument{i})" for i in range(200))
+    files = [("m/LICENSE", "Copyright (c) 2020 Some One\n\n" + mit), ("m/x.py", "import os"), ("n/LICENSE", apache),
+             ("n/y.py", "import re"), ("o/z.py", code + "\n" + bsd + "\n" + code)]
+    files += [(f"p/{i}.py", "source and forms for the use of " + code) for i in range(20)]
+    docs = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: (r.license, r.via) for r in li.license_scan(docs).collect()}
+    assert got["m/LICENSE"] == ("MIT", "file") and got["m/x.py"] == ("MIT", "inherited")
+    assert got["n/LICENSE"] == ("Apache-2.0", "file") and got["n/y.py"] == ("Apache-2.0", "inherited")
+    assert got["o/z.py"] == ("BSD", "header") and got["p/3.py"] == (None, None)
+
+
 def test_no_rows(spark):
     files = no_docs(spark).selectExpr("source AS path", "text")
     assert li.license_scan(files).collect() == []
