@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geocairn.llm import (
-    decision_list, licenses, line_templates, mixing, pii, piece_dropout, simhash, spotsigs, toxicity, url_cascade)
+    decision_list, filter_audit, licenses, line_templates, mixing, pii, piece_dropout, simhash, spotsigs, toxicity, url_cascade)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,13 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_toxicity, op3_piece_dropout, op4_pii, op5_url_cascade, op6_spotsigs, op7_line_templates,
-    op8_licenses, op9_pareto_mix, op10_decision_list)}
+    op8_licenses, op9_pareto_mix, op10_decision_list, op11_filter_audit)}
 
 _PARETO = """
     WITH sized AS (
@@ -109,8 +113,44 @@ _PARETO = """
         AND running - size / 2 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM ranked"""
 
+_FILTERS = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate("ABCDE"))
+_AUDIT = rf"""
+    WITH words AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS txt,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    firsts AS (SELECT txt, min(doc_id) AS first FROM words GROUP BY txt),
+    marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad
+              FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    masked AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+               (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+               + 4 * (100 * length(regexp_replace(txt, '[^A-Z]', '', 'g')) > 10 * length(txt))::INT
+               + 8 * regexp_matches(txt, '[#$%&*|]')::INT + 16 * coalesce(words.doc_id > first, false)::INT AS mask
+        FROM words JOIN firsts USING (txt) LEFT JOIN marks ON words.doc_id = marks.doc_id),
+    counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+               FROM masked GROUP BY part, mask),
+    f(c, b) AS (VALUES {_FILTERS}),
+    orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM f a, f b, f c, f d, f e
+               WHERE (a.b | b.b | c.b | d.b | e.b) = 31),
+    steps AS (
+        SELECT filter_order, step::INT AS step, f.b AS bit,
+               (SELECT coalesce(sum(g.b), 0) FROM f g WHERE strpos(filter_order, g.c) < step)::INT AS before
+        FROM orders, generate_series(1, 5) AS s(step) JOIN f ON f.c = substr(filter_order, step, 1)),
+    result AS (
+        SELECT part, filter_order, step, bit,
+               coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+               coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+               coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+               coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+               coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+               coalesce(sum(bad) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+        FROM counts, steps GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM result"""
+
 _HOST = r"translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
+    "op11_filter_audit": _AUDIT,
     "op9_pareto_mix": _PARETO,
     "op5_url_cascade": rf"""
         WITH rests AS (
