@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geocairn.llm import (
-    decision_list, filter_audit, licenses, line_templates, mixing, pii, piece_dropout, simhash, spotsigs, toxicity, url_cascade)
+    decision_list, filter_audit, hard_negatives, licenses, line_templates, mixing, pii, piece_dropout, simhash, spotsigs, toxicity, url_cascade)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh vector are shifted by one first; every fiftieth is an anchor."""
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_toxicity, op3_piece_dropout, op4_pii, op5_url_cascade, op6_spotsigs, op7_line_templates,
-    op8_licenses, op9_pareto_mix, op10_decision_list, op11_filter_audit)}
+    op8_licenses, op9_pareto_mix, op10_decision_list, op11_filter_audit, op13_hard_negatives)}
 
 _PARETO = """
     WITH sized AS (
@@ -148,9 +155,29 @@ _AUDIT = rf"""
     SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
            (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM result"""
 
+_MINED = """
+    WITH rows AS (
+        SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+        SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+        FROM rows a JOIN rows b ON a.id % 50 = 0 AND a.id <> b.id),
+    positives AS (
+        SELECT anchor_id, id, score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id,
+           row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank,
+           n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+        AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+    QUALIFY rank <= 3"""
+
 _HOST = r"translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
     "op11_filter_audit": _AUDIT,
+    "op13_hard_negatives": _MINED,
     "op9_pareto_mix": _PARETO,
     "op5_url_cascade": rf"""
         WITH rests AS (
