@@ -212,7 +212,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id: str = "vec_id", la
     a secondary sort that an iterator reads.
 
     Rows with a NULL id, label or vector, or a NULL or non-finite component take no part. Other rows are those of another
-    id; rows that repeat an id each count, as anchors too. Vectors of different lengths compare as if filled up with zeros. Other
+    id; rows that repeat an id each count, as anchors too. Scores beyond 64 bits are cut to their range. Vectors of different lengths compare as if filled up with zeros. Other
     columns are ignored. No rows or no anchors, no result.
     """
     v = F.col(vector)

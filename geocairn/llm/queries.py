@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geocairn.llm import (
-    decision_list, filter_audit, hard_negatives, licenses, line_templates, mixing, pii, piece_dropout, simhash, spotsigs, toxicity, url_cascade)
+    decision_list, filter_audit, hard_negatives, licenses, line_templates, mixing, page_text, pii, piece_dropout, simhash, spotsigs, toxicity, url_cascade)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.with_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of every seventh vector are shifted by one first; every fiftieth is an anchor."""
     rows = table(spark, sf_dir, "embeddings").withColumn(
@@ -72,7 +76,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_toxicity, op3_piece_dropout, op4_pii, op5_url_cascade, op6_spotsigs, op7_line_templates,
-    op8_licenses, op9_pareto_mix, op10_decision_list, op11_filter_audit, op13_hard_negatives)}
+    op8_licenses, op9_pareto_mix, op10_decision_list, op11_filter_audit, op12_page_text, op13_hard_negatives)}
 
 _PARETO = """
     WITH sized AS (
@@ -174,9 +178,18 @@ _MINED = """
         AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
     QUALIFY rank <= 3"""
 
+# The articles of the given pages stand in one element, in which only these references occur.
+_ARTICLES = r"""
+    WITH found AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS part FROM pages),
+    plain AS (SELECT page_id, url, regexp_replace(regexp_replace(part, '<(/?(p|h1|br)[^>]*)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM found),
+    decoded AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM plain)
+    SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(t, '\s+', ' ', 'g')))::BIGINT AS n_chars
+    FROM decoded"""
+
 _HOST = r"translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
     "op11_filter_audit": _AUDIT,
+    "op12_page_text": _ARTICLES,
     "op13_hard_negatives": _MINED,
     "op9_pareto_mix": _PARETO,
     "op5_url_cascade": rf"""
