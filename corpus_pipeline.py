@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from geocairn.llm import line_templates, mixing, near_copies, piece_dropout, toxicity  # noqa: E402
+from geocairn.llm import line_templates, mixing, piece_dropout, simhash, toxicity  # noqa: E402
 from geocairn.llm.queries import table  # noqa: E402
 from geocairn.plans.session import materialize  # noqa: E402
 
@@ -26,8 +26,8 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, likeness 0.8."""
-    return near_copies.keep_one_of_near_copies(docs)
+    """One document of each SimHash component stays: three-word shingles, three bits."""
+    return simhash.keep_one_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
