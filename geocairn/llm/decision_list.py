@@ -165,7 +165,9 @@ def learn_rules(stats: DataFrame, labels: DataFrame, bound: int = LEARN_ROWS, pr
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.where(share_below(F.col("doc_id"), known.count(), bound))
-    one_each = stats.select("doc_id", *STATS).join(sample, "doc_id").dropDuplicates(["doc_id"])
+    # of rows that repeat a doc_id the one with the smallest statistics counts
+    one_each = stats.select("doc_id", *STATS).join(sample, "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(*STATS)).alias("least"), F.min("quality").alias("quality")).select("doc_id", "quality", "least.*")
     table = one_each.select("doc_id", "quality", *(F.expr(e).cast("double").alias(f"r_{n}") for n, e in RATIOS.items()),
                             F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)).alias("fold")).toPandas().sort_values("doc_id")
     if table.empty:

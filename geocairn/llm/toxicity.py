@@ -27,8 +27,12 @@ SIGNIFICANT = 15.0
 #: Grade 0 is clean; toxic documents have grades 1 to 3.
 GRADES = 4
 PREFIXES = (4, 5, 6)
-#: A document is toxic if grade 1 or more has this probability.
-TOXIC = 0.5
+#: Of five labelled documents one is held out of the fit; the cut is chosen on those.
+HELD_OUT = 5
+#: Share of clean held-out documents that the cut leaves alone at least.
+CLEAN_LEFT = 0.97
+#: Held-out documents of each class without which the cut follows the share of toxic documents instead.
+_ENOUGH = 20
 _SPLIT = re.compile(r"\w+")
 _FLUSH = 300_000
 
@@ -72,6 +76,10 @@ class Model:
     place: dict[str, int]
     weights: np.ndarray
     cuts: np.ndarray
+    #: A document is toxic if grade 1 or more has this probability.
+    toxic_from: float = 0.5
+    #: Shares of held-out toxic documents caught and of clean ones left alone; None if there were too few.
+    held_out: tuple[float, float] | None = None
 
     def row(self, text: str) -> tuple[list[int], list[float]]:
         """Places and values of the text's features; the last feature is the length."""
@@ -135,24 +143,44 @@ def fit(of: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, n_feat
     return theta[:n_features], raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
 
 
+def best_cut(p: np.ndarray, toxic: np.ndarray, clean_left: float = CLEAN_LEFT) -> float:
+    """The probability from which most toxic documents are caught and clean ones left alone (the sum of both shares),
+    among those that leave ``clean_left`` of the clean ones alone; the largest of equal ones."""
+    marks = np.unique(p)
+    cuts = np.append((marks[:-1] + marks[1:]) / 2, marks[-1] + 1e-9)  # halfway, so that no document lies on a cut
+    left = np.searchsorted(np.sort(p[~toxic]), cuts) / (~toxic).sum()
+    caught = 1 - np.searchsorted(np.sort(p[toxic]), cuts) / toxic.sum()
+    score = np.where(left >= clean_left, caught + left, -1)
+    return float(cuts[np.nonzero(score == score.max())[0][-1]])
+
+
 def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model | None:
     """A model from ``labels`` (doc_id, toxic 0/1), or None unless both classes are labelled.
 
     About ``bound`` labelled documents are used, the same in every run; a repeated label counts as
-    toxic if any is. Their texts stay in Spark: the driver gets the chosen features and, per document,
-    its sparse counts. Labels say only whether a document is toxic. Toxic documents get grades 1 to 3
-    by how dense features of toxic documents are in them, cut at terciles.
+    toxic if any is, and of rows that repeat a doc_id the one with the smallest text hash counts. Their texts stay
+    in Spark: the driver gets the chosen features and, per document, its sparse counts. Labels say only whether a
+    document is toxic. Toxic documents get grades 1 to 3 by how dense features of toxic documents are in them, cut at
+    terciles. One of ``HELD_OUT`` documents takes no part in features and fit; ``best_cut`` of those decides from
+    which probability a document is toxic. If they are too few, all take part and the cut is twice the share of
+    toxic documents, one half at most.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = materialize(known.where(share_below(F.col("doc_id"), known.count(), bound)), "sample")
     # bounded by ``bound`` rows of two numbers, so broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"),
+        (F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0).alias("held"))
     chosen = materialize(chosen, "labelled")
-    size = chosen.agg(F.count("*"), F.sum("toxic")).first()
-    if not size[1] or size[0] == size[1]:
+    n, bad, n_held, bad_held = chosen.agg(F.count("*"), F.sum("toxic"), F.count_if("held"), F.sum(F.col("held").cast("int") * F.col("toxic"))).first()
+    if not bad or n == bad:
         return None
-    n, bad = size
-    counts = (chosen.select("text", "toxic").mapInArrow(_document_counts, "feature string, toxic long, every long")
+    hold = min(bad_held, n_held - bad_held) >= _ENOUGH and 0 < bad - bad_held < n - n_held
+    if hold:
+        n, bad = n - n_held, bad - bad_held
+    else:
+        chosen = chosen.withColumn("held", F.lit(False))
+    counts = (chosen.where("NOT held").select("text", "toxic").mapInArrow(_document_counts, "feature string, toxic long, every long")
               .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("every").alias("every"))
               .where(F.col("every") >= MIN_DOCS))
     expected = F.col("every") * (bad / n)
@@ -163,26 +191,33 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model |
     place = {f: i for i, (f, _) in enumerate(best)}
     model = Model(place, np.zeros(len(place) + 1), np.zeros(GRADES - 1))
     kind = T.StructType([T.StructField("doc_id", chosen.schema["doc_id"].dataType), T.StructField("toxic", T.LongType()),
-                         T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.DoubleType()))])
+                         T.StructField("held", T.BooleanType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def sparse(batches):
         for batch in batches:
             rows = [model.row(t) for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(batch.column("toxic").to_pylist(), pa.int64()),
+                [batch.column("doc_id"), pa.array(batch.column("toxic").to_pylist(), pa.int64()), batch.column("held"),
                  pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
-                ["doc_id", "toxic", "at", "x"])
+                ["doc_id", "toxic", "held", "at", "x"])
 
-    table = chosen.select("doc_id", "toxic", "text").mapInArrow(sparse, kind).toArrow().sort_by("doc_id").combine_chunks()
+    table = chosen.select("doc_id", "toxic", "held", "text").mapInArrow(sparse, kind).toArrow().sort_by("doc_id").combine_chunks()
     toxic = table["toxic"].to_numpy() > 0
     at, x = (pc.list_flatten(table[c]).to_numpy() for c in ("at", "x"))
     of = np.repeat(np.arange(toxic.size), pc.list_value_length(table["at"]).to_numpy())
     leaning = np.array([a > 0 for _, a in best] + [False])
     words = np.expm1(10 * np.bincount(of, x * (at == len(place)), toxic.size))
     dense = np.bincount(of, np.expm1(x) * leaning[at], toxic.size) / np.maximum(words, 1)
-    terciles = np.quantile(dense[toxic], [1 / 3, 2 / 3])
+    held = table["held"].to_numpy(zero_copy_only=False)
+    terciles = np.quantile(dense[toxic & ~held], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(terciles, dense, side="left"), 0)
-    model.weights, model.cuts = fit(of, at, x, grade, len(place) + 1)
+    own, row = ~held[of], np.cumsum(~held) - 1
+    model.weights, model.cuts = fit(row[of[own]], at[own], x[own], grade[~held], len(place) + 1)
+    model.toxic_from = min(0.5, 2 * bad / n)
+    if hold:
+        p = 1 - model.grades(np.bincount(of, x * model.weights[at], toxic.size))[held, 0]
+        model.toxic_from = best_cut(p, toxic[held])
+        model.held_out = float((p[toxic[held]] >= model.toxic_from).mean()), float((p[~toxic[held]] < model.toxic_from).mean())
     return model
 
 
@@ -196,7 +231,7 @@ def with_severity(docs: DataFrame, model: Model | None, text: str = "text") -> D
         chance = model.grades(score) if model else np.eye(1, GRADES).repeat(len(rows), axis=0)
         chance[empty] = np.eye(1, GRADES)
         p = 1 - chance[:, 0]
-        return [pa.array(np.round(chance @ np.arange(GRADES), 6)), pa.array(np.round(p, 6)), pa.array(p >= TOXIC)]
+        return [pa.array(np.round(chance @ np.arange(GRADES), 6)), pa.array(np.round(p, 6)), pa.array(p >= (model.toxic_from if model else 0.5))]
 
     return with_columns(docs, [("severity", T.DoubleType()), ("p_toxic", T.DoubleType()), ("toxic", T.BooleanType())],
                         compute, [text])

@@ -28,7 +28,9 @@ def test_held_out_documents(spark):
     got = {r.doc_id: r for r in tox.toxicity_report(docs, table).collect()}
     right = [got[i].toxic == bool(y) for i, y in labels[600:]]
     assert sum(right) >= 0.98 * len(right)
-    assert all((r.p_toxic >= 0.5) == r.toxic and 0 <= r.severity <= 3 for r in got.values())
+    # one cut for all documents
+    assert min(r.p_toxic for r in got.values() if r.toxic) > max(r.p_toxic for r in got.values() if not r.toxic)
+    assert all(0 <= r.severity <= 3 for r in got.values())
     mean = lambda y: np.mean([got[i].severity for i, t in labels[600:] if t == y])
     assert mean(1) > 1 > 0.3 > mean(0)
     kept = tox.drop_toxic(docs, table)
@@ -37,6 +39,32 @@ def test_held_out_documents(spark):
     assert sorted(map(tuple, got.values())) == sorted(map(tuple, tox.toxicity_report(docs.repartition(9), table).collect()))
 
 
+def test_the_cut_follows_the_held_out_documents(spark):
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randrange(2, 30)
+        toxic = np.array([True, False] + [rng.random() < 0.4 for _ in range(n)])
+        p = np.round(np.array([rng.random() * 0.7 + 0.3 * t for t in toxic]), 1)
+        cut = tox.best_cut(p, toxic, 0.8)
+        left, caught = (p[~toxic] < cut).mean(), (p[toxic] >= cut).mean()
+        want = max((p[~toxic] < c).mean() + (p[toxic] >= c).mean() for c in np.append(p, 2) - 1e-6 if (p[~toxic] < c).mean() >= 0.8)
+        assert left >= 0.8 and abs(left + caught - want) < 1e-9 and not (p == cut).any()
+    rows, labels = labelled()
+    model = tox.learn(sample_docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert min(model.held_out) > 0.9 and 0 < model.toxic_from < 1
+    few = tox.learn(sample_docs(spark, rows), spark.createDataFrame(labels[:60], "doc_id long, toxic int"))
+    assert few.held_out is None and few.toxic_from == 2 * 10 / 60
+
+
+def test_repeated_ids_give_the_same_model(spark):
+    rows, labels = labelled(400)
+    twice = rows + [(i, "another text " + t[::-1], *more) for i, t, *more in rows[::3]]
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = [tox.learn(sample_docs(spark, given).repartition(n), table) for given, n in ((twice, 2), (twice[::-1], 7))]
+    assert models[0].place == models[1].place and np.allclose(models[0].weights, models[1].weights)
+    assert models[0].toxic_from == models[1].toxic_from
+
+
 def test_regression_recovers_ordered_grades():
     rng = np.random.default_rng(0)
     n, k = 4000, 3
