@@ -20,9 +20,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
 SEED = 7
-#: Words whose segmentation without dropout is cached.
-_CACHE = 200_000
+#: States of chunks that a worker keeps.
+_CACHE = 800_000
 _ALL = (1 << 64) - 1
+_SLOT_BITS = 20
+#: Chunks are handled together by length, in steps; longer ones one by one.
+_STEP, _LONGEST = 8, 32
 SPACE = "\u2581"
 
 
@@ -50,7 +53,8 @@ class Pieces:
                 self.cost[piece] = -model.get_score(i)
 
         self.longest = max(map(len, self.id_of))
-        self._cache: dict = {}  # segmentations without dropout, and their candidates, of words met in this worker
+        self._root: dict[str, int | None] = {}  # first states of the chunks met in this worker
+        self._states = _States()
         self._fill_tables()
 
     def segment(self, chunk: str, draw: int, dropout: float = DROPOUT, seed: int = SEED) -> list[int]:
@@ -75,35 +79,42 @@ class Pieces:
         draws = _draws(draw, len(chunks))
         by_width: dict[int, list[int]] = {}
         for i, chunk in enumerate(chunks):
-            by_width.setdefault(-(-len(chunk) // 8), []).append(i)
+            by_width.setdefault(-(-len(chunk) // _STEP), []).append(i)
         for width, rows in by_width.items():
-            if width > 4:
+            if width * _STEP > _LONGEST:
                 for i in rows:
                     out[i] = self.segment(chunks[i], int(draws[i]), dropout, seed)
                 continue
             for at in range(0, len(rows), 50_000):
                 part = rows[at:at + 50_000]
-                for i, ids in zip(part, self._together([chunks[i] for i in part], 8 * width, draws[part], dropout, seed)):
+                for i, ids in zip(part, self._together([chunks[i] for i in part], _STEP * width, draws[part], dropout, seed)):
                     out[i] = ids
         return out
 
     def _together(self, chunks: list[str], width: int, draws: np.ndarray, dropout: float, seed: int,
-                  log: list | None = None) -> list[list[int]]:
-        """``log`` receives (row, place, piece) of the candidates taken, step by step; rows of odd characters have none."""
+                  log: list | None = None, history: list[tuple[int, ...]] | None = None) -> list[list[int]]:
+        """``log`` receives (row, place, piece) of the candidates taken, step by step.
+
+        With a ``history`` the candidates are not drawn: a row skips those at its steps and no others.
+        """
         n = len(chunks)
         codes = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le"), np.uint32).reshape(n, width)
         size = np.fromiter(map(len, chunks), np.int64, n)
         place = np.arange(width)
         inside = place[None, :] < size[:, None]
         ids = np.where(inside, self.by_code[codes], -1)
-        odd = ((ids < 0) & inside).any(axis=1)  # characters without a piece go another way
-        ids[odd] = -1
+        odd = np.nonzero(((ids < 0) & inside).any(axis=1))[0]  # characters without a piece stay apart and become bytes
         after = np.broadcast_to(place + 1, (n, width)).copy()
         before = np.broadcast_to(place - 1, (n, width)).copy()
         alive = inside.copy()
-        cost = np.full((n, width), np.inf)
+        cost = np.full((n, width), np.inf, self.pair_cost.dtype)
         cost[:, :-1] = self._pair_cost(ids[:, :-1], ids[:, 1:])
         rows = np.arange(n)
+        step = 0
+        if history:
+            forced = np.zeros((n, max(h[-1] if h else 0 for h in history) + 1), bool)
+            for i, h in enumerate(history):
+                forced[i, list(h)] = True
         while rows.size:
             j = cost[rows].argmin(axis=1)
             found = cost[rows, j] < np.inf
@@ -112,7 +123,11 @@ class Pieces:
                 break
             k = after[rows, j]
             merged = self._pair_piece(ids[rows, j], ids[rows, k])
-            skip = _chance(seed, draws[rows], j, merged) < int(dropout * (1 << 53))
+            if history is None:
+                skip = _chance(seed, draws[rows], j, merged) < int(dropout * (1 << 53))
+            else:
+                skip = forced[rows, step] if step < forced.shape[1] else np.zeros(rows.size, bool)
+            step += 1
             if log is not None:
                 log.append((rows, j, merged))
             cost[rows[skip], j[skip]] = np.inf
@@ -130,21 +145,34 @@ class Pieces:
             cost[r[left], near[left]] = self._pair_cost(ids[r[left], near[left]], merged[left])
         ends = np.cumsum(alive.sum(axis=1)).tolist()
         flat = ids[alive].tolist()
-        return [self.segment(chunks[i], int(draws[i]), dropout, seed) if odd[i] else flat[a:b]
-                for i, (a, b) in enumerate(zip([0, *ends], ends))]
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for i in odd.tolist():
+            at = np.nonzero(alive[i])[0].tolist()
+            out[i] = list(itertools.chain.from_iterable(
+                [k] if k >= 0 else self._bytes(chunks[i][j]) for j, k in zip(at, out[i])))
+        return out
 
-    def _pair_at(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the pair table, whether it is the pair's own)."""
+    def _pair_at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place of each pair in the pair table, 0 for pairs that make no piece."""
         key = (a.astype(np.int64) << 32) | (b.astype(np.int64) & 0xFFFFFFFF)
-        at = np.minimum(np.searchsorted(self.pairs, key), self.pairs.size - 1)
-        return at, (self.pairs[at] == key) & (a >= 0) & (b >= 0)
+        slot = _slot(key)
+        at = np.zeros(key.shape, np.int32)
+        some = np.nonzero(self.in_slot[slot])[0] if key.ndim == 1 else np.nonzero(self.in_slot[slot])
+        key, slot = key[some], slot[some]
+        place = self.slots[slot]
+        found = np.where(self.pairs[place] == key, place, 0)
+        for i in range(1, self.most):  # few slots hold several pairs
+            more = np.nonzero(self.in_slot[slot] > i)[0]
+            next_ = place[more] + i
+            found[more] = np.where(self.pairs[next_] == key[more], next_, found[more])
+        at[some] = found
+        return at
 
     def _pair_cost(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        at, own = self._pair_at(a, b)
-        return np.where(own, self.pair_cost[at], np.inf)
+        return self.pair_cost[self._pair_at(a, b)]
 
     def _pair_piece(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.pair_piece[self._pair_at(a, b)[0]]
+        return self.pair_piece[self._pair_at(a, b)]
 
     def _fill_tables(self) -> None:
         """Ids by character, and every pair of pieces that makes a piece."""
@@ -159,7 +187,17 @@ class Pieces:
                     pairs.append((a << 32 | b, self.cost[piece], i))
         pairs.sort()
         self.pairs, self.pair_cost, self.pair_piece = (
-            np.array(c, kind) for c, kind in zip(zip(*pairs), (np.int64, float, np.int32)))
+            np.array(c, kind) for c, kind in zip(zip((-1, np.inf, -1), *pairs), (np.int64, float, np.int32)))
+        if (self.pair_cost.astype(np.float32) == self.pair_cost).all():
+            self.pair_cost = self.pair_cost.astype(np.float32)
+        # pairs lie together by the slot of their hash
+        slot = _slot(self.pairs[1:])
+        order = np.concatenate([[0], 1 + np.argsort(slot, kind="stable")])
+        self.pairs, self.pair_cost, self.pair_piece = self.pairs[order], self.pair_cost[order], self.pair_piece[order]
+        self.in_slot = np.bincount(slot, minlength=1 << _SLOT_BITS).astype(np.int8)
+        self.slots = (1 + np.cumsum(self.in_slot, dtype=np.int64) - self.in_slot).astype(np.int32)
+        self.most = int(self.in_slot.max())
+        self.slots[self.in_slot == 0] = 0
 
     def _long(self, chunk: str, draw: int, dropout: float, seed: int) -> list[str]:
         """With the agenda as a heap, for chunks of any length."""
@@ -196,39 +234,57 @@ class Pieces:
         return [self.byte_id[x] for x in text.encode()]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Caches (ids, places, pieces) of chunks without dropout: what they become if no candidate is skipped.
+        """Gives each chunk its first state: what it becomes if no candidate is skipped.
 
         None stands for chunks that are segmented anew each time.
         """
-        by_width: dict[int, list[str]] = {}
+        fresh = []
         for chunk in chunks:
             if chunk[0] == SPACE:  # the mark itself is never a space, so it stays apart as bytes
-                self._cache[chunk] = self._bytes(chunk), _NONE, _NONE
-            elif len(chunk) > 32 or any(self.by_code[ord(c)] < 0 for c in chunk.replace(" ", SPACE)):
-                self._cache[chunk] = None
+                self._root[chunk] = self._states.add([chunk], [()], [self._bytes(chunk)], _NONE, _NONE)
+            elif len(chunk) > _LONGEST:
+                self._root[chunk] = None
             else:
-                by_width.setdefault(-(-len(chunk) // 8), []).append(chunk)
-        for width, own in by_width.items():
-            for at in range(0, len(own), 50_000):
-                part, log = own[at:at + 50_000], []
-                ids = self._together([c.replace(" ", SPACE) for c in part], 8 * width, _draws(0, len(part)), 0.0, 0, log)
+                fresh.append(chunk)
+        self._root.update(zip(fresh, self._follow(fresh, [()] * len(fresh))))
+
+    def _follow(self, chunks: list[str], histories: list[tuple[int, ...]]) -> list[int]:
+        """New states of chunks after the skips at the steps of a history: ids if nothing more is skipped, and the
+        candidates that follow the last skip."""
+        made: list[int] = [0] * len(chunks)
+        by_width: dict[int, list[int]] = {}
+        for i, chunk in enumerate(chunks):
+            by_width.setdefault(-(-len(chunk) // _STEP), []).append(i)
+        for width, all_ in by_width.items():
+            for at in range(0, len(all_), 50_000):
+                own, log = all_[at:at + 50_000], []
+                known = [histories[i] for i in own]
+                ids = self._together([chunks[i].replace(" ", SPACE) for i in own], _STEP * width, _draws(0, len(own)), 0.0, 0, log, known)
                 rows, places, pieces = (np.concatenate(x) for x in zip(*log)) if log else (_NONE,) * 3
                 order = np.argsort(rows, kind="stable")
-                cuts = np.searchsorted(rows[order], np.arange(1, len(part)))
-                self._cache.update(zip(part, zip(ids, np.split(places[order], cuts), np.split(pieces[order], cuts))))
+                rows, places, pieces = rows[order], places[order], pieces[order]
+                begin = np.fromiter((h[-1] + 1 if h else 0 for h in known), np.int64, len(own))
+                later = np.arange(rows.size) - np.searchsorted(rows, np.arange(len(own)))[rows] >= begin[rows]
+                first = self._states.add([chunks[i] for i in own], known, ids, rows[later], _candidate(places[later], pieces[later]))
+                for k, i in enumerate(own):
+                    made[i] = first + k
+        return made
 
     def encode_many(self, texts_: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
         """Ids of texts. The key and the place of a chunk give its draw; no piece crosses a chunk.
 
-        A chunk none of whose candidates is skipped has the cached ids; the others are segmented under their draw.
+        States of chunks are kept as a tree: a state holds the ids if nothing more is skipped and the candidates to
+        come, and the candidate skipped next leads to the next state. An occurrence hashes the candidates of its state
+        and moves on until none is skipped; only states that no occurrence has met are computed. The tree may be
+        dropped at any time, so its size bounds memory and nothing else.
         """
-        if len(self._cache) > _CACHE:
-            self._cache.clear()
+        if self._states.size > _CACHE:
+            self._root, self._states = {}, _States()
         own = [_CHUNK.findall(" " + t) if t else [] for t in texts_]
         chunks = list(itertools.chain.from_iterable(own))
         if not chunks:
             return [[] for _ in own]
-        self._learn([c for c in set(chunks) if c not in self._cache])
+        self._learn([c for c in set(chunks) if c not in self._root])
         base = np.array([xxhash.xxh64_intdigest(struct.pack("<qq", seed, k)) for k in keys], np.uint64)
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         ends = np.cumsum(sizes)
@@ -239,20 +295,32 @@ class Pieces:
         return [list(itertools.chain.from_iterable(out[b - n:b])) for b, n in zip(ends.tolist(), sizes.tolist())]
 
     def _drawn(self, chunks: list[str], draws: np.ndarray, dropout: float, seed: int) -> list[list[int]]:
-        known = [self._cache[c] for c in chunks]
-        out = [k[0] if k else None for k in known]
-        changed = np.fromiter((k is None for k in known), bool, len(known))
-        if dropout:
-            count = np.fromiter((k[1].size if k else 0 for k in known), np.int64, len(known))
-            rows = np.repeat(np.arange(len(known)), count)
-            places, pieces = (np.concatenate([k[i] for k in known if k] or [_NONE]) for i in (1, 2))
-            changed[rows[_chance(seed, draws[rows], places, pieces) < int(dropout * (1 << 53))]] = True
-        anew = np.nonzero(changed)[0]
+        states = self._states
+        roots = [self._root[c] for c in chunks]
+        state = np.fromiter((-1 if r is None else r for r in roots), np.int64, len(roots))
+        left = np.nonzero(state >= 0)[0] if dropout else _NONE
+        while left.size:
+            left, place = states.skipped(left, state[left], draws, dropout, seed)
+            state[left] = self._next(state[left], place)
+        ids = states.ids
+        out: list = [ids[k] if k >= 0 else None for k in state.tolist()]
+        anew = np.nonzero(state < 0)[0]
         made = self.segment_many([chunks[i].replace(" ", SPACE) for i in anew], draws[anew], dropout, seed)
-        for i, ids in zip(anew.tolist(), made):
-            out[i] = ids
+        for i, found in zip(anew.tolist(), made):
+            out[i] = found
         return out
 
+    def _next(self, state: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The states that follow when the candidate at ``place`` of a state is the next to be skipped."""
+        states = self._states
+        keys, back = np.unique(state << 8 | place, return_inverse=True)
+        found = [states.next.get(k) for k in keys.tolist()]
+        new = [(i, k >> 8, k & 255) for i, k in enumerate(keys.tolist()) if found[i] is None]
+        histories = [(*states.history[k], (states.history[k][-1] + 1 if states.history[k] else 0) + p) for _, k, p in new]
+        for (i, k, p), made in zip(new, self._follow([states.chunk[k] for _, k, _ in new], histories)):
+            found[i] = states.next[k << 8 | p] = made
+        return np.array(found, np.int64)[back]
+
     def encode(self, text: str, key: int = 0, dropout: float = DROPOUT, seed: int = SEED) -> list[int]:
         return self.encode_many([text], [key], dropout, seed)[0]
 
@@ -265,6 +333,53 @@ class Pieces:
 _NONE = np.zeros(0, np.int64)
 
 
+class _States:
+    """States of chunks by number: candidates in flat arrays, ids, and the way to each state."""
+
+    def __init__(self):
+        self.chunk: list[str] = []
+        self.history: list[tuple[int, ...]] = []
+        self.ids: list[list[int]] = []
+        self.next: dict[int, int] = {}
+        self.size = self._used = 0
+        self._start, self._count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._mixed = np.zeros(8192, np.uint64)
+
+    def add(self, chunks: list[str], histories: list[tuple[int, ...]], ids: list[list[int]], rows: np.ndarray, candidates: np.ndarray) -> int:
+        """Number of the first of the new states; ``rows`` says whose candidates they are, in order."""
+        self.chunk += chunks
+        self.history += histories
+        self.ids += ids
+        at, self.size = self.size, self.size + len(chunks)
+        used, self._used = self._used, self._used + rows.size
+        while self.size > self._start.size:
+            self._start, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count))
+        while self._used > self._mixed.size:
+            self._mixed = np.concatenate([self._mixed, np.zeros_like(self._mixed)])
+        count = np.bincount(rows, minlength=len(chunks))
+        self._count[at:self.size] = count
+        self._start[at:self.size] = used + np.cumsum(count) - count
+        self._mixed[used:self._used] = candidates
+        return at
+
+    def skipped(self, which: np.ndarray, state: np.ndarray, draws: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``which`` that skip a candidate of their state, and the place of the first one."""
+        count = self._count[state]
+        ends = np.cumsum(count)
+        row = np.repeat(np.arange(which.size), count)
+        place = np.arange(row.size) - np.repeat(ends - count, count)
+        hit = _drawn_bits(seed, draws[which][row], self._mixed[self._start[state][row] + place]) < int(dropout * (1 << 53))
+        row, place = row[hit], place[hit]
+        first = np.concatenate([[True], row[1:] != row[:-1]]) if row.size else np.zeros(0, bool)
+        return which[row[first]], place[first]
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - _SLOT_BITS)
+
+
 def _draws(draw, n: int) -> np.ndarray:
     """One draw for each of ``n`` chunks."""
     return np.full(n, draw & _ALL, np.uint64) if isinstance(draw, int) else np.asarray(draw, np.uint64)
@@ -282,13 +397,19 @@ def _draw_at(base: np.ndarray, place: np.ndarray) -> np.ndarray:
         return _mixed(base + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _candidate(place, piece) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.asarray(place).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(piece).astype(np.uint64)
+
+
+def _drawn_bits(seed: int, draw, candidate):
+    with np.errstate(over="ignore"):
+        return _mixed((np.uint64(seed * 0x9E3779B97F4A7C15 & _ALL) + draw * np.uint64(0xD1B54A32D192ED03)) ^ candidate) >> np.uint64(11)
+
+
 def _chance(seed: int, draw, place, piece):
     """53 hash bits of the candidate, the same for arrays and single numbers."""
-    with np.errstate(over="ignore"):
-        draw = np.uint64(draw & _ALL) if isinstance(draw, int) else draw
-        x = np.uint64(seed * 0x9E3779B97F4A7C15 & _ALL) + draw * np.uint64(0xD1B54A32D192ED03)
-        x = x ^ (np.asarray(place).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(piece).astype(np.uint64))
-        return _mixed(x) >> np.uint64(11)
+    return _drawn_bits(seed, np.uint64(draw & _ALL) if isinstance(draw, int) else draw, _candidate(place, piece))
 
 
 _CHUNK = re.compile(f"{SPACE}+| *[^ {SPACE}]+| +")

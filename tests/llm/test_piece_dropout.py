@@ -1,6 +1,10 @@
 import random
 
+import struct
+
+import numpy as np
 import pytest
+import xxhash
 import sentencepiece
 from pyspark.sql import functions as F
 from samples import no_docs, sample_docs, sample_rows
@@ -67,11 +71,43 @@ def test_drawn_chunks_are_those_of_their_own_draw(pieces):
     import numpy as np
     chunks = [" internationalisation", " words", " lamp", "\u2581", " \u65e5\u672c", "x" * 50] * 50
     draws = pd._draw_at(np.full(300, 9, np.uint64), np.arange(300))
-    pieces._learn([c for c in set(chunks) if c not in pieces._cache])
+    pieces._learn([c for c in set(chunks) if c not in pieces._root])
     want = [pieces._bytes(c) if c[0] == pd.SPACE else pieces.segment(c.replace(" ", pd.SPACE), int(d), 0.2, 7) for c, d in zip(chunks, draws)]
     assert pieces._drawn(chunks, draws, 0.2, 7) == want
 
 
+def plain_agenda(pieces, chunk, draw, dropout, seed):
+    """Lists only: the best pair that is a piece and was not skipped merges, until there is none."""
+    parts, skipped = [(i, c) for i, c in enumerate(chunk)], set()
+    while True:
+        pairs = [(pieces.cost[a + b], i, a + b, (j, len(a + b))) for (i, a), (j, b) in zip(parts, parts[1:])
+                 if a + b in pieces.cost and (i, j, len(a + b)) not in skipped]
+        if not pairs:
+            return [k for _, t in parts for k in ([pieces.id_of[t]] if t in pieces.id_of else pieces._bytes(t))]
+        _, i, text, (j, size) = min(pairs)
+        if int(pd._chance(seed, draw, i, pieces.id_of[text])) < dropout * 2 ** 53:
+            skipped.add((i, j, size))
+            continue
+        at = next(k for k, (p, _) in enumerate(parts) if p == i)
+        parts[at:at + 2] = [(i, text)]
+
+
+@pytest.mark.parametrize("bound", [0, 10 ** 6])
+def test_states_give_the_ids_of_a_plain_agenda_for_many_keys(pieces, bound, monkeypatch):
+    monkeypatch.setattr(pd, "_CACHE", bound)  # the tree is dropped before each call, or never
+    text = "unbelievable in\nternationalisation of ba\u00e9\u4e2d banana\U0001f600na  mississippi aaaaaaaa"
+    keys = list(range(150))
+    for dropout in (0.1, 0.4):
+        got = pieces.encode_many([text] * len(keys), keys, dropout, 7) + pieces.encode_many([text] * 9, keys[:9], dropout, 7)
+        for k, ids in zip([*keys, *keys[:9]], got):
+            base = np.array([xxhash.xxh64_intdigest(struct.pack("<qq", 7, k))], np.uint64)
+            want = []
+            for place, chunk in enumerate(pd._CHUNK.findall(" " + text)):
+                draw = int(pd._draw_at(base, np.array([place]))[0])
+                want += plain_agenda(pieces, chunk.replace(" ", pd.SPACE), draw, dropout, 7)
+            assert ids == want and pieces.decode(ids) == text
+
+
 def test_column_operators(spark):
     docs = sample_docs(spark)
     got = pd.with_pieces(docs)
