@@ -6,7 +6,7 @@ import math
 import os
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geocairn.plans.session import materialize
@@ -42,8 +42,8 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({_TERM})"), F.lit(1))
 
 
-def weights(templates, frequency: dict[str, int], n_docs: int):
-    """(idf by term, [(name, text, {term: tf * idf}, norm)], terms without which no cosine reaches FILE)."""
+def weights(templates, frequency: dict[str, int], n_docs: int, least: float = FILE):
+    """(idf by term, [(name, text, {term: tf * idf}, norm)], terms without which no cosine reaches ``least``)."""
     vocabulary = sorted({t for _, text in templates for t in terms(text)})
     idf = {t: math.log((1 + n_docs) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
     vectors = []
@@ -54,7 +54,7 @@ def weights(templates, frequency: dict[str, int], n_docs: int):
     for t in sorted(vocabulary, key=lambda t: (idf[t], t)):
         more = common | {t}
         # by Cauchy-Schwarz a text with none but these terms stays below the threshold
-        if any(sum(v.get(c, 0) ** 2 for c in more) >= (0.99 * FILE * norm) ** 2 for _, _, v, norm in vectors):
+        if any(sum(v.get(c, 0) ** 2 for c in more) >= (0.99 * least * norm) ** 2 for _, _, v, norm in vectors):
             break
         common = more
     return idf, vectors, [t for t in vocabulary if t not in common]
@@ -69,32 +69,48 @@ def whole_texts(folder: str = TEXT_FOLDER) -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
-def _model(files: DataFrame, templates):
-    """(idf, vectors, pattern) of templates, with document frequencies over all texts."""
-    vocabulary = sorted({t for _, text in templates for t in terms(text)})
+def _models(files: DataFrame, *sets):
+    """(number of rows, [(idf, vectors, needed terms)]) for sets of templates, with document frequencies over all texts."""
+    vocabulary = sorted({t for templates in sets for _, text in templates for t in terms(text)})
     found = F.array_intersect(_terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))
-    counts = {r.term: r["count"] for r in files.select(F.explode(found).alias("term")).groupBy("term").count().collect()}
-    idf, vectors, needed = weights(templates, counts, files.count())
-    return idf, vectors, rf"(?i)(?<![a-z0-9])(?:{'|'.join(needed)})(?![a-z0-9])"
+    # the row without a term counts the texts
+    counted = files.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("term")).groupBy("term").count()
+    counts = {r.term: r["count"] for r in counted.collect()}  # as many as the templates have terms
+    n = counts.get("", 0)
+    return n, counts, [weights(templates, counts, n) for templates in sets]
+
+
+def _runs(lines: DataFrame) -> DataFrame:
+    """(row, place, unit) of the runs of up to ``HEADER_LINES`` adjacent lines with a flagged one, of (row, i, line, flag).
+
+    Lines are windowed by row, so a text of any number of lines streams by.
+    """
+    order = Window.partitionBy("row").orderBy("i")
+    ahead = {f"line{k}": F.lead("line", k).over(order) for k in range(1, HEADER_LINES)}
+    ahead |= {f"flag{k}": F.lead("flag", k).over(order) for k in range(1, HEADER_LINES)}
+    lines = lines.withColumns(ahead).withColumnsRenamed({"line": "line0", "flag": "flag0"})
+    runs = [F.struct(F.lit(n).alias("n"), F.concat_ws("\n", *(f"line{k}" for k in range(n))).alias("unit"),
+                     (F.greatest(F.lit(False), *(F.coalesce(f"flag{k}", F.lit(False)) for k in range(n)))
+                      & F.col(f"line{n - 1}").isNotNull()).alias("good")) for n in range(1, HEADER_LINES + 1)]
+    return lines.select("row", "i", F.explode(F.array(*runs)).alias("r")).where("r.good").select(
+        "row", (F.col("i") * (HEADER_LINES + 1) + F.col("r.n")).alias("place"), F.col("r.unit").alias("unit"))
 
 
 def _good(units: DataFrame, idf: dict, vectors: list, other: float, at: int) -> DataFrame:
     """(row, place, via, template, score) of ``units`` (row, place, via, unit) that reach their threshold; templates
-    are numbered from ``at``."""
-    spark = units.sparkSession
-    entries = spark.createDataFrame(
-        [(t, i + at, w / norm * idf[t]) for i, (_, _, vector, norm) in enumerate(vectors) for t, w in vector.items()],
-        "term string, template int, weight double")
-    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    are numbered from ``at``. Terms are counted by unit, then all dot products and the norm are summed at once."""
+    entries = [(t, idf[t], [vector.get(t, 0.0) / norm * idf[t] for _, _, vector, norm in vectors]) for t in sorted(idf)]
+    known = units.sparkSession.createDataFrame(entries, "term string, idf double, weights array<double>")
     tokens = units.select("row", "place", "via", F.explode(_terms(F.col("unit"))).alias("term")).groupBy(
         "row", "place", "via", "term").count()
-    # both right sides hold the terms of the templates only
-    tokens = tokens.join(F.broadcast(known), "term", "left")
-    norms = tokens.groupBy("row", "place").agg(F.sqrt(F.sum(F.pow(F.col("count") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"))
-    dots = tokens.join(F.broadcast(entries), "term").groupBy("row", "place", "via", "template").agg(
-        F.sum(F.col("count") * F.col("weight")).alias("dot"))
-    scores = dots.join(norms, ["row", "place"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    return scores.where(F.col("score") >= F.when(F.col("via") == "header", HEADER).otherwise(FILE))
+    tokens = tokens.join(F.broadcast(known), "term", "left")  # the terms of the templates only
+    dots = [F.sum(F.col("count") * F.get("weights", F.lit(i))).alias(f"dot{i}") for i in range(len(vectors))]
+    sums = tokens.groupBy("row", "place", "via").agg(
+        F.sqrt(F.sum(F.pow(F.col("count") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"), *dots)
+    scores = F.array(*(F.struct(F.lit(i + at).alias("template"), F.round(F.col(f"dot{i}") / F.col("norm"), 6).alias("score"))
+                       for i in range(len(vectors))))
+    return sums.select("row", "place", "via", F.explode(scores).alias("s")).select("row", "place", "via", "s.*").where(
+        F.col("score") >= F.when(F.col("via") == "header", HEADER).otherwise(FILE))
 
 
 def own_licenses(files: DataFrame, templates=TEMPLATES) -> DataFrame:
@@ -102,27 +118,23 @@ def own_licenses(files: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     Every run of up to ``HEADER_LINES`` adjacent lines, and the whole text, is a unit; the whole text is compared with the
     licence texts of ``whole_texts`` as well, with a vocabulary of their own. Terms are runs of a-z and 0-9 in lower case. Document
-    frequencies of the templates' terms are counted over all texts; any other term weighs as one that no
-    text has. Units without a term that a match needs (shown by Cauchy-Schwarz, so nothing is
-    lost) are passed over. ``license`` is NULL where no run of lines reaches HEADER and the text not FILE.
+    frequencies of the templates' terms are counted over all texts in one pass; any other term weighs as one that no
+    text has. Texts and lines without a term that a match needs (shown by Cauchy-Schwarz, so nothing is lost) are passed
+    over before runs are built. ``license`` is NULL where no run of lines reaches HEADER and the text not FILE.
     """
-    idf, vectors, pattern = _model(files, templates)
-    text_idf, text_vectors, text_pattern = _model(files, whole_texts())
-    text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n", -1)
-    unit = lambda via, x: F.struct(F.lit(via).alias("via"), x.alias("unit"))
-    blocks = F.filter(F.flatten(F.transform(lines, lambda x, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(HEADER_LINES), F.size(lines) - i)),
-        lambda n: F.array_join(F.slice(lines, i + 1, n), "\n")))), lambda x: x.rlike(pattern))
-    none = F.array().cast("array<struct<via:string,unit:string>>")
-    units = F.concat(
-        F.when(text.rlike(pattern), F.concat(F.transform(blocks, lambda x: unit("header", x)), F.array(unit("file", text)))).otherwise(none),
-        F.when(text.rlike(text_pattern), F.array(unit("text", text))).otherwise(none))
-    rows = materialize(files.select("path", units.alias("units")).withColumn("row", F.monotonically_increasing_id()), "units")
-    other = math.log(1 + max(1, files.count())) + 1
-    placed = rows.select("row", F.posexplode("units").alias("place", "u")).select("row", "place", "u.via", "u.unit")
-    good = _good(placed.where("via <> 'text'"), idf, vectors, other, 0).unionByName(
-        _good(placed.where("via = 'text'").withColumn("via", F.lit("file")), text_idf, text_vectors, other, len(vectors)))
+    n, counts, ((idf, vectors, needed), (text_idf, text_vectors, text_needed)) = _models(files, templates, whole_texts())
+    pattern = rf"(?<![a-z0-9])(?:{'|'.join(weights(templates, counts, n, HEADER)[2])})(?![a-z0-9])"
+    found = files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("terms", _terms(F.col("text")))
+    has = lambda own: F.arrays_overlap("terms", F.array(*map(F.lit, own)))
+    found = found.select("path", "text", has(needed).alias("header"), has(text_needed).alias("whole"))
+    rows = found.select("path", "header", "whole", F.when(F.col("header") | F.col("whole"), F.col("text")).alias("text"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "units")
+    other = math.log(1 + max(1, n)) + 1
+    lines = rows.where("header").select("row", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    runs = _runs(lines.withColumn("flag", F.lower("line").rlike(pattern)))
+    unit = lambda which, place: rows.where(which).select("row", F.lit(place).alias("place"), F.lit("file").alias("via"), F.col("text").alias("unit"))
+    good = _good(runs.withColumn("via", F.lit("header")).unionByName(unit("header", -1)), idf, vectors, other, 0).unionByName(
+        _good(unit("whole", -2), text_idf, text_vectors, other, len(vectors)))
     vectors = [*vectors, *text_vectors]
     # a licence file counts before a header in it, then the closest template, then the first
     best = good.groupBy("row").agg(F.max(F.struct((F.col("via") == "file").alias("whole"), "score", (-F.col("template")).alias("t"), "via")).alias("m"))

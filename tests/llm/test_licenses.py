@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import pytest
@@ -82,6 +83,55 @@ def test_whole_texts_are_licence_files_and_wrapped_headers_are_found(spark):
     assert got["o/z.py"] == ("BSD", "header") and got["p/3.py"] == (None, None)
 
 
+def plain(files):
+    """Every run of lines and the whole text against all templates, whole licence texts included."""
+    texts = [t or "" for _, t in files]
+
+    def model(templates):
+        vocabulary = {t for _, x in templates for t in li.terms(x)}
+        return {t: math.log((1 + len(files)) / (1 + sum(t in li.terms(x) for x in texts))) + 1 for t in vocabulary}
+
+    other = math.log(1 + len(files)) + 1
+
+    def cosine(text, template, idf):
+        a, b = ({w: words.count(w) * idf.get(w, other) for w in set(words)} for words in (li.terms(text), li.terms(template)))
+        norm = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
+        return round(sum(a[w] * b.get(w, 0) for w in a) / norm, 6) if norm else 0
+
+    out = {}
+    headers, whole = model(li.TEMPLATES), model(li.whole_texts())
+    for (path, _), text in zip(files, texts):
+        lines = text.split("\n")
+        units = [("header", "\n".join(lines[i:i + n]), li.TEMPLATES, headers, li.HEADER, 0)
+                 for i in range(len(lines)) for n in range(1, li.HEADER_LINES + 1) if i + n <= len(lines)]
+        units += [("file", text, li.TEMPLATES, headers, li.FILE, 0), ("file", text, li.whole_texts(), whole, li.FILE, len(li.TEMPLATES))]
+        hits = [(via == "file", score, -i - at, name, via) for via, unit, templates, idf, least, at in units
+                for i, (name, t) in enumerate(templates) if (score := cosine(unit, t, idf)) >= least]
+        out[path] = (max(hits)[3], max(hits)[1], max(hits)[4]) if hits else (None, None, None)
+    return out
+
+
+def test_runs_of_lines_and_whole_texts_match_brute_force(spark):
+    rng = random.Random(2)
+    pool = [line for _, t in li.TEMPLATES for line in (t, *(" ".join(p) for p in zip(*[iter(t.split())] * 5)))]
+    pool += ["# some code", "", "the file and the work", "x = 1"] * 6
+    files = [(f"f/{i}", "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(60)]
+    whole = dict(li.whole_texts())
+    files += [("f/a", whole["MIT"]), ("f/b", whole["BSD"] + "\nmore"), ("f/c", whole["Apache-2.0"][:3000]), ("f/d", None), ("f/e", "")]
+    got = {r.path: (r.license, r.score, r.via) for r in li.own_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    want = plain(files)
+    assert {p: (g[0], g[2]) for p, g in got.items()} == {p: (w[0], w[2]) for p, w in want.items()}
+    assert all(g[1] == pytest.approx(want[p][1], abs=2e-6) for p, g in got.items())
+    assert len({g[2] for g in got.values()}) == 3 and sum(g[2] == "header" for g in got.values()) > 10
+
+
+def test_a_text_of_many_flagged_lines(spark):
+    line = "stones and rivers of the file, mills and lamps in green paper"
+    text = "\n".join(f"{line} {i}" for i in range(20_000)) + "\nReleased under the MIT License."
+    got = li.own_licenses(spark.createDataFrame([("long", text)], "path string, text string")).first()
+    assert (got.license, got.via) == ("MIT", "header")
+
+
 def test_no_rows(spark):
     files = no_docs(spark).selectExpr("source AS path", "text")
     assert li.license_scan(files).collect() == []
