@@ -21,7 +21,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: Distinct values, known or accepted so far, that a pattern must surround to be a candidate.
 MIN_SEEDS = 3
-#: Bits of the map by which tasks pass over most pairs of words that are no pattern.
+#: Bits of the map by which tasks pass over most words that start no pattern.
 _MAP_BITS = 22
 #: Score from which a value counts as found.
 ACCEPT = 0.8
@@ -108,9 +108,9 @@ def _signed(text: str) -> int:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[list[str]]:
-    """For each span the patterns around it: the two words before, and the words on both sides.
+    """For each span the patterns around it: the word before, the two words before, and the words on both sides.
 
-    Words of over 100 code points make no pattern.
+    A word of over 100 code points stands in a pattern by its hash.
     """
     words = [m.span() for m in _WORD.finditer(text)]
     starts = [a for a, _ in words]
@@ -118,13 +118,17 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[list[str]]:
     for _, a, b in spans:
         i, j = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
         word = lambda k: text[slice(*words[k])] if 0 <= k < len(words) else "^"  # noqa: E731, B023
-        own = [("before", word(i - 2), word(i - 1))] if i > 0 else []
+        own = [("left", word(i - 1)), ("before", word(i - 2), word(i - 1))] if i > 0 else []
         if i == j and i > 0:
             own.append(("around", word(i - 1), word(i + 1)))
-        out.append([" ".join(p).lower() for p in own if max(map(len, p)) <= 100])
+        out.append([_pattern(form, *(w.lower() for w in given)) for form, *given in own])
     return out
 
 
+def _pattern(form: str, *words: str) -> str:
+    return " ".join([form, *(w if len(w) <= 100 else f"#{_signed(w)}" for w in words)])
+
+
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()),
                       T.StructField("end", T.LongType()), T.StructField("value", T.LongType()),
                       T.StructField("seed", T.BooleanType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
@@ -145,19 +149,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(_SPAN_ARROW))], ["doc_id", "found"])
 
 
-def _bit(pattern: str) -> int:
-    return xxhash.xxh64_intdigest(pattern.encode("utf-8", "surrogatepass"), 3) >> (64 - _MAP_BITS)
+def _bit(word: bytes, use: int) -> int:
+    """Place in the map of a first word (use 1), a second one (2) or a whole pattern (3)."""
+    return xxhash.xxh64_intdigest(word, use) >> (64 - _MAP_BITS)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bits = [_bit(p) for p in batch.column("pattern").to_pylist()]
+        bits = set()
+        for pattern in batch.column("pattern").to_pylist():
+            parts = [pattern, *pattern.split(" ", 2)[1:]]
+            bits |= {_bit(p.encode("utf-8", "surrogatepass"), use) for p, use in zip(parts, (3, 1, 2))}
         yield pa.RecordBatch.from_arrays([pa.array([b >> 5 for b in bits], pa.int32()),
                                           pa.array([1 << (b & 31) for b in bits], pa.int64())], ["word", "bits"])
 
 
 def _bit_map(patterns: DataFrame):
-    """A map of fixed size that has the bit of every pattern; others pass by chance only, so nothing is lost."""
+    """A map of fixed size that has the bits of every pattern and its words; others pass by chance only, so nothing is lost."""
     words = patterns.select("pattern").mapInArrow(_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(1 << (_MAP_BITS - 5), np.uint32)
     for r in words.collect():  # at most 131,072 numbers
@@ -166,24 +174,47 @@ def _bit_map(patterns: DataFrame):
 
 
 def _occurrences(bit_map):
-    """How often each pattern surrounds any word, summed per batch, for patterns in the map."""
+    """How often each pattern surrounds any word, summed per task and flushed when many, for patterns in the map.
+
+    Each distinct word is looked up once in a while; pairs are only made where both words pass.
+    """
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                before: Counter = Counter()
-                around: Counter = Counter()
-                for text in texts(whole.column("text").slice(at, ROWS)):
-                    words = ["^", *_WORD.findall(text.lower()), "^"]
-                    before.update(zip(words, words[1:-2]))
-                    around.update(zip(words, words[2:]))
-                sums: dict[str, int] = {}
-                for form, pairs in (("before", before), ("around", around)):
-                    for (a, b), n in pairs.items():
-                        pattern = f"{form} {a} {b}"
-                        bit = _bit(pattern)
-                        if int(bit_map.value[bit >> 5]) >> (bit & 31) & 1:
-                            sums[pattern] = n
-                yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())], ["pattern", "n"])
+        marks = bit_map.value
+        held = lambda word, use: int(marks[(bit := _bit(word, use)) >> 5]) >> (bit & 31) & 1
+        passes: dict[bytes, int] = {}
+        sums: Counter = Counter()
+
+        def flush():
+            found: Counter = Counter()
+            for (form, *given), n in sums.items():
+                pattern = _pattern(form, *(w.decode("utf-8", "surrogatepass") for w in given))
+                if held(pattern.encode("utf-8", "surrogatepass"), 3):
+                    found[pattern] += n
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["pattern", "n"])
+
+        for batch in batches:
+            for text in texts(batch.column("text")):
+                words = [b"^", *text.lower().encode("utf-8", "surrogatepass").split(), b"^"]
+                for word in {*words}.difference(passes):
+                    name = word.decode("utf-8", "surrogatepass")
+                    name = word if len(name) <= 100 else f"#{_signed(name)}".encode()
+                    passes[word] = held(name, 1) | held(name, 2) << 1
+                kinds = [passes[w] for w in words]
+                last = len(words) - 1
+                for i in [i for i, kind in enumerate(kinds) if kind & 1]:
+                    if i < last - 1:
+                        if i:
+                            sums["left", words[i]] += 1
+                        if kinds[i + 2] > 1:
+                            sums["around", words[i], words[i + 2]] += 1
+                        if i < last - 2 and kinds[i + 1] > 1:
+                            sums["before", words[i], words[i + 1]] += 1
+                if len(passes) > 300_000:
+                    passes = {}
+                if len(sums) > 300_000:
+                    yield flush()
+        yield flush()
 
     return run
 

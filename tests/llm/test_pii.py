@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from samples import no_docs, sample_docs, sample_rows
 
 from geocairn.llm import pii
@@ -73,6 +75,29 @@ def test_learned_patterns_find_unseen_identifiers(spark):
     assert all(got[i].n_found == 0 for i in [*range(60), *range(70, 75)])
 
 
+def test_hidden_seeds_come_back(spark):
+    """A third of the known values is hidden from the seeds; patterns of the others find them, and no decoys."""
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choice("green lamp stone river paper of the".split()) for _ in range(n))
+    leads = ["tel:", "call me at", "my phone is", "reach us on", "fax:"]
+    rows = [(i, f"{filler(9)} {rng.choice(leads)} +1 (555) 12{i // 100}-4{i % 100:03d} {filler(6)}") for i in range(300)]
+    rows += [(300 + i, f"{filler(9)} +1 (555) 99{i // 100}-4{i % 100:03d} {filler(6)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = docs.mapInArrow(pii._scan, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", T.ArrayType(pii._SPAN))]))
+    spans = found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*").where("seed")
+    hidden = spans.withColumn("seed", F.col("doc_id") % 3 > 0).withColumn("seed", F.col("seed") & (F.col("doc_id") < 300))
+    good = pii.score_values(hidden.select("kind", "value", "seed", F.explode("patterns").alias("pattern")), docs).where(F.col("score") >= pii.ACCEPT)
+    ids = {r.doc_id for r in spans.join(good, ["kind", "value"]).select("doc_id").collect()}
+    wanted = set(range(0, 300, 3))
+    assert len(ids & wanted) >= 0.95 * len(wanted) and ids <= wanted
+
+
+def test_long_words_stand_in_patterns_by_their_hash():
+    long = "w" * 300
+    (left, before, around), = pii.contexts(f"a {long} 1.2.3.4 b", [("ip", 303, 310)])
+    assert left == f"left #{pii._signed(long)}" and before.startswith("before a #") and around.endswith(" b")
+
+
 def test_no_rows(spark):
     assert pii.personal_data(no_docs(spark)).collect() == []
 
