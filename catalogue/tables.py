@@ -63,6 +63,16 @@ def nation_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.withColumn("geometry", geometry("MultiPolygon", F.col("polygons")))
 
 
+def mixed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Square zones of suppliers, of sides from 0.0005 to 2.048 degrees."""
+    centres = supplier_centres(spark, sf_dir)
+    x, y = F.col("centre_lon"), F.col("centre_lat")
+    side = F.lit(0.0005) * F.pow(F.lit(4.0), (F.col("centre_id") % 7).cast("double"))
+    ring = F.array(*[F.struct(a.alias("lon"), b.alias("lat"))
+                     for a, b in ((x, y), (x + side, y), (x + side, y + side), (x, y + side))])
+    return centres.select(F.col("centre_id").alias("zone_id"), F.array(F.array(ring)).cast(PARTS_TYPE).alias("polygons"))
+
+
 # -- the same tables in SQL ------------------------------------------------------------
 
 
@@ -114,6 +124,13 @@ EVENT_ZONES = (
     f"GROUP BY event_id, zone_id, part HAVING {INSIDE})")
 
 
+# (event_id, zone_id) pairs of the square zones
+_SIDE = "0.0005::DOUBLE * pow(4.0::DOUBLE, (centre_id % 7)::DOUBLE)"
+MIXED_ZONES = (
+    f"SELECT event_id, centre_id AS zone_id FROM ({EVENT_POINTS}) JOIN (SELECT *, {_SIDE} AS side FROM ({SUPPLIER_CENTRES})) "
+    "ON latitude > centre_lat AND latitude < centre_lat + side AND longitude > centre_lon AND longitude < centre_lon + side")
+
+
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Spherical distance in metres."""
     return (f"(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) "

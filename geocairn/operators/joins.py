@@ -75,18 +75,32 @@ def _cell_join(points: DataFrame, cover: grid.Cover, *, lat: str, lon: str, how:
         spread = points.withColumn("_pcell", F.explode(F.array(*keys(cover.levels))))
         return spread.join(side, (F.col("_pcell") == F.col(grid.CELL)) & match,
                            "inner").drop("_pcell")
-    unmatched = reduce(lambda df, n: step(df, n, "left_anti"), cover.levels, points)
-    if how == "left_anti":
-        return unmatched
-    if how == "left_semi":  # first level with a match keeps the point, so no duplicates
-        found, rest = [], points
-        for n in cover.levels:
-            found.append(step(rest, n, "left_semi"))
-            rest = step(rest, n, "left_anti")
-        return reduce(DataFrame.unionByName, found)
+    if cover.bytes_bound <= limit:
+        # one scan: an existence test a level against the same broadcast cover, in any order
+        tests = [cover.df.hint("broadcast").where((F.col(grid.CELL) == key.outer()) & match).exists()
+                 for key in (F.col(f"_pcell{n}") for n in cover.levels)]
+        any_level = reduce(lambda a, b: a | b, tests)
+        flagged = points.withColumns({f"_pcell{n}": k for n, k in zip(cover.levels, keys(cover.levels))})
+
+        def kept(wanted):
+            return flagged.where(any_level if wanted else ~any_level).select(*points.columns)
+    else:
+        # whether a point matches depends on its position alone: positions with a match meet the points again
+        spare = "_" * (1 + max(map(len, points.columns)))  # longer than any name of the points
+        at_lat, at_lon = f"{spare}lat", f"{spare}lon"
+        places = points.select(F.col(lat).alias(at_lat), F.col(lon).alias(at_lon), lat, lon).where(
+            F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        spread = places.withColumn("_pcell", F.explode(F.array(*keys(cover.levels))))
+        hits = spread.join(side, (F.col("_pcell") == F.col(grid.CELL)) & match, "left_semi").select(at_lat, at_lon).distinct()
+
+        def kept(wanted):
+            return points.join(hits.hint("merge"), (F.col(lat) == F.col(at_lat)) & (F.col(lon) == F.col(at_lon)),
+                               "left_semi" if wanted else "left_anti")
+    if how != "left":
+        return kept(how == "left_semi")
     matched = _cell_join(points, cover, lat=lat, lon=lon, how="inner", exact=exact, limit=limit,
                          fold=fold)
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    return matched.unionByName(kept(False), allowMissingColumns=True)
 
 
 def within_join(

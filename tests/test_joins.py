@@ -95,6 +95,28 @@ def test_within_join(points, zones, expected, how, limit):
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("how", HOWS[1:])
+def test_existence_over_many_levels_takes_one_pass(points, zones, how):
+    df, _ = points
+    near = plan_of(gc.within_join(df, zones, **LATLON, how=how)).split("\n\n\n")[0]
+    wide = plan_of(gc.within_join(df, zones, **LATLON, how=how, broadcast_limit=-1)).split("\n\n\n")[0]
+    # broadcast: the points stream past the cover in one stage, in two for left joins
+    assert near.count("Union") == (how == "left") and "SortMergeJoin" not in near
+    # shuffled: one join with the cover (two for left joins), one with the positions that match
+    joins = wide.count("SortMergeJoin")
+    assert joins == (3 if how == "left" else 2) and wide.count("LeftAnti") == (how != "left_semi")
+
+
+def test_existence_counts_rows_of_one_place_and_keeps_odd_ones(spark, zones):
+    rows = [(1, 0.5, 0.5), (1, 0.5, 0.5), (2, None, 0.5), (3, 0.5, None), (4, float("nan"), 0.5), (5, 400.0, -400.0), (6, -0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, lat double, lon double").withColumn("_mlat", F.lit("clash"))
+    for limit in (1 << 26, -1):
+        semi, anti = (gc.within_join(df, zones, **LATLON, how=how, broadcast_limit=limit) for how in HOWS[2:])
+        assert semi.columns == anti.columns == df.columns
+        assert sorted(r.id for r in semi.union(anti).collect()) == [1, 1, 2, 3, 4, 5, 6]
+        assert {2, 3, 4, 5} <= {r.id for r in anti.collect()}
+
+
 def test_within_join_one_level_and_none(points, zones, expected):
     df, rows = points
     for how in HOWS:
