@@ -5,7 +5,7 @@ from __future__ import annotations
 from .geodesic_sql import direct, inverse
 from .spark_queries import BOX, COMB, POLYGON
 from .tables import (
-    CUSTOMER_POINTS, EVENT_POINTS, EVENT_ZONES, INSIDE, SUPPLIER_CENTRES, ZONE_EDGES,
+    CUSTOMER_POINTS, EVENT_POINTS, EVENT_ZONES, INSIDE, MIXED_ZONES, SUPPLIER_CENTRES, ZONE_EDGES,
     haversine_sql,
 )
 
@@ -384,6 +384,15 @@ ORACLE = {
     "refreshed_view": f"SELECT * RENAME (latitude AS north, longitude AS east), round({_km(35.6, -83.5)}, 6) "
                       "AS distance_km, (SELECT count(*) FROM events) AS all_rows "
                       f"FROM ({EVENT_POINTS}) WHERE event_type <> 'error'",
+    "within_join_mixed_sizes": MIXED_ZONES,
+    "within_join_mixed_left": f"SELECT e.event_id, zone_id FROM events e LEFT JOIN ({MIXED_ZONES}) z ON z.event_id = e.event_id",
+    "within_join_mixed_semi": f"SELECT event_id, event_type FROM events WHERE event_id IN (SELECT event_id FROM ({MIXED_ZONES}))",
+    "within_join_mixed_anti": f"SELECT event_id, event_type FROM events WHERE event_id NOT IN (SELECT event_id FROM ({MIXED_ZONES}))",
+    "within_join_mixed_shuffled":
+        f"SELECT e.event_id, 'left' AS kind FROM events e LEFT JOIN ({MIXED_ZONES}) z ON z.event_id = e.event_id UNION ALL "
+        f"SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM ({MIXED_ZONES})) THEN 'left_semi' ELSE 'left_anti' END FROM events",
+    "refreshed_elsewhere": "SELECT event_id, event_type FROM events WHERE event_type <> 'purchase'",
+    "published_stream": f"SELECT event_id, event_type, value, latitude, longitude FROM ({EVENT_POINTS})",
     "streamed_zone_points":
         f"SELECT event_id, ts, props, zone_id FROM ({EVENT_ZONES}) JOIN ({EVENT_POINTS}) USING (event_id)",
 }

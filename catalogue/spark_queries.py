@@ -16,7 +16,7 @@ from geocairn.plans.session import scratch_path
 from geocairn.sources.readers import read_csv
 from geocairn.sources.sinks import output_rows
 
-from .tables import customer_points, event_points, nation_zones, read, supplier_centres
+from .tables import customer_points, event_points, mixed_zones, nation_zones, read, supplier_centres
 
 LATLON = {"lat": "latitude", "lon": "longitude"}
 CENTRE = {"centre_lat": "centre_lat", "centre_lon": "centre_lon"}
@@ -147,6 +147,34 @@ def within_join_anti(spark, sf_dir):
                           how="left_anti").select("event_id", "event_type")
 
 
+def within_join_mixed_sizes(spark, sf_dir):
+    """Zones from fifty metres to two degrees across, so of many grid levels."""
+    return gc.within_join(event_points(spark, sf_dir), mixed_zones(spark, sf_dir), **LATLON).select("event_id", "zone_id")
+
+
+def within_join_mixed_left(spark, sf_dir):
+    return gc.within_join(event_points(spark, sf_dir), mixed_zones(spark, sf_dir), **LATLON,
+                          how="left").select("event_id", "zone_id")
+
+
+def within_join_mixed_semi(spark, sf_dir):
+    return gc.within_join(event_points(spark, sf_dir), mixed_zones(spark, sf_dir), **LATLON,
+                          how="left_semi").select("event_id", "event_type")
+
+
+def within_join_mixed_anti(spark, sf_dir):
+    return gc.within_join(event_points(spark, sf_dir), mixed_zones(spark, sf_dir), **LATLON,
+                          how="left_anti").select("event_id", "event_type")
+
+
+def within_join_mixed_shuffled(spark, sf_dir):
+    """The same where the cover is too large to broadcast."""
+    points, zones = event_points(spark, sf_dir), mixed_zones(spark, sf_dir)
+    kinds = [gc.within_join(points, zones, **LATLON, how=how, broadcast_limit=-1).select("event_id", F.lit(how).alias("kind"))
+             for how in ("left", "left_semi", "left_anti")]
+    return reduce(DataFrame.unionByName, kinds)
+
+
 def within_join_shuffled(spark, sf_dir):
     return gc.within_join(event_points(spark, sf_dir), nation_zones(spark, sf_dir), **LATLON,
                           broadcast_limit=-1).select("event_id", "zone_id")
@@ -589,6 +617,35 @@ def streamed_zone_points(spark, sf_dir):
     return spark.read.schema(kept).parquet(sink)
 
 
+def refreshed_elsewhere(spark, sf_dir):
+    """Three refreshes and a bad one, read by a session that made none of them."""
+    base = scratch_path(spark, "refresh-source")
+    rows = event_points(spark, sf_dir)
+    for name, kind in (("first", "click"), ("second", "error"), ("third", "purchase")):
+        rows.where(F.col("event_type") != kind).write.parquet(f"{base}/{name}")
+    read(spark, sf_dir, "nation").write.parquet(base + "/bad")
+    versions = scratch_path(spark, "versions")
+    for name in ("first", "second", "bad", "third"):
+        try:
+            gc.refresh(spark, "geocairn_shared", f"{base}/{name}", format="parquet", versions_dir=versions, keep=2)
+        except gc.RefreshFailed:
+            pass
+    return gc.published(spark.newSession(), "geocairn_shared", versions_dir=versions).df.select("event_id", "event_type")
+
+
+def published_stream(spark, sf_dir):
+    """A stream that publishes, stops, and goes on with more files from its checkpoint; read by another session."""
+    source, log, versions = (scratch_path(spark, n) for n in ("arrivals", "progress", "versions"))
+    rows = event_points(spark, sf_dir)
+    for part in range(3):
+        rows.where(F.col("event_id") % 3 == part).repartition(2).write.mode("append").parquet(source)
+        stream = gc.stream_points(spark, source, schema=rows.schema, max_files_per_trigger=1)
+        gc.publish_stream(stream, "geocairn_stream", versions_dir=versions, checkpoint=log,
+                          availableNow=True).awaitTermination()
+    live = gc.published(spark.newSession(), "geocairn_stream", versions_dir=versions)
+    return live.df.select("event_id", "event_type", "value", "latitude", "longitude")
+
+
 QUERIES = {f.__name__: f for f in (
     bbox, bbox_across_180, radius, nearest, within, within_long_boundary, where, bbox_and_where,
     limit_report, grouped_aggregates, radius_group_count, located_rows, dataset_profile,
@@ -600,5 +657,6 @@ QUERIES = {f.__name__: f for f in (
     json_round_trip, geojson_round_trip, catalog_table, row_numbers, clustered_layout,
     polygon_text, point_text, geometry_text_round_trip, polygon_features, output_values,
     refreshed_view, streamed_zone_points, csv_text, geojson_document, geojson_errors, hull_in_box,
-    dissolve_metrics, where_typed, nearest_grouped,
+    dissolve_metrics, where_typed, nearest_grouped, within_join_mixed_sizes, within_join_mixed_left,
+    within_join_mixed_semi, within_join_mixed_anti, within_join_mixed_shuffled, refreshed_elsewhere, published_stream,
 )}

@@ -24,14 +24,14 @@ from .sources.layout import write_layout
 from .sources.readers import load_csv, load_geojson, load_parquet, load_points
 from .sources.sinks import feature_lines, write_csv, write_geojson, write_json, write_rows
 from .streaming.refresh import RefreshFailed, published, refresh
-from .streaming.stream import stream_points
+from .streaming.stream import publish_stream, stream_points
 
 __all__ = [
     "ColumnNotFound", "PointDataset", "RefreshFailed", "bounds", "buffer_join", "buffer_points",
     "centroids", "convex_hull", "dissolve", "drop_scratch", "feature_lines", "geodesic_distance",
     "geometries_from_geojson", "knn_join", "load_csv", "load_geojson", "load_parquet",
     "load_points", "points_from_geojson", "polygon_metrics", "polygons_from_geojson",
-    "published", "radius_join", "read_features", "refresh", "run_query", "scratch_mark",
+    "publish_stream", "published", "radius_join", "read_features", "refresh", "run_query", "scratch_mark",
     "simplify",
     "stream_points", "total_bounds", "track_lengths", "track_steps", "within_join",
     "write_csv", "write_geojson", "write_json", "write_layout", "write_rows", "zonal_stats",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from ..dataset import PointDataset
 from ..functions.checks import detect_coordinates
 from ..sources.readers import format_of
+from . import versions
 
 
 def stream_points(
@@ -17,7 +21,8 @@ def stream_points(
 
     Filters, ``within_join`` and ``radius_join`` against static regions and the sinks'
     row rules work as on a batch. Files are appended, never replaced; to replace a
-    whole dataset use :func:`geocairn.refresh`. The stream holds no state.
+    whole dataset use :func:`geocairn.refresh`. The stream holds no state; :func:`publish_stream` makes its rows a
+    published dataset.
     """
     kind = format_of(path, format)
     if kind == "geojson":
@@ -30,3 +35,32 @@ def stream_points(
     raw = reader.load(path)
     lat, lon = detect_coordinates(raw.columns, lat, lon)
     return PointDataset(raw, lat, lon, path)
+
+
+def publish_stream(
+    stream: PointDataset, view: str, *, versions_dir: str, checkpoint: str, keep: int = 3, **trigger,
+) -> StreamingQuery:
+    """Start publishing a stream as ``view``: after each batch all sessions see its rows, each row once.
+
+    A batch is written to a folder of its number, which a repeated batch overwrites, and is then published by one
+    swap of the pointer, which carries the number. A batch that was already published is passed over. So a query that
+    stops between writing, swapping and committing and starts again from the same ``checkpoint`` loses and
+    repeats nothing, whatever the moment. Another checkpoint is another stream, whose rows replace the old ones.
+    ``trigger`` is passed to the writer (``availableNow=True``, ``processingTime="1 minute"``).
+    """
+    root = versions.root_of(versions_dir, view)
+    data = f"stream-{hashlib.sha256(checkpoint.rstrip('/').encode()).hexdigest()[:16]}"
+    lat, lon, path = stream.lat_col, stream.lon_col, stream.source
+    if versions.BATCH in stream.raw.columns:
+        raise ValueError(f"column name {versions.BATCH} is reserved")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = versions.current(spark, root) or {}
+        if now.get("data") == data and now["batch"] >= number:
+            return
+        batch.write.mode("overwrite").parquet(f"{root}-{data}/{versions.BATCH}={number}")
+        versions.swap(spark, root, {"data": data, "batch": number, "lat": lat, "lon": lon, "path": path}, keep)
+
+    writer = stream.raw.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

@@ -10,6 +10,7 @@ from conftest import BIG_PARK, plan_of
 from pyspark.sql import functions as F
 
 import geocairn as gc
+from geocairn.streaming import versions
 from geocairn.functions.geometry import parts_literal
 
 
@@ -227,6 +228,63 @@ def test_refresh_keeps_the_old_data_on_failure(spark, tmp_path):
     assert len(os.listdir(versions)) >= 2
 
 
+def test_other_sessions_read_the_newest_version(spark, tmp_path):
+    versions = str(tmp_path / "shared")
+    sources = [save(spark, [(j, 1.0 * j, 1.0) for j in range(i + 1)], str(tmp_path / f"s{i}.parquet")) for i in range(5)]
+    with pytest.raises(LookupError):
+        gc.published(spark.newSession(), "shared_points", versions_dir=versions)
+    gc.refresh(spark, "shared_points", sources[0], versions_dir=versions)
+    other = spark.newSession()
+    pinned = gc.published(other, "shared_points", versions_dir=versions)
+    assert pinned.df.count() == 1
+    gc.refresh(other, "shared_points", sources[1], versions_dir=versions)  # any session may publish
+    with pytest.raises(gc.RefreshFailed):
+        gc.refresh(other, "shared_points", str(tmp_path / "gone.parquet"), versions_dir=versions)
+    assert gc.published(spark.newSession(), "shared_points", versions_dir=versions).df.count() == 2
+    assert pinned.df.count() == 1  # a reader stays with its version
+    for source in sources[2:]:
+        gc.refresh(spark, "shared_points", source, versions_dir=versions, keep=2)
+    live = gc.published(spark.newSession(), "shared_points", versions_dir=versions)
+    assert live.df.count() == 5 and (live.lat_col, live.lon_col) == ("latitude", "longitude")
+    assert len([n for n in os.listdir(versions) if n.startswith("shared_points-")]) == 2
+    assert sorted(n for n in os.listdir(versions + "/shared_points.pointers") if not n.startswith(".")) == ["4", "5"]
+    with pytest.raises(ValueError):
+        gc.refresh(spark, "shared_points", sources[0], versions_dir=versions, keep=0)
+
+
+@pytest.mark.parametrize("moment", ["before the swap", "after the swap"])
+def test_a_stream_that_stops_anywhere_publishes_each_row_once(spark, events, tmp_path, monkeypatch, moment):
+    source, log, folder = (str(tmp_path / n) for n in ("in", "log", "versions"))
+    events.limit(900).repartition(3).write.parquet(source)
+    run = lambda: gc.publish_stream(
+        gc.stream_points(spark, source, schema=events.schema, max_files_per_trigger=1), "live_stream",
+        versions_dir=folder, checkpoint=log, availableNow=True).awaitTermination()
+    real, calls = versions.swap, []
+
+    def failing(*args, **kwargs):
+        calls.append(1)
+        if moment == "after the swap":
+            real(*args, **kwargs)
+        if len(calls) == 2:
+            raise RuntimeError("stopped here")
+        if moment == "before the swap":
+            real(*args, **kwargs)
+
+    monkeypatch.setattr(versions, "swap", failing)
+    with pytest.raises(Exception):
+        run()
+    monkeypatch.setattr(versions, "swap", real)
+    rows = lambda: gc.published(spark.newSession(), "live_stream", versions_dir=folder).df.count()
+    assert rows() == (300 if moment == "before the swap" else 600)
+    run()
+    live = gc.published(spark, "live_stream", versions_dir=folder)
+    assert rows() == 900 and live.raw.columns == events.columns and live.df.select("event_id").distinct().count() == 900
+    run()  # nothing new
+    events.where("event_id >= 0").limit(950).subtract(live.raw).write.mode("append").parquet(source)
+    run()
+    assert rows() > 900 and live.df.count() == 900
+
+
 def test_stream_equals_batch(spark, events, tmp_path):
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     events.repartition(6).write.parquet(source)
