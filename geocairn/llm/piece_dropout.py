@@ -21,7 +21,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
 #: States of chunks that a worker keeps.
-_CACHE = 800_000
+_CACHE = 500_000
 _ALL = (1 << 64) - 1
 _SLOT_BITS = 20
 #: Chunks are handled together by length, in steps; longer ones one by one.
