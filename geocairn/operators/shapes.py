@@ -317,7 +317,7 @@ def _hulls(points: DataFrame, lat: str, lon: str, keys: list[str]) -> DataFrame:
     by = [*keys, "_salt"]
     merged = (partial.repartition(*by).sortWithinPartitions(*by)
               .mapInArrow(_running_hulls(len(by)), partial.schema).drop("_salt"))
-    together = merged.repartition(*keys).sortWithinPartitions(*keys) if keys else merged.coalesce(1)
+    together = merged.repartition(*keys).sortWithinPartitions(*keys) if keys else merged.repartition(1)  # an exchange, so that the merge before it stays parallel
     vertex = T.StructType().add("lon", "double").add("lat", "double")
     rings = T.StructType(schema.fields[:len(keys)]).add("corners", T.ArrayType(vertex))
     rings = rings.add("point_count", "long")

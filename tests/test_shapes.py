@@ -6,6 +6,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
+
 import geocairn as gc
 from geocairn.functions.geometry import geometry, parts_literal, point_geometry
 
@@ -64,22 +66,25 @@ def test_polygon_metrics(spark):
     assert m["d"].area_m2 == pytest.approx(m["a"].area_m2 + m["b"].area_m2)
     assert m["c"].perimeter_m == pytest.approx(m["a"].perimeter_m + m["b"].perimeter_m)
     assert m["c"].shell_perimeter_m == pytest.approx(m["a"].perimeter_m)
-    assert 12000 < m["a"].area_km2 < 12700
+    # between two parallels of the ellipsoid, by its closed form; the upper side is a geodesic, hence the tolerance
+    e, phi = math.sqrt(0.00669437999014), math.radians(1.0)
+    strip = math.sin(phi) / (1 - (e * math.sin(phi)) ** 2) + math.atanh(e * math.sin(phi)) / e
+    assert m["a"].area_m2 == pytest.approx(6356752.314245 ** 2 / 2 * phi * strip, rel=1e-4)
     assert m["a"].area_ha == pytest.approx(m["a"].area_km2 * 100)
     assert m["a"].area_acres == pytest.approx(m["a"].area_m2 / 4046.8564224)
     assert m["e"].area_m2 is None and m["e"].perimeter_m is None
 
 
 def test_buffer(spark):
-    df = spark.createDataFrame([(36.5, -82.5)], "lat double, lon double")
-    row = gc.buffer_points(df, lat="lat", lon="lon", distance=5, unit="km").collect()[0]
+    df = spark.createDataFrame([(-12.25, 130.75)], "lat double, lon double")
+    row = gc.buffer_points(df, lat="lat", lon="lon", distance=7500, unit="m", segments=32).collect()[0]
     ring = row.geometry.parts[0][0]
-    assert len(ring) == 65 and ring[0] == ring[-1] and row.distance_m == 5000 and row.segments == 64
-    assert 70 < row.area_km2 < 85
+    assert len(ring) == 33 and ring[0] == ring[-1] and row.distance_m == 7500 and row.segments == 32
+    assert row.area_km2 == pytest.approx(16 * 7.5 ** 2 * math.sin(math.pi / 16), rel=1e-4)  # a regular polygon
     turn = sum(a.lon * b.lat - b.lon * a.lat for a, b in zip(ring, ring[1:]))
     assert turn > 0  # counter-clockwise
     north = max(ring, key=lambda v: v.lat)
-    assert north.lon == pytest.approx(-82.5)
+    assert north.lon == pytest.approx(130.75)
     for bad in ({"unit": "furlong"}, {"segments": 2}):
         with pytest.raises(ValueError):
             gc.buffer_points(df, lat="lat", lon="lon", distance=5, **bad)
@@ -170,3 +175,8 @@ def test_long_tracks_are_cut_at_any_order_columns(spark):
         short = gc.track_steps(rows, **options, long_track=500).select("seq", "distance_m")
         whole = gc.track_steps(rows, **options).select("seq", "distance_m")
         assert short.exceptAll(whole).count() == 0 and whole.exceptAll(short).count() == 0
+
+
+def test_the_merge_of_one_hull_stays_parallel(events):
+    plan = plan_of(gc.convex_hull(events, lat="latitude", lon="longitude"))
+    assert "Coalesce" not in plan and "SinglePartition" in plan
