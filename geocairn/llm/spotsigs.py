@@ -8,6 +8,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geocairn.functions.geometry import let
 from geocairn.llm.common import LOWER, UPPER, WORD
 from geocairn.plans.session import join_side
 
@@ -31,7 +32,7 @@ def _anchored(anchors) -> str:
     by_letter = defaultdict(list)
     for word in sorted(set(anchors)):
         by_letter[word[0]].append(word[1:])
-    return " (?=(?:" + "|".join(f"{c}(?:{'|'.join(tails)})" for c, tails in by_letter.items()) + ") )"
+    return " (?=(?:" + "|".join(f"{c}(?:{'|'.join(tails)})" for c, tails in by_letter.items()) + ")(?: |$))"
 
 
 def with_spots(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
@@ -45,27 +46,35 @@ def with_spots(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int =
     none = F.array().cast("array<bigint>")
     words = F.trim(F.regexp_replace(F.translate(F.col(text), UPPER, LOWER), r"[^\p{L}\p{N}]+", " "))
     # the first piece starts with a mark, each other one with an anchor; content words follow
-    pieces = F.transform(F.split(F.concat(F.lit("^ "), F.col("__llm_words"), F.lit(" ")), _anchored(anchors), -1),
-                         lambda p: F.split(F.trim(p), " "))
-    at = F.col("__llm_pieces")
+    pieces = F.split(F.concat(F.lit("^ "), F.col("__llm_words")), _anchored(anchors), -1)
+    heads = F.transform("__llm_pieces", lambda p: F.substring_index(p, " ", chain + 1))
 
-    def spot(k):
-        content = F.flatten(F.transform(F.slice(at, k, REACH), lambda p: F.slice(p, 2, F.size(p))))
-        return F.when(F.size(content) > 0, F.xxhash64(F.array_join(
-            F.concat(F.slice(F.element_at(at, k), 1, 1), F.slice(content, 1, chain)), " ")))
+    def content(head):
+        space = F.instr(head, " ")
+        return F.when(space > 0, F.substring(head, space + F.lit(1), F.length(head)))
+
+    def chained(head, k):
+        more = F.transform(F.slice("__llm_heads", k + 2, REACH - 1), content)  # array_join passes over NULL
+        return let(F.substring_index(F.array_join(F.concat(F.array(head), more), " "), " ", chain + 1),
+                   lambda c: F.when(F.instr(c, " ") > 0, F.xxhash64(c)))
+
+    def spot(head, k):
+        whole = F.substring_index(head, " ", chain) != head  # all content words before the next anchor
+        return F.when(k > 0, F.when(whole, F.xxhash64(head)).otherwise(chained(head, k)))
 
     def run(p):
-        return F.transform(F.sequence(F.lit(RUN + 2), F.size(p)), lambda i: F.xxhash64(F.array_join(F.slice(p, i, chain + 1), " ")))
+        return let(F.split(p, " "), lambda w: F.transform(F.sequence(F.lit(RUN + 2), F.size(w)),
+                                                          lambda i: F.xxhash64(F.array_join(F.slice(w, i, chain + 1), " "))))
 
-    by_anchor = F.when(F.size(at) > 1, F.transform(F.sequence(F.lit(2), F.size(at)), spot)).otherwise(none)
-    in_runs = F.flatten(F.transform(F.filter(at, lambda p: F.size(p) > RUN + 1), run))
-    found = F.array_sort(F.array_distinct(F.filter(F.concat(by_anchor, in_runs), lambda s: s.isNotNull())))
+    long_runs = F.filter("__llm_pieces", lambda p: F.substring_index(p, " ", RUN + 1) != p)
+    found = F.array_sort(F.array_distinct(F.array_compact(F.concat(
+        F.transform("__llm_heads", spot), F.flatten(F.transform(long_runs, run))))))
     whole = F.when(F.col("__llm_words") != "", F.array(F.xxhash64("__llm_words"))).when(
         F.col(text).rlike(WORD), F.array(F.xxhash64(F.col(text)))).otherwise(none)
     return (df.withColumn("__llm_words", F.coalesce(words, F.lit(""))).withColumn("__llm_pieces", pieces)
-            .withColumn("__llm_spots", found)
+            .withColumn("__llm_heads", heads).withColumn("__llm_spots", found)
             .withColumn(out, F.when(F.size("__llm_spots") > 0, F.col("__llm_spots")).otherwise(whole))
-            .drop("__llm_words", "__llm_pieces", "__llm_spots"))
+            .drop("__llm_words", "__llm_pieces", "__llm_heads", "__llm_spots"))
 
 
 def length_part(size: Column, threshold: float) -> Column:
