@@ -1,12 +1,16 @@
 """Geometry columns: encoding, GeoJSON parsing and planar expressions.
 
-A geometry is ``STRUCT<geom_type, parts>`` where ``parts`` nests part > path >
+A geometry is ``STRUCT<geom_type, parts, members>`` where ``parts`` nests part > path >
 vertex for every type, so one expression serves them all:
 
 * Point: one part, one path, one vertex; MultiPoint: one path of vertices
 * LineString: one part, one path; MultiLineString: one part per line
 * Polygon: one part, shell first then holes; MultiPolygon: one part per polygon
 
+* GeometryCollection: the parts of all members in their order; ``members`` says for each its type, how
+  many of the parts are its own, and how deep it lies. A collection inside has no parts of its own and the
+  members that follow it one level deeper. ``members`` is NULL for all other types
+
 Zones carry only the ``parts`` array of their polygons.
 """
 
@@ -20,7 +24,12 @@ from pyspark.sql import functions as F
 VERTEX_TYPE = "STRUCT<lon: DOUBLE, lat: DOUBLE>"
 RING_TYPE = f"ARRAY<{VERTEX_TYPE}>"
 PARTS_TYPE = f"ARRAY<ARRAY<{RING_TYPE}>>"
-GEOMETRY_TYPE = f"STRUCT<geom_type: STRING, parts: {PARTS_TYPE}>"
+MEMBERS_TYPE = "ARRAY<STRUCT<geom_type: STRING, parts: INT, depth: INT>>"
+GEOMETRY_TYPE = f"STRUCT<geom_type: STRING, parts: {PARTS_TYPE}, members: {MEMBERS_TYPE}>"
+
+COLLECTION = "GeometryCollection"
+# Levels of collections inside collections that are read; what lies deeper is not understood.
+NESTING = 6
 
 _DEPTH = {  # nesting of a GeoJSON coordinates array above one position
     "Point": 0, "MultiPoint": 1, "LineString": 1,
@@ -37,9 +46,16 @@ def vertex(lon: Column, lat: Column) -> Column:
     return F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
 
 
-def geometry(geom_type: str | Column, parts: Column) -> Column:
+def geometry(geom_type: str | Column, parts: Column, members: Column | None = None) -> Column:
     kind = geom_type if isinstance(geom_type, Column) else F.lit(geom_type)
-    return F.struct(kind.alias("geom_type"), parts.alias("parts"))
+    members = F.lit(None) if members is None else members
+    return F.struct(kind.alias("geom_type"), parts.alias("parts"), members.cast(MEMBERS_TYPE).alias("members"))
+
+
+def part_kinds(geom: Column) -> Column:
+    """The type that each part of a geometry belongs to, one text a part."""
+    return F.when(geom["members"].isNull(), F.array_repeat(geom["geom_type"], F.size(geom["parts"]))).otherwise(
+        F.flatten(F.transform(geom["members"], lambda m: F.array_repeat(m["geom_type"], m["parts"]))))
 
 
 def point_geometry(*, lon: Column, lat: Column) -> Column:
@@ -83,7 +99,8 @@ def _positions(coords: Column, depth: int) -> Column:
 def geometry_from_geojson(text: Column) -> Column:
     """Geometry struct from the JSON text of a GeoJSON *geometry* object.
 
-    NULL for anything else, including positions that are not two or more numbers.
+    NULL for anything else, including positions that are not two or more numbers and collections with a
+    member that is not understood.
     """
     wrap = {
         "Point": lambda v: F.array(F.array(F.array(v))),
@@ -103,20 +120,79 @@ def geometry_from_geojson(text: Column) -> Column:
             flat_vertices(p), lambda v: v["lon"].isNotNull() & v["lat"].isNotNull()),
             geometry(kind, p)))
 
-    return let(F.from_json(text, "type STRING, coordinates STRING"), by_type)
+    head = "type STRING, coordinates STRING, geometries ARRAY<STRING>"
+    return let(F.from_json(text, head), lambda h: F.when(h["type"] == COLLECTION, _collection(
+        h["geometries"], lambda t: let(F.from_json(t, head), by_type))).otherwise(by_type(h)))
+
+
+def _collection(texts: Column, parse) -> Column:
+    """A collection of the geometries in an array of JSON texts; NULL if ``parse`` gives NULL for any."""
+
+    def item(text, depth):
+        return F.struct(text.alias("text"), F.lit(depth).alias("depth"))
+
+    items = F.transform(texts, lambda t: item(t, 1))
+
+    def opened(level):
+        marker = F.struct(F.lit(None).cast("string").alias("text"), F.lit(level).alias("depth"))
+
+        def widen(i):
+            inner = F.from_json(i["text"], "type STRING, geometries ARRAY<STRING>")
+            return let(inner, lambda h: F.when(
+                (i["depth"] == level) & (h["type"] == COLLECTION) & h["geometries"].isNotNull(), F.concat(
+                    F.array(marker), F.transform(h["geometries"], lambda t: item(F.coalesce(t, F.lit("null")), level + 1))))
+                .otherwise(F.array(i)))
+
+        return widen
+
+    for level in range(1, NESTING):
+        items = F.flatten(F.transform(items, opened(level)))
+    parsed = F.transform(items, lambda i: F.struct(
+        i["depth"].alias("depth"), i["text"].isNull().alias("open"), parse(i["text"]).alias("g")))
+
+    def joined(found):
+        parts = F.flatten(F.transform(F.filter(found, lambda i: ~i["open"]), lambda i: i["g"]["parts"]))
+        members = F.transform(found, lambda i: F.struct(
+            F.when(i["open"], COLLECTION).otherwise(i["g"]["geom_type"]).alias("geom_type"),
+            F.when(i["open"], 0).otherwise(F.size(i["g"]["parts"])).alias("parts"), i["depth"].alias("depth")))
+        sound = F.forall(found, lambda i: i["open"] | i["g"].isNotNull())
+        return F.when(sound, geometry(COLLECTION, parts, members))
+
+    return F.when(texts.isNotNull() & F.forall(texts, lambda t: t.isNotNull()), let(parsed, joined))
 
 
 def geometry_to_geojson(geom: Column) -> Column:
     """JSON text of a GeoJSON geometry object."""
+    return F.when(geom["members"].isNull(), _text_of(geom["geom_type"], geom["parts"])).otherwise(_collection_text(geom))
+
+
+def _collection_text(geom: Column) -> Column:
+    """Members as texts between the brackets of the collections that hold them."""
+    members, last = geom["members"], F.size(geom["members"]) - 1
 
+    def inside(m):  # the depth that what follows has if it belongs to this member
+        return m["depth"] + F.when(m["geom_type"] == COLLECTION, 1).otherwise(0)
+
+    def piece(m, i):
+        ahead = F.get(members, i - 1)
+        first = F.aggregate(F.slice(members, 1, i), F.lit(0), lambda n, x: n + x["parts"]) + 1
+        text = F.when(m["geom_type"] == COLLECTION, '{"type":"GeometryCollection","geometries":[').otherwise(
+            _text_of(m["geom_type"], F.slice(geom["parts"], first, m["parts"])))
+        comma = F.when((i == 0) | (inside(ahead) > ahead["depth"]) & (m["depth"] > ahead["depth"]), "").otherwise(",")
+        follows = F.when(i < last, F.get(members, i + 1)["depth"]).otherwise(1)
+        return F.concat(comma, text, F.repeat(F.lit("]}"), inside(m) - follows))
+
+    return F.concat(F.lit('{"type":"GeometryCollection","geometries":['),
+                    F.array_join(F.transform(members, piece), ""), F.lit("]}"))
+
+
+def _text_of(kind: Column, parts: Column) -> Column:
     def position(v):
         return F.array(v["lon"], v["lat"])
 
     def path(p):
         return F.transform(p, position)
 
-    parts, kind = geom["parts"], geom["geom_type"]
-
     def encode(coords):
         return F.to_json(F.struct(kind.alias("type"), coords.alias("coordinates")))
 

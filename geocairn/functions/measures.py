@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import arrow, geodesy, planar
 from .checks import METRES_PER_UNIT
-from .geometry import PARTS_TYPE, RING_TYPE, VERTEX_TYPE, geometry
+from .geometry import PARTS_TYPE, RING_TYPE, VERTEX_TYPE, geometry, part_kinds
 
 # Fixed value: square metres per acre.
 M2_PER_ACRE = 4046.8564224
@@ -100,18 +100,18 @@ def _pick(weight, x, y):
 def centroid(geom: Column) -> Column:
     """Planar centroid ``STRUCT<lon, lat>``: area, else length, else vertex mean.
 
-    Holes count negative; NULL for an empty geometry.
+    Holes count negative; NULL for an empty geometry. Of a collection the polygons count, or the lines
+    if no member has an area, or the vertices if none has a length.
     """
 
     @F.arrow_udf(VERTEX_TYPE)
     def run(column: pa.Array, kinds: pa.Array) -> pa.Array:
         rows, parts, paths, lon, lat = arrow.open_parts(column)
-        kind = np.array(kinds.to_pylist(), dtype=object)
-        areal = np.isin(kind, ["Polygon", "MultiPolygon"])
-        linear = areal | np.isin(kind, ["LineString", "MultiLineString"])
         path_row = parts[rows]  # path offsets per row
         vertex_row = paths[path_row]  # vertex offsets per row
-        areal_path = np.repeat(areal, np.diff(path_row))
+        kind = np.repeat(np.array(kinds.flatten().to_pylist(), dtype=object), np.diff(parts))
+        areal_path = np.isin(kind, ["Polygon", "MultiPolygon"])
+        lined_path = areal_path | np.isin(kind, ["LineString", "MultiLineString"])
         sizes = np.diff(paths)
         # next vertex in the path; rings close, the last vertex of a line pairs with itself
         nxt = np.arange(1, lon.size + 1)
@@ -130,22 +130,22 @@ def centroid(geom: Column) -> Column:
         my = arrow.segment_sum(cross * (ay + by) / 6.0, paths) + w * oy
         shell = np.zeros(w.size, bool)
         shell[parts[:-1][np.diff(parts) > 0]] = True
-        role = np.where(shell, 1.0, -1.0) * np.sign(w)
+        role = np.where(areal_path, np.where(shell, 1.0, -1.0) * np.sign(w), 0.0)
         by_area = _pick(*(arrow.segment_sum(role * v, path_row) for v in (w, mx, my)))
 
-        d = np.hypot(bx - ax, by - ay)
+        d = np.where(np.repeat(lined_path, sizes), np.hypot(bx - ax, by - ay), 0.0)
         by_length = _pick(*(arrow.segment_sum(v, vertex_row) for v in (
             d, d * (lon + lon[nxt]) / 2.0, d * (lat + lat[nxt]) / 2.0)))
         by_count = _pick(*(arrow.segment_sum(v, vertex_row) for v in (np.ones(lon.size), lon, lat)))
         x, y = by_count
-        for usable, (cx, cy) in ((linear, by_length), (areal, by_area)):
-            better = usable & ~np.isnan(cx)
+        for cx, cy in (by_length, by_area):
+            better = ~np.isnan(cx)
             x, y = np.where(better, cx, x), np.where(better, cy, y)
         missing = _nulls(column) | (np.diff(vertex_row) == 0)
         return pa.StructArray.from_arrays(
             [pa.array(x), pa.array(y)], ["lon", "lat"], mask=pa.array(missing))
 
-    return run(geom["parts"], geom["geom_type"])
+    return run(geom["parts"], part_kinds(geom))
 
 
 def buffer_ring(*, lon: Column, lat: Column, distance_m: Column, segments: int,
@@ -202,7 +202,7 @@ def simplify_geometry(geom: Column, *, tolerance: float, method: str) -> Column:
     kind = geom["geom_type"]
     handled = kind.isin("Polygon", "MultiPolygon", "LineString")
     return F.when(geom.isNotNull(), geometry(
-        kind, F.when(handled, run(geom["parts"], kind)).otherwise(geom["parts"])))
+        kind, F.when(handled, run(geom["parts"], kind)).otherwise(geom["parts"]), geom["members"]))
 
 
 def hull_ring(points: Column) -> Column:

@@ -45,8 +45,8 @@ def read_features(spark: SparkSession, path, *, lines: bool | None = None,
     geometry types. ``properties`` (a schema) avoids the inference pass. With ``lines`` every line is
     a Feature or a collection, and files can be split between tasks; otherwise a file is one
     document, read by one task. By default the first line decides. Text that is not JSON and
-    geometries that are not understood raise, and a GeometryCollection is a NULL geometry; with
-    ``errors="column"`` all three are kept as rows whose ``_error`` holds the text.
+    geometries that are not understood raise; with
+    ``errors="column"`` both are kept as rows whose ``_error`` holds the text.
     """
     if errors not in ("raise", "column"):
         raise ValueError(f"unknown errors: {errors!r}")
@@ -78,8 +78,7 @@ def read_features(spark: SparkSession, path, *, lines: bool | None = None,
         bad = F.coalesce("_corrupt", F.when(odd, text))
         return parsed.select(*columns, "geometry", bad.alias("_error"))
     refused = F.raise_error(F.concat(F.lit("geometry not understood: "), text))
-    unknown = odd & ~F.get_json_object(text, "$.type").eqNullSafe(F.lit("GeometryCollection"))
-    return parsed.select(*columns, F.when(unknown, refused.cast(GEOMETRY_TYPE)).otherwise(
+    return parsed.select(*columns, F.when(odd, refused.cast(GEOMETRY_TYPE)).otherwise(
         F.col("geometry")).alias("geometry"))
 
 

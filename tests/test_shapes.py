@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 
 import geocairn as gc
-from geocairn.functions.geometry import geometry, parts_literal, point_geometry
+from geocairn.functions.geometry import geometry, geometry_to_geojson, parts_literal, point_geometry
 
 
 def shape(spark, kind, parts):
@@ -180,3 +180,45 @@ def test_long_tracks_are_cut_at_any_order_columns(spark):
 def test_the_merge_of_one_hull_stays_parallel(events):
     plan = plan_of(gc.convex_hull(events, lat="latitude", lon="longitude"))
     assert "Coalesce" not in plan and "SinglePartition" in plan
+
+
+LINE = {"type": "LineString", "coordinates": [[0, 0], [2, 0], [2, 2]]}
+FAR = {"type": "MultiPoint", "coordinates": [[50.0, 60.0], [70.0, 80.0]]}
+BOX = {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]}
+TWO = {"type": "MultiPolygon", "coordinates": [[[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]], [[[10, 0], [11, 0], [11, 1], [10, 1], [10, 0]]]]}
+
+
+def gathered(*members):
+    return {"type": "GeometryCollection", "geometries": list(members)}
+
+
+@pytest.mark.parametrize("value, expected, box", [
+    (gathered(), None, None),
+    (gathered(gathered(), gathered(gathered())), None, None),
+    (gathered(FAR), (60, 70), (60, 50, 80, 70)),
+    (gathered(FAR, LINE), (1.5, 0.5), (0, 0, 80, 70)),
+    (gathered(FAR, gathered(LINE, gathered(BOX)), FAR), (1, 1), (0, 0, 80, 70)),
+    (gathered(gathered(TWO, FAR), {"type": "Point", "coordinates": [9.0, 9.0]}, gathered()), (2.9, 0.9), (0, 0, 80, 70)),
+    (gathered({"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [0, 0]]]}, FAR), (2, 0), (0, 0, 80, 70)),
+])
+def test_collections(spark, value, expected, box):
+    df = gc.geometries_from_geojson(spark.createDataFrame([(json.dumps(value),)], "t string"), "t")
+    row = gc.bounds(gc.centroids(df)).withColumn("back", geometry_to_geojson(F.col("geometry"))).first()
+    assert row._error is None and json.loads(row.back) == value
+    assert (row.centroid and tuple(row.centroid)) == (expected and pytest.approx(expected))
+    assert (row.min_lat, row.min_lon, row.max_lat, row.max_lon) == (box or (None,) * 4)
+
+
+def test_collections_that_are_not_understood(spark):
+    deep = BOX
+    for _ in range(9):
+        deep = gathered(deep)
+    odd = [gathered(BOX, {"type": "Circle"}), gathered(None), gathered(gathered(None)), gathered(5), deep,
+           {"type": "GeometryCollection"}, gathered({"type": "GeometryCollection"}),
+           gathered({"type": "Point", "coordinates": ["x", 1]})]
+    df = gc.geometries_from_geojson(spark.createDataFrame([(json.dumps(v),) for v in odd], "t string"), "t")
+    assert [(r.geometry, r._error) for r in df.collect()] == [(None, "expected one Geometry or Feature")] * len(odd)
+    mixed = gc.centroids(df.unionByName(gc.geometries_from_geojson(
+        spark.createDataFrame([(json.dumps(gathered(FAR, BOX)),), (json.dumps(LINE),)], "t string"), "t")))
+    found = [r.centroid for r in mixed.collect()]
+    assert found[:-2] == [None] * len(odd) and [tuple(c) for c in found[-2:]] == [(1, 1), (1.5, 0.5)]
