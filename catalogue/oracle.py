@@ -309,6 +309,14 @@ ORACLE = {
     "centroids": f"{_ZONE_CENTROIDS} UNION ALL {_BOX_CENTROIDS}",
     "bounds": _bounds(_EXTENTS, "c_custkey, ").replace(
         "{area}", ", round(abs(sum(edge_area)) / 1e6, 5) AS area_km2"),
+    "geometry_collections":
+        "WITH c AS (SELECT c_custkey, c_custkey % 3 AS k, longitude AS x, latitude AS y, (c_custkey % 7 + 1) * 0.01::DOUBLE AS w, "
+        f"(c_custkey % 5 + 1) * 0.02::DOUBLE AS h FROM ({CUSTOMER_POINTS})) SELECT c_custkey, "
+        "CASE WHEN k = 0 THEN b.lon ELSE round(x + w / 2, 8) END AS lon, CASE WHEN k = 0 THEN b.lat ELSE round(y + h / 2, 8) END AS lat, "
+        "round(y, 8) AS min_lat, round(x, 8) AS min_lon, round(y + h, 8) AS max_lat, "
+        "round(x + CASE WHEN k = 0 THEN 2 * w ELSE w END, 8) AS max_lon, "
+        "CAST(CASE WHEN k = 0 THEN 4 ELSE 2 END AS INTEGER) AS members, true AS same "
+        f"FROM c JOIN ({_BOX_CENTROIDS}) b ON b.id = c_custkey",
     "total_bounds": _bounds(
         "SELECT min(latitude) AS min_lat, min(longitude) AS min_lon, max(latitude) AS max_lat, "
         f"max(longitude) AS max_lon FROM ({EVENT_POINTS})", "").replace("{area}", ""),
@@ -395,4 +403,9 @@ ORACLE = {
     "published_stream": f"SELECT event_id, event_type, value, latitude, longitude FROM ({EVENT_POINTS})",
     "streamed_zone_points":
         f"SELECT event_id, ts, props, zone_id FROM ({EVENT_ZONES}) JOIN ({EVENT_POINTS}) USING (event_id)",
+    "streamed_zone_counts":
+        "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, zone_id, count(*) AS count "
+        f"FROM ({EVENT_ZONES}) JOIN events USING (event_id) "
+        "WHERE NOT (event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-11') AND date_trunc('day', ts) + INTERVAL 1 DAY <= "
+        "(SELECT max(ts) - INTERVAL 6 HOUR FROM events) GROUP BY ALL",
 }

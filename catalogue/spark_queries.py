@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 import geocairn as gc
 from geocairn.functions.checks import radius_metres
-from geocairn.functions.geometry import geometry, geometry_from_geojson, geometry_to_geojson
+from geocairn.functions.geometry import geometry, geometry_from_geojson, geometry_to_geojson, point_geometry
 from geocairn.operators.aggregates import profile
 from geocairn.plans.session import scratch_path
 from geocairn.sources.readers import read_csv
@@ -294,6 +294,28 @@ def bounds(spark, sf_dir):
                       F.round("area_km2", 5).alias("area_km2"))
 
 
+def geometry_collections(spark, sf_dir):
+    """A collection a customer, read from text: a box inside a second level, a line, or two points count."""
+    k, lon, lat = F.col("c_custkey"), F.col("longitude"), F.col("latitude")
+    far = F.struct((lon + (k % 7 + 1) * F.lit(0.01)).alias("lon"), (lat + (k % 5 + 1) * F.lit(0.02)).alias("lat"))
+    path = F.array(F.struct(lon.alias("lon"), lat.alias("lat")), far)
+    point, line, both = (geometry_to_geojson(g) for g in (
+        point_geometry(lon=lon, lat=lat), geometry("LineString", F.array(F.array(path))),
+        geometry("MultiPoint", F.array(F.array(path)))))
+
+    def gathered(*texts):
+        return F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.concat_ws(",", *texts), F.lit("]}"))
+
+    text = F.when(k % 3 == 0, gathered(point, gathered(line, geometry_to_geojson(F.col("geometry"))))).when(
+        k % 3 == 1, gathered(point, line)).otherwise(gathered(gathered(both)))
+    rows = _customer_boxes(spark, sf_dir).select("c_custkey", text.alias("text"))
+    out = gc.bounds(gc.centroids(gc.geometries_from_geojson(rows, "text")))
+    return out.select(
+        "c_custkey", F.round("centroid.lon", 8).alias("lon"), F.round("centroid.lat", 8).alias("lat"),
+        *(F.round(c, 8).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")),
+        F.size("geometry.members").alias("members"), (geometry_to_geojson(F.col("geometry")) == F.col("text")).alias("same"))
+
+
 def total_bounds(spark, sf_dir):
     out = _data(spark, sf_dir).bounds()
     return out.select("min_lat", "min_lon", "max_lat", "max_lon",
@@ -617,6 +639,23 @@ def streamed_zone_points(spark, sf_dir):
     return spark.read.schema(kept).parquet(sink)
 
 
+def streamed_zone_counts(spark, sf_dir):
+    """Daily counts by zone of a stream that stops and starts twice; a tenth of the first days arrives too late."""
+    source, sink, log = (scratch_path(spark, n) for n in ("arrivals", "counts", "progress"))
+    rows = event_points(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    first, second = F.col("ts") < "2024-01-11", F.col("ts") < "2024-01-21"
+    held = first & (F.col("event_id") % 10 == 0)
+    for part in (first & ~held, second & ~first, ~second | held):
+        rows.where(part).write.mode("append").parquet(source)
+        stream = gc.stream_points(spark, source, schema=rows.schema)
+        counts = gc.zone_counts(stream, nation_zones(spark, sf_dir), time="ts", window="1 day", delay="6 hours")
+        query = (counts.writeStream.format("parquet").outputMode("append")
+                 .option("checkpointLocation", log).trigger(availableNow=True).start(sink))
+        query.awaitTermination()
+    out = spark.read.schema(counts.schema).parquet(sink)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "zone_id", "count")
+
+
 def refreshed_elsewhere(spark, sf_dir):
     """Three refreshes and a bad one, read by a session that made none of them."""
     base = scratch_path(spark, "refresh-source")
@@ -659,4 +698,5 @@ QUERIES = {f.__name__: f for f in (
     refreshed_view, streamed_zone_points, csv_text, geojson_document, geojson_errors, hull_in_box,
     dissolve_metrics, where_typed, nearest_grouped, within_join_mixed_sizes, within_join_mixed_left,
     within_join_mixed_semi, within_join_mixed_anti, within_join_mixed_shuffled, refreshed_elsewhere, published_stream,
+    geometry_collections, streamed_zone_counts,
 )}

@@ -24,7 +24,7 @@ from .sources.layout import write_layout
 from .sources.readers import load_csv, load_geojson, load_parquet, load_points
 from .sources.sinks import feature_lines, write_csv, write_geojson, write_json, write_rows
 from .streaming.refresh import RefreshFailed, published, refresh
-from .streaming.stream import publish_stream, stream_points
+from .streaming.stream import publish_stream, stream_points, zone_counts
 
 __all__ = [
     "ColumnNotFound", "PointDataset", "RefreshFailed", "bounds", "buffer_join", "buffer_points",
@@ -35,4 +35,5 @@ __all__ = [
     "simplify",
     "stream_points", "total_bounds", "track_lengths", "track_steps", "within_join",
     "write_csv", "write_geojson", "write_json", "write_layout", "write_rows", "zonal_stats",
+    "zone_counts",
 ]

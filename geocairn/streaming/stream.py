@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..dataset import PointDataset
-from ..functions.checks import detect_coordinates
+from ..functions.checks import check_columns, detect_coordinates
+from ..operators.joins import within_join
 from ..sources.readers import format_of
 from . import versions
 
@@ -64,3 +66,24 @@ def publish_stream(
 
     writer = stream.raw.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def zone_counts(
+    points: PointDataset, zones: DataFrame, *, time: str, window: str, delay: str, slide: str | None = None,
+    **zone_options,
+) -> DataFrame:
+    """Points per zone and window of event time: window_start, window_end, zone_id, count.
+
+    On a stream the counts are Spark's state, one number a zone and open window, summed in each task before they are
+    shuffled. A window closes once a point has been seen that is ``delay`` past its end; written in append
+    mode it comes out once, then. A point is late, and is dropped, if all its windows had closed when its batch
+    began; points that arrive within ``delay`` are never dropped. The dropped groups of a batch are in the
+    query's progress (``numRowsDroppedByWatermark``). On a batch nothing is late, and all windows come out. Points without a
+    time take no part. ``slide`` makes windows overlap; ``zone_options`` go to :func:`within_join`.
+    """
+    (time,) = check_columns(points.raw, [time])
+    timed = points.df.filter(F.col(time).isNotNull()).withWatermark(time, delay)
+    inside = within_join(timed, zones, lat=points.lat_col, lon=points.lon_col, **zone_options)
+    counts = inside.groupBy(F.window(time, window, slide).alias("_window"), "zone_id").agg(F.count("*").alias("count"))
+    return counts.select(F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"),
+                         "zone_id", "count")
