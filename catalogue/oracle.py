@@ -145,20 +145,32 @@ _UNIT_EDGES = (
     "ORDER BY i)) WHERE lon2 IS NOT NULL")
 
 _KEPT = f"SELECT * FROM ({EVENT_POINTS})"
-_BOX_GRID = (
-    "SELECT {key} AS k, CAST(round(longitude * 1024) AS BIGINT) AS x, CAST(round(latitude * 1024) "
-    f"AS BIGINT) AS y FROM ({EVENT_POINTS}) WHERE latitude BETWEEN {BOX[0]} AND {BOX[2]} "
-    f"AND longitude BETWEEN {BOX[1]} AND {BOX[3]}")
+_IN_BOX = f" WHERE latitude BETWEEN {BOX[0]} AND {BOX[2]} AND longitude BETWEEN {BOX[1]} AND {BOX[3]}"
 
 
-def _hull_sizes(key: str) -> str:
-    """``k``, number of points, area and length of the hull of the events in the box."""
-    edges = _hull(_BOX_GRID.format(key=key), "k") + (
+def _grid(key: str, where: str) -> str:
+    return (f"SELECT {key} AS k, CAST(round(longitude * 1024) AS BIGINT) AS x, CAST(round(latitude * 1024) "
+            f"AS BIGINT) AS y FROM ({EVENT_POINTS}){where}")
+
+
+def _outer(points: str) -> str:
+    """Points that aren't strictly inside the quadrilateral of the four that lie farthest on the diagonals."""
+    corners = ", ".join(f"{f}(struct_pack(x := x, y := y), {d}) AS {n}" for n, f, d in (
+        ("a", "arg_min", "x + y"), ("b", "arg_max", "x - y"), ("c", "arg_max", "x + y"), ("d", "arg_min", "x - y")))
+    inside = " AND ".join(f"({n}.x - {m}.x) * (p.y - {m}.y) - ({n}.y - {m}.y) * (p.x - {m}.x) > 0" for m, n in (
+        ("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")))
+    return (f"SELECT p.k, p.x, p.y FROM ({points}) p JOIN (SELECT k, {corners} FROM ({points}) GROUP BY k) q "
+            f"ON p.k = q.k WHERE NOT ({inside})")
+
+
+def _hull_sizes(key: str, where: str = "") -> str:
+    """``k``, number of points, area and length of the hull of the events."""
+    edges = _hull(_outer(_grid(key, where)), "k") + (
         " SELECT k, ax / 1024.0::DOUBLE AS lon1, ay / 1024.0::DOUBLE AS lat1, "
         "zx / 1024.0::DOUBLE AS lon2, zy / 1024.0::DOUBLE AS lat2 FROM hull")
     return (f"SELECT k, n, round(abs(sum(edge_area)) / 1e6, 5) AS area_km2, "
             f"round(sum(distance_m), 2) AS perimeter_m FROM ({inverse(edges, 'k', with_area=True)}) "
-            f"JOIN (SELECT k, count(*) AS n FROM ({_BOX_GRID.format(key=key)}) GROUP BY k) USING (k) "
+            f"JOIN (SELECT k, count(*) AS n FROM ({_grid(key, where)}) GROUP BY k) USING (k) "
             "GROUP BY k, n")
 
 
@@ -362,7 +374,8 @@ ORACLE = {
                         "2 AS parts FROM nation",
     "geojson_errors": "SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS c_custkey, c_custkey % 5 "
                       "<> 0 AND c_custkey % 7 <> 0 AS sound, NOT sound AS empty FROM customer",
-    "hull_in_box": f"SELECT n AS point_count, area_km2, perimeter_m FROM ({_hull_sizes('0')})",
+    "hull_in_box": f"SELECT n AS point_count, area_km2, perimeter_m FROM ({_hull_sizes('0', _IN_BOX)})",
+    "hull_metrics": f"SELECT n AS point_count, area_km2, perimeter_m FROM ({_hull_sizes('0')})",
     "dissolve_metrics": "SELECT k AS event_type, n AS count, area_km2, perimeter_m "
                         f"FROM ({_hull_sizes('event_type')}) WHERE n >= 3",
     "where_typed":

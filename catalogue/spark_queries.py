@@ -401,23 +401,29 @@ def dissolve_extent(spark, sf_dir):
 BOX = (35.5, -83.5, 35.75, -83.15)
 
 
-def _boxed(spark, sf_dir):
-    """Events of a box on a grid of 1/1024 degree, whose hulls are exact in both engines."""
-    rows = _data(spark, sf_dir).bbox(*BOX).df
+def _snapped(rows: DataFrame) -> gc.PointDataset:
+    """Points on a grid of 1/1024 degree, whose hulls are exact in both engines."""
     snapped = {c: F.round(F.col(c) * 1024.0) / 1024.0 for c in LATLON.values()}
     return gc.PointDataset(rows.withColumns(snapped), "latitude", "longitude")
 
 
+def _hull_size(hull: DataFrame) -> DataFrame:
+    return hull.select("point_count", F.round("area_km2", 5).alias("area_km2"), F.round("perimeter_m", 2).alias("perimeter_m"))
+
+
 def hull_in_box(spark, sf_dir):
     """Size of the hull of the events in a box."""
-    out = _boxed(spark, sf_dir).convex_hull()
-    return out.select("point_count", F.round("area_km2", 5).alias("area_km2"),
-                      F.round("perimeter_m", 2).alias("perimeter_m"))
+    return _hull_size(_snapped(_data(spark, sf_dir).bbox(*BOX).df).convex_hull())
+
+
+def hull_metrics(spark, sf_dir):
+    """Size of the hull of all events."""
+    return _hull_size(_snapped(event_points(spark, sf_dir)).convex_hull())
 
 
 def dissolve_metrics(spark, sf_dir):
-    """Hull sizes of the events in a box by type."""
-    out = _boxed(spark, sf_dir).dissolve("event_type")
+    """Hull sizes of all events by type."""
+    out = _snapped(event_points(spark, sf_dir)).dissolve("event_type")
     return out.select("event_type", "count", F.round("area_km2", 5).alias("area_km2"),
                       F.round("perimeter_m", 2).alias("perimeter_m"))
 
@@ -698,5 +704,5 @@ QUERIES = {f.__name__: f for f in (
     refreshed_view, streamed_zone_points, csv_text, geojson_document, geojson_errors, hull_in_box,
     dissolve_metrics, where_typed, nearest_grouped, within_join_mixed_sizes, within_join_mixed_left,
     within_join_mixed_semi, within_join_mixed_anti, within_join_mixed_shuffled, refreshed_elsewhere, published_stream,
-    geometry_collections, streamed_zone_counts,
+    geometry_collections, streamed_zone_counts, hull_metrics,
 )}

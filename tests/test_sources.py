@@ -304,6 +304,40 @@ def test_stream_equals_batch(spark, events, tmp_path):
         r[0] for r in want.select("event_id").collect())
 
 
+def test_windowed_zone_counts(spark, tmp_path):
+    """In time: as on a batch, over restarts. Too late: dropped, and counted in the progress."""
+    source, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    zones = spark.createDataFrame([(1, 0.0), (2, 5.0)], "zone_id int, w double").select("zone_id", F.expr(
+        "array(array(array(named_struct('lon', w, 'lat', 0D), named_struct('lon', w + 5, 'lat', 0D), "
+        "named_struct('lon', w + 5, 'lat', 9D), named_struct('lon', w, 'lat', 9D))))").alias("polygons"))
+
+    def rows(*values):  # (minute, lon)
+        return spark.createDataFrame([(m, 1.0, x) for m, x in values], "m int, lat double, lon double").select(
+            F.timestamp_seconds(F.col("m") * 60).alias("at"), "lat", "lon")
+
+    def run(part):
+        part.coalesce(1).write.mode("append").parquet(source)
+        counts = gc.zone_counts(gc.stream_points(spark, source, schema=part.schema), zones, time="at",
+                                window="10 minutes", delay="5 minutes")
+        query = (counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", log)
+                 .trigger(availableNow=True).start(sink))
+        query.awaitTermination()
+        return (sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]),
+                {(int(r.window_start.timestamp()) // 60, r.zone_id, r["count"]) for r in
+                 spark.read.schema(counts.schema).parquet(sink).collect()})
+
+    first = rows((0, 1.0), (3, 1.0), (4, 7.0), (11, 1.0), (14, 20.0), (None, 1.0))
+    assert run(first) == (0, set())
+    second = rows((9, 1.0), (16, 7.0), (17, 1.0))  # minute 9 is out of order, but its window is open
+    assert run(second) == (0, {(0, 1, 3), (0, 2, 1)})
+    late, closed = run(rows((8, 1.0), (19, 7.0), (31, 1.0)))
+    assert late == 1 and closed == {(0, 1, 3), (0, 2, 1), (10, 1, 2), (10, 2, 2)}
+    batch = gc.PointDataset(first.union(second), "lat", "lon")
+    got = gc.zone_counts(batch, zones, time="at", window="10 minutes", delay="5 minutes").collect()
+    assert {(int(r.window_start.timestamp()) // 60, r.zone_id, r["count"]) for r in got} == {
+        (0, 1, 3), (0, 2, 1), (10, 1, 2), (10, 2, 1)}
+
+
 def test_refresh_keeps_coordinate_columns_and_all_rows(spark, tmp_path):
     rows = [(1, 1.0, 2.0, 50.0, 60.0), (2, 3.0, 4.0, 51.0, 61.0), (3, None, None, None, 7.0)]
     path = str(tmp_path / "both.parquet")
