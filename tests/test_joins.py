@@ -291,17 +291,66 @@ def test_descent_keeps_circles_small(spark):
     rng = np.random.default_rng(21)
     spots = np.array([40.0, 5.0]) + rng.uniform(-0.02, 0.02, (20000, 2))
     df = spark.createDataFrame([(float(a), float(b)) for a, b in spots], "lat double, lon double")
-    fine = module.materialize(module._fine_counts(df, "lat", "lon"), "test-cells")
+    tree = module._cell_tree(df, "lat", "lon", 16, 1 << 26)
     asks = [(0, 40.03, 5.0), (1, 40.5, 5.5), (2, 10.0, -60.0), (3, 40.0, 5.0)]
     queries = spark.createDataFrame(asks, "_qid int, _qlat double, _qlon double").withColumn(
         "_near_m", F.lit(None).cast("double"))
-    bound = {r[0]: r[1] for r in module._descend(queries, fine, 3, 60).collect()}
+    bound = {r[0]: r[1] for r in module._descend(queries, tree, 3, 60).collect()}
     for q, y, x in asks:
         d = np.sort([metres(a, b, y, x) for a, b in spots])
         assert d[2] <= bound[q]
         assert np.searchsorted(d, bound[q]) <= 200  # of 20,000 crowded points
 
 
+def test_cell_tree_has_few_rows_on_even_data(spark):
+    from geocairn.operators import knn as module
+
+    rng = np.random.default_rng(22)
+    n = 200_000
+    rows = zip((np.degrees(np.arcsin(rng.uniform(-1, 1, n)))).tolist(), rng.uniform(-180, 180, n).tolist())
+    df = spark.createDataFrame(list(rows), "lat double, lon double").repartition(8)
+    for box in ("true", "lat BETWEEN 30 AND 60 AND lon BETWEEN 0 AND 80", "lat BETWEEN 30 AND 50"):
+        some = df.filter(box)
+        leaves = module._cell_tree(some, "lat", "lon", 128, 1 << 26).leaves.toPandas()
+        assert leaves["n"].sum() == some.count() and leaves["n"].max() <= 128
+        assert len(leaves) < 0.05 * leaves["n"].sum()
+
+
+@pytest.mark.parametrize("limit", [-1, 1 << 26])
+def test_cell_tree_counts_every_point_once(spark, limit):
+    """Hot spots, both poles, the 180 degree meridian, rows without a place; leaves never overlap."""
+    from geocairn.operators import knn as module
+
+    rng = np.random.default_rng(23)
+    rows = [(12.25, -71.5)] * 900 + [(12.2501, -71.5)] * 300 + [(90.0, 180.0), (-90.0, -180.0), (0.0, 540.0), (None, 1.0), (95.0, 3.0)]
+    rows += [(float(a), float(b)) for a, b in np.array([48.0, 11.0]) + rng.normal(0, 0.3, (1500, 2))]
+    df = spark.createDataFrame(rows, "lat double, lon double").repartition(5)
+    tree = module._cell_tree(df, "lat", "lon", 20, limit)
+    got = [tuple(r) for r in tree.leaves.select("depth", "cx", "cy", "n").collect()]
+    assert sum(n for *_, n in got) == len(rows) - 2
+    assert all(n <= 20 or depth == module._DEPTH for depth, _, _, n in got)
+    cells = {(d, x, y) for d, x, y, _ in got}
+    assert len(cells) == len(got) == tree.n_leaves and max(cells)[0] == tree.deepest
+    assert not any((d - i, x >> i, y >> i) in cells for d, x, y in cells for i in range(1, d + 1))
+    counts = {r["key"]: r["n"] for r in module._all_depths(tree).collect()}
+    assert sum(n for key, n in counts.items() if key >> 48 == 0) == len(rows) - 2
+    empty = module._cell_tree(df.filter("lat > 1000"), "lat", "lon", 20, limit)
+    assert empty.leaves.count() == empty.n_leaves == 0
+
+
+@pytest.mark.parametrize("leaf, busy, limit", [(1, 1, 1 << 26), (3, 40, -1), (700, 1, 1 << 26)])
+def test_knn_with_cells_of_any_size(spark, questions, leaf, busy, limit):
+    """Small and large leaves, circles from both ways of bounding them."""
+    rng = np.random.default_rng(24)
+    places = np.vstack([np.array([20.0, 30.0]) + rng.normal(0, 0.05, (500, 2)), rng.uniform(-70, 70, (200, 2))])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(places)]
+    df = spark.createDataFrame(rows, "id int, lat double, lon double").repartition(4)
+    asks = questions[1][:20] + [(100 + i, float(a), float(b)) for i, (a, b) in enumerate(places[::60] + 0.001)]
+    queries = spark.createDataFrame(asks, "query_id int, qlat double, qlon double")
+    got = knn(df, queries, 4, leaf=leaf, busy=busy, broadcast_limit=limit)
+    assert len(got) == len(set(got)) and set(got) == knn_brute(rows, asks, 4)
+
+
 def test_knn_with_fewer_points_than_k(spark, questions):
     rows = [(0, 10.0, 10.0), (1, -60.0, 170.0), (2, 10.0, 10.0)]
     df = spark.createDataFrame(rows, "id int, lat double, lon double")
