@@ -150,19 +150,21 @@ def _blocks(queries: DataFrame, deepest: int) -> DataFrame:
     return sides.select("_qid", "_qlat", "_qlon", "depth", F.inline(F.array(*cells)))
 
 
-def _reaches() -> tuple[Column, Column]:
-    """Bounds of the distance from a query to anything in its block, and in its own cell, of a depth."""
-    size = F.lit(_TOP_DEG) / F.pow(F.lit(2.0), F.col("depth"))
-    gx, gy = (fold_longitude(F.col("_qlon")) + 180.0) / size, (F.col("_qlat") + 90.0) / size
-    fx, fy = gx - F.floor(gx), gy - F.floor(gy)
-
+def _reaches(block_depth: Column, own_depth: Column) -> tuple[Column, Column]:
+    """Bounds of the distance from a query to anything in its block, and in its own cell, of the depths given."""
     def block(f):
-        return size * (F.when(f < 0.5, 1.0 + f).otherwise(2.0 - f)) + 1e-9
+        return F.when(f < 0.5, 1.0 + f).otherwise(2.0 - f)
 
     def own(f):
-        return size * F.greatest(f, 1.0 - f) + 1e-9
+        return F.greatest(f, 1.0 - f)
+
+    def bound(depth, share):
+        size = F.lit(_TOP_DEG) / F.pow(F.lit(2.0), depth)
+        gx, gy = (fold_longitude(F.col("_qlon")) + 180.0) / size, (F.col("_qlat") + 90.0) / size
+        x, y = (size * share(g - F.floor(g)) + 1e-9 for g in (gx, gy))
+        return F.when(depth.isNotNull(), _far_bound(F.col("_qlat"), y, x, F.abs("_qlat") - y))
 
-    return tuple(_far_bound(F.col("_qlat"), reach(fy), reach(fx), F.abs("_qlat") - reach(fy)) for reach in (block, own))
+    return bound(block_depth, block), bound(own_depth, own)
 
 
 def _cell_distances() -> tuple[Column, Column]:
@@ -320,19 +322,22 @@ def knn_join(
         asked = join_side(blocks.select("key").distinct(), 48 * keys, broadcast_limit)
     counts = join_side(_all_depths(tree, asked).select("key", "n"), 48 * rows, broadcast_limit)
     own = F.max(F.when(F.col("own"), F.col("n")))
-    block, cell = _reaches()
     levels = (
-        blocks.join(counts, "key").groupBy("_qid", "depth")
-        .agg(F.sum("n").alias("n"), own.alias("own"), F.first("_qlat").alias("_qlat"), F.first("_qlon").alias("_qlon"))
-        .withColumn("bound", F.least(F.when(F.col("n") >= k, block), F.when(F.col("own") >= k, cell)))
-        .groupBy("_qid").agg(F.collect_list(F.struct("bound", "depth", "n")).alias("_all"))
-        .withColumn("_best", F.expr("array_min(filter(_all, x -> x.bound IS NOT NULL))"))
-        # the circle of a cell or block lies inside the block three depths up, short of the poles
-        .withColumn("_around", F.expr("get(filter(_all, x -> x.depth = _best.depth - 3), 0).n"))
-        .select("_qid", F.col("_best.bound").alias("_near_m"), "_around", F.col("_best.depth").alias("_depth"),
-                F.col("_best.n").alias("_n"))
+        blocks.join(counts, "key").groupBy("_qid", "depth").agg(F.sum("n").alias("n"), own.alias("own"))
+        # what is reached shrinks with the depth, so the deepest block and the deepest cell with k points bound best
+        .groupBy("_qid").agg(F.map_from_entries(F.collect_list(F.struct("depth", "n"))).alias("_all"),
+                             F.max(F.when(F.col("n") >= k, F.col("depth"))).alias("_block"),
+                             F.max(F.when(F.col("own") >= k, F.col("depth"))).alias("_own"))
     )
-    bounded = materialize(places.join(levels, "_qid", "left"), "knn-bounds")
+    block, cell = _reaches(F.col("_block"), F.col("_own"))
+    depth = F.when(F.col("_cell_m") < F.col("_block_m"), F.col("_own")).otherwise(F.col("_block"))
+    # the circle of a cell or block lies inside the block three depths up, short of the poles
+    bounded = materialize(
+        places.join(levels, "_qid", "left").select("*", block.alias("_block_m"), cell.alias("_cell_m"))
+        .withColumn("_depth", depth)
+        .select("_qid", "_qlat", "_qlon", F.least("_block_m", "_cell_m").alias("_near_m"),
+                F.try_element_at("_all", F.col("_depth") - 3).alias("_around"), "_depth",
+                F.try_element_at("_all", F.col("_depth")).alias("_n")), "knn-bounds")
     # evenly spread points put up to 256 leaves in that block, of which the circle covers a few
     busy = 256 * leaf if busy is None else busy
     easy = F.coalesce((F.col("_around") <= busy) & (F.abs("_qlat") < 60.0), F.lit(False))
