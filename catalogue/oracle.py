@@ -370,6 +370,8 @@ ORACLE = {
     "clustered_layout": "SELECT * EXCLUDE (d), CASE WHEN d <= 9 * 1.609344 THEN round(d, 6) END AS "
                         f"distance_km FROM (SELECT *, {_km(35.2, -82.2)} AS d FROM ({EVENT_POINTS}))",
     "csv_text": "SELECT doc_id, lang, ' \"a\", b' || chr(10) || text AS text FROM documents",
+    "csv_text_split": "SELECT doc_id, lang, ' \"a\", b' || chr(10) || text AS text FROM documents",
+    "geojson_split": f"SELECT c_custkey, c_name, latitude, longitude FROM ({CUSTOMER_POINTS})",
     "geojson_document": "SELECT n_nationkey::BIGINT AS zone_id, n_name, 'MultiPolygon' AS geom_type, "
                         "2 AS parts FROM nation",
     "geojson_errors": "SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS c_custkey, c_custkey % 5 "

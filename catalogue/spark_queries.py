@@ -477,6 +477,15 @@ def csv_text(spark, sf_dir):
     return read_csv(spark, path, rows.schema, multi_line=True)
 
 
+def csv_text_split(spark, sf_dir):
+    """The same texts, each file read by as many tasks as it has splits."""
+    path = scratch_path(spark, "csv-split")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(
+        F.lit(' "a", b\n'), "text").alias("text"))
+    gc.write_csv(rows, path)
+    return read_csv(spark, path, rows.schema, split=True)
+
+
 def json_round_trip(spark, sf_dir):
     path = scratch_path(spark, "json")
     rows = event_points(spark, sf_dir)
@@ -505,6 +514,20 @@ def geojson_document(spark, sf_dir):
                        F.size("geometry.parts").alias("parts"))
 
 
+def geojson_split(spark, sf_dir):
+    """Customers as FeatureCollections of a thousand, a file each, read by as many tasks as they have splits."""
+    path = scratch_path(spark, "collections") + ".geojson"
+    rows = customer_points(spark, sf_dir).select("c_custkey", "c_name", "latitude", "longitude")
+    lines = gc.feature_lines(rows, **LATLON)
+    thousand = F.floor(F.get_json_object("value", "$.properties.c_custkey").cast("bigint") / 1000)
+    documents = lines.groupBy(thousand.alias("part")).agg(F.array_join(F.collect_list("value"), ",\n").alias("features"))
+    documents.select(F.concat(F.lit('{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "}{"}},'
+                                    '\n"features": [\n'), "features", F.lit("\n]}")).alias("value")).write.option(
+        "maxRecordsPerFile", 1).text(path)
+    back = gc.load_points(spark, path, split=True, schema="c_custkey bigint, c_name string")
+    return back.df.select("c_custkey", "c_name", "latitude", "longitude")
+
+
 def geojson_errors(spark, sf_dir):
     """Customers as Features; every fifth line is cut off and every seventh geometry is of no known type."""
     path = scratch_path(spark, "broken")
@@ -704,5 +727,5 @@ QUERIES = {f.__name__: f for f in (
     refreshed_view, streamed_zone_points, csv_text, geojson_document, geojson_errors, hull_in_box,
     dissolve_metrics, where_typed, nearest_grouped, within_join_mixed_sizes, within_join_mixed_left,
     within_join_mixed_semi, within_join_mixed_anti, within_join_mixed_shuffled, refreshed_elsewhere, published_stream,
-    geometry_collections, streamed_zone_counts, hull_metrics,
+    geometry_collections, streamed_zone_counts, hull_metrics, csv_text_split, geojson_split,
 )}

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.checks import check_columns
 from ..functions.geometry import GEOMETRY_TYPE, geometry_from_geojson
+from .splits import feature_texts
 
 _NO_PROPERTIES = T.StructType([])
 
@@ -36,7 +37,7 @@ def _in_lines(spark: SparkSession, path) -> bool:
         return False
 
 
-def read_features(spark: SparkSession, path, *, lines: bool | None = None,
+def read_features(spark: SparkSession, path, *, lines: bool | None = None, split: bool = False,
                   properties: T.StructType | None = None, errors: str = "raise",
                   **options) -> DataFrame:
     """Property columns plus a ``geometry`` column, one row per feature.
@@ -44,14 +45,17 @@ def read_features(spark: SparkSession, path, *, lines: bool | None = None,
     Geometry text is kept raw by the reader and parsed by type, so files may mix
     geometry types. ``properties`` (a schema) avoids the inference pass. With ``lines`` every line is
     a Feature or a collection, and files can be split between tasks; otherwise a file is one
-    document, read by one task. By default the first line decides. Text that is not JSON and
+    document, read by one task; with ``split`` files are FeatureCollections of any size and layout, each read by
+    many tasks, and ``properties`` must be given. By default the first line decides. Text that is not JSON and
     geometries that are not understood raise; with
     ``errors="column"`` both are kept as rows whose ``_error`` holds the text.
     """
     if errors not in ("raise", "column"):
         raise ValueError(f"unknown errors: {errors!r}")
+    if split and (properties is None or lines):
+        raise ValueError("split=True needs properties= and reads whole documents")
     if lines is None:
-        lines = _in_lines(spark, path)
+        lines = not split and _in_lines(spark, path)
     reader = spark.read.options(**options).option("multiLine", not lines).option(
         "mode", "FAILFAST" if errors == "raise" else "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt")
@@ -63,11 +67,14 @@ def read_features(spark: SparkSession, path, *, lines: bool | None = None,
         "properties", properties)
     document = T.StructType(list(feature.fields)).add("features", T.ArrayType(feature)).add(
         "_corrupt", "string")
-    raw = reader.schema(document).json(path)
-    features = raw.select("_corrupt", F.explode(
-        F.when(F.col("features").isNotNull(), F.col("features"))
-        .otherwise(F.array(F.struct("type", "geometry", "properties")))
-        .cast(T.ArrayType(feature))).alias("f"))
+    if split:
+        features = _split_features(spark, path, feature, errors, options)
+    else:
+        raw = reader.schema(document).json(path)
+        features = raw.select("_corrupt", F.explode(
+            F.when(F.col("features").isNotNull(), F.col("features"))
+            .otherwise(F.array(F.struct("type", "geometry", "properties")))
+            .cast(T.ArrayType(feature))).alias("f"))
     if "geometry" in {n.lower() for n in properties.names}:
         raise ValueError("a property named geometry would hide the geometry")
     columns = [F.col("f.properties").getField(n).alias(n) for n in properties.names]
@@ -78,10 +85,27 @@ def read_features(spark: SparkSession, path, *, lines: bool | None = None,
         bad = F.coalesce("_corrupt", F.when(odd, text))
         return parsed.select(*columns, "geometry", bad.alias("_error"))
     refused = F.raise_error(F.concat(F.lit("geometry not understood: "), text))
+    if split:  # the text of an object that is no feature is never NULL
+        odd = odd | F.col("_corrupt").isNotNull()
     return parsed.select(*columns, F.when(odd, refused.cast(GEOMETRY_TYPE)).otherwise(
         F.col("geometry")).alias("geometry"))
 
 
+def _split_features(spark: SparkSession, path, feature: T.StructType, errors: str, options: dict) -> DataFrame:
+    """(_corrupt, f) of the features in documents read by many tasks; other objects among them are corrupt."""
+    schema = T.StructType(list(feature.fields)).add("_corrupt", "string")
+    texts = {**{n: str(v) for n, v in options.items()}, "columnNameOfCorruptRecord": "_corrupt",
+             "mode": "FAILFAST" if errors == "raise" else "PERMISSIVE"}
+    parsed = feature_texts(spark, path).select("value", F.from_json("value", schema, texts).alias("f"))
+    odd = F.coalesce(F.col("f.type") != "Feature", F.lit(True))
+    if errors == "raise":
+        refused = F.raise_error(F.concat(F.lit("not a Feature: "), "value"))
+        corrupt = F.when(odd, refused.cast("string"))
+    else:
+        corrupt = F.coalesce("f._corrupt", F.when(odd, F.col("value")))
+    return parsed.select(corrupt.alias("_corrupt"), F.struct("f.type", "f.geometry", "f.properties").alias("f"))
+
+
 def _geometry_texts(text: Column, collections: bool = True) -> Column:
     """JSON texts of the geometries in a Geometry, Feature or (if allowed) FeatureCollection text."""
     head = F.from_json(text, "type STRING, geometry STRING, "

@@ -12,6 +12,7 @@ from ..dataset import PointDataset
 from ..functions.checks import check_identifier, detect_coordinates
 from ..plans.session import join_side, materialize
 from .geojson import read_features
+from .splits import csv_records
 
 # File extensions and the format each one means.
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".geojson": "geojson", ".json": "geojson"}
@@ -39,19 +40,38 @@ def _widened(schema: T.StructType) -> T.StructType:
 CSV_READ = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
-def read_csv(spark: SparkSession, path, schema=None, *, multi_line: bool = False,
+def read_csv(spark: SparkSession, path, schema=None, *, multi_line: bool = False, split: bool = False,
              **options) -> DataFrame:
     """CSV with a header. Without ``schema`` one extra pass infers it; integers become BIGINT.
 
     ``multi_line`` allows line ends inside quotes; a file is then read by one task, so keep files
-    small. Without it such rows raise, like any row that does not fit the header or the schema.
+    small. ``split`` allows them as well and reads one file by many tasks; it needs a ``schema`` and plain UTF-8
+    files whose lines end in a line feed. Without either such rows raise, like any row that does not fit the header
+    or the schema.
     """
+    if split:
+        return _split_csv(spark, path, schema, {**CSV_READ, **options})
     options = {**CSV_READ, "multiLine": multi_line, **options}
     if schema is None:
         schema = _widened(spark.read.options(**options).option("inferSchema", True).csv(path).schema)
     return spark.read.options(**options).schema(schema).csv(path)
 
 
+def _split_csv(spark: SparkSession, path, schema, options: dict) -> DataFrame:
+    if schema is None:
+        raise ValueError("split=True needs a schema")
+    fixed = {n for n in options if n.lower() in ("quote", "escape", "linesep", "encoding", "charset", "comment")}
+    if any(options[n] != CSV_READ.get(n) for n in fixed):
+        raise ValueError(f"split=True reads UTF-8 by RFC 4180, so these cannot be set: {sorted(fixed - set(CSV_READ))}")
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    texts = {str(n): str(v).lower() if isinstance(v, bool) else str(v) for n, v in options.items()}
+    records = csv_records(spark, path).filter(F.trim("value", F.lit(" \t\r\n")) != "")
+    if texts.pop("header").lower() == "true":
+        records = records.filter(~F.col("_head"))
+    row = F.from_csv("value", schema.toDDL(), {**texts, "multiLine": "true"})
+    return records.select(row.alias("_row")).select("_row.*")
+
+
 def _numbered(raw: DataFrame) -> DataFrame:
     """1-based contiguous row numbers for a Parquet scan, in file order.
 
