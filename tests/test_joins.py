@@ -400,3 +400,31 @@ def test_buffers_around_a_pole(spark, limit):
                   .select("id", "centre_id").collect()} for part in (0.97, 1.03))
     assert sure <= got <= out and {c for _, c in got} == {1, 2, 3, 4}
     assert {(5000, 1), (5000, 2), (5001, 3)} <= got
+
+
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_joins_with_zones_of_many_edges_are_compiled(spark, points, zones, limit):
+    joined = gc.within_join(points[0], zones, **LATLON, broadcast_limit=limit).select("id", "zone_id")
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("Initial Plan")[0].splitlines() if "MergeJoin" in line or "HashJoin" in line]
+    assert joins and all("*(" in line for line in joins), joins
+
+
+@pytest.mark.parametrize("how", HOWS)
+def test_cells_full_of_zones_are_dealt_to_shares(spark, points, zones, expected, how, monkeypatch):
+    from geocairn.plans import cells
+
+    monkeypatch.setattr(cells, "FULL_CELL", 1)
+    assert cells.polygon_cover(zones, parts="polygons", keep=["zone_id"], limit=-1).full.count() > 0
+    got = gc.within_join(points[0], zones, **LATLON, how=how, broadcast_limit=-1)
+    if how in ("left_semi", "left_anti"):
+        hit = {i for i, _ in expected}
+        ids = [r.id for r in got.select("id").collect()]
+        every = {r[0] for r in points[1]}
+        assert len(ids) == len(set(ids)) and set(ids) == (hit if how == "left_semi" else every - hit)
+    else:
+        pairs = [(r.id, r.zone_id) for r in got.select("id", "zone_id").collect()]
+        assert len(pairs) == len(set(pairs)) and {p for p in pairs if p[1] is not None} == set(expected)
+    left = cells.polygon_cover(zones, parts="polygons", keep=["zone_id"], limit=64 << 20)
+    assert left.full is None
