@@ -195,6 +195,9 @@ def buffer_join(
         distance_m = F.lit(float(distance_m))
     if "_ring" in centres.columns:
         raise ColumnNotFound("column name _ring is reserved")
+    # rings cost far more than the centres, which are often one split
+    centres = centres.repartition(4 * centres.sparkSession.sparkContext.defaultParallelism,
+                                  *dict.fromkeys([centre_id, centre_lat, centre_lon]))
     ring = F.col("_ring")
     lons = ring["lon"]
 

@@ -415,7 +415,7 @@ def test_joins_with_zones_of_many_edges_are_compiled(spark, points, zones, limit
 def test_cells_full_of_zones_are_dealt_to_shares(spark, points, zones, expected, how, monkeypatch):
     from geocairn.plans import cells
 
-    monkeypatch.setattr(cells, "FULL_CELL", 1)
+    monkeypatch.setattr(cells, "FULL_CELL", 0.25)
     assert cells.polygon_cover(zones, parts="polygons", keep=["zone_id"], limit=-1).full.count() > 0
     got = gc.within_join(points[0], zones, **LATLON, how=how, broadcast_limit=-1)
     if how in ("left_semi", "left_anti"):
@@ -428,3 +428,10 @@ def test_cells_full_of_zones_are_dealt_to_shares(spark, points, zones, expected,
         assert len(pairs) == len(set(pairs)) and {p for p in pairs if p[1] is not None} == set(expected)
     left = cells.polygon_cover(zones, parts="polygons", keep=["zone_id"], limit=64 << 20)
     assert left.full is None
+
+
+def test_buffers_of_a_file_of_one_split_are_computed_by_many_tasks(spark, points):
+    centres = spark.range(400).selectExpr("id AS centre_id", "id % 20 - 10.0D AS clat", "id % 30 - 15.0D AS clon").coalesce(1)
+    joined = gc.buffer_join(points[0], centres, **LATLON, centre_lat="clat", centre_lon="clon", distance_m=20_000.0, segments=8)
+    assert "REPARTITION_BY_NUM" in joined._jdf.queryExecution().executedPlan().toString()
+    joined.collect()
