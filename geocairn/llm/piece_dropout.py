@@ -6,7 +6,7 @@ import heapq
 import itertools
 import re
 import struct
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,9 @@ class Pieces:
                 self.cost[piece] = -model.get_score(i)
 
         self.longest = max(map(len, self.id_of))
+        self.byte_count = np.array([len(t or b"") for t in self.texts], np.int64)
+        self.byte_start = np.cumsum(self.byte_count) - self.byte_count
+        self.all_bytes = np.frombuffer(b"".join([t or b"" for t in self.texts]), np.uint8)
         self._root: dict[str, int | None] = {}  # first states of the chunks met in this worker
         self._states = _States()
         self._fill_tables()
@@ -278,23 +281,33 @@ class Pieces:
         and moves on until none is skipped; only states that no occurrence has met are computed. The tree may be
         dropped at any time, so its size bounds memory and nothing else.
         """
+        flat, sizes = self.encode_flat(texts_, keys, dropout, seed)
+        ends, ids = np.cumsum(sizes).tolist(), flat.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_flat(self, texts_: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """The same as the ids of all texts in one array, and the number of ids of each text."""
         if self._states.size > _CACHE:
             self._root, self._states = {}, _States()
         own = [_CHUNK.findall(" " + t) if t else [] for t in texts_]
         chunks = list(itertools.chain.from_iterable(own))
         if not chunks:
-            return [[] for _ in own]
+            return np.zeros(0, np.int32), np.zeros(len(own), np.int64)
         self._learn([c for c in set(chunks) if c not in self._root])
         base = np.array([xxhash.xxh64_intdigest(struct.pack("<qq", seed, k)) for k in keys], np.uint64)
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         ends = np.cumsum(sizes)
         draws = _draw_at(np.repeat(base, sizes), np.arange(ends[-1]) - np.repeat(ends - sizes, sizes))
-        out = []
-        for at in range(0, len(chunks), 100_000):
-            out += self._drawn(chunks[at:at + 100_000], draws[at:at + 100_000], dropout, seed)
-        return [list(itertools.chain.from_iterable(out[b - n:b])) for b, n in zip(ends.tolist(), sizes.tolist())]
+        out = [self._drawn_flat(chunks[at:at + 100_000], draws[at:at + 100_000], dropout, seed) for at in range(0, len(chunks), 100_000)]
+        flat, counts = (np.concatenate(x) for x in zip(*out))
+        return flat, np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], ends])])
 
     def _drawn(self, chunks: list[str], draws: np.ndarray, dropout: float, seed: int) -> list[list[int]]:
+        flat, count = self._drawn_flat(chunks, draws, dropout, seed)
+        ends, ids = np.cumsum(count).tolist(), flat.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _drawn_flat(self, chunks: list[str], draws: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         states = self._states
         roots = [self._root[c] for c in chunks]
         state = np.fromiter((-1 if r is None else r for r in roots), np.int64, len(roots))
@@ -302,13 +315,17 @@ class Pieces:
         while left.size:
             left, place = states.skipped(left, state[left], draws, dropout, seed)
             state[left] = self._next(state[left], place)
-        ids = states.ids
-        out: list = [ids[k] if k >= 0 else None for k in state.tolist()]
-        anew = np.nonzero(state < 0)[0]
+        known, anew = np.nonzero(state >= 0)[0], np.nonzero(state < 0)[0]
         made = self.segment_many([chunks[i].replace(" ", SPACE) for i in anew], draws[anew], dropout, seed)
-        for i, found in zip(anew.tolist(), made):
-            out[i] = found
-        return out
+        count = np.zeros(len(chunks), np.int64)
+        count[known] = states.ids_count[state[known]]
+        count[anew] = np.fromiter(map(len, made), np.int64, len(made))
+        begin = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.int32)
+        flat[_runs(begin[known], count[known])] = states.ids[_runs(states.ids_start[state[known]], count[known])]
+        for at, found in zip(begin[anew].tolist(), made):
+            flat[at:at + len(found)] = found
+        return flat, count
 
     def _next(self, state: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The states that follow when the candidate at ``place`` of a state is the next to be skipped."""
@@ -329,17 +346,38 @@ class Pieces:
         known = self.texts
         return b"".join([known[i] or b"" for i in ids])[1:].decode("utf-8", "replace")
 
+    def decode_flat(self, flat: np.ndarray, sizes: np.ndarray) -> Iterator[str]:
+        """The texts of sequences that lie together in one array, a number of whole sequences at once."""
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = 0
+        while at < len(sizes):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 100_000, side="right")) - 1)
+            ids = flat[ends[at]:ends[stop]]
+            count = self.byte_count[ids]
+            data = self.all_bytes[_runs(self.byte_start[ids], count)].tobytes()
+            cuts = np.concatenate([[0], np.cumsum(count)])[ends[at:stop + 1] - ends[at]].tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                yield data[a:b][1:].decode("utf-8", "replace")
+            at = stop
+
 
 _NONE = np.zeros(0, np.int64)
 
 
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``start``, one run after the other."""
+    before = np.cumsum(count) - count
+    return np.arange(int(count.sum())) + np.repeat(start - before, count)
+
+
 class _States:
     """States of chunks by number: candidates in flat arrays, ids, and the way to each state."""
 
     def __init__(self):
         self.chunk: list[str] = []
         self.history: list[tuple[int, ...]] = []
-        self.ids: list[list[int]] = []
+        self.ids, self._ids_used = np.zeros(4096, np.int32), 0
+        self.ids_start, self.ids_count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.next: dict[int, int] = {}
         self.size = self._used = 0
         self._start, self._count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -349,17 +387,24 @@ class _States:
         """Number of the first of the new states; ``rows`` says whose candidates they are, in order."""
         self.chunk += chunks
         self.history += histories
-        self.ids += ids
         at, self.size = self.size, self.size + len(chunks)
         used, self._used = self._used, self._used + rows.size
         while self.size > self._start.size:
-            self._start, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count))
+            self._start, self._count, self.ids_start, self.ids_count = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count, self.ids_start, self.ids_count))
         while self._used > self._mixed.size:
             self._mixed = np.concatenate([self._mixed, np.zeros_like(self._mixed)])
         count = np.bincount(rows, minlength=len(chunks))
         self._count[at:self.size] = count
         self._start[at:self.size] = used + np.cumsum(count) - count
         self._mixed[used:self._used] = candidates
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin, self._ids_used = self._ids_used, self._ids_used + int(count.sum())
+        while self._ids_used > self.ids.size:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[begin:self._ids_used] = np.fromiter(itertools.chain.from_iterable(ids), np.int32, self._ids_used - begin)
+        self.ids_count[at:self.size] = count
+        self.ids_start[at:self.size] = begin + np.cumsum(count) - count
         return at
 
     def skipped(self, which: np.ndarray, state: np.ndarray, draws: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -427,15 +472,12 @@ def with_pieces(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPO
 
     def compute(batch):
         pieces = model.value
-        flat, sizes, same = array("i"), [], []
         values = texts(batch[text])
         keys = [-1 if k is None else int(k) for k in batch[key].to_pylist()]
-        for value, ids in zip(values, pieces.encode_many(values, keys, dropout, seed)):
-            flat.extend(ids)
-            sizes.append(len(ids))
-            same.append(pieces.decode(ids) == value)
+        flat, sizes = pieces.encode_flat(values, keys, dropout, seed)
+        same = [got == value for got, value in zip(pieces.decode_flat(flat, sizes), values)]
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
         return [ids, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())]
 
     return with_columns(docs, [("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())],

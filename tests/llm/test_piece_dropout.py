@@ -119,3 +119,16 @@ def test_column_operators(spark):
     again = pd.with_pieces(docs.repartition(7)).select("doc_id", "text", "ids")
     assert got.select("doc_id", "text", "ids").exceptAll(again).count() == 0
     assert pd.with_pieces(no_docs(spark)).collect() == []
+
+
+def test_states_keep_their_ids_in_one_array():
+    """Lists of ids took most of the memory of the cached states."""
+    import numpy as np
+
+    pieces = pd.Pieces()
+    texts = ["", "one two  three ▁ four", "x" * 90 + " \U0001f600 end", "one two", " "] * 3
+    lists = pieces.encode_many(texts, list(range(len(texts))))
+    flat, sizes = pieces.encode_flat(texts, list(range(len(texts))))
+    assert isinstance(pieces._states.ids, np.ndarray) and flat.dtype == np.int32
+    assert sizes.tolist() == [len(x) for x in lists] and flat.tolist() == [i for x in lists for i in x]
+    assert list(pieces.decode_flat(flat, sizes)) == [pieces.decode(x) for x in lists] == texts
