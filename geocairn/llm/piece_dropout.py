@@ -20,12 +20,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
 SEED = 7
-#: States of chunks that a worker keeps.
+#: Chunks that a worker remembers.
 _CACHE = 500_000
 _ALL = (1 << 64) - 1
 _SLOT_BITS = 20
-#: Chunks are handled together by length, in steps; longer ones one by one.
-_STEP, _LONGEST = 8, 32
+#: Chunks of up to so many characters are handled together, so many at once; longer ones one by one.
+_LONGEST, _TOGETHER = 32, 16_384
+_PLACE_BITS = 5
+#: No candidate; ids of places that are no more, and of the first of the characters without a piece.
+_NEVER, _GONE, _ODD = (1 << 31) - 1, -1, -2
 SPACE = "\u2581"
 
 
@@ -56,7 +59,7 @@ class Pieces:
         self.byte_count = np.array([len(t or b"") for t in self.texts], np.int64)
         self.byte_start = np.cumsum(self.byte_count) - self.byte_count
         self.all_bytes = np.frombuffer(b"".join([t or b"" for t in self.texts]), np.uint8)
-        self._root: dict[str, int | None] = {}  # first states of the chunks met in this worker
+        self._root: dict[str, int] = {}  # numbers of the chunks met in this worker
         self._states = _States()
         self._fill_tables()
 
@@ -80,80 +83,112 @@ class Pieces:
         """The same for many chunks, with one draw or one for each: a step takes the first candidate of every chunk at once."""
         out: list = [None] * len(chunks)
         draws = _draws(draw, len(chunks))
-        by_width: dict[int, list[int]] = {}
+        short = [i for i, chunk in enumerate(chunks) if len(chunk) <= _LONGEST]
+        codes, size = _codes([chunks[i] for i in short])
+        flat, count = self._together(self._first_ids(codes), np.cumsum(size) - size, size, draws[short], dropout, seed)
+        ends, ids = np.cumsum(count).tolist(), flat.tolist()
+        for i, a, b in zip(short, [0, *ends], ends):
+            out[i] = ids[a:b]
         for i, chunk in enumerate(chunks):
-            by_width.setdefault(-(-len(chunk) // _STEP), []).append(i)
-        for width, rows in by_width.items():
-            if width * _STEP > _LONGEST:
-                for i in rows:
-                    out[i] = self.segment(chunks[i], int(draws[i]), dropout, seed)
-                continue
-            for at in range(0, len(rows), 50_000):
-                part = rows[at:at + 50_000]
-                for i, ids in zip(part, self._together([chunks[i] for i in part], _STEP * width, draws[part], dropout, seed)):
-                    out[i] = ids
+            if out[i] is None:
+                out[i] = self.segment(chunk, int(draws[i]), dropout, seed)
         return out
 
-    def _together(self, chunks: list[str], width: int, draws: np.ndarray, dropout: float, seed: int,
-                  log: list | None = None, history: list[tuple[int, ...]] | None = None) -> list[list[int]]:
-        """``log`` receives (row, place, piece) of the candidates taken, step by step.
+    def _first_ids(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of characters; those without a piece stay apart, as negative numbers that tell them, and become bytes."""
+        ids = self.by_code[codes]
+        return np.where(ids < 0, _ODD - codes.astype(np.int32), ids)
+
+    def _together(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray, draws: np.ndarray | None, dropout: float, seed: int,
+                  log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of chunks, one chunk after the other, and their number in each chunk.
 
-        With a ``history`` the candidates are not drawn: a row skips those at its steps and no others.
+        A chunk has ``size`` first ids, from ``start`` on in ``chars``. ``log`` receives (chunk, place, piece) of the
+        candidates taken, step by step. Without draws none is skipped.
         """
-        n = len(chunks)
-        codes = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le"), np.uint32).reshape(n, width)
-        size = np.fromiter(map(len, chunks), np.int64, n)
-        place = np.arange(width)
-        inside = place[None, :] < size[:, None]
-        ids = np.where(inside, self.by_code[codes], -1)
-        odd = np.nonzero(((ids < 0) & inside).any(axis=1))[0]  # characters without a piece stay apart and become bytes
-        after = np.broadcast_to(place + 1, (n, width)).copy()
-        before = np.broadcast_to(place - 1, (n, width)).copy()
-        alive = inside.copy()
-        cost = np.full((n, width), np.inf, self.pair_cost.dtype)
-        cost[:, :-1] = self._pair_cost(ids[:, :-1], ids[:, 1:])
-        rows = np.arange(n)
-        step = 0
-        if history:
-            forced = np.zeros((n, max(h[-1] if h else 0 for h in history) + 1), bool)
-            for i, h in enumerate(history):
-                forced[i, list(h)] = True
-        while rows.size:
-            j = cost[rows].argmin(axis=1)
-            found = cost[rows, j] < np.inf
-            rows, j = rows[found], j[found]
-            if not rows.size:
-                break
-            k = after[rows, j]
-            merged = self._pair_piece(ids[rows, j], ids[rows, k])
-            if history is None:
-                skip = _chance(seed, draws[rows], j, merged) < int(dropout * (1 << 53))
-            else:
-                skip = forced[rows, step] if step < forced.shape[1] else np.zeros(rows.size, bool)
-            step += 1
+        order = np.argsort(size, kind="stable")
+        count, parts = np.zeros(size.size, np.int64), []
+        for at in range(0, order.size, _TOGETHER):
+            own = order[at:at + _TOGETHER]
+            steps: list | None = None if log is None else []
+            ids = self._merged(chars, start[own], size[own], None if draws is None else draws[own], dropout, seed, steps)
             if log is not None:
-                log.append((rows, j, merged))
-            cost[rows[skip], j[skip]] = np.inf
-            r, j, k, merged = rows[~skip], j[~skip], k[~skip], merged[~skip]
-            ids[r, j] = merged
-            alive[r, k] = False
-            cost[r, k] = np.inf
-            far = after[r, k]
-            after[r, j] = far
-            near = before[r, j]
-            right, left = far < size[r], near >= 0
-            before[r[right], far[right]] = j[right]
-            cost[r, j] = np.inf
-            cost[r[right], j[right]] = self._pair_cost(merged[right], ids[r[right], far[right]])
-            cost[r[left], near[left]] = self._pair_cost(ids[r[left], near[left]], merged[left])
-        ends = np.cumsum(alive.sum(axis=1)).tolist()
-        flat = ids[alive].tolist()
-        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
-        for i in odd.tolist():
-            at = np.nonzero(alive[i])[0].tolist()
-            out[i] = list(itertools.chain.from_iterable(
-                [k] if k >= 0 else self._bytes(chunks[i][j]) for j, k in zip(at, out[i])))
-        return out
+                log += [(own[r], j, piece) for r, j, piece in steps]
+            alive = ids != _GONE
+            parts.append(ids[alive])
+            count[own] = alive.sum(axis=1)
+        if not parts:
+            return np.zeros(0, np.int32), count
+        flat = np.concatenate(parts)
+        count, flat = self._with_bytes(flat, count, order)
+        begin = np.cumsum(count[order]) - count[order]
+        back = np.empty_like(begin)
+        back[order] = begin
+        return flat[_runs(back, count)], count
+
+    def _merged(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray, draws: np.ndarray | None, dropout: float, seed: int,
+                log: list | None) -> np.ndarray:
+        """Ids of chunks by (chunk, place) when no candidate is left.
+
+        Within, arrays are by (place, chunk), flat, with an empty place on either side. A candidate is the rank of its
+        piece and its place in one number, so the least of a chunk is the next.
+        """
+        n, width = size.size, int(size.max())
+        ids = np.full((n, width + 2), _GONE, np.int32)
+        ids.reshape(-1)[_runs(np.arange(n) * (width + 2) + 1, size)] = chars[_runs(start, size)]
+        ids = np.ascontiguousarray(ids.T)
+        best = np.full((width + 2, n), _NEVER, np.int32)
+        best[1:-1] = self._candidates(ids[1:-1], ids[2:], np.arange(width, dtype=np.int32)[:, None])
+        after = np.repeat(np.arange(1, width + 3, dtype=np.int64) * n, n) + np.tile(np.arange(n), width + 2)  # flat places
+        before = after - 2 * n
+        flat, agenda = ids.reshape(-1), best.reshape(-1)
+        limit = int(dropout * (1 << 53))
+        while True:
+            first = best.min(axis=0)
+            r = np.nonzero(first != _NEVER)[0]
+            if not r.size:
+                return ids[1:-1].T
+            first = first[r]
+            j, rank = first & ((1 << _PLACE_BITS) - 1), first >> _PLACE_BITS
+            at, piece = (j + 1).astype(np.int64) * n + r, self.by_rank[rank]
+            tied = np.nonzero(self.tied[rank])[0]
+            piece[tied] = self.pair_piece[self._pair_at(flat[at[tied]], flat[after[at[tied]]])]
+            if log is not None:
+                log.append((r, j, piece))
+            if draws is not None:
+                skip = _chance(seed, draws[r], j, piece) < limit
+                agenda[at[skip]] = _NEVER
+                at, j, piece = at[~skip], j[~skip], piece[~skip]
+            gone, near = after[at], before[at]
+            far = after[gone]
+            flat[at], flat[gone] = piece, _GONE
+            agenda[gone] = _NEVER
+            after[at], before[far] = far, at
+            pair = self._candidates(np.concatenate([piece, flat[near]]), np.concatenate([flat[far], piece]),
+                                    np.concatenate([j, near // n - 1]).astype(np.int32))
+            agenda[at], agenda[near] = pair[:at.size], pair[at.size:]
+
+    def _candidates(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        rank = self.pair_rank[self._pair_at(a, b)]
+        return np.where(rank < 0, np.int32(_NEVER), rank << _PLACE_BITS | place)
+
+    def _with_bytes(self, flat: np.ndarray, count: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes for characters without a piece; ``flat`` holds the chunks by ``order``."""
+        odd = np.nonzero(flat < 0)[0]
+        if not odd.size:
+            return count, flat
+        codes, which = np.unique(_ODD - flat[odd], return_inverse=True)
+        made = [self._bytes(chr(c)) for c in codes.tolist()]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        each = np.ones(flat.size, np.int64)
+        each[odd] = sizes[which]
+        ends = np.cumsum(each)
+        out = np.repeat(flat, each)
+        out[_runs(ends[odd] - each[odd], each[odd])] = np.fromiter(itertools.chain.from_iterable(made), np.int32)[
+            _runs((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        count = count.copy()
+        count[order] = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count[order])])])
+        return count, out
 
     def _pair_at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Place of each pair in the pair table, 0 for pairs that make no piece."""
@@ -171,12 +206,6 @@ class Pieces:
         at[some] = found
         return at
 
-    def _pair_cost(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.pair_cost[self._pair_at(a, b)]
-
-    def _pair_piece(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.pair_piece[self._pair_at(a, b)]
-
     def _fill_tables(self) -> None:
         """Ids by character, and every pair of pieces that makes a piece."""
         self.by_code = np.full(0x110000, -1, np.int32)
@@ -189,14 +218,18 @@ class Pieces:
                 if a is not None and b is not None:
                     pairs.append((a << 32 | b, self.cost[piece], i))
         pairs.sort()
-        self.pairs, self.pair_cost, self.pair_piece = (
+        self.pairs, pair_cost, self.pair_piece = (
             np.array(c, kind) for c, kind in zip(zip((-1, np.inf, -1), *pairs), (np.int64, float, np.int32)))
-        if (self.pair_cost.astype(np.float32) == self.pair_cost).all():
-            self.pair_cost = self.pair_cost.astype(np.float32)
+        costs, rank = np.unique(pair_cost, return_inverse=True)  # the last is that of no piece
+        self.pair_rank = np.where(self.pair_piece < 0, -1, rank).astype(np.int32)
+        self.by_rank = np.full(costs.size, -1, np.int32)
+        self.by_rank[rank] = self.pair_piece
+        self.tied = np.zeros(costs.size, bool)  # ranks that several pieces share, so that only their pairs tell them
+        self.tied[rank[self.by_rank[rank] != self.pair_piece]] = True
         # pairs lie together by the slot of their hash
         slot = _slot(self.pairs[1:])
         order = np.concatenate([[0], 1 + np.argsort(slot, kind="stable")])
-        self.pairs, self.pair_cost, self.pair_piece = self.pairs[order], self.pair_cost[order], self.pair_piece[order]
+        self.pairs, self.pair_rank, self.pair_piece = self.pairs[order], self.pair_rank[order], self.pair_piece[order]
         self.in_slot = np.bincount(slot, minlength=1 << _SLOT_BITS).astype(np.int8)
         self.slots = (1 + np.cumsum(self.in_slot, dtype=np.int64) - self.in_slot).astype(np.int32)
         self.most = int(self.in_slot.max())
@@ -237,49 +270,36 @@ class Pieces:
         return [self.byte_id[x] for x in text.encode()]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Gives each chunk its first state: what it becomes if no candidate is skipped.
+        """Gives each chunk its ids if no candidate is skipped, and those candidates.
 
-        None stands for chunks that are segmented anew each time.
+        -1 stands for chunks that are segmented anew each time.
         """
         fresh = []
         for chunk in chunks:
             if chunk[0] == SPACE:  # the mark itself is never a space, so it stays apart as bytes
-                self._root[chunk] = self._states.add([chunk], [()], [self._bytes(chunk)], _NONE, _NONE)
+                ids = np.array(self._bytes(chunk), np.int32)
+                self._root[chunk] = self._states.add(_NO_IDS, np.zeros(1, np.int64), ids, np.array([ids.size]), _NONE, _NONE)
             elif len(chunk) > _LONGEST:
-                self._root[chunk] = None
+                self._root[chunk] = -1
             else:
                 fresh.append(chunk)
-        self._root.update(zip(fresh, self._follow(fresh, [()] * len(fresh))))
-
-    def _follow(self, chunks: list[str], histories: list[tuple[int, ...]]) -> list[int]:
-        """New states of chunks after the skips at the steps of a history: ids if nothing more is skipped, and the
-        candidates that follow the last skip."""
-        made: list[int] = [0] * len(chunks)
-        by_width: dict[int, list[int]] = {}
-        for i, chunk in enumerate(chunks):
-            by_width.setdefault(-(-len(chunk) // _STEP), []).append(i)
-        for width, all_ in by_width.items():
-            for at in range(0, len(all_), 50_000):
-                own, log = all_[at:at + 50_000], []
-                known = [histories[i] for i in own]
-                ids = self._together([chunks[i].replace(" ", SPACE) for i in own], _STEP * width, _draws(0, len(own)), 0.0, 0, log, known)
-                rows, places, pieces = (np.concatenate(x) for x in zip(*log)) if log else (_NONE,) * 3
-                order = np.argsort(rows, kind="stable")
-                rows, places, pieces = rows[order], places[order], pieces[order]
-                begin = np.fromiter((h[-1] + 1 if h else 0 for h in known), np.int64, len(own))
-                later = np.arange(rows.size) - np.searchsorted(rows, np.arange(len(own)))[rows] >= begin[rows]
-                first = self._states.add([chunks[i] for i in own], known, ids, rows[later], _candidate(places[later], pieces[later]))
-                for k, i in enumerate(own):
-                    made[i] = first + k
-        return made
+        for at in range(0, len(fresh), 50_000):
+            own, log = fresh[at:at + 50_000], []
+            codes, size = _codes(own)
+            codes[codes == ord(" ")] = ord(SPACE)
+            chars = self._first_ids(codes)
+            ids, count = self._together(chars, np.cumsum(size) - size, size, None, 0.0, 0, log)
+            rows, places, pieces = (np.concatenate(x) for x in zip(*log)) if log else (_NONE,) * 3
+            order = np.argsort(rows, kind="stable")
+            first = self._states.add(chars, size, ids, count, rows[order], _candidate(places[order], pieces[order]))
+            self._root.update(zip(own, range(first, first + len(own))))
 
     def encode_many(self, texts_: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
         """Ids of texts. The key and the place of a chunk give its draw; no piece crosses a chunk.
 
-        States of chunks are kept as a tree: a state holds the ids if nothing more is skipped and the candidates to
-        come, and the candidate skipped next leads to the next state. An occurrence hashes the candidates of its state
-        and moves on until none is skipped; only states that no occurrence has met are computed. The tree may be
-        dropped at any time, so its size bounds memory and nothing else.
+        Of a chunk the ids without any skip and the candidates on the way there are kept. An occurrence hashes these
+        candidates; if it skips none, those are its ids, else it goes through the agenda once with its own draw,
+        together with others. What is kept may be dropped at any time, so its size bounds memory and nothing else.
         """
         flat, sizes = self.encode_flat(texts_, keys, dropout, seed)
         ends, ids = np.cumsum(sizes).tolist(), flat.tolist()
@@ -309,35 +329,27 @@ class Pieces:
 
     def _drawn_flat(self, chunks: list[str], draws: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         states = self._states
-        roots = [self._root[c] for c in chunks]
-        state = np.fromiter((-1 if r is None else r for r in roots), np.int64, len(roots))
-        left = np.nonzero(state >= 0)[0] if dropout else _NONE
-        while left.size:
-            left, place = states.skipped(left, state[left], draws, dropout, seed)
-            state[left] = self._next(state[left], place)
-        known, anew = np.nonzero(state >= 0)[0], np.nonzero(state < 0)[0]
+        number = np.fromiter(map(self._root.__getitem__, chunks), np.int64, len(chunks))
+        skips = np.zeros(len(chunks), bool)
+        known, anew = np.nonzero(number >= 0)[0], np.nonzero(number < 0)[0]
+        if dropout:
+            skips[known] = states.skips(number[known], draws[known], dropout, seed)
+        drawn, known = np.nonzero(skips)[0], known[~skips[known]]
+        own = number[drawn]
+        ids, sizes = self._together(states.chars, states.chars_start[own], states.chars_count[own], draws[drawn], dropout, seed)
         made = self.segment_many([chunks[i].replace(" ", SPACE) for i in anew], draws[anew], dropout, seed)
         count = np.zeros(len(chunks), np.int64)
-        count[known] = states.ids_count[state[known]]
+        count[known] = states.ids_count[number[known]]
+        count[drawn] = sizes
         count[anew] = np.fromiter(map(len, made), np.int64, len(made))
         begin = np.cumsum(count) - count
         flat = np.empty(int(count.sum()), np.int32)
-        flat[_runs(begin[known], count[known])] = states.ids[_runs(states.ids_start[state[known]], count[known])]
+        flat[_runs(begin[known], count[known])] = states.ids[_runs(states.ids_start[number[known]], count[known])]
+        flat[_runs(begin[drawn], sizes)] = ids
         for at, found in zip(begin[anew].tolist(), made):
             flat[at:at + len(found)] = found
         return flat, count
 
-    def _next(self, state: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The states that follow when the candidate at ``place`` of a state is the next to be skipped."""
-        states = self._states
-        keys, back = np.unique(state << 8 | place, return_inverse=True)
-        found = [states.next.get(k) for k in keys.tolist()]
-        new = [(i, k >> 8, k & 255) for i, k in enumerate(keys.tolist()) if found[i] is None]
-        histories = [(*states.history[k], (states.history[k][-1] + 1 if states.history[k] else 0) + p) for _, k, p in new]
-        for (i, k, p), made in zip(new, self._follow([states.chunk[k] for _, k, _ in new], histories)):
-            found[i] = states.next[k << 8 | p] = made
-        return np.array(found, np.int64)[back]
-
     def encode(self, text: str, key: int = 0, dropout: float = DROPOUT, seed: int = SEED) -> list[int]:
         return self.encode_many([text], [key], dropout, seed)[0]
 
@@ -361,7 +373,13 @@ class Pieces:
             at = stop
 
 
-_NONE = np.zeros(0, np.int64)
+_NONE, _NO_IDS = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+
+def _codes(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all chunks and their number in each."""
+    return (np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).copy(),
+            np.fromiter(map(len, chunks), np.int64, len(chunks)))
 
 
 def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -371,52 +389,47 @@ def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class _States:
-    """States of chunks by number: candidates in flat arrays, ids, and the way to each state."""
+    """Chunks by number, in flat arrays: first ids of their characters, ids without any skip, candidates on the way there."""
 
     def __init__(self):
-        self.chunk: list[str] = []
-        self.history: list[tuple[int, ...]] = []
-        self.ids, self._ids_used = np.zeros(4096, np.int32), 0
-        self.ids_start, self.ids_count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.next: dict[int, int] = {}
-        self.size = self._used = 0
-        self._start, self._count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self._mixed = np.zeros(8192, np.uint64)
-
-    def add(self, chunks: list[str], histories: list[tuple[int, ...]], ids: list[list[int]], rows: np.ndarray, candidates: np.ndarray) -> int:
-        """Number of the first of the new states; ``rows`` says whose candidates they are, in order."""
-        self.chunk += chunks
-        self.history += histories
-        at, self.size = self.size, self.size + len(chunks)
-        used, self._used = self._used, self._used + rows.size
-        while self.size > self._start.size:
-            self._start, self._count, self.ids_start, self.ids_count = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count, self.ids_start, self.ids_count))
-        while self._used > self._mixed.size:
-            self._mixed = np.concatenate([self._mixed, np.zeros_like(self._mixed)])
-        count = np.bincount(rows, minlength=len(chunks))
-        self._count[at:self.size] = count
-        self._start[at:self.size] = used + np.cumsum(count) - count
-        self._mixed[used:self._used] = candidates
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin, self._ids_used = self._ids_used, self._ids_used + int(count.sum())
-        while self._ids_used > self.ids.size:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[begin:self._ids_used] = np.fromiter(itertools.chain.from_iterable(ids), np.int32, self._ids_used - begin)
-        self.ids_count[at:self.size] = count
-        self.ids_start[at:self.size] = begin + np.cumsum(count) - count
+        self.size = 0
+        self.chars, self.chars_start, self.chars_count = _NO_IDS, _NONE, _NONE
+        self.ids, self.ids_start, self.ids_count = _NO_IDS, _NONE, _NONE
+        self._mixed, self._start, self._count = _NONE.astype(np.uint64), _NONE, _NONE
+        self._used = [0, 0, 0]
+
+    def add(self, chars: np.ndarray, char_count: np.ndarray, ids: np.ndarray, id_count: np.ndarray,
+            rows: np.ndarray, candidates: np.ndarray) -> int:
+        """Number of the first of the new chunks; ``rows`` says whose candidates they are, in order."""
+        n, at = len(id_count), self.size
+        parts = ((chars, char_count), (ids, id_count), (candidates, np.bincount(rows, minlength=n)))
+        for i, (values, start, count) in enumerate((("chars", "chars_start", "chars_count"), ("ids", "ids_start", "ids_count"), ("_mixed", "_start", "_count"))):
+            new, each = parts[i]
+            used, self._used[i] = self._used[i], self._used[i] + len(new)
+            for name, have, more in ((values, used, new), (start, at, used + np.cumsum(each) - each), (count, at, each)):
+                setattr(self, name, _put(getattr(self, name), have, more))
+        self.size += n
         return at
 
-    def skipped(self, which: np.ndarray, state: np.ndarray, draws: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Those of ``which`` that skip a candidate of their state, and the place of the first one."""
-        count = self._count[state]
-        ends = np.cumsum(count)
-        row = np.repeat(np.arange(which.size), count)
-        place = np.arange(row.size) - np.repeat(ends - count, count)
-        hit = _drawn_bits(seed, draws[which][row], self._mixed[self._start[state][row] + place]) < int(dropout * (1 << 53))
-        row, place = row[hit], place[hit]
-        first = np.concatenate([[True], row[1:] != row[:-1]]) if row.size else np.zeros(0, bool)
-        return which[row[first]], place[first]
+    def skips(self, number: np.ndarray, draws: np.ndarray, dropout: float, seed: int) -> np.ndarray:
+        """Whether chunks skip a candidate with these draws."""
+        out = np.zeros(number.size, bool)
+        limit = int(dropout * (1 << 53))
+        for at in range(0, number.size, 20_000):
+            own = number[at:at + 20_000]
+            count = self._count[own]
+            row = np.repeat(np.arange(at, at + own.size), count)
+            hit = _drawn_bits(seed, draws[row], self._mixed[_runs(self._start[own], count)]) < limit
+            out[row[hit]] = True
+        return out
+
+
+def _put(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` behind the first ``used`` values; it doubles where there is no room."""
+    if used + len(more) > array.size:
+        array = np.concatenate([array[:used], np.zeros(max(1024, used, len(more)), array.dtype)])
+    array[used:used + len(more)] = more
+    return array
 
 
 def _slot(key: np.ndarray) -> np.ndarray:

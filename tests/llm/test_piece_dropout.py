@@ -132,3 +132,26 @@ def test_states_keep_their_ids_in_one_array():
     assert isinstance(pieces._states.ids, np.ndarray) and flat.dtype == np.int32
     assert sizes.tolist() == [len(x) for x in lists] and flat.tolist() == [i for x in lists for i in x]
     assert list(pieces.decode_flat(flat, sizes)) == [pieces.decode(x) for x in lists] == texts
+
+
+def test_an_occurrence_that_skips_goes_through_the_agenda_once(monkeypatch):
+    """Each series of skips met was a state of its own, computed from the first character again: most of the CPU time."""
+    pieces, sent = pd.Pieces(), []
+    text = "Internationalisation of unbelievable words 日本 and " + "  " * 7 + "spaces"
+    chunks = pd._CHUNK.findall(" " + text)
+    monkeypatch.setattr(pieces, "_together", lambda *a, f=pieces._together: sent.append(len(a[1])) or f(*a))
+    got = pieces.encode_many([text] * 300, list(range(300)), 0.5, 7)
+    assert pieces._states.size == len(set(chunks)) and sum(sent) <= len(set(chunks)) + 300 * len(chunks)
+    assert len({tuple(ids) for ids in got}) > 250 and all(pieces.decode(ids) == text for ids in got)
+
+
+def test_pieces_of_one_cost_go_by_place(pieces):
+    """The agenda holds ranks of costs, which do not tell such pieces apart."""
+    own = pd.Pieces()
+    own.cost = {piece: float(round(cost / 50)) for piece, cost in own.cost.items()}
+    own._fill_tables()
+    assert own.tied.sum() > 100
+    rng = random.Random(5)
+    chunks = [pd.SPACE + "".join(rng.choice("abcdetionsr漢") for _ in range(rng.randrange(1, 32))) for _ in range(400)]
+    for dropout in (0.0, 0.2):
+        assert own.segment_many(chunks, 3, dropout, 7) == [own.segment(c, 3, dropout, 7) for c in chunks]
