@@ -20,8 +20,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
 SEED = 7
-#: Chunks that a worker remembers.
-_CACHE = 500_000
+#: Chunks that a worker remembers, and characters of texts that it handles together; both bound its memory and nothing else.
+_CACHE, _AT_ONCE = 100_000, 500_000
 _ALL = (1 << 64) - 1
 _SLOT_BITS = 20
 #: Chunks of up to so many characters are handled together, so many at once; longer ones one by one.
@@ -299,7 +299,7 @@ class Pieces:
 
         Of a chunk the ids without any skip and the candidates on the way there are kept. An occurrence hashes these
         candidates; if it skips none, those are its ids, else it goes through the agenda once with its own draw,
-        together with others. What is kept may be dropped at any time, so its size bounds memory and nothing else.
+        together with others. What is kept may be dropped at any time.
         """
         flat, sizes = self.encode_flat(texts_, keys, dropout, seed)
         ends, ids = np.cumsum(sizes).tolist(), flat.tolist()
@@ -307,6 +307,17 @@ class Pieces:
 
     def encode_flat(self, texts_: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """The same as the ids of all texts in one array, and the number of ids of each text."""
+        out, at = [(np.zeros(0, np.int32), _NONE)], 0
+        ends = np.cumsum(np.fromiter((len(t or "") for t in texts_), np.int64, len(texts_)))
+        while at < len(texts_):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + _AT_ONCE, side="right")))
+            out.append(self._encoded(texts_[at:stop], keys[at:stop], dropout, seed))
+            at = stop
+        flat, sizes = (np.concatenate(x) for x in zip(*out))
+        return flat, sizes
+
+    def _encoded(self, texts_: list[str], keys: list[int], dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         if self._states.size > _CACHE:
             self._root, self._states = {}, _States()
         own = [_CHUNK.findall(" " + t) if t else [] for t in texts_]

@@ -155,3 +155,15 @@ def test_pieces_of_one_cost_go_by_place(pieces):
     chunks = [pd.SPACE + "".join(rng.choice("abcdetionsr漢") for _ in range(rng.randrange(1, 32))) for _ in range(400)]
     for dropout in (0.0, 0.2):
         assert own.segment_many(chunks, 3, dropout, 7) == [own.segment(c, 3, dropout, 7) for c in chunks]
+
+
+def test_chunks_of_one_call_are_not_all_remembered(monkeypatch):
+    """All texts of a batch were learned at once, whatever their length, and half a million chunks on top were kept."""
+    pieces, sizes = pd.Pieces(), []
+    add = pd._States.add
+    monkeypatch.setattr(pd._States, "add", lambda self, *a: (add(self, *a), sizes.append(self.size))[0])
+    texts = [" ".join(f"{i:x}{j:x}" for j in range(9000, 18000)) for i in range(16, 36)]
+    flat, counts = pieces.encode_flat(texts, list(range(20)), 0.0)
+    assert sum(map(len, texts)) > 10 ** 6 and max(sizes) < 150_000 < 20 * 9000
+    assert list(pieces.decode_flat(flat, counts)) == texts
+    assert flat[:counts[0]].tolist() == pieces.encode(texts[0], 0, 0.0)
