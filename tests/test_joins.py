@@ -435,3 +435,57 @@ def test_buffers_of_a_file_of_one_split_are_computed_by_many_tasks(spark, points
     joined = gc.buffer_join(points[0], centres, **LATLON, centre_lat="clat", centre_lon="clon", distance_m=20_000.0, segments=8)
     assert "REPARTITION_BY_NUM" in joined._jdf.queryExecution().executedPlan().toString()
     joined.collect()
+
+
+@pytest.mark.parametrize("how", HOWS[:2])
+def test_points_meet_crowded_cells_by_blocks(spark, points, zones, expected, how, monkeypatch):
+    """Blocks of a few points, cells dealt to shares, rows that come twice, columns of other types."""
+    from geocairn.operators import joins
+    from geocairn.plans import cells
+
+    for module, name, value in ((cells, "BLOCK_CELL", 0.0), (cells, "FULL_CELL", 0.25), (joins, "BLOCK_POINTS", 3), (joins, "_SHARE_POINTS", 40), (joins, "_MOST_TASKS", 8)):
+        monkeypatch.setattr(module, name, value)
+    cover = cells.polygon_cover(zones, parts="polygons", keep=["zone_id"], limit=-1)
+    assert cover.crowded.levels == cover.levels and not cover.calm.levels
+    odd = spark.createDataFrame([(9001, None, 1.0), (9002, 1.0, None), (9003, float("nan"), 1.0), (9004, -0.0, 1.5)], points[0].schema)
+    df = points[0].union(points[0]).union(odd).selectExpr("*", "IF(id % 3 = 0, NULL, array(id, lat)) AS listed", "map('k', lon) AS m")
+    got = gc.within_join(df, zones, **LATLON, how=how, broadcast_limit=-1)
+    assert got.columns == [*df.columns, "zone_id"]
+    near = gc.within_join(df, zones, **LATLON, how=how).collect()
+    rows = got.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, near))
+    mine = [(r.id, r.zone_id) for r in rows if r.id < 9000 and r.zone_id is not None]
+    assert sorted(mine) == sorted([*expected, *expected])
+
+
+def test_rows_of_a_region_come_in_runs(spark):
+    """Files of the result are small because a region's points follow each other, and so does the next region's same list."""
+    spots = spark.range(20000).selectExpr("id", "10 + id % 141 / 150.0D AS lat", "20 + id % 137 / 150.0D AS lon").repartition(4)
+    squares = spark.range(100).selectExpr("id AS zone_id", "9.9D + id / 1000 AS y", "19.9D + id / 1000 AS x").selectExpr(
+        "zone_id", "array(array(array(named_struct('lon', x, 'lat', y), named_struct('lon', x + 1.3D, 'lat', y), "
+        "named_struct('lon', x + 1.3D, 'lat', y + 1.3D), named_struct('lon', x, 'lat', y + 1.3D)))) AS polygons")
+    squares = squares.withColumn("polygons", F.col("polygons").cast(PARTS_TYPE))
+    pairs = gc.within_join(spots, squares, **LATLON, broadcast_limit=-1).select("id", "zone_id")
+
+    def runs(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            zone = batch.column("zone_id").to_numpy()
+            yield pa.RecordBatch.from_pydict({"n": [len(zone)], "k": [1 + int((zone[1:] != zone[:-1]).sum())]})
+
+    total, changes = pairs.mapInArrow(runs, "n long, k long").agg(F.sum("n"), F.sum("k")).first()
+    assert total == gc.within_join(spots, squares, **LATLON).count() > 1_000_000
+    assert changes < total / 50
+
+
+def test_streams_meet_crowded_cells_without_blocks(spark, zones, points, tmp_path, monkeypatch):
+    from geocairn.plans import cells
+
+    monkeypatch.setattr(cells, "BLOCK_CELL", 0.0)
+    points[0].write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(points[0].schema).parquet(str(tmp_path / "in"))
+    joined = gc.within_join(stream, zones, **LATLON, broadcast_limit=-1).select("id", "zone_id")
+    query = joined.writeStream.format("memory").queryName("crowded").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("crowded").count() == gc.within_join(points[0], zones, **LATLON).count()
